@@ -113,3 +113,63 @@ daily AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
+
+
+# ---------------------------------------------------------------- predictions
+
+LAGS_SQL = """
+m AS (SELECT business_id, AVG(quantity) AS mean_q FROM daily GROUP BY business_id),
+w AS (
+  SELECT d.*,
+    LAG(quantity, 1) OVER win AS l1,
+    LAG(quantity, 7) OVER win AS l7,
+    AVG(quantity) OVER (win ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS r7,
+    AVG(quantity) OVER (win ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS r30,
+    STDDEV_SAMP(quantity) OVER (win ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS s7
+  FROM daily d
+  WINDOW win AS (PARTITION BY business_id, item_name ORDER BY date)
+),
+lags AS (
+  SELECT w.business_id, w.date, w.item_name, w.quantity,
+    COALESCE(l1, r7, mean_q, 0) AS lag_1, COALESCE(l7, r7, mean_q, 0) AS lag_7,
+    COALESCE(r7, mean_q, 0) AS rolling_7_avg, COALESCE(r30, r7, mean_q, 0) AS rolling_30_avg,
+    COALESCE(s7, r7, mean_q, 0) AS rolling_7_std
+  FROM w LEFT JOIN m ON w.business_id = m.business_id
+)"""
+
+PREDICTIONS_SQL = """
+predictions AS (
+  SELECT business_id AS model_id, date AS prediction_date, item_name,
+         GREATEST(CAST(round_even(lag_7, 0) AS INTEGER), 0) AS predicted_quantity,
+         CAST(quantity AS INTEGER) AS actual_quantity
+  FROM lags
+),
+models AS (
+  SELECT business_id AS model_id, business_id, CAST(MAX(date) AS TIMESTAMP) AS created_at, TRUE AS is_active
+  FROM daily GROUP BY business_id
+)"""
+
+PRED_CTES = (SALES_SQL, daily_sales_sql(), LAGS_SQL, PREDICTIONS_SQL)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PREDICTIONS table stand-in: a naive lag-7 forecast (W-02, rounded and
+    floored as F-18) next to the actual daily quantity; ``model_id`` is the
+    business (one model per business)."""
+    from ..functions.scalars import round_prediction
+    from ..operators.series import daily_item_sales, lag_features
+
+    lags = lag_features(daily_item_sales(sales(spark, sf_dir)))
+    return lags.select(
+        F.col("business_id").alias("model_id"), F.col("date").alias("prediction_date"), "item_name",
+        round_prediction("lag_7").alias("predicted_quantity"),
+        F.col("quantity").cast("int").alias("actual_quantity"))
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MODELS registry stand-in: one active model per business."""
+    from ..operators.series import daily_item_sales
+
+    daily = daily_item_sales(sales(spark, sf_dir))
+    return daily.groupBy("business_id").agg(F.max("date").cast("timestamp_ntz").alias("created_at")).select(
+        F.col("business_id").alias("model_id"), "business_id", "created_at", F.lit(True).alias("is_active"))

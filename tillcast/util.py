@@ -33,7 +33,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(field.name), digits).alias(field.name))
+            out.append((F.round(F.col(field.name), digits) + F.lit(0.0)).alias(field.name))
         else:
             out.append(F.col(field.name))
     return df.select(*out)
