@@ -46,7 +46,10 @@ def clip_days(days, cap: int) -> Column:
 def expected_range(mean, std) -> Column:
     """F-13: 'max(0, mean-2std) - mean+2std' with no decimals."""
     m, s = col_of(mean), col_of(std)
-    return F.format_string("%.0f - %.0f", F.greatest(F.lit(0.0), m - 2 * s), m + 2 * s)
+    # Half-even to a whole number first: Java's %.0f would round halves up.
+    lo = F.bround(F.greatest(F.lit(0.0), m - 2 * s), 0)
+    hi = F.bround(m + 2 * s, 0)
+    return F.format_string("%.0f - %.0f", lo, hi)
 
 
 def z_score(value, mean, std) -> Column:
