@@ -139,37 +139,51 @@ lags AS (
 
 PREDICTIONS_SQL = """
 predictions AS (
-  SELECT business_id AS model_id, date AS prediction_date, item_name,
+  SELECT business_id * 10000 + year(date) AS model_id, date AS prediction_date, item_name,
          GREATEST(CAST(round_even(lag_7, 0) AS INTEGER), 0) AS predicted_quantity,
-         CAST(quantity AS INTEGER) AS actual_quantity
+         CAST(trunc(quantity) AS INTEGER) AS actual_quantity
   FROM lags
 ),
 models AS (
-  SELECT business_id AS model_id, business_id, CAST(MAX(date) AS TIMESTAMP) AS created_at, TRUE AS is_active
-  FROM daily GROUP BY business_id
+  SELECT business_id * 10000 + year(date) AS model_id, business_id,
+         CAST(MAX(date) AS TIMESTAMP) AS created_at, COUNT(*) AS training_rows,
+         year(date) = MAX(year(date)) OVER (PARTITION BY business_id) AS is_active
+  FROM daily GROUP BY business_id, year(date)
 )"""
 
 PRED_CTES = (SALES_SQL, daily_sales_sql(), LAGS_SQL, PREDICTIONS_SQL)
 
 
+def model_id_of(business: str = "business_id", date: str = "date"):
+    """Model of a (business, date): one model per business and year."""
+    return (F.col(business) * 10000 + F.year(date)).cast("long")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PREDICTIONS table stand-in: a naive lag-7 forecast (W-02, rounded and
-    floored as F-18) next to the actual daily quantity; ``model_id`` is the
-    business (one model per business)."""
+    floored as F-18) next to the actual daily quantity. Each prediction belongs
+    to the model of its business and year."""
     from ..functions.scalars import round_prediction
     from ..operators.series import daily_item_sales, lag_features
 
     lags = lag_features(daily_item_sales(sales(spark, sf_dir)))
     return lags.select(
-        F.col("business_id").alias("model_id"), F.col("date").alias("prediction_date"), "item_name",
+        model_id_of().alias("model_id"), F.col("date").alias("prediction_date"), "item_name",
         round_prediction("lag_7").alias("predicted_quantity"),
         F.col("quantity").cast("int").alias("actual_quantity"))
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MODELS registry stand-in: one active model per business."""
+    """MODELS registry stand-in: one model per (business, year) of data, created
+    at the year's last sales date; the newest model of a business is active."""
+    from pyspark.sql import Window
+
     from ..operators.series import daily_item_sales
 
-    daily = daily_item_sales(sales(spark, sf_dir))
-    return daily.groupBy("business_id").agg(F.max("date").cast("timestamp_ntz").alias("created_at")).select(
-        F.col("business_id").alias("model_id"), "business_id", "created_at", F.lit(True).alias("is_active"))
+    daily = daily_item_sales(sales(spark, sf_dir)).withColumn("year", F.year("date"))
+    per_year = daily.groupBy("business_id", "year").agg(
+        F.max("date").cast("timestamp_ntz").alias("created_at"), F.count(F.lit(1)).alias("training_rows"))
+    w = Window.partitionBy("business_id")  # one row per model of the business
+    return per_year.select(
+        (F.col("business_id") * 10000 + F.col("year")).cast("long").alias("model_id"), "business_id",
+        "created_at", "training_rows", (F.col("year") == F.max("year").over(w)).alias("is_active"))
