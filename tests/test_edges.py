@@ -215,3 +215,39 @@ def test_top_k_window_group_limit_plan(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     plan = R.top_k(df, ["g"], [F.col("v").desc()], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_header_mapping_rules(spark):
+    from tillcast.sources import files as FL
+
+    df = spark.createDataFrame([("1", "2", "3", "4", "5")], "a string, b string, c string, d string, e string")
+    df = df.toDF(" Order Date", "Order_Time", "hour", "Qty", "QTY")
+    n = FL.normalize_headers(df)
+    assert n.columns == ["order_date", "order_time", "hour", "qty", "qty_2"]
+    assert FL.apply_column_mapping(n).columns == ["date", "time", "hour", "quantity", "qty_2"]
+    # a column already carrying the standard name wins over aliases
+    assert FL.resolve_mapping(["hour", "time"]) == {}
+
+
+def test_catalogue_mapping(spark):
+    from tillcast.sources import files as FL
+
+    cat = spark.createDataFrame([("f1", "qty"), ("f1", "product"), ("f1", "weird"), ("f2", "date")],
+                                "file string, column string")
+    al = FL.alias_table(spark)
+    got = {(r.file, r.column): r.standard for r in FL.suggest_mapping(cat, al).collect()}
+    assert got == {("f1", "qty"): "quantity", ("f1", "product"): "item_name", ("f2", "date"): "date"}
+    assert [r.column for r in FL.unmapped_theirs(cat, al).collect()] == ["weird"]
+    ours = {r.standard for r in FL.unmapped_ours(cat, al).where("file = 'f2'").collect()}
+    assert "date" not in ours and "quantity" in ours and len(ours) == len(FL.STANDARD_COLUMNS) - 1
+    rel = {(r.file, r.alias) for r in FL.relevant_mapping(cat, al).collect()}
+    assert ("f1", "qty") in rel and ("f1", "weird") not in rel
+
+
+def test_dataset_level_date_order(spark):
+    from tillcast.sources import files as FL
+
+    df = spark.createDataFrame([("03/04/2024",), ("12/31/2024",), ("bad",)], "date string")
+    good, bad = FL.parse_sales_dates(df, day_first=True)
+    assert sorted(r.date for r in good.collect()) == [d("2024-03-04"), d("2024-12-31")]
+    assert bad.count() == 1
