@@ -21,15 +21,16 @@ from ..util import with_business
 KEYS = ["business_id", "item_name"]
 
 
-def forecast_grid(daily: DataFrame, days: int = 7, start=None, items: DataFrame | None = None) -> DataFrame:
+def forecast_grid(daily: DataFrame, days: int = 7, start=None, items: DataFrame | None = None,
+                  offset: int = 1) -> DataFrame:
     """J-13: every item x every date from ``start`` to ``start + days``
-    (inclusive, so days + 1 dates, Q18). ``start`` defaults to the day after the
-    business's last date. Rows come from ``explode(sequence)`` per item: no
-    cross join."""
+    (inclusive, so days + 1 dates, Q18). ``start`` defaults to the business's
+    last date + ``offset`` (1: the day after). Rows come from
+    ``explode(sequence)`` per item: no cross join."""
     d, _ = with_business(daily)
     its = items if items is not None else d.select(*KEYS).distinct()
     if start is None:
-        last = d.groupBy("business_id").agg(F.date_add(F.max("date"), 1).alias("_start"))
+        last = d.groupBy("business_id").agg(F.date_add(F.max("date"), offset).alias("_start"))
         its = its.join(F.broadcast(last), "business_id")
     else:
         its = its.withColumn("_start", F.to_date(F.lit(start)))
@@ -71,18 +72,14 @@ def forecast_lags(grid: DataFrame, daily: DataFrame, fallback: DataFrame | None
         F.count("quantity").alias("h_n"), F.max_by("quantity", "date").alias("h_last"))
     r7 = _window_stats(hist, 7, "r7")
     r30 = _window_stats(hist, 30, "r30").drop("r30_std")
-    at = hist.select(*KEYS, F.col("date").alias("_hd"), F.col("quantity").alias("_hq"))
+    # J-24: the value at d-1 / d-7 is an equi-join with history shifted forward
+    at1 = hist.select(*KEYS, F.date_add("date", 1).alias("date"), F.col("quantity").alias("_q1"))
+    at7 = hist.select(*KEYS, F.date_add("date", 7).alias("date"), F.col("quantity").alias("_q7"))
     j = (g.join(stats, KEYS, "left")
          .join(r7, [*KEYS, "date"], "left")
          .join(r30, [*KEYS, "date"], "left")
-         .join(at.withColumnRenamed("_hq", "_q1"),
-               (g.business_id == at.business_id) & (g.item_name == at.item_name)
-               & (at._hd == F.date_sub(g.date, 1)), "left")
-         .drop(at.business_id).drop(at.item_name).drop("_hd"))
-    at7 = at.withColumnRenamed("_hq", "_q7")
-    j = (j.join(at7, (j.business_id == at7.business_id) & (j.item_name == at7.item_name)
-                & (at7._hd == F.date_sub(j.date, 7)), "left")
-         .drop(at7.business_id).drop(at7.item_name).drop("_hd"))
+         .join(at1, [*KEYS, "date"], "left")
+         .join(at7, [*KEYS, "date"], "left"))
     gmean = S.business_mean(daily, name="_gmean")
     j = j.join(F.broadcast(gmean), "business_id", "left")
     if fallback is not None:
