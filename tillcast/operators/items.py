@@ -21,30 +21,47 @@ DEFAULT_CATEGORY = "Other"
 OVERALL_SCOPE = "_overall"
 
 
+def item_size_stats(sales: DataFrame, value: str | None = "quantity") -> DataFrame:
+    """One aggregate over the raw sales at (business, item, size) grain, from
+    which every item profile below is derived: a single scan and shuffle of the
+    sales however many profiles are asked for (Spark reuses the exchange when
+    several profiles of one plan read it). Rows with a NULL size keep a NULL
+    size group (they count in the quantity denominator, A-09)."""
+    df, _ = with_business(sales)
+    df = df.where(F.col("item_name").isNotNull())
+    measure = F.col(value) if value and value in df.columns else F.lit(1.0)
+    first_type = F.when(F.col("type").isNotNull(), F.struct("date", "order_id", "type"))
+    return df.groupBy("business_id", "item_name", F.col("size").cast("string").alias("size")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(measure), F.lit(0.0)).cast("double").alias("qty"),
+        F.sum("unit_price").alias("price_sum"), F.count("unit_price").alias("price_n"),
+        F.min("unit_price").alias("price_min"), F.max("unit_price").alias("price_max"),
+        F.sum(F.round(F.col("unit_price") * 100).cast("long")).alias("price_cents"),
+        F.min(first_type).alias("first_type"))
+
+
+def _items(stats: DataFrame):
+    return stats.groupBy("business_id", "item_name")
+
+
 def item_category(sales: DataFrame) -> DataFrame:
     """A-06: first non-NULL ``type`` of each item, 'first' = earliest by
     (date, order_id, type) (Q27). Items without any type get 'Other'."""
-    df, _ = with_business(sales)
-    order = F.struct("date", "order_id", "type")
-    return (df.where(F.col("item_name").isNotNull()).groupBy("business_id", "item_name")
-            .agg(F.min_by(F.col("type"), F.when(F.col("type").isNotNull(), order)).alias("category"))
-            .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))))
+    return (_items(item_size_stats(sales)).agg(F.min("first_type").alias("_ft"))
+            .select("business_id", "item_name",
+                    F.coalesce(F.col("_ft.type"), F.lit(DEFAULT_CATEGORY)).alias("category")))
 
 
 def item_sizes(sales: DataFrame) -> DataFrame:
-    """A-07: sorted distinct non-NULL sizes per item (array)."""
-    df, _ = with_business(sales)
-    return (df.where(F.col("size").isNotNull() & F.col("item_name").isNotNull())
-            .groupBy("business_id", "item_name")
-            .agg(F.sort_array(F.collect_set(F.col("size").cast("string"))).alias("sizes")))
+    """A-07: sorted distinct non-NULL sizes per item (array; one entry per size)."""
+    return (_items(item_size_stats(sales).where(F.col("size").isNotNull()))
+            .agg(F.sort_array(F.collect_list("size")).alias("sizes")))
 
 
 def primary_size(sales: DataFrame) -> DataFrame:
     """A-08: most frequent size (rows), smallest on ties."""
-    df, _ = with_business(sales)
-    return (df.where(F.col("size").isNotNull() & F.col("item_name").isNotNull())
-            .groupBy("business_id", "item_name")
-            .agg(F.mode(F.col("size").cast("string"), deterministic=True).alias("primary_size")))
+    return (_items(item_size_stats(sales).where(F.col("size").isNotNull()))
+            .agg(F.min_by("size", F.struct(-F.col("rows"), F.col("size"))).alias("primary_size")))
 
 
 def size_distribution(sales: DataFrame, value: str | None = "quantity") -> DataFrame:
@@ -52,33 +69,24 @@ def size_distribution(sales: DataFrame, value: str | None = "quantity") -> DataF
     (business_id, item_name, size, share). The denominator includes rows with
     a NULL size; without a quantity column, rows are counted. Items whose total
     is not > 0 get no shares."""
-    df, _ = with_business(sales)
-    df = df.where(F.col("item_name").isNotNull())
-    measure = F.col(value) if value and value in df.columns else F.lit(1.0)
-    per_size = df.groupBy("business_id", "item_name", F.col("size").cast("string").alias("size")).agg(
-        F.coalesce(F.sum(measure), F.lit(0.0)).cast("double").alias("_q"))
-    w = Window.partitionBy("business_id", "item_name")
-    shares = per_size.withColumn("_total", F.sum("_q").over(w))
+    st = item_size_stats(sales, value)
+    w = Window.partitionBy("business_id", "item_name")  # one row per size of the item
+    shares = st.withColumn("_total", F.sum("qty").over(w))
     return (shares.where(F.col("size").isNotNull() & (F.col("_total") > 0))
-            .select("business_id", "item_name", "size", (F.col("_q") / F.col("_total")).alias("share")))
+            .select("business_id", "item_name", "size", (F.col("qty") / F.col("_total")).alias("share")))
 
 
 def size_prices(sales: DataFrame) -> DataFrame:
     """A-10: mean unit price per (item, size), NULL prices skipped."""
-    df, _ = with_business(sales)
-    return (df.where(F.col("size").isNotNull() & F.col("item_name").isNotNull())
-            .groupBy("business_id", "item_name", F.col("size").cast("string").alias("size"))
-            .agg(F.avg("unit_price").alias("size_price"))
-            .where(F.col("size_price").isNotNull()))
+    st = item_size_stats(sales).where(F.col("size").isNotNull() & (F.col("price_n") > 0))
+    return st.select("business_id", "item_name", "size", (F.col("price_sum") / F.col("price_n")).alias("size_price"))
 
 
 def price_stats(sales: DataFrame) -> DataFrame:
     """A-11: mean, min and max unit price per item."""
-    df, _ = with_business(sales)
-    return (df.where(F.col("item_name").isNotNull() & F.col("unit_price").isNotNull())
-            .groupBy("business_id", "item_name")
-            .agg(F.avg("unit_price").alias("unit_price"), F.min("unit_price").alias("min_price"),
-                 F.max("unit_price").alias("max_price")))
+    return (_items(item_size_stats(sales)).agg(
+        (F.sum("price_sum") / F.sum("price_n")).alias("unit_price"), F.min("price_min").alias("min_price"),
+        F.max("price_max").alias("max_price")).where(F.col("unit_price").isNotNull()))
 
 
 def category_index(categories: DataFrame) -> DataFrame:
@@ -216,31 +224,29 @@ def money(cents_sum: Column, n: Column, qty: Column | None = None) -> Column:
 def size_profile(sales: DataFrame, value: str | None = "quantity") -> DataFrame:
     """Per (item, size): quantity share (A-09) and the price as integer cents
     sum + count (A-10), one row per size."""
-    df, _ = with_business(sales)
-    df = df.where(F.col("item_name").isNotNull())
-    measure = F.col(value) if value and value in df.columns else F.lit(1.0)
-    per_size = df.groupBy("business_id", "item_name", F.col("size").cast("string").alias("size")).agg(
-        F.coalesce(F.sum(measure), F.lit(0.0)).cast("double").alias("_q"),
-        F.sum(_cents(F.col("unit_price"))).alias("price_cents"), F.count("unit_price").alias("price_n"))
+    st = item_size_stats(sales, value)
     w = Window.partitionBy("business_id", "item_name")  # one row per size of the item
-    return (per_size.withColumn("_total", F.sum("_q").over(w))
+    return (st.withColumn("_total", F.sum("qty").over(w))
             .where(F.col("size").isNotNull() & (F.col("_total") > 0))
-            .select("business_id", "item_name", "size", (F.col("_q") / F.col("_total")).alias("share"),
+            .select("business_id", "item_name", "size", (F.col("qty") / F.col("_total")).alias("share"),
                     "price_cents", "price_n"))
 
 
 def item_profile(sales: DataFrame) -> DataFrame:
     """Per item: category (A-06), sizes (A-07), primary size (A-08), number of
-    size shares and the item price as integer cents sum + count (A-11)."""
-    df, _ = with_business(sales)
-    keys = ["business_id", "item_name"]
-    prices = (df.where(F.col("item_name").isNotNull()).groupBy(*keys)
-              .agg(F.sum(_cents(F.col("unit_price"))).alias("item_cents"),
-                   F.count("unit_price").alias("item_n")))
-    n_sizes = size_profile(sales).groupBy(*keys).agg(F.count("*").alias("n_sizes"))
-    return (item_category(sales).join(item_sizes(sales), keys, "left")
-            .join(primary_size(sales), keys, "left").join(n_sizes, keys, "left")
-            .join(prices, keys, "left"))
+    size shares and the item price as integer cents sum + count (A-11), all
+    from the one (item, size) aggregate."""
+    st = item_size_stats(sales)
+    w = Window.partitionBy("business_id", "item_name")
+    st = st.withColumn("_total", F.sum("qty").over(w))
+    sized = F.col("size").isNotNull()
+    return _items(st).agg(
+        F.coalesce(F.min("first_type").getField("type"), F.lit(DEFAULT_CATEGORY)).alias("category"),
+        F.sort_array(F.collect_list(F.when(sized, F.col("size")))).alias("sizes"),
+        F.min_by(F.when(sized, F.col("size")), F.when(sized, F.struct(-F.col("rows"), F.col("size"))))
+        .alias("primary_size"),
+        F.count(F.when(sized & (F.col("_total") > 0), 1)).alias("n_sizes"),
+        F.sum("price_cents").alias("item_cents"), F.sum("price_n").alias("item_n"))
 
 
 def expand_by_size(predictions: DataFrame, items: DataFrame, sizes: DataFrame,

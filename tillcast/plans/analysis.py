@@ -26,7 +26,7 @@ def analyze(rows: DataFrame, cal: Calendars | None = None, z_threshold: float =
     """Context columns -> grouped outliers (W-10) + missing dates (J-20) ->
     per-business summary with grade (F-15) and advice (F-16)."""
     cal = cal or Calendars.for_data(rows)
-    days = C.days_of(rows.select("date"))
+    days = cal.days if cal.days is not None else C.days_of(rows.select("date"))
     ctx = Q.add_context(rows, days, cal.weather, cal.holidays, cal.games, cal.paydays, time_col, blocks)
     outliers = Q.grouped_outliers(ctx, z_threshold)
     missing = S.missing_dates(rows).withColumn("type", F.lit("missing_date"))

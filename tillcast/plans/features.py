@@ -40,15 +40,23 @@ class Calendars:
     games: DataFrame | None
     paydays: DataFrame | None
     school: DataFrame | None
+    days: DataFrame | None = None
 
     @classmethod
-    def for_data(cls, frame: DataFrame, date_col: str = "date") -> Calendars:
-        """Calendars for the years / days the data covers (Q9)."""
-        dates = frame.select(F.col(date_col).alias("date"))
-        years = C.years_of(dates)
-        return cls(weather=C.weather_calendar(C.days_of(dates)), holidays=C.holiday_calendar(years),
+    def for_span(cls, spark, lo, hi) -> Calendars:
+        """Calendars for the days lo..hi and the years around them (Q9)."""
+        years = C.years_between(spark, lo.year - 1, hi.year + 1)
+        days = C.days_between(spark, lo, hi)
+        return cls(weather=C.weather_calendar(days), holidays=C.holiday_calendar(years),
                    games=C.games_calendar(years), paydays=C.payday_calendar(years),
-                   school=C.school_calendar(years))
+                   school=C.school_calendar(years), days=days)
+
+    @classmethod
+    def for_data(cls, frame: DataFrame, date_col: str = "date") -> Calendars:
+        """Calendars for the data's span: the span is one aggregate read once,
+        so no calendar re-scans the (large) frame it is joined back to."""
+        lo, hi = C.span_of(frame, date_col)
+        return cls.for_span(frame.sparkSession, lo, hi)
 
 
 def calendar_day_features(days: DataFrame, cal: Calendars) -> DataFrame:
@@ -96,7 +104,8 @@ def build_features(rows: DataFrame, cal: Calendars | None = None, time_col: str
     optional time block code. Lags are added separately (W-01..W-06)."""
     base, added = with_business(rows)
     cal = cal or Calendars.for_data(base)
-    day_feats = calendar_day_features(C.days_of(base.select("date")), cal)
+    days = cal.days if cal.days is not None else C.days_of(base.select("date"))
+    day_feats = calendar_day_features(days, cal)
     df = base.select("*", *[v.alias(k) for k, v in date_parts("date").items()],
                      *[v.alias(k) for k, v in cyclical("date").items()])
     if time_col in base.columns:

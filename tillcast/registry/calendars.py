@@ -39,7 +39,8 @@ def payday_calendar(spark, sf_dir):
 
 @query("S23_ebt_calendar", _CAL + "SELECT date, type FROM ebt")
 def ebt_calendar(spark, sf_dir):
-    return C.ebt_calendar(C.years_of(T.sales(spark, sf_dir)))
+    lo, hi = C.span_of(T.sales(spark, sf_dir))
+    return C.ebt_calendar(C.years_between(spark, lo.year - 1, hi.year + 1))
 
 
 @query("S24_school_calendar", _CAL + "SELECT start_date, end_date, name, type FROM school")

@@ -65,8 +65,7 @@ def _daily_ctx(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
     daily = S.daily_item_sales(sales)
     cal = Calendars.for_data(sales)
-    return daily, cal, Q.add_context(daily, C.days_of(daily.select("date")), cal.weather, cal.holidays,
-                                     cal.games, cal.paydays)
+    return daily, cal, Q.add_context(daily, cal.days, cal.weather, cal.holidays, cal.games, cal.paydays)
 
 
 @query("A22_group_stats", _DAILY_CTX + """

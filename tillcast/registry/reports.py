@@ -5,6 +5,8 @@ A-16..A-20, A-23..A-27, A-29..A-32, W-13, T-05, F-19.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
@@ -212,8 +214,8 @@ FROM days d""")
 def day_digest(spark, sf_dir):
     fc = _forecast(spark, sf_dir)
     sales = T.sales(spark, sf_dir)
-    both = sales.select("date").unionByName(sales.select(F.date_add("date", 8).alias("date")))
-    years = C.years_of(both)
+    lo, hi = C.span_of(sales)
+    years = C.years_between(spark, lo.year - 1, (hi + dt.timedelta(days=8)).year + 1)
     totals = fc.groupBy("business_id", F.col("prediction_date").alias("date")).agg(
         F.sum("predicted_quantity").alias("predicted_total"))
     days = totals.select("business_id", "date")
@@ -250,7 +252,8 @@ SELECT * FROM (SELECT mx.business_id, h.date, h.name,
   FROM mx JOIN holidays h ON h.date >= mx.as_of AND h.date <= mx.as_of + INTERVAL 30 DAY) WHERE rank <= 5""")
 def upcoming_holidays(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
-    hol = C.holiday_calendar(C.years_of(sales))
+    lo, hi = C.span_of(sales)
+    hol = C.holiday_calendar(C.years_between(spark, lo.year - 1, hi.year + 1))
     mx = sales.groupBy("business_id").agg(F.max("date").alias("as_of"))
     # each as_of date sees the holidays of the next 31 days: expand as_of to its
     # window days (bounded) and equi-join with the calendar
@@ -276,7 +279,8 @@ UNION ALL SELECT business_id, 'weather', date, name FROM (
 def factors_in_range(spark, sf_dir):
     fc = _forecast(spark, sf_dir)
     sales = T.sales(spark, sf_dir)
-    years = C.years_of(sales.select("date").unionByName(sales.select(F.date_add("date", 8).alias("date"))))
+    lo, hi = C.span_of(sales)
+    years = C.years_between(spark, lo.year - 1, (hi + dt.timedelta(days=8)).year + 1)
     fdays = fc.select(F.col("prediction_date").alias("date")).distinct()
     weather = C.weather_calendar(fdays)
     win = fc.groupBy("business_id").agg(F.min("prediction_date").alias("s"), F.max("prediction_date").alias("e"))

@@ -35,6 +35,21 @@ def days_of(frame: DataFrame, date_col: str = "date") -> DataFrame:
     return span.select(F.explode(F.sequence("lo", "hi")).alias("date"))
 
 
+def span_of(frame: DataFrame, date_col: str = "date"):
+    """(first, last) date of ``frame``: one aggregate, two scalars to the driver.
+    Calendars built from these literals do not re-scan the data they describe."""
+    r = frame.agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).first()
+    return r["lo"], r["hi"]
+
+
+def years_between(spark, lo_year: int, hi_year: int) -> DataFrame:
+    return spark.range(int(lo_year), int(hi_year) + 1).select(F.col("id").cast("int").alias("year"))
+
+
+def days_between(spark, lo, hi) -> DataFrame:
+    return spark.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("date"))
+
+
 def _year_days(year: Column) -> Column:
     return F.sequence(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31)))
 
