@@ -30,14 +30,15 @@ def item_size_stats(sales: DataFrame, value: str | None = "quantity") -> DataFra
     df, _ = with_business(sales)
     df = df.where(F.col("item_name").isNotNull())
     measure = F.col(value) if value and value in df.columns else F.lit(1.0)
-    first_type = F.when(F.col("type").isNotNull(), F.struct("date", "order_id", "type"))
+    # only fixed-width buffers (counts, sums, min/max of numbers): a hash
+    # aggregate with map-side combine; the first type (a string-ordered pick)
+    # is its own aggregate in ``item_category``
     return df.groupBy("business_id", "item_name", F.col("size").cast("string").alias("size")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(measure), F.lit(0.0)).cast("double").alias("qty"),
         F.sum("unit_price").alias("price_sum"), F.count("unit_price").alias("price_n"),
         F.min("unit_price").alias("price_min"), F.max("unit_price").alias("price_max"),
-        F.sum(F.round(F.col("unit_price") * 100).cast("long")).alias("price_cents"),
-        F.min(first_type).alias("first_type"))
+        F.sum(F.round(F.col("unit_price") * 100).cast("long")).alias("price_cents"))
 
 
 def _items(stats: DataFrame):
@@ -47,9 +48,11 @@ def _items(stats: DataFrame):
 def item_category(sales: DataFrame) -> DataFrame:
     """A-06: first non-NULL ``type`` of each item, 'first' = earliest by
     (date, order_id, type) (Q27). Items without any type get 'Other'."""
-    return (_items(item_size_stats(sales)).agg(F.min("first_type").alias("_ft"))
-            .select("business_id", "item_name",
-                    F.coalesce(F.col("_ft.type"), F.lit(DEFAULT_CATEGORY)).alias("category")))
+    df, _ = with_business(sales)
+    order = F.when(F.col("type").isNotNull(), F.struct("date", "order_id", "type"))
+    return (df.where(F.col("item_name").isNotNull()).groupBy("business_id", "item_name")
+            .agg(F.min_by(F.col("type"), order).alias("category"))
+            .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))))
 
 
 def item_sizes(sales: DataFrame) -> DataFrame:
@@ -240,13 +243,13 @@ def item_profile(sales: DataFrame) -> DataFrame:
     w = Window.partitionBy("business_id", "item_name")
     st = st.withColumn("_total", F.sum("qty").over(w))
     sized = F.col("size").isNotNull()
-    return _items(st).agg(
-        F.coalesce(F.min("first_type").getField("type"), F.lit(DEFAULT_CATEGORY)).alias("category"),
+    prof = _items(st).agg(
         F.sort_array(F.collect_list(F.when(sized, F.col("size")))).alias("sizes"),
         F.min_by(F.when(sized, F.col("size")), F.when(sized, F.struct(-F.col("rows"), F.col("size"))))
         .alias("primary_size"),
         F.count(F.when(sized & (F.col("_total") > 0), 1)).alias("n_sizes"),
         F.sum("price_cents").alias("item_cents"), F.sum("price_n").alias("item_n"))
+    return item_category(sales).join(prof, ["business_id", "item_name"])
 
 
 def expand_by_size(predictions: DataFrame, items: DataFrame, sizes: DataFrame,
