@@ -220,8 +220,10 @@ def feature_importance(model: PipelineModel, names: list[str]) -> DataFrame:
 
 def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
     """T-04: top k features as percent."""
+    from ..functions.scalars import display_name
+
     return importance.orderBy(F.col("importance").desc(), "feature").limit(k).select(
-        "feature", (F.col("importance") * 100).alias("percent"))
+        "feature", display_name("feature").alias("display_name"), (F.col("importance") * 100).alias("percent"))
 
 
 def train(frame: DataFrame, test_size: float = 0.2, tune: bool = True, n_folds: int = 3,

@@ -74,3 +74,39 @@ def default_columns(spark, sf_dir):
                                F.col("unit_price").alias("Price")), path)
     sales, _ = FL.load_sales(spark, path)
     return S.daily_item_sales(sales.select("date", "item_name", "quantity"))
+
+
+@query("S10_safe_parse_date", _SALES + """,
+txt AS (
+  SELECT DISTINCT date, f, CASE f WHEN 0 THEN strftime(date, '%Y-%m-%d') WHEN 1 THEN strftime(date, '%d/%m/%Y')
+    WHEN 2 THEN strftime(date, '%m/%d/%Y') ELSE strftime(date, '%Y/%m/%d') END AS text
+  FROM sales, range(0, 4) t(f)
+)
+SELECT date, CAST(f AS INTEGER) AS f, ' ' || text || ' ' AS text,
+  CAST(COALESCE(try_strptime(text, '%Y-%m-%d'), try_strptime(text, '%d/%m/%Y'), try_strptime(text, '%m/%d/%Y'),
+                try_strptime(text, '%Y/%m/%d')) AS DATE) AS parsed
+FROM txt""")
+def safe_parse_date(spark, sf_dir):
+    """Every sales date written in four layouts (padded with spaces) and read
+    back with the fixed fallback order Y-m-d, d/m/Y, m/d/Y, Y/m/d."""
+    from ..functions.dates import safe_parse_date as spd
+
+    d = T.sales(spark, sf_dir).select("date").distinct()
+    fmts = F.array(*[F.lit(x) for x in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd")])
+    t = d.select("date", F.posexplode(fmts).alias("f", "fmt"))
+    t = t.select("date", F.col("f").cast("int").alias("f"),
+                 F.concat(F.lit(" "), F.expr("date_format(date, fmt)"), F.lit(" ")).alias("text"))
+    return t.select("date", "f", "text", spd("text").alias("parsed"))
+
+
+@query("S28_write_predictions", T.with_ctes(*T.PRED_CTES) + """
+SELECT model_id, prediction_date, item_name, predicted_quantity, actual_quantity FROM predictions""")
+def write_predictions(spark, sf_dir):
+    """Predictions persisted as a Parquet table partitioned by model, read back."""
+    from ..operators.merges import write_table
+
+    path = scratch_path(spark, "predictions-table")
+    write_table(T.predictions(spark, sf_dir), path, ["model_id"])
+    back = spark.read.parquet(path)
+    return back.select(F.col("model_id").cast("long").alias("model_id"), "prediction_date", "item_name",
+                       "predicted_quantity", "actual_quantity")
