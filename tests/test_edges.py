@@ -251,3 +251,15 @@ def test_dataset_level_date_order(spark):
     good, bad = FL.parse_sales_dates(df, day_first=True)
     assert sorted(r.date for r in good.collect()) == [d("2024-03-04"), d("2024-12-31")]
     assert bad.count() == 1
+
+
+def test_business_type_line_measures_football(spark):
+    df = spark.createDataFrame([("retail", 12.5, 7.25, 3, d("2024-09-08"), False),
+                                ("bakery", 1.0, 0.5, 1, d("2024-02-11"), True)],
+                               "t string, p double, c double, q int, day date, hol boolean")
+    rows = df.select(X.valid_business_type("t").alias("ok"),
+                     *[v.alias(k) for k, v in X.line_measures("p", "c", "q").items()],
+                     D.event_label("hol", D.football_day("day")).alias("label")).collect()
+    assert rows[0].ok is True and rows[1].ok is False
+    assert (rows[0].line_revenue, rows[0].line_cost, rows[0].gross_margin) == (37.5, 21.75, 15.75)
+    assert rows[0].label == "Football" and rows[1].label == "Holiday"
