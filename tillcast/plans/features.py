@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import time_block, time_block_code
@@ -59,32 +59,62 @@ class Calendars:
         return cls.for_span(frame.sparkSession, lo, hi)
 
 
+_SIGNALS = ("is_holiday", "days_to_holiday", "days_from_holiday", "has_sports", "is_payday",
+            "days_to_payday", "is_school_break")
+_FLAG_DEFAULTS = {"is_holiday": 0, "days_to_holiday": 30, "days_from_holiday": 30, "has_sports": 0,
+                  "is_payday": 0, "days_to_payday": 15, "is_school_break": 0}
+
+
+def _signal(df: DataFrame, date: Column, **values) -> DataFrame:
+    return df.select(date.alias("date"), *[(values[k] if k in values else F.lit(None).cast("int")).alias(k)
+                                           for k in _SIGNALS])
+
+
+def _within(dates: DataFrame, cap: int, forward: bool, name: str) -> DataFrame:
+    k = F.explode(F.sequence(F.lit(0), F.lit(cap))).alias("_k")
+    ev = dates.select("date").distinct().select("date", k)
+    shifted = F.date_sub("date", F.col("_k")) if forward else F.date_add("date", F.col("_k"))
+    return _signal(ev, shifted, **{name: F.col("_k").cast("int")})
+
+
 def calendar_day_features(days: DataFrame, cal: Calendars) -> DataFrame:
-    """Per calendar day: raw weather + missing flag and all event features."""
+    """Per calendar day: raw weather + missing flag and all event features.
+
+    Every calendar contributes rows of (date, signal) - exact dates for flags,
+    the cap + 1 days that can see an event for as-of distances, the covered
+    days for breaks - and one ``groupBy(date)`` folds them (max for flags, min
+    for distances). Then one join with the day list and one with the weather:
+    two joins instead of one per feature, all on tables bounded by the span.
+    """
+    parts = []
+    if cal.holidays is not None:
+        parts += [_signal(cal.holidays, F.col("date"), is_holiday=F.lit(1)),
+                  _within(cal.holidays, 30, True, "days_to_holiday"),
+                  _within(cal.holidays, 30, False, "days_from_holiday")]
+    if cal.games is not None:
+        parts.append(_signal(cal.games, F.col("date"), has_sports=F.lit(1)))
+    if cal.paydays is not None:
+        parts += [_signal(cal.paydays, F.col("date"), is_payday=F.lit(1)),
+                  _within(cal.paydays, 15, True, "days_to_payday")]
+    if cal.school is not None:
+        parts.append(_signal(J.break_days(cal.school), F.col("date"), is_school_break=F.lit(1)))
     df = days.select("date")
     if cal.weather is not None:
         df = J.weather_join(df, cal.weather)
     else:
         df = df.select("date", *[F.lit(None).cast("double").alias(c) for c in J.WEATHER_COLS],
                        F.lit(1).alias("weather_missing"))
-    if cal.holidays is not None:
-        df = J.date_flag(df, cal.holidays, "is_holiday")
-        df = J.days_to_next(df, cal.holidays, "days_to_holiday", 30)
-        df = J.days_since_last(df, cal.holidays, "days_from_holiday", 30)
-    else:
-        df = df.select("*", F.lit(0).alias("is_holiday"), F.lit(30).alias("days_to_holiday"),
-                       F.lit(30).alias("days_from_holiday"))
-    df = J.date_flag(df, cal.games, "has_sports") if cal.games is not None else df.withColumn("has_sports", F.lit(0))
-    if cal.paydays is not None:
-        df = J.date_flag(df, cal.paydays, "is_payday")
-        df = J.days_to_next(df, cal.paydays, "days_to_payday", 15)
-    else:
-        df = df.select("*", F.lit(0).alias("is_payday"), F.lit(15).alias("days_to_payday"))
-    if cal.school is not None:
-        df = J.school_break_flag(df, cal.school)
+    if parts:
+        sig = parts[0]
+        for p_ in parts[1:]:
+            sig = sig.unionByName(p_)
+        agg = sig.groupBy("date").agg(*[(F.min(k) if k.startswith("days_") else F.max(k)).alias(k)
+                                        for k in _SIGNALS])
+        df = df.join(F.broadcast(agg), "date", "left")
     else:
-        df = df.withColumn("is_school_break", F.lit(0))
-    return df
+        df = df.select("*", *[F.lit(None).cast("int").alias(k) for k in _SIGNALS])
+    return df.select("date", *J.WEATHER_COLS, "weather_missing",
+                     *[F.coalesce(F.col(k), F.lit(v)).cast("int").alias(k) for k, v in _FLAG_DEFAULTS.items()])
 
 
 def item_codes(frame: DataFrame, keys=("item_name",)) -> DataFrame:

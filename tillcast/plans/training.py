@@ -52,8 +52,10 @@ def training_frame(sales: DataFrame, cal: Calendars | None = None, pooled: bool
     """M-01 + W-01..W-06: one row per (business, date, item) with the label,
     all calendar / date features and the row lags. ``pooled`` adds the
     business id as a feature so one model can serve every business."""
-    daily = S.daily_item_sales(sales)
-    cal = cal or Calendars.for_data(sales)
+    # the series feeds features, fill statistics, codes, lags and the span:
+    # materialise it once in the shared folder
+    daily = cut_lineage(S.daily_item_sales(sales))
+    cal = cal or Calendars.for_data(daily)
     feats = build_features(daily, cal)
     lags = S.lag_features(daily).drop(LABEL)
     out = feats.join(lags, KEYS)

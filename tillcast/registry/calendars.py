@@ -15,6 +15,7 @@ from ..operators import series as S
 from ..plans import features as FE
 from ..sources import calendars as C
 from ..sources import tables as T
+from ..session import cut_lineage
 from ..util import round_doubles
 from . import query
 
@@ -362,7 +363,8 @@ _FEATURE_OUT = [c for c in FE.FEATURE_COLUMNS if not c.startswith(("lag_", "roll
            "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos", "temp_max", "temp_min",
            "precipitation", "weather_code") else c for c in _FEATURE_OUT) + " FROM feat")
 def build_features(spark, sf_dir):
-    sales = T.sales(spark, sf_dir)
-    daily = _daily(sales)
-    feats = FE.build_features(daily, FE.Calendars.for_data(sales))
+    # the daily series feeds the span, the day features, the fill statistics
+    # and the item codes: materialise it once (reliable checkpoint)
+    daily = cut_lineage(_daily(T.sales(spark, sf_dir)))
+    feats = FE.build_features(daily, FE.Calendars.for_data(daily))
     return round_doubles(feats.select("business_id", "date", "item_name", *_FEATURE_OUT))

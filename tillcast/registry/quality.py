@@ -11,6 +11,7 @@ from ..plans.analysis import analyze
 from ..plans.features import Calendars
 from ..sources import calendars as C
 from ..sources import tables as T
+from ..session import cut_lineage
 from ..util import round_doubles
 from . import query
 
@@ -62,9 +63,8 @@ _TIMED_CTX = T.with_ctes(T.TIMED_SALES_SQL, *_TIMED_CAL).rstrip() + _ctx_sql("ti
 
 
 def _daily_ctx(spark, sf_dir):
-    sales = T.sales(spark, sf_dir)
-    daily = S.daily_item_sales(sales)
-    cal = Calendars.for_data(sales)
+    daily = cut_lineage(S.daily_item_sales(T.sales(spark, sf_dir)))
+    cal = Calendars.for_data(daily)
     return daily, cal, Q.add_context(daily, cal.days, cal.weather, cal.holidays, cal.games, cal.paydays)
 
 
@@ -115,6 +115,5 @@ SELECT business_id, total_rows, outlier_count + missing_date_count AS total_anom
        ELSE 'Data looks clean. Ready for training.' END AS recommendation
 FROM s""")
 def quality_summary(spark, sf_dir):
-    sales = T.sales(spark, sf_dir)
-    daily = S.daily_item_sales(sales)
-    return analyze(daily, Calendars.for_data(sales)).summary
+    daily = cut_lineage(S.daily_item_sales(T.sales(spark, sf_dir)))
+    return analyze(daily, Calendars.for_data(daily)).summary
