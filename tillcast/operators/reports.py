@@ -146,21 +146,23 @@ def forecast_summary(forecast: DataFrame, qty: str = "predicted_quantity", date_
                      ) -> DataFrame:
     """A-24 / A-26: rows, total, average per record (Q17), peak and low rows,
     rows above the average. Peak ties go to the earliest (date, item), low ties
-    to the latest, matching a stable descending sort. Runs over one business's
-    forecast horizon (items x days), a bounded set."""
+    to the latest, matching a stable descending sort."""
     f, _ = with_business(forecast)
-    w_hi = Window.partitionBy("business_id").orderBy(F.col(qty).desc(), F.col(date_col), F.col("item_name"))
-    w_lo = Window.partitionBy("business_id").orderBy(F.col(qty), F.col(date_col).desc(), F.col("item_name").desc())
-    ranked = f.select("*", F.row_number().over(w_hi).alias("_hi"), F.row_number().over(w_lo).alias("_lo"))
-    stats = f.groupBy("business_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(qty).cast("long").alias("total"),
-                                         F.avg(qty).alias("avg_per_record"))
-    peak = ranked.where("_hi = 1").select("business_id", F.col(date_col).alias("peak_date"),
-                                          F.col("item_name").alias("peak_item"), F.col(qty).alias("peak_quantity"))
-    low = ranked.where("_lo = 1").select("business_id", F.col(date_col).alias("low_date"),
-                                         F.col("item_name").alias("low_item"), F.col(qty).alias("low_quantity"))
+    row = F.struct(F.col(date_col).alias("d"), F.col("item_name").alias("i"), F.col(qty).alias("q"))
+    order = F.struct((-F.col(qty)).alias("nq"), F.col(date_col), F.col("item_name"))
+    # keyed aggregates (partial aggregation), no window over a whole business
+    stats = f.groupBy("business_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(qty).cast("long").alias("total"),
+        F.avg(qty).alias("avg_per_record"),
+        F.min_by(row, order).alias("_peak"),   # largest qty, then earliest date, item
+        F.max_by(row, order).alias("_low"))    # smallest qty, then latest date, item
+    stats = stats.select("business_id", "rows", "total", "avg_per_record",
+                         F.col("_peak.d").alias("peak_date"), F.col("_peak.i").alias("peak_item"),
+                         F.col("_peak.q").alias("peak_quantity"), F.col("_low.d").alias("low_date"),
+                         F.col("_low.i").alias("low_item"), F.col("_low.q").alias("low_quantity"))
     above = (f.join(stats.select("business_id", "avg_per_record"), "business_id")
              .groupBy("business_id").agg(F.count_if(F.col(qty) > F.col("avg_per_record")).alias("days_above_average")))
-    return stats.join(peak, "business_id").join(low, "business_id").join(above, "business_id")
+    return stats.join(above, "business_id")
 
 
 def daily_totals(forecast: DataFrame, days: int = 14, qty: str = "predicted_quantity",
