@@ -28,12 +28,12 @@ HEADLINE = (
     "W01_W06_lag_features",
     "M01_build_features",
     "W09_weather_fill",
-    "J07_days_to_holiday",
+    "J07_F12_days_to_holiday",
     "A14_A15_hourly_patterns",
-    "P01_P04_expand_by_size",
+    "P01_P04_F26_expand_by_size",
     "J22_similar_items",
-    "W10_grouped_outliers",
-    "M14_quality_summary",
+    "W10_F07_F13_F14_grouped_outliers",
+    "M14_F15_F16_quality_summary",
     "J14_upsert_predictions",
     "J16_save_actuals",
     "A16_forecast_accuracy",

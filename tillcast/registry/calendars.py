@@ -33,7 +33,7 @@ def _daily(sales):
 
 # ------------------------------------------------------------ calendars
 
-@query("S22_payday_calendar", _CAL + "SELECT date, type FROM paydays")
+@query("S22_T06_payday_calendar", _CAL + "SELECT date, type FROM paydays")
 def payday_calendar(spark, sf_dir):
     return _cal(spark, sf_dir)[1].paydays
 
@@ -253,7 +253,7 @@ SELECT d.business_id, d.date, d.item_name,
 FROM daily d"""
 
 
-@query("J07_days_to_holiday", _asof_sql("holidays", "days_to_holiday", 30, True))
+@query("J07_F12_days_to_holiday", _asof_sql("holidays", "days_to_holiday", 30, True))
 def days_to_holiday(spark, sf_dir):
     sales, cal = _cal(spark, sf_dir)
     return J.days_to_next(_daily(sales), cal.holidays, "days_to_holiday", 30)

@@ -43,7 +43,7 @@ _RT_SQL = _SALES + """
 SELECT business_id, date, item_name, quantity, size, type, unit_price, total_price, order_id FROM sales"""
 
 
-@query("S01_S03_S09_csv_roundtrip_day_first", _RT_SQL)
+@query("S01_S02_S03_S09_S26_csv_roundtrip", _RT_SQL)
 def csv_roundtrip_day_first(spark, sf_dir):
     """dd/MM/yyyy export: header normalisation, alias mapping, day-first dates."""
     return _roundtrip(spark, sf_dir, "dd/MM/yyyy")

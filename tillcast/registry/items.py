@@ -235,7 +235,7 @@ psz AS (SELECT business_id, item_name, size AS primary_size FROM (
   FROM sales WHERE size IS NOT NULL AND item_name IS NOT NULL GROUP BY business_id, item_name, size) WHERE rn = 1)"""
 
 
-@query("P01_P04_expand_by_size", _BASE.rstrip() + _CAT_SQL + _GRID_SQL + _META_SQL + """,
+@query("P01_P04_F26_expand_by_size", _BASE.rstrip() + _CAT_SQL + _GRID_SQL + _META_SQL + """,
 many AS (
   SELECT f.business_id, f.prediction_date, f.item_name,
          GREATEST(1, CAST(round_even(f.predicted_quantity * d.share, 0) AS INTEGER)) AS qty, d.size,

@@ -69,7 +69,7 @@ def toast_orders(spark, sf_dir):
 
 
 @query("S14_flatten_clover_orders", _order_sql(
-    "", _C.format(x="ob.o_totalprice"), "CASE WHEN ln.p_name IS NULL THEN NULL ELSE 1.0 END",
+    "", _C.format(x="ob.o_totalprice"), "CASE WHEN ln.p_name IS NULL THEN NULL ELSE CAST(1.0 AS DOUBLE) END",
     _C.format(x="ln.p_retailprice"), _C.format(x="ln.p_retailprice")))
 def clover_orders(spark, sf_dir):
     return _lines_out(P.flatten_clover_orders(D.clover_orders(spark, sf_dir)))
@@ -138,7 +138,7 @@ def orders_to_sales(spark, sf_dir):
     return round_doubles(P.orders_to_sales(P.flatten_square_orders(D.square_orders(spark, sf_dir))))
 
 
-@query("S27_products_lookup", _product_sql("'P' || CAST(p_partkey AS VARCHAR)", _C.format(x="p_retailprice"),
+@query("S27_F22_products_lookup", _product_sql("'P' || CAST(p_partkey AS VARCHAR)", _C.format(x="p_retailprice"),
                                            "WHERE p_type NOT LIKE 'PROMO%'"))
 def products_lookup(spark, sf_dir):
     prods = P.flatten_square_products(D.square_products(spark, sf_dir)).withColumn("is_active", F.lit(True))

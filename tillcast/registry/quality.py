@@ -77,18 +77,18 @@ def group_stats(spark, sf_dir):
     return round_doubles(Q.group_stats(_daily_ctx(spark, sf_dir)[2]))
 
 
-@query("W10_grouped_outliers", _DAILY_CTX + "\nSELECT * FROM outl")
+@query("W10_F07_F13_F14_grouped_outliers", _DAILY_CTX + "\nSELECT * FROM outl")
 def grouped_outliers(spark, sf_dir):
     return round_doubles(Q.grouped_outliers(_daily_ctx(spark, sf_dir)[2]))
 
 
-@query("W10_grouped_outliers_timed", _TIMED_CTX + "\nSELECT * FROM outl")
+@query("W10_F06_grouped_outliers_timed", _TIMED_CTX + "\nSELECT * FROM outl")
 def grouped_outliers_timed(spark, sf_dir):
     timed = T.timed_sales(spark, sf_dir)
     return round_doubles(analyze(timed).outliers)
 
 
-@query("M14_quality_summary", _DAILY_CTX + """,
+@query("M14_F15_F16_quality_summary", _DAILY_CTX + """,
 obs AS (SELECT DISTINCT business_id, date FROM daily),
 span AS (SELECT business_id, MIN(date) AS lo, MAX(date) AS hi FROM obs GROUP BY business_id),
 cal AS (SELECT business_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM span),

@@ -88,7 +88,8 @@ def period_comparison(spark, sf_dir):
 SELECT * FROM (
   SELECT business_id, item_name, CAST(SUM(predicted_quantity) AS BIGINT) AS predicted,
          CAST(SUM(actual_quantity) AS BIGINT) AS actual,
-         row_number() OVER (PARTITION BY business_id ORDER BY SUM(actual_quantity) DESC, item_name) AS rank
+         CAST(row_number() OVER (PARTITION BY business_id ORDER BY SUM(actual_quantity) DESC, item_name)
+              AS INTEGER) AS rank
   FROM sc GROUP BY business_id, item_name) WHERE rank <= 10""")
 def top_items(spark, sf_dir):
     return R.top_items(_scored(spark, sf_dir))
@@ -171,7 +172,8 @@ def daily_totals(spark, sf_dir):
 
 
 @query("A27_series_points", T.with_ctes(T.SALES_SQL, T.daily_sales_sql()) + """
-SELECT business_id, item_name, row_number() OVER (PARTITION BY business_id, item_name ORDER BY date) AS pos,
+SELECT business_id, item_name,
+       CAST(row_number() OVER (PARTITION BY business_id, item_name ORDER BY date) AS INTEGER) AS pos,
        date, quantity FROM daily""")
 def series_points(spark, sf_dir):
     return R.series_points(S.daily_item_sales(T.sales(spark, sf_dir)))
@@ -179,7 +181,7 @@ def series_points(spark, sf_dir):
 
 @query("A29_value_counts", T.with_ctes(T.SALES_SQL) + """
 SELECT * FROM (SELECT business_id, type, COUNT(*) AS count,
-  row_number() OVER (PARTITION BY business_id ORDER BY COUNT(*) DESC, type) AS rank
+  CAST(row_number() OVER (PARTITION BY business_id ORDER BY COUNT(*) DESC, type) AS INTEGER) AS rank
   FROM sales GROUP BY business_id, type) WHERE rank <= 10""")
 def value_counts(spark, sf_dir):
     return R.value_counts(T.sales(spark, sf_dir), "type")
@@ -229,7 +231,7 @@ def distinct_orders(spark, sf_dir):
 
 
 @query("W13_last_messages", """
-SELECT conv_id, turn, role, text, 11 - rn AS _pos FROM (
+SELECT conv_id, turn, role, text, CAST(11 - rn AS INTEGER) AS _pos FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
 WHERE rn <= 10""")
 def last_messages(spark, sf_dir):
@@ -238,7 +240,7 @@ def last_messages(spark, sf_dir):
 
 @query("T05_first_items", T.with_ctes(T.SALES_SQL) + """
 SELECT * FROM (SELECT business_id, item_name,
-  row_number() OVER (PARTITION BY business_id ORDER BY item_name) AS rank
+  CAST(row_number() OVER (PARTITION BY business_id ORDER BY item_name) AS INTEGER) AS rank
   FROM (SELECT DISTINCT business_id, item_name FROM sales WHERE item_name IS NOT NULL)) WHERE rank <= 20""")
 def first_items(spark, sf_dir):
     items = S.distinct_items(T.sales(spark, sf_dir))
@@ -248,7 +250,7 @@ def first_items(spark, sf_dir):
 @query("T05_upcoming_holidays", T.with_ctes(T.SALES_SQL, C.YEARS_SQL, C.HOLIDAYS_SQL) + """,
 mx AS (SELECT business_id, MAX(date) AS as_of FROM sales GROUP BY business_id)
 SELECT * FROM (SELECT mx.business_id, h.date, h.name,
-  row_number() OVER (PARTITION BY mx.business_id ORDER BY h.date, h.name) AS rank
+  CAST(row_number() OVER (PARTITION BY mx.business_id ORDER BY h.date, h.name) AS INTEGER) AS rank
   FROM mx JOIN holidays h ON h.date >= mx.as_of AND h.date <= mx.as_of + INTERVAL 30 DAY) WHERE rank <= 5""")
 def upcoming_holidays(spark, sf_dir):
     sales = T.sales(spark, sf_dir)

@@ -72,7 +72,7 @@ def avg_daily_quantity(spark, sf_dir):
     return round_doubles(S.avg_daily_quantity(S.daily_item_sales(T.sales(spark, sf_dir))))
 
 
-@query("J20_missing_dates", T.with_ctes(T.SALES_SQL) + """,
+@query("J20_T07_missing_dates", T.with_ctes(T.SALES_SQL) + """,
 obs AS (SELECT DISTINCT business_id, date FROM sales WHERE date IS NOT NULL),
 span AS (SELECT business_id, MIN(date) AS lo, MAX(date) AS hi FROM obs GROUP BY business_id),
 cal AS (SELECT business_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM span)

@@ -52,6 +52,27 @@ def canon(columns, rows):
     return [columns[i] for i in order], out
 
 
+SPARK_FAMILY = {"int": "int32", "smallint": "int16", "tinyint": "int8", "bigint": "int64", "double": "float64",
+                "float": "float32", "string": "string", "date": "date", "timestamp": "timestamp",
+                "timestamp_ntz": "timestamp", "boolean": "bool"}
+DUCK_FAMILY = {"INTEGER": "int32", "SMALLINT": "int16", "TINYINT": "int8", "BIGINT": "int64", "DOUBLE": "float64",
+               "FLOAT": "float32", "VARCHAR": "string", "DATE": "date", "TIMESTAMP": "timestamp",
+               "BOOLEAN": "bool", "HUGEINT": "int128"}
+
+
+def type_diffs(sdf, rel):
+    """Columns whose Spark and DuckDB types fall in different families."""
+    st = {n: SPARK_FAMILY.get(t, t) for n, t in sdf.dtypes}
+    out = []
+    for name, dtype in zip([d[0] for d in rel.description], [str(d[1]) for d in rel.description]):
+        fam = DUCK_FAMILY.get(dtype.upper(), dtype)
+        if fam.startswith("DECIMAL"):
+            fam = "decimal"
+        if name in st and st[name] != fam:
+            out.append(f"{name}: spark={st[name]} duck={fam}")
+    return out
+
+
 def duck_connect(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -94,6 +115,9 @@ def main():
             print(f"ERROR-DUCK {name}\n{traceback.format_exc()[-2500:]}")
             bad += 1
             continue
+        tdiff = type_diffs(sdf, rel)
+        if tdiff:
+            print(f"TYPES {name}: {tdiff}")
         c1, r1 = canon(scols, srows)
         c2, r2 = canon(dcols, drows)
         if c1 != c2:
