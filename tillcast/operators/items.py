@@ -224,10 +224,11 @@ def money(cents_sum: Column, n: Column, qty: Column | None = None) -> Column:
     return F.bround(num / n, 0) / 100
 
 
-def size_profile(sales: DataFrame, value: str | None = "quantity") -> DataFrame:
+def size_profile(sales: DataFrame, value: str | None = "quantity", stats: DataFrame | None = None) -> DataFrame:
     """Per (item, size): quantity share (A-09) and the price as integer cents
-    sum + count (A-10), one row per size."""
-    st = item_size_stats(sales, value)
+    sum + count (A-10), one row per size. ``stats``: a precomputed
+    ``item_size_stats`` (e.g. materialised once for several profiles)."""
+    st = stats if stats is not None else item_size_stats(sales, value)
     w = Window.partitionBy("business_id", "item_name")  # one row per size of the item
     return (st.withColumn("_total", F.sum("qty").over(w))
             .where(F.col("size").isNotNull() & (F.col("_total") > 0))
@@ -235,11 +236,11 @@ def size_profile(sales: DataFrame, value: str | None = "quantity") -> DataFrame:
                     "price_cents", "price_n"))
 
 
-def item_profile(sales: DataFrame) -> DataFrame:
+def item_profile(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Per item: category (A-06), sizes (A-07), primary size (A-08), number of
     size shares and the item price as integer cents sum + count (A-11), all
     from the one (item, size) aggregate."""
-    st = item_size_stats(sales)
+    st = stats if stats is not None else item_size_stats(sales)
     w = Window.partitionBy("business_id", "item_name")
     st = st.withColumn("_total", F.sum("qty").over(w))
     sized = F.col("size").isNotNull()

@@ -189,8 +189,9 @@ SELECT business_id, date, item_name, weather_missing, ROUND(temp_max, 6) AS temp
        ROUND(temp_min, 6) AS temp_min, ROUND(precipitation, 6) AS precipitation,
        ROUND(weather_code, 6) AS weather_code FROM filled""")
 def weather_fill(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return round_doubles(J.fill_weather(J.weather_join(_daily(sales), cal.weather)))
+    daily = T.daily_series(spark, sf_dir).select("business_id", "date", "item_name")
+    cal = FE.Calendars.for_data(daily)
+    return round_doubles(J.fill_weather(J.weather_join(daily, cal.weather)))
 
 
 def _flag_sql(cal_table: str, name: str, extra: str = "") -> str:

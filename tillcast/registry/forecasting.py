@@ -90,8 +90,9 @@ SELECT m.business_id, ROUND(AVG(abs(p.actual_quantity - p.predicted_quantity)),
   COUNT(*) AS rows
 FROM predictions p JOIN models m USING (model_id) GROUP BY m.business_id""")
 def safe_mape(spark, sf_dir):
+    daily = T.daily_series(spark, sf_dir)
     from ..util import round_doubles
-    p = R.scored(T.predictions(spark, sf_dir), T.models(spark, sf_dir))
+    p = R.scored(T.predictions(spark, sf_dir, daily), T.models(spark, sf_dir, daily))
     return round_doubles(p.groupBy("business_id").agg(
         F.avg(F.abs(F.col("actual_quantity") - F.col("predicted_quantity"))).alias("mae"),
         F.coalesce(F.avg(F.when(F.col("actual_quantity") != 0, F.abs(
@@ -103,7 +104,8 @@ def safe_mape(spark, sf_dir):
 @query("F18_round_prediction", T.with_ctes(*T.PRED_CTES) + """
 SELECT model_id, prediction_date, item_name, predicted_quantity FROM predictions""")
 def round_prediction(spark, sf_dir):
-    return T.predictions(spark, sf_dir).drop("actual_quantity")
+    daily = T.daily_series(spark, sf_dir)
+    return T.predictions(spark, sf_dir, daily).drop("actual_quantity")
 
 
 @query("M02_feature_vector")

@@ -103,10 +103,11 @@ def safe_parse_date(spark, sf_dir):
 SELECT model_id, prediction_date, item_name, predicted_quantity, actual_quantity FROM predictions""")
 def write_predictions(spark, sf_dir):
     """Predictions persisted as a Parquet table partitioned by model, read back."""
+    daily = T.daily_series(spark, sf_dir)
     from ..operators.merges import write_table
 
     path = scratch_path(spark, "predictions-table")
-    write_table(T.predictions(spark, sf_dir), path, ["model_id"])
+    write_table(T.predictions(spark, sf_dir, daily), path, ["model_id"])
     back = spark.read.parquet(path)
     return back.select(F.col("model_id").cast("long").alias("model_id"), "prediction_date", "item_name",
                        "predicted_quantity", "actual_quantity")

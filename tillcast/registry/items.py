@@ -12,6 +12,7 @@ from ..operators import series as S
 from ..plans import features as FE
 from ..plans import forecast as FC
 from ..sources import tables as T
+from ..session import cut_lineage
 from ..util import round_doubles
 from . import query
 
@@ -260,8 +261,8 @@ LEFT JOIN cat c USING (business_id, item_name) LEFT JOIN psz z USING (business_i
 WHERE COALESCE(n.n, 0) <= 1""")
 def expand_by_size(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
-    daily = S.daily_item_sales(sales)
-    fc = FC.naive_forecast(daily, days=7)
-    out = I.expand_by_size(fc, I.item_profile(sales), I.size_profile(sales))
+    fc = FC.naive_forecast(T.daily_series(spark, sf_dir), days=7)
+    stats = cut_lineage(I.item_size_stats(sales))   # one (item, size) aggregate, read by both profiles
+    out = I.expand_by_size(fc, I.item_profile(sales, stats), I.size_profile(sales, stats=stats))
     return round_doubles(out.select("business_id", "prediction_date", "item_name", "predicted_quantity", "size",
                                     "unit_price", "predicted_revenue", "category", "size_proportion"))

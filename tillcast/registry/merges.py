@@ -17,10 +17,9 @@ from . import query
 _P = T.with_ctes(*T.PRED_CTES)
 
 
-def _new_forecasts(spark, sf_dir):
+def _new_forecasts(spark, sf_dir, daily):
     """A second forecast to merge: rolling-7 naive forecast over the last 60
     days of each business plus the 8-day grid ahead (item average)."""
-    daily = S.daily_item_sales(T.sales(spark, sf_dir))
     recent = S.history_cutoff(S.lag_features(daily), 60)
     hist = recent.select(T.model_id_of().alias("model_id"), F.col("date").alias("prediction_date"),
                          "item_name", round_prediction("rolling_7_avg").alias("predicted_quantity"))
@@ -53,15 +52,17 @@ SELECT COALESCE(p.model_id, n.model_id) AS model_id, COALESCE(p.prediction_date,
 FROM predictions p FULL OUTER JOIN new n
   ON p.model_id = n.model_id AND p.prediction_date = n.prediction_date AND p.item_name = n.item_name""")
 def upsert_predictions(spark, sf_dir):
-    return M.upsert_predictions(T.predictions(spark, sf_dir), _new_forecasts(spark, sf_dir))
+    daily = T.daily_series(spark, sf_dir)
+    return M.upsert_predictions(T.predictions(spark, sf_dir, daily), _new_forecasts(spark, sf_dir, daily))
 
 
 def _compare(spark, sf_dir):
     """Predictions without actuals, compared with the last 30 days of sales."""
+    daily = T.daily_series(spark, sf_dir)
     sales = T.sales(spark, sf_dir)
-    preds = T.predictions(spark, sf_dir).withColumn("actual_quantity", F.lit(None).cast("int"))
+    preds = T.predictions(spark, sf_dir, daily).withColumn("actual_quantity", F.lit(None).cast("int"))
     recent = S.history_cutoff(sales, 30)
-    return M.auto_compare(preds, T.models(spark, sf_dir), M.actual_sales(recent))
+    return M.auto_compare(preds, T.models(spark, sf_dir, daily), M.actual_sales(recent))
 
 
 _CMP_SQL = """,
@@ -95,12 +96,11 @@ def matched_count(spark, sf_dir):
 def _save(spark, sf_dir):
     """Stored: predictions of the last 60 days without actuals; entered: the
     actual daily sales of the last 90 days (older entries create rows)."""
-    sales = T.sales(spark, sf_dir)
-    models = T.models(spark, sf_dir)
-    daily = S.daily_item_sales(sales)
+    daily = T.daily_series(spark, sf_dir)
+    models = T.models(spark, sf_dir, daily)
     recent = S.history_cutoff(daily, 60).select("business_id", "date", "item_name")
     act = M.active_model(models)
-    stored = (T.predictions(spark, sf_dir).join(act, "model_id", "left_semi")
+    stored = (T.predictions(spark, sf_dir, daily).join(act, "model_id", "left_semi")
               .join(recent.select(F.col("date").alias("prediction_date"), "item_name",
                                   T.model_id_of().alias("model_id")),
                     ["model_id", "prediction_date", "item_name"], "left_semi")
@@ -153,8 +153,9 @@ SELECT p.model_id, p.prediction_date, p.item_name, p.predicted_quantity, p.actua
        m.is_active
 FROM predictions p JOIN models m ON p.model_id = m.model_id""")
 def predictions_models(spark, sf_dir):
-    return T.predictions(spark, sf_dir).join(
-        T.models(spark, sf_dir).select("model_id", "business_id", "is_active"), "model_id")
+    daily = T.daily_series(spark, sf_dir)
+    return T.predictions(spark, sf_dir, daily).join(
+        T.models(spark, sf_dir, daily).select("model_id", "business_id", "is_active"), "model_id")
 
 
 @query("A28_keep_latest", """
@@ -173,7 +174,8 @@ tgt AS (SELECT business_id, arg_min(model_id, (created_at, model_id)) AS t FROM
 SELECT m.model_id, m.business_id, m.created_at, m.training_rows, m.model_id = tgt.t AS is_active
 FROM models m JOIN tgt USING (business_id)""")
 def activate_model(spark, sf_dir):
-    models = T.models(spark, sf_dir)
+    daily = T.daily_series(spark, sf_dir)
+    models = T.models(spark, sf_dir, daily)
     oldest = models.groupBy("business_id").agg(
         F.min_by("model_id", F.struct("created_at", "model_id")).alias("model_id")).select("model_id")
     return M.activate_model(models, oldest)
@@ -183,8 +185,9 @@ def activate_model(spark, sf_dir):
 old AS (SELECT business_id, arg_min(model_id, (created_at, model_id)) AS t FROM models GROUP BY business_id)
 SELECT p.* FROM predictions p WHERE p.model_id NOT IN (SELECT t FROM old)""")
 def delete_model(spark, sf_dir):
-    models = T.models(spark, sf_dir)
-    preds = T.predictions(spark, sf_dir)
+    daily = T.daily_series(spark, sf_dir)
+    models = T.models(spark, sf_dir, daily)
+    preds = T.predictions(spark, sf_dir, daily)
     oldest = models.groupBy("business_id").agg(
         F.min_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
     # cascade for every business's oldest model: an anti join on the ids
@@ -195,7 +198,8 @@ def delete_model(spark, sf_dir):
 SELECT model_id, business_id, created_at, training_rows, is_active FROM models
 ORDER BY created_at DESC, model_id DESC""")
 def models_newest_first(spark, sf_dir):
-    return M.models_newest_first(T.models(spark, sf_dir))
+    daily = T.daily_series(spark, sf_dir)
+    return M.models_newest_first(T.models(spark, sf_dir, daily))
 
 
 @query("T02_newest_orders", """
@@ -212,5 +216,6 @@ SELECT p.model_id, p.prediction_date, p.item_name, p.predicted_quantity, p.actua
 FROM predictions p JOIN act USING (model_id) JOIN models m USING (model_id)
 WHERE p.prediction_date >= CAST(m.created_at AS DATE) - INTERVAL 14 DAY""")
 def upcoming_active_forecasts(spark, sf_dir):
-    return M.upcoming_active_forecasts(T.predictions(spark, sf_dir), T.models(spark, sf_dir),
+    daily = T.daily_series(spark, sf_dir)
+    return M.upcoming_active_forecasts(T.predictions(spark, sf_dir, daily), T.models(spark, sf_dir, daily),
                                        F.date_sub(F.col("created_at").cast("date"), 14))

@@ -27,7 +27,8 @@ sc30 AS (SELECT sc.* FROM sc JOIN asofd USING (business_id) WHERE prediction_dat
 
 
 def _scored(spark, sf_dir, since=None):
-    return R.scored(T.predictions(spark, sf_dir), T.models(spark, sf_dir), since)
+    daily = T.daily_series(spark, sf_dir)   # one scan of the line items, shared below
+    return R.scored(T.predictions(spark, sf_dir, daily), T.models(spark, sf_dir, daily), since)
 
 
 @query("A16_forecast_accuracy", _P + """
@@ -136,7 +137,7 @@ fc AS (
 
 
 def _forecast(spark, sf_dir):
-    return FC.naive_forecast(S.daily_item_sales(T.sales(spark, sf_dir)), 7)
+    return FC.naive_forecast(T.daily_series(spark, sf_dir), 7)
 
 
 @query("A24_A26_forecast_summary", _FC + """,

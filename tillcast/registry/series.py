@@ -35,8 +35,11 @@ FROM w LEFT JOIN m ON w.business_id = m.business_id
 
 @query("W01_W06_lag_features", _LAG_SQL)
 def lag_features(spark, sf_dir):
-    """Flagship: sales view -> daily item sales -> row lags + trailing stats."""
-    daily = S.daily_item_sales(T.sales(spark, sf_dir))
+    """Flagship: sales view -> daily item sales -> row lags + trailing stats.
+
+    The series is materialised once: the window branch and the per-business
+    mean branch both read it (no second scan of the line items)."""
+    daily = T.daily_series(spark, sf_dir)
     return round_doubles(S.lag_features(daily))
 
 

@@ -52,8 +52,9 @@ def stream_daily_item_sales(spark, sf_dir):
 
 
 def _auto_compare_run(spark, sf_dir):
+    daily = T.daily_series(spark, sf_dir)
     sales = T.sales(spark, sf_dir)
-    preds0 = T.predictions(spark, sf_dir).withColumn("actual_quantity", F.lit(None).cast("int"))
+    preds0 = T.predictions(spark, sf_dir, daily).withColumn("actual_quantity", F.lit(None).cast("int"))
     table = scratch_path(spark, "predictions")
     X.write_version(preds0, table, 0)
     landing = scratch_path(spark, "landing-sales")
@@ -61,7 +62,7 @@ def _auto_compare_run(spark, sf_dir):
     recent.write.parquet(landing)
     stream = X.order_feed(spark, landing, recent.schema)
     log = scratch_path(spark, "sync-log")
-    X.auto_compare_stream(stream, T.models(spark, sf_dir), table, log, scratch_path(spark, "ckpt-compare"))
+    X.auto_compare_stream(stream, T.models(spark, sf_dir, daily), table, log, scratch_path(spark, "ckpt-compare"))
     return table, log
 
 

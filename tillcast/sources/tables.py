@@ -159,28 +159,39 @@ def model_id_of(business: str = "business_id", date: str = "date"):
     return (F.col(business) * 10000 + F.year(date)).cast("long")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_series(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """A-01 over the sales view. With ``materialize`` the compact series is
+    written once to the shared checkpoint folder, so queries that branch off
+    it (lags + means, forecasts, models, calendars) read it instead of
+    re-scanning and re-aggregating the line items in every branch."""
+    from ..operators.series import daily_item_sales
+    from ..session import cut_lineage
+
+    daily = daily_item_sales(sales(spark, sf_dir))
+    return cut_lineage(daily) if materialize else daily
+
+
+def predictions(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """PREDICTIONS table stand-in: a naive lag-7 forecast (W-02, rounded and
     floored as F-18) next to the actual daily quantity. Each prediction belongs
     to the model of its business and year."""
     from ..functions.scalars import round_prediction
-    from ..operators.series import daily_item_sales, lag_features
+    from ..operators.series import lag_features
 
-    lags = lag_features(daily_item_sales(sales(spark, sf_dir)))
+    daily = daily if daily is not None else daily_series(spark, sf_dir)
+    lags = lag_features(daily)
     return lags.select(
         model_id_of().alias("model_id"), F.col("date").alias("prediction_date"), "item_name",
         round_prediction("lag_7").alias("predicted_quantity"),
         F.col("quantity").cast("int").alias("actual_quantity"))
 
 
-def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+def models(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """MODELS registry stand-in: one model per (business, year) of data, created
     at the year's last sales date; the newest model of a business is active."""
     from pyspark.sql import Window
 
-    from ..operators.series import daily_item_sales
-
-    daily = daily_item_sales(sales(spark, sf_dir)).withColumn("year", F.year("date"))
+    daily = (daily if daily is not None else daily_series(spark, sf_dir)).withColumn("year", F.year("date"))
     per_year = daily.groupBy("business_id", "year").agg(
         F.max("date").cast("timestamp_ntz").alias("created_at"), F.count(F.lit(1)).alias("training_rows"))
     w = Window.partitionBy("business_id")  # one row per model of the business
