@@ -263,3 +263,30 @@ def test_business_type_line_measures_football(spark):
     assert rows[0].ok is True and rows[1].ok is False
     assert (rows[0].line_revenue, rows[0].line_cost, rows[0].gross_margin) == (37.5, 21.75, 15.75)
     assert rows[0].label == "Football" and rows[1].label == "Holiday"
+
+
+def test_stream_window_drops_and_counts_late_rows(spark):
+    import datetime as dtm
+
+    from tillcast.session import scratch_path
+    from tillcast.streaming import orders as X
+
+    schema = "ts timestamp_ntz, item string, v double"
+    landing = scratch_path(spark, "late-landing")
+    t0 = dtm.datetime(2024, 1, 1, 12)
+    first = [(t0 + dtm.timedelta(days=k), "a", 1.0) for k in range(6)]
+    spark.createDataFrame(first, schema).write.parquet(landing + "/b1")
+    stream = X.order_feed(spark, landing + "/*", spark.createDataFrame([], schema).schema,
+                          max_files_per_trigger=1)
+    agg = X.daily_item_stream(stream, "ts", "item", "v", "1 day")
+    sink, ck = scratch_path(spark, "late-sink"), scratch_path(spark, "late-ckpt")
+    X.run_available_now(agg, sink, ck)
+    # a second run sees one on-time row and one row far behind the watermark
+    late = [(t0 + dtm.timedelta(days=6), "a", 1.0), (t0 - dtm.timedelta(days=10), "a", 5.0)]
+    spark.createDataFrame(late, schema).write.parquet(landing + "/b2")
+    q = X.run_available_now(agg, sink, ck)
+    out = spark.read.parquet(sink)
+    assert out.where(F.col("date") == F.lit("2023-12-22").cast("date")).count() == 0
+    assert X.late_rows(q) >= 1
+    # closed windows are emitted exactly once
+    assert out.groupBy("date").count().where("count > 1").count() == 0
