@@ -161,15 +161,21 @@ def similar_items(names: DataFrame, known: DataFrame) -> DataFrame:
     """
     nm = names.select("business_id", "name", F.lower("name").alias("_lname")).where(F.length("_lname") > 0)
     kn = known.select("business_id", "item_name", "category", F.lower("item_name").alias("_lknown"))
-    # name inside known: explode known's substrings
-    k_subs = kn.select("*", F.explode(F.array_distinct(_substrings(F.col("_lknown")))).alias("_sub"))
-    a = nm.join(k_subs, (nm.business_id == k_subs.business_id) & (nm._lname == k_subs._sub)).select(
-        nm.business_id, "name", "_lname", "item_name", "category", "_lknown")
-    # known inside name: explode the name's substrings
-    n_subs = nm.select("*", F.explode(F.array_distinct(_substrings(F.col("_lname")))).alias("_sub"))
-    b = n_subs.join(kn, (n_subs.business_id == kn.business_id) & (n_subs._sub == kn._lknown)).select(
-        n_subs.business_id, "name", "_lname", "item_name", "category", "_lknown")
-    cand = a.unionByName(b).distinct()
+
+    def keys(subs_of: str, whole: str, subs_dir: str, whole_dir: str):
+        subs = F.transform(F.array_distinct(_substrings(F.col(subs_of))),
+                           lambda x: F.struct(x.alias("k"), F.lit(subs_dir).alias("d")))
+        one = F.array(F.struct(F.col(whole).alias("k"), F.lit(whole_dir).alias("d")))
+        return F.explode(F.concat(subs, one) if subs_dir == "a" else F.concat(one, subs)).alias("_key")
+
+    # direction a: lower(name) is a substring of the known name;
+    # direction b: lower(known) is a substring of the name. Each side emits the
+    # keys of both directions in one pass, then one equi-join matches them.
+    k_keys = kn.select("*", keys("_lknown", "_lknown", "a", "b")).select(
+        "business_id", "item_name", "category", "_lknown", F.col("_key.k").alias("_k"), F.col("_key.d").alias("_d"))
+    n_keys = nm.select("*", keys("_lname", "_lname", "b", "a")).select(
+        "business_id", "name", "_lname", F.col("_key.k").alias("_k"), F.col("_key.d").alias("_d"))
+    cand = n_keys.join(k_keys, ["business_id", "_k", "_d"])
     rank = F.struct(F.abs(F.length("_lknown") - F.length("_lname")).alias("d"),
                     F.col("category").alias("c"), F.col("item_name").alias("i"))
     return (cand.groupBy("business_id", "name")
