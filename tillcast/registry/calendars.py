@@ -15,7 +15,6 @@ from ..operators import series as S
 from ..plans import features as FE
 from ..sources import calendars as C
 from ..sources import tables as T
-from ..session import cut_lineage
 from ..util import round_doubles
 from . import query
 
@@ -23,12 +22,14 @@ _CAL = T.with_ctes(T.SALES_SQL, T.daily_sales_sql(), *C.ALL_CALENDARS_SQL)
 
 
 def _cal(spark, sf_dir):
-    sales = T.sales(spark, sf_dir)
-    return sales, FE.Calendars.for_data(sales)
+    """(daily series, calendars): the series is materialised once and both the
+    span (for the calendars) and the join input read it."""
+    daily = T.daily_series(spark, sf_dir)
+    return daily, FE.Calendars.for_data(daily)
 
 
-def _daily(sales):
-    return S.daily_item_sales(sales).select("business_id", "date", "item_name")
+def _daily(daily):
+    return daily.select("business_id", "date", "item_name")
 
 
 # ------------------------------------------------------------ calendars
@@ -160,8 +161,8 @@ wj AS (
 
 @query("J01_weather_join", _CAL.rstrip() + _WJ + "\nSELECT * FROM wj")
 def weather_join(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.weather_join(_daily(sales), cal.weather)
+    daily, cal = _cal(spark, sf_dir)
+    return J.weather_join(_daily(daily), cal.weather)
 
 
 _FILL = _WJ + """,
@@ -203,8 +204,8 @@ FROM daily d"""
 
 @query("J02_holiday_flag", _flag_sql("holidays", "is_holiday"))
 def holiday_flag(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.date_flag(_daily(sales), cal.holidays, "is_holiday")
+    daily, cal = _cal(spark, sf_dir)
+    return J.date_flag(_daily(daily), cal.holidays, "is_holiday")
 
 
 @query("J03_holiday_name", _CAL + """
@@ -212,22 +213,22 @@ SELECT d.business_id, d.date, d.item_name, h.name IS NOT NULL AS is_holiday, h.n
 FROM daily d LEFT JOIN (SELECT date, arg_max(name, seq) AS name FROM holidays GROUP BY date) h
   ON d.date = h.date""")
 def holiday_name(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.date_flag_named(_daily(sales), cal.holidays, "is_holiday", "holiday_name")
+    daily, cal = _cal(spark, sf_dir)
+    return J.date_flag_named(_daily(daily), cal.holidays, "is_holiday", "holiday_name")
 
 
 @query("J04_sports_flag", _flag_sql("games", "has_sports"))
 def sports_flag(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.date_flag(_daily(sales), cal.games, "has_sports")
+    daily, cal = _cal(spark, sf_dir)
+    return J.date_flag(_daily(daily), cal.games, "has_sports")
 
 
 @query("J05_sports_event", _CAL + """
 SELECT d.business_id, d.date, d.item_name, g.name IS NOT NULL AS has_sports, g.name AS sports_event
 FROM daily d LEFT JOIN (SELECT date, max(name) AS name FROM games GROUP BY date) g ON d.date = g.date""")
 def sports_event(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.date_flag_named(_daily(sales), cal.games, "has_sports", "sports_event", order_col=None)
+    daily, cal = _cal(spark, sf_dir)
+    return J.date_flag_named(_daily(daily), cal.games, "has_sports", "sports_event", order_col=None)
 
 
 @query("J06_payday_flag", _CAL + """
@@ -236,8 +237,8 @@ SELECT d.business_id, d.date, d.item_name,
   EXISTS (SELECT 1 FROM paydays c WHERE c.date = d.date) AS is_payday_bool
 FROM daily d""")
 def payday_flag(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    df = J.date_flag(_daily(sales), cal.paydays, "is_payday")
+    daily, cal = _cal(spark, sf_dir)
+    df = J.date_flag(_daily(daily), cal.paydays, "is_payday")
     return df.withColumn("is_payday_bool", F.col("is_payday") == 1)
 
 
@@ -256,20 +257,20 @@ FROM daily d"""
 
 @query("J07_F12_days_to_holiday", _asof_sql("holidays", "days_to_holiday", 30, True))
 def days_to_holiday(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.days_to_next(_daily(sales), cal.holidays, "days_to_holiday", 30)
+    daily, cal = _cal(spark, sf_dir)
+    return J.days_to_next(_daily(daily), cal.holidays, "days_to_holiday", 30)
 
 
 @query("J08_days_from_holiday", _asof_sql("holidays", "days_from_holiday", 30, False))
 def days_from_holiday(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.days_since_last(_daily(sales), cal.holidays, "days_from_holiday", 30)
+    daily, cal = _cal(spark, sf_dir)
+    return J.days_since_last(_daily(daily), cal.holidays, "days_from_holiday", 30)
 
 
 @query("J09_days_to_payday", _asof_sql("paydays", "days_to_payday", 15, True))
 def days_to_payday(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.days_to_next(_daily(sales), cal.paydays, "days_to_payday", 15)
+    daily, cal = _cal(spark, sf_dir)
+    return J.days_to_next(_daily(daily), cal.paydays, "days_to_payday", 15)
 
 
 @query("J10_school_break", _CAL + """
@@ -278,8 +279,8 @@ SELECT d.business_id, d.date, d.item_name,
                AND d.date BETWEEN s.start_date AND s.end_date) AS INTEGER) AS is_school_break
 FROM daily d""")
 def school_break(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.school_break_flag(_daily(sales), cal.school)
+    daily, cal = _cal(spark, sf_dir)
+    return J.school_break_flag(_daily(daily), cal.school)
 
 
 @query("J11_in_session", _CAL + """
@@ -288,8 +289,8 @@ SELECT DISTINCT d.date,
               AND d.date BETWEEN s.start_date AND s.end_date) AS in_session
 FROM sales d""")
 def in_session(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.in_session(sales.select("date").distinct(), cal.school)
+    daily, cal = _cal(spark, sf_dir)
+    return J.in_session(daily.select("date").distinct(), cal.school)
 
 
 @query("J12_interval_overlap", _CAL + """,
@@ -299,8 +300,8 @@ SELECT m.window_start, CAST(last_day(m.window_start) AS DATE) AS window_end,
 FROM months m JOIN school s
   ON s.start_date <= last_day(m.window_start) AND s.end_date >= m.window_start""")
 def interval_overlap(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    return J.overlapping(cal.school, J.month_windows(sales))
+    daily, cal = _cal(spark, sf_dir)
+    return J.overlapping(cal.school, J.month_windows(daily))
 
 
 @query("J25_events_for_window", _CAL + """,
@@ -322,8 +323,8 @@ UNION ALL
 SELECT wd.window_start, 'weather', w.date, w.date, CAST(w.weather_code AS VARCHAR), 'weather'
   FROM weather w JOIN wd ON w.date = wd.date WHERE w.date < wd.window_start + INTERVAL 14 DAY""")
 def events_for_window(spark, sf_dir):
-    sales, cal = _cal(spark, sf_dir)
-    win = sales.agg(F.trunc(F.max("date"), "month").alias("window_start")).select(
+    daily, cal = _cal(spark, sf_dir)
+    win = daily.agg(F.trunc(F.max("date"), "month").alias("window_start")).select(
         "window_start", F.add_months("window_start", 1).alias("window_end"))
     return J.events_for_window(win, cal.holidays, cal.games, cal.paydays, cal.school, cal.weather)
 
@@ -366,6 +367,6 @@ _FEATURE_OUT = [c for c in FE.FEATURE_COLUMNS if not c.startswith(("lag_", "roll
 def build_features(spark, sf_dir):
     # the daily series feeds the span, the day features, the fill statistics
     # and the item codes: materialise it once (reliable checkpoint)
-    daily = cut_lineage(_daily(T.sales(spark, sf_dir)))
+    daily = _daily(T.daily_series(spark, sf_dir))
     feats = FE.build_features(daily, FE.Calendars.for_data(daily))
     return round_doubles(feats.select("business_id", "date", "item_name", *_FEATURE_OUT))
