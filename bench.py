@@ -49,7 +49,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
-    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app_name="tillcast-bench")
+    spark = get_spark(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="tillcast-bench")
     queries, _ = load_all()
     names = sorted(queries) if os.environ.get("BENCH_ALL") else [n for n in HEADLINE if n in queries]
 

@@ -52,12 +52,11 @@ def fill_weather(df: DataFrame, date_col: str = "date") -> DataFrame:
     monthly = base.groupBy("business_id", "_month").agg(
         *[F.avg(c).alias(f"_m_{c}") for c in WEATHER_COLS])
     step1 = base.join(F.broadcast(monthly), ["business_id", "_month"], "left")
-    for c in WEATHER_COLS:
-        step1 = step1.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")))
+    step1 = step1.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in WEATHER_COLS})
     medians = step1.groupBy("business_id").agg(*[F.median(c).alias(f"_q_{c}") for c in WEATHER_COLS])
     step2 = step1.join(F.broadcast(medians), "business_id", "left")
-    for c in WEATHER_COLS:
-        step2 = step2.withColumn(c, F.coalesce(F.col(c), F.col(f"_q_{c}"), F.lit(WEATHER_DEFAULTS[c])))
+    step2 = step2.withColumns({c: F.coalesce(F.col(c), F.col(f"_q_{c}"), F.lit(WEATHER_DEFAULTS[c]))
+                               for c in WEATHER_COLS})
     drop = ["_month"] + [f"_m_{c}" for c in WEATHER_COLS] + [f"_q_{c}" for c in WEATHER_COLS]
     out = step2.drop(*drop)
     return out.drop("business_id") if added else out

@@ -77,9 +77,9 @@ def assembler(names: list[str]) -> VectorAssembler:
 
 def prepare(df: DataFrame, names: list[str]) -> DataFrame:
     """M-02: missing feature columns -> 0 and NULLs -> 0 before assembling."""
-    for n in names:
-        if n not in df.columns:
-            df = df.withColumn(n, F.lit(0.0))
+    missing = {n: F.lit(0.0) for n in names if n not in df.columns}
+    if missing:
+        df = df.withColumns(missing)
     return df.select(*[c for c in df.columns if c not in names],
                      *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
 

@@ -68,7 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and read it
+    back: the lineage is cut, the data is computed exactly once (an RDD
+    checkpoint would run the plan a second time to write it), the copy is
+    columnar (later reads prune columns and push filters) and the optimizer
+    sees its real size. Survives executor loss: the files live in the shared
+    folder named by ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
