@@ -27,7 +27,7 @@ _MODELS: dict = {}
 
 
 def _trained(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (id(spark), sf_dir)
     if key not in _MODELS:
         frame = TR.training_frame(T.sales(spark, sf_dir))
         _MODELS[key] = TR.train(frame, tune=False, params=QUICK, n_folds=2)

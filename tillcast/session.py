@@ -48,19 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
 
     The setting is read from the session. Only when it is unset (tests, a
     laptop) is a private folder created and registered, so that later
-    ``checkpoint()`` calls and side tables land in one place.
+    checkpoints and side tables land in one place.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir.rstrip("/")
-    local = tempfile.mkdtemp(prefix="tillcast-ckpt-")
-    sc.setCheckpointDir(local)
-    return (sc.getCheckpointDir() or local).rstrip("/")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current.rstrip("/")
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+        if conf_dir:
+            sc.setCheckpointDir(conf_dir)
+            return conf_dir.rstrip("/")
+        local = tempfile.mkdtemp(prefix="tillcast-ckpt-")
+        sc.setCheckpointDir(local)
+        return (sc.getCheckpointDir() or local).rstrip("/")
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = tempfile.mkdtemp(prefix="tillcast-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    return conf_dir.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
