@@ -43,7 +43,7 @@ FROM daily d LEFT JOIN cat c ON d.business_id = c.business_id AND d.item_name =
 GROUP BY ALL""")
 def category_average(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
-    return round_doubles(I.category_average(S.daily_item_sales(sales), I.item_category(sales)))
+    return round_doubles(I.category_average(T.daily_series(spark, sf_dir), I.item_category(sales)))
 
 
 @query("A07_item_sizes", _BASE + """
@@ -170,7 +170,7 @@ LEFT JOIN codes sc ON s.business_id = sc.business_id AND s.similar_item = sc.ite
 LEFT JOIN best b ON n.business_id = b.business_id""")
 def item_code_lookup(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
-    daily = S.daily_item_sales(sales)
+    daily = T.daily_series(spark, sf_dir)
     return I.item_code_lookup(_lookup_names(sales), FE.item_codes(daily), I.item_category(sales),
                               S.avg_daily_quantity(daily))
 
@@ -188,7 +188,7 @@ LEFT JOIN cavg ca ON s.business_id = ca.business_id AND s.similar_category = ca.
 LEFT JOIN gavg g ON n.business_id = g.business_id""")
 def fallback_quantity(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
-    daily = S.daily_item_sales(sales)
+    daily = T.daily_series(spark, sf_dir)
     cats = I.item_category(sales)
     return round_doubles(I.fallback_quantity(
         _lookup_names(sales), S.avg_daily_quantity(daily), cats,
