@@ -370,3 +370,29 @@ def build_features(spark, sf_dir):
     daily = _daily(T.daily_series(spark, sf_dir))
     feats = FE.build_features(daily, FE.Calendars.for_data(daily))
     return round_doubles(feats.select("business_id", "date", "item_name", *_FEATURE_OUT))
+
+
+@query("F28_football_event_label", _CAL + """
+SELECT DISTINCT s.date,
+  (isodow(s.date) = 7 AND month(s.date) IN (9, 10, 11, 12, 1)) AS is_football_day,
+  CASE WHEN EXISTS (SELECT 1 FROM holidays h WHERE h.date = s.date) THEN 'Holiday'
+       WHEN isodow(s.date) = 7 AND month(s.date) IN (9, 10, 11, 12, 1) THEN 'Football' ELSE '' END AS event_type
+FROM sales s""")
+def football_event_label(spark, sf_dir):
+    """F-28 on every sales date: football Sunday flag and the event label."""
+    daily, cal = _cal(spark, sf_dir)
+    days = J.date_flag(daily.select("date").distinct(), cal.holidays, "_hol", as_int=False)
+    football = D.football_day("date")
+    return days.select("date", football.alias("is_football_day"),
+                       D.event_label("_hol", football).alias("event_type"))
+
+
+@query("F23_display_name", T.with_ctes(T.TIMED_SALES_SQL) + """
+SELECT DISTINCT item_name AS name,
+  array_to_string(list_transform(string_split(replace(item_name, '_', ' '), ' '),
+                                 lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS display_name
+FROM timed_sales""")
+def display_name(spark, sf_dir):
+    """F-23 applied to the item names of the timed sales (event types)."""
+    names = T.timed_sales(spark, sf_dir).select(F.col("item_name").alias("name")).distinct()
+    return names.select("name", X.display_name("name").alias("display_name"))
