@@ -111,3 +111,26 @@ def write_predictions(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.select(F.col("model_id").cast("long").alias("model_id"), "prediction_date", "item_name",
                        "predicted_quantity", "actual_quantity")
+
+
+@query("F21_null_nonfinite", """
+SELECT l_orderkey, l_linenumber,
+  ROUND(CASE WHEN isnan(x) OR isinf(x) THEN NULL ELSE x END, 6) AS x,
+  (isnan(y) OR isinf(y)) AS y_is_null,
+  CAST((CASE WHEN isnan(x) OR isinf(x) THEN 1 ELSE 0 END) + (CASE WHEN isnan(y) OR isinf(y) THEN 1 ELSE 0 END)
+       AS INTEGER) AS array_nulls
+FROM (SELECT l_orderkey, l_linenumber, sqrt(l_quantity - 25.5) AS x, exp(l_quantity * 20) AS y FROM lineitem)""")
+def null_nonfinite(spark, sf_dir):
+    """F-21 on values derived from every line item: sqrt of (quantity - 25.5)
+    is NaN below 25.5, exp(20 x quantity) overflows to +Inf from 36 on; both
+    become NULL in scalar and in array columns."""
+    from ..util import null_nonfinite as nnf
+
+    li = T.read_table(spark, sf_dir, "lineitem")
+    raw = li.select("l_orderkey", "l_linenumber", F.sqrt(F.col("l_quantity") - 25.5).alias("x"),
+                    F.exp(F.col("l_quantity") * 20).alias("y"))
+    raw = raw.withColumn("arr", F.array("x", "y"))
+    clean = nnf(raw)
+    return clean.select("l_orderkey", "l_linenumber", (F.round("x", 6) + F.lit(0.0)).alias("x"),
+                        F.col("y").isNull().alias("y_is_null"),
+                        F.size(F.filter("arr", lambda v: v.isNull())).alias("array_nulls"))
