@@ -134,3 +134,30 @@ def null_nonfinite(spark, sf_dir):
     return clean.select("l_orderkey", "l_linenumber", (F.round("x", 6) + F.lit(0.0)).alias("x"),
                         F.col("y").isNull().alias("y_is_null"),
                         F.size(F.filter("arr", lambda v: v.isNull())).alias("array_nulls"))
+
+
+@query("F27_line_measures", """
+SELECT l_orderkey, l_linenumber, rev AS line_revenue, cost AS line_cost, round_even(rev - cost, 2) AS gross_margin
+FROM (
+  SELECT l_orderkey, l_linenumber,
+    round_even(up * q, 2) AS rev, round_even(uc * q, 2) AS cost
+  FROM (
+    SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_quantity AS INTEGER) AS q,
+      CAST(round(p.p_retailprice * 100) AS BIGINT) / 100 AS up,
+      round_even(CAST(round(p.p_retailprice * 100) AS BIGINT) * (100 - CAST(round(l.l_discount * 100) AS BIGINT))
+                 / 100, 0) / 100 AS uc
+    FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey))""")
+def line_measures(spark, sf_dir):
+    """F-27 on every line item: unit price = the part's price, unit cost = the
+    discounted price in whole cents; revenue, cost and margin rounded to 2."""
+    from ..functions.scalars import line_measures as lm
+
+    li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                                                        "l_discount")
+    part = T.read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    j = li.join(part, li.l_partkey == part.p_partkey)
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    pct = F.round(F.col("l_discount") * 100).cast("long")
+    unit_cost = F.bround(cents * (100 - pct) / 100, 0) / 100
+    m = lm(cents / 100, unit_cost, F.col("l_quantity").cast("int"))
+    return j.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in m.items()])
