@@ -290,3 +290,28 @@ def test_stream_window_drops_and_counts_late_rows(spark):
     assert X.late_rows(q) >= 1
     # closed windows are emitted exactly once
     assert out.groupBy("date").count().where("count > 1").count() == 0
+
+
+def test_forecast_lags_calendar_lookups_and_fallbacks(spark):
+    from tillcast.plans import forecast as FC
+
+    daily = spark.createDataFrame(
+        [(0, d("2024-03-01"), "a", 4.0), (0, d("2024-03-05"), "a", 8.0), (0, d("2024-01-01"), "b", 10.0)],
+        "business_id long, date date, item_name string, quantity double")
+    grid = spark.createDataFrame(
+        [(0, d("2024-03-06"), "a"), (0, d("2024-03-12"), "a"), (0, d("2024-03-06"), "b")],
+        "business_id long, date date, item_name string")
+    fb = spark.createDataFrame([(0, "b", 3.0)], "business_id long, item_name string, fallback_qty double")
+    got = {(r.item_name, r.date): r for r in FC.forecast_lags(grid, daily, fb).collect()}
+    a6 = got[("a", d("2024-03-06"))]
+    assert a6.lag_1 == 8.0                      # value on d-1
+    assert a6.lag_7 == 8.0                      # nothing on d-7 -> lag_1
+    assert a6.rolling_7_avg == 6.0              # 03-01 and 03-05 inside [d-7, d)
+    assert a6.rolling_7_std == pytest.approx(2 ** 0.5 * 2)
+    a12 = got[("a", d("2024-03-12"))]
+    assert a12.lag_1 == 8.0                     # no d-1: most recent value
+    assert a12.rolling_7_avg == 8.0             # only 03-05 in the window
+    assert a12.rolling_7_std == pytest.approx(1.6)   # one row: 0.2 x mean
+    b6 = got[("b", d("2024-03-06"))]            # b's only sale is older than the 60-day history
+    assert (b6.lag_1, b6.rolling_30_avg) == (3.0, 3.0)
+    assert b6.rolling_7_std == pytest.approx(0.6)
