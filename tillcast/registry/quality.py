@@ -5,6 +5,8 @@ A-22, W-10, F-13..F-16, M-14.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import quality as Q
 from ..operators import series as S
 from ..plans.analysis import analyze
@@ -16,7 +18,11 @@ from ..util import round_doubles
 from . import query
 
 
-def _ctx_sql(source: str, time_block: str) -> str:
+def _ctx_sql(source: str, time_block: str, exact_mean: bool = False) -> str:
+    # exact_mean: amounts with 2 decimals -> the group mean from integer cents,
+    # half-up at 6 decimals (what Spark's decimal avg returns), not a float sum
+    gm = ("CAST((2 * SUM(CAST(round(quantity * 100) AS BIGINT)) OVER grp * 10000 + COUNT(*) OVER grp)"
+          " // (2 * COUNT(*) OVER grp) AS DOUBLE) / 1000000" if exact_mean else "AVG(quantity) OVER grp")
     return f""",
 ctx AS (
   SELECT d.business_id, d.date, d.item_name, d.quantity, dayname(d.date) AS day_of_week,
@@ -32,7 +38,7 @@ ctx AS (
   LEFT JOIN (SELECT date, max(name) AS name FROM games GROUP BY date) g ON d.date = g.date
 ),
 st AS (
-  SELECT *, AVG(quantity) OVER grp AS gm, STDDEV_SAMP(quantity) OVER grp AS gs, COUNT(*) OVER grp AS gn
+  SELECT *, {gm} AS gm, STDDEV_SAMP(quantity) OVER grp AS gs, COUNT(*) OVER grp AS gn
   FROM ctx
   WINDOW grp AS (PARTITION BY business_id, item_name, day_of_week, time_block, weather_type, is_holiday, has_sports)
 ),
@@ -59,7 +65,7 @@ _TB = f"""CASE WHEN {_MIN} >= 360 AND {_MIN} < 660 THEN 'morning'
        WHEN {_MIN} >= 660 AND {_MIN} < 960 THEN 'afternoon'
        WHEN {_MIN} >= 960 AND {_MIN} < 1200 THEN 'evening'
        WHEN {_MIN} >= 1200 AND {_MIN} < 1439 THEN 'night' ELSE 'other' END"""
-_TIMED_CTX = T.with_ctes(T.TIMED_SALES_SQL, *_TIMED_CAL).rstrip() + _ctx_sql("timed_sales", _TB)
+_TIMED_CTX = T.with_ctes(T.TIMED_SALES_SQL, *_TIMED_CAL).rstrip() + _ctx_sql("timed_sales", _TB, exact_mean=True)
 
 
 def _daily_ctx(spark, sf_dir):
@@ -84,8 +90,12 @@ def grouped_outliers(spark, sf_dir):
 
 @query("W10_F06_grouped_outliers_timed", _TIMED_CTX + "\nSELECT * FROM outl")
 def grouped_outliers_timed(spark, sf_dir):
-    timed = T.timed_sales(spark, sf_dir)
-    return round_doubles(analyze(timed).outliers)
+    """Event values are 2-decimal amounts: read them as DECIMAL(18,2) so group
+    means are exact (decimal avg) instead of depending on float summation order."""
+    timed = T.timed_sales(spark, sf_dir).withColumn("quantity", F.col("quantity").cast("decimal(18,2)"))
+    out = analyze(timed).outliers
+    return round_doubles(out.withColumn("group_mean", F.col("group_mean").cast("double"))
+                         .withColumn("group_std", F.col("group_std").cast("double")))
 
 
 @query("M14_F15_F16_quality_summary", _DAILY_CTX + """,

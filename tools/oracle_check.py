@@ -30,7 +30,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        r = round(v, 5)
+        r = v if os.environ.get("EXACT_FLOATS") else round(v, 5)
         return 0.0 if r == 0 else r
     if isinstance(v, decimal.Decimal):
         return norm(float(v))
