@@ -22,7 +22,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ape, round_prediction
@@ -303,3 +303,48 @@ def features_as_array(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["FEATURE_COLUMNS", "train", "forecast", "random_search", "chronological_split", "fold_bounds"]
+
+
+# ---------------------------------------------------------------- positional (Q5)
+
+def positions(df: DataFrame, order: tuple[str, str] = ("item_name", "date")) -> DataFrame:
+    """1-based row position per business in (item, date) order, the reference's
+    item-major order (Q5), without a single-task global window: the position is
+    the number of rows of earlier items (a running sum over the per-item count
+    table, one row per item) plus the row number inside the item (a window over
+    that item's days). Also adds the business row count ``_n``."""
+    d, _ = with_business(df)
+    item, date = order
+    counts = d.groupBy("business_id", item).agg(F.count(F.lit(1)).alias("_cnt"))
+    w_items = Window.partitionBy("business_id").orderBy(item)
+    offsets = counts.select(
+        "business_id", item,
+        (F.sum("_cnt").over(w_items.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
+        F.sum("_cnt").over(Window.partitionBy("business_id")).alias("_n"))
+    w_rows = Window.partitionBy("business_id", item).orderBy(date)
+    return (d.join(offsets, ["business_id", item])
+            .withColumn("_pos", F.coalesce(F.col("_before"), F.lit(0)) + F.row_number().over(w_rows))
+            .drop("_before"))
+
+
+def positional_split(df: DataFrame, test_size: float = 0.2) -> DataFrame:
+    """W-11 as the reference does it (Q5): the first int(n x (1 - test_size))
+    rows in item-major order train, the rest test. Adds ``is_train``."""
+    p = positions(df)
+    cut = F.floor(F.col("_n") * (1.0 - test_size))
+    return p.withColumn("is_train", F.col("_pos") <= cut).drop("_pos", "_n")
+
+
+def positional_folds(df: DataFrame, n_splits: int = 3) -> DataFrame:
+    """W-12 as the reference's expanding splitter: fold size = n // (n_splits + 1);
+    fold k (1-based) validates rows [n - (n_splits - k + 1) x size, + size) and
+    trains on every earlier row. One row per (row, fold) where the row is used,
+    with ``role`` 'train' or 'valid'."""
+    p = positions(df)
+    size = F.floor(F.col("_n") / (n_splits + 1))
+    folds = F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("fold")
+    x = p.select("*", folds)
+    start = F.col("_n") - (F.lit(n_splits) - F.col("fold") + 1) * size   # 0-based start
+    role = (F.when(F.col("_pos") <= start, F.lit("train"))
+            .when(F.col("_pos") <= start + size, F.lit("valid")))
+    return x.withColumn("role", role).where(F.col("role").isNotNull()).drop("_pos", "_n")

@@ -220,3 +220,25 @@ def forecast_lags(spark, sf_dir):
     grid = FC.forecast_grid(daily, days=14, offset=-9).withColumnRenamed("prediction_date", "date")
     fb = S.avg_daily_quantity(daily).withColumnRenamed("avg_daily_qty", "fallback_qty")
     return round_doubles(FC.forecast_lags(grid, daily, fb))
+
+
+@query("W11_positional_split", _DAILY + """
+SELECT business_id, date, item_name, quantity,
+  row_number() OVER (PARTITION BY business_id ORDER BY item_name, date)
+    <= floor(COUNT(*) OVER (PARTITION BY business_id) * 0.8) AS is_train
+FROM daily""")
+def positional_split(spark, sf_dir):
+    """The reference's positional 80/20 split in item-major order (Q5)."""
+    return TR.positional_split(T.daily_series(spark, sf_dir), 0.2)
+
+
+@query("W12_positional_folds", _DAILY + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY item_name, date) AS pos,
+             COUNT(*) OVER (PARTITION BY business_id) AS n FROM daily),
+f AS (SELECT p.*, CAST(k AS INTEGER) AS fold, n - (3 - k + 1) * (n // 4) AS st, n // 4 AS sz FROM p, range(1, 4) t(k))
+SELECT business_id, date, item_name, quantity, fold,
+  CASE WHEN pos <= st THEN 'train' ELSE 'valid' END AS role
+FROM f WHERE pos <= st + sz""")
+def positional_folds(spark, sf_dir):
+    """The reference's expanding positional folds (3 splits) in item-major order."""
+    return TR.positional_folds(T.daily_series(spark, sf_dir), 3)
