@@ -315,3 +315,16 @@ def test_forecast_lags_calendar_lookups_and_fallbacks(spark):
     b6 = got[("b", d("2024-03-06"))]            # b's only sale is older than the 60-day history
     assert (b6.lag_1, b6.rolling_30_avg) == (3.0, 3.0)
     assert b6.rolling_7_std == pytest.approx(0.6)
+
+
+def test_train_per_business_small(spark):
+    from tillcast.plans import training as TR
+    from tillcast.sources import tables as T
+
+    frame = TR.training_frame(T.sales(spark, "/root/testdata/sf0.001"), pooled=False)
+    models = TR.train_per_business(frame, [0, 1], tune=False, params={"maxIter": 2, "maxDepth": 2}, n_folds=2)
+    assert sorted(models) == [0, 1]
+    for res in models.values():
+        m = res.metrics.first()
+        assert m.training_rows > 0 and m.test_rows > 0 and m.test_mae >= 0
+        assert res.importance.count() == len(res.names)

@@ -267,6 +267,13 @@ def train(frame: DataFrame, test_size: float = 0.2, tune: bool = True, n_folds:
     return TrainResult(serving, names, summary, feature_importance(serving, names), search)
 
 
+def train_per_business(frame: DataFrame, business_ids, **kwargs) -> dict:
+    """One model per business, as the reference trains them. The loop runs over
+    business ids (tenants, a small list chosen by the caller); every fit inside
+    ``train`` is a distributed job on that business's rows only."""
+    return {b: train(frame.where(F.col("business_id") == F.lit(b)), **kwargs) for b in business_ids}
+
+
 def forecast(model: PipelineModel, names: list[str], daily: DataFrame, days: int = 7,
              cal: Calendars | None = None, start=None, items: DataFrame | None = None,
              fallback: DataFrame | None = None) -> DataFrame:

@@ -171,7 +171,8 @@ LEFT JOIN best b ON n.business_id = b.business_id""")
 def item_code_lookup(spark, sf_dir):
     sales = T.sales(spark, sf_dir)
     daily = T.daily_series(spark, sf_dir)
-    return I.item_code_lookup(_lookup_names(sales), FE.item_codes(daily), I.item_category(sales),
+    names = cut_lineage(_lookup_names(sales))   # read by the direct and the similarity lookup
+    return I.item_code_lookup(names, FE.item_codes(daily), I.item_category(sales),
                               S.avg_daily_quantity(daily))
 
 
