@@ -11,7 +11,6 @@ from ..functions import blocks as B
 from ..functions import dates as D
 from ..functions import scalars as X
 from ..operators import calendar_joins as J
-from ..operators import series as S
 from ..plans import features as FE
 from ..sources import calendars as C
 from ..sources import tables as T
