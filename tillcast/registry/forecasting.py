@@ -24,13 +24,22 @@ from . import query
 _DAILY = T.with_ctes(T.SALES_SQL, T.daily_sales_sql())
 QUICK = {"maxIter": 10, "maxDepth": 5}
 _MODELS: dict = {}
+_FRAMES: dict = {}
+
+
+def _frame(spark, sf_dir):
+    """Training frame of one session and scale; it reads the daily series
+    materialised in the shared folder, so later queries reuse that table."""
+    key = (id(spark), sf_dir)
+    if key not in _FRAMES:
+        _FRAMES[key] = TR.training_frame(T.sales(spark, sf_dir))
+    return _FRAMES[key]
 
 
 def _trained(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _MODELS:
-        frame = TR.training_frame(T.sales(spark, sf_dir))
-        _MODELS[key] = TR.train(frame, tune=False, params=QUICK, n_folds=2)
+        _MODELS[key] = TR.train(_frame(spark, sf_dir), tune=False, params=QUICK, n_folds=2)
     return _MODELS[key]
 
 
@@ -110,7 +119,7 @@ def round_prediction(spark, sf_dir):
 
 @query("M02_feature_vector")
 def feature_vector(spark, sf_dir):
-    frame = TR.training_frame(T.sales(spark, sf_dir))
+    frame = _frame(spark, sf_dir)
     names = TR.model_features(frame)
     v = TR.assembler(names).transform(TR.prepare(frame, names))
     return v.select("business_id", "date", "item_name", "quantity",
@@ -124,7 +133,7 @@ def train_evaluate(spark, sf_dir):
 
 @query("M05_M06_random_search")
 def random_search(spark, sf_dir):
-    frame = TR.training_frame(T.sales(spark, sf_dir))
+    frame = _frame(spark, sf_dir)
     names = TR.model_features(frame)
     df = TR.prepare(frame, names)
     res = TR.random_search(df, names, n_iter=2, n_folds=2, cap=QUICK)
@@ -155,7 +164,7 @@ def save_load(spark, sf_dir):
     path = scratch_path(spark, "model")
     TR.save_model(res.model, path)
     loaded = TR.load_model(path)
-    frame = TR.training_frame(T.sales(spark, sf_dir))
+    frame = _frame(spark, sf_dir)
     _, test = TR.chronological_split(TR.prepare(frame, res.names))
     return loaded.transform(test).select("business_id", "date", "item_name", "quantity",
                                          TR.round_prediction("prediction").alias("predicted_quantity"))
@@ -164,7 +173,7 @@ def save_load(spark, sf_dir):
 @query("M13_training_job")
 def training_job(spark, sf_dir):
     """Search (2 candidates, 2 folds) -> evaluate -> refit; one summary row."""
-    frame = TR.training_frame(T.sales(spark, sf_dir))
+    frame = _frame(spark, sf_dir)
     return TR.train(frame, tune=True, n_iter=2, n_folds=2, cap=QUICK).metrics
 
 
