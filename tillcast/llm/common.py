@@ -21,9 +21,4 @@ def release_finished_shuffles(spark: SparkSession) -> None:
     """Ask Spark to delete a query's shuffle files when the query ends: every
     stage of these operators ends in a written table, which is what later
     stages read."""
-    for key in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",
-                "spark.sql.shuffleDependency.fileCleanup.enabled"):
-        try:
-            spark.conf.set(key, "true")
-        except Exception:  # a static or unknown key in this version
-            continue
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, quality, urls
 
 QUERIES = {
+    "op1_url_filter": urls.op1,
+    "op5_quality_rules": quality.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
+    "op10_mix_sources": mixing.op10,
 }
 
 ORACLE = {
+    "op1_url_filter": urls.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
 }
