@@ -166,3 +166,8 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
     return rows.column(rows.schema.get_field_index(name))
+
+
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """Lengths of a list column; NULL counts as empty."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, urls
+from . import decontaminate, mixing, phrases, quality, substrings, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1,
+    "op3_substring_dedup": substrings.op3,
     "op5_quality_rules": quality.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
+    "op7_suffix_array_dedup": phrases.op7,
     "op10_mix_sources": mixing.op10,
 }
 
 ORACLE = {
     "op1_url_filter": urls.SQL,
+    "op3_substring_dedup": substrings.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
+    "op7_suffix_array_dedup": phrases.SQL,
 }
