@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, phrases, quality, substrings, urls
+from . import decontaminate, jaccard, mixing, phrases, quality, substrings, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_suffix_array_dedup": phrases.op7,
+    "op8_ngram_jaccard_join": jaccard.op8,
     "op10_mix_sources": mixing.op10,
 }
 
@@ -18,4 +19,5 @@ ORACLE = {
     "op3_substring_dedup": substrings.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op7_suffix_array_dedup": phrases.SQL,
+    "op8_ngram_jaccard_join": jaccard.SQL,
 }
