@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, phrases, quality, substrings, urls
+from . import decontaminate, jaccard, mixing, phrases, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1,
     "op3_substring_dedup": substrings.op3,
+    "op4_toxicity": toxicity.op4,
     "op5_quality_rules": quality.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_suffix_array_dedup": phrases.op7,
