@@ -1,6 +1,6 @@
 """Toxicity scores from nearest labelled examples (operator 4).
 
-A text is a TF-IDF vector over terms (folded words and their 4- and 5-byte
+A text is a TF-IDF vector over terms (folded words and their first 4 to 8 byte
 beginnings) that tell the classes apart. The labelled examples form an inverted
 index whose postings lie in blocks of ``BLOCK`` examples, each with its largest
 weight. A query adds the block maxima of its terms to a bound for every block
@@ -40,13 +40,14 @@ from .common import release_finished_shuffles, table
 from .decontaminate import WORD
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 256       # chosen terms, by likelihood ratio
+MAX_TERMS = 1024      # chosen terms, by likelihood ratio
 MIN_DF = 3            # examples a term must occur in
 NEIGHBOURS = 16
 BLOCK = 64
 SHRINK = 0.5          # cosine mass of the base rate in a vote
 THRESHOLD = 0.3       # fixed value of the contract
 EVIDENCE = 3
+BEGINNINGS = (4, 5, 6, 8)  # bytes
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -60,7 +61,7 @@ def _terms(b: Block) -> tuple[np.ndarray, np.ndarray]:
     own = owners(first)
     out = [p.spans(s, e)]
     owns = [own]
-    for k in (4, 5):
+    for k in BEGINNINGS:
         long = e - s >= k
         out.append(mix(p.spans(s[long], s[long] + k) + np.uint64(k)))
         owns.append(own[long])
