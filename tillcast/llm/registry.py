@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, phrases, quality, substrings, toxicity, urls
+from . import decontaminate, jaccard, language_model, mixing, phrases, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_suffix_array_dedup": phrases.op7,
     "op8_ngram_jaccard_join": jaccard.op8,
+    "op9_lm_scoring": language_model.op9,
     "op10_mix_sources": mixing.op10,
 }
 
