@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language_model, mixing, phrases, quality, substrings, toxicity, urls
+from . import decontaminate, jaccard, language_model, mixing, phrases, quality, substrings, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1,
+    "op2_token_counts": token_counts.op2,
     "op3_substring_dedup": substrings.op3,
     "op4_toxicity": toxicity.op4,
     "op5_quality_rules": quality.op5,
