@@ -39,25 +39,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard.keep_one(docs).select(docs.columns)
 
 
+def _recount(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return phrases.remove_repeats(docs)
+    return _recount(phrases.remove_repeats(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove_spans(docs, decontaminate.build_automaton(table(spark, sf_dir, "benchmark")))
+    return _recount(decontaminate.remove_spans(docs, decontaminate.build_automaton(table(spark, sf_dir, "benchmark"))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, and size, source_size, target, copies, taken."""
-    th = F.xxhash64("text").alias("th")
-    plan = (mixing.mix(docs.withColumn("th", th), keep=["th"]).where("copies > 0")
-            .groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), F.col("source").alias("m_source"))
+    th = F.xxhash64("text")
+    plan = (mixing.mix(docs.withColumn("__th", th), keep=["__th"]).where("copies > 0")
+            .groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__text"), F.col("source").alias("__source"))
             .agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
                  F.sum("copies").alias("copies"), F.sum("taken").alias("taken")))
-    rows = docs.withColumn("th", th).dropDuplicates(["doc_id", "th", "source"])
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")) & F.col("source").eqNullSafe(F.col("m_source"))
-    return rows.join(plan, same).drop("th", "m_id", "m_th", "m_source")
+    rows = docs.drop(*DECISION).withColumn("__th", th).dropDuplicates(["doc_id", "__th", "source"])
+    same = (F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__text"))
+            & F.col("source").eqNullSafe(F.col("__source")))
+    return rows.join(plan, same).drop("__th", "__id", "__text", "__source")
+
 
+#: Columns of the mix; input columns of these names give way to them.
+DECISION = ["size", "source_size", "target", "copies", "taken"]
 
 STAGES = [
     ("toxicity", drop_toxic),
