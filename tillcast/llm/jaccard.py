@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, id_col: str = "doc_id",
     """doc_id, n_shingles, component_id of every document, and its class."""
     spark = docs.sparkSession
     release_finished_shuffles(spark)
-    fragments = min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fragments = min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     members = cut_lineage(classes(docs, width, id_col, text_col), "jaccard-classes")
     sets = cut_lineage(shared_items(docs, fragments, width, text_col), "jaccard-sets")
     roots = components(links(sets))
