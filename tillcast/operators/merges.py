@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PRED_KEY = ("model_id", "prediction_date", "item_name")
@@ -20,10 +20,12 @@ PRODUCT_KEY = ("integration_id", "external_id")
 ORDER_KEY = ("integration_id", "external_id")
 
 
-def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_predictions(existing: DataFrame, new: DataFrame, seq_col: str | None = None) -> DataFrame:
     """J-14: key (model, date, item): a new row overwrites the predicted
-    quantity and keeps the stored actual; new keys are inserted."""
-    n = new.select(*PRED_KEY, F.col("predicted_quantity").alias("_new_pred"))
+    quantity and keeps the stored actual; new keys are inserted. Of several new
+    rows for one key the last by ``seq_col`` wins (without one, the largest)."""
+    n = new.groupBy(*PRED_KEY).agg(
+        F.max_by("predicted_quantity", seq_col or "predicted_quantity").alias("_new_pred"))
     j = existing.join(n, list(PRED_KEY), "full_outer")
     return j.select(*PRED_KEY,
                     F.coalesce("_new_pred", "predicted_quantity").alias("predicted_quantity"),
@@ -46,7 +48,7 @@ def auto_compare(predictions: DataFrame, models: DataFrame, actuals: DataFrame)
     """
     rng = actuals.groupBy("business_id").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     p = predictions.join(models.select("model_id", "business_id"), "model_id", "left")
-    p = p.join(F.broadcast(rng), "business_id", "left")
+    p = p.join(rng, "business_id", "left")
     in_range = F.col("prediction_date").between(F.col("_lo"), F.col("_hi"))
     a = actuals.select("business_id", F.col("date").alias("prediction_date"), "item_name", "actual")
     j = p.join(a, ["business_id", "prediction_date", "item_name"], "left")
@@ -70,15 +72,16 @@ def active_model(models: DataFrame) -> DataFrame:
         F.max_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
 
 
-def save_actuals(predictions: DataFrame, models: DataFrame, entries: DataFrame) -> DataFrame:
+def save_actuals(predictions: DataFrame, models: DataFrame, entries: DataFrame, seq_col: str = "entry_seq") -> DataFrame:
     """J-16: entries (business_id, date, item_name, actual_quantity) go to the
     business's active model: matched rows get the actual, unmatched entries are
-    inserted with predicted 0. Duplicate entries for one key keep the largest.
+    inserted with predicted 0. Of several entries for one key the last by
+    ``seq_col`` wins.
     Returns the merged table with ``change`` in {'updated', 'created', None}."""
     act = active_model(models)
     e = (entries.join(act, "business_id")
          .groupBy("model_id", F.col("date").alias("prediction_date"), "item_name")
-         .agg(F.max("actual_quantity").alias("_actual")))
+         .agg(F.max_by("actual_quantity", seq_col).alias("_actual")))
     j = predictions.join(e, list(PRED_KEY), "full_outer")
     change = (F.when(F.col("_actual").isNull(), F.lit(None))
               .when(F.col("predicted_quantity").isNull(), F.lit("created")).otherwise(F.lit("updated")))
@@ -96,27 +99,32 @@ def change_counts(merged: DataFrame, models: DataFrame) -> DataFrame:
         F.count(F.when(F.col("change") == "created", 1)).alias("created"))
 
 
-def upsert_products(existing: DataFrame, incoming: DataFrame, now_col: str = "synced_at") -> DataFrame:
+def upsert_products(existing: DataFrame, incoming: DataFrame, now_col: str = "synced_at",
+                    seq_col: str | None = None) -> DataFrame:
     """J-18: key (integration, external_id): update name/category/sku/price and
-    ``updated_at`` of known products, insert new ones; ``is_new`` marks inserts."""
+    ``updated_at`` of known products, insert new ones; ``is_new`` marks inserts.
+    The provider's values replace the stored ones, cleared (NULL) fields too. Of
+    several incoming rows for one key the last by ``seq_col`` wins (without one,
+    the last by ``now_col`` and values)."""
     cols = ("business_id", "name", "category", "sku", "price")
-    inc = incoming.select(*PRODUCT_KEY, *[F.col(c).alias(f"_n_{c}") for c in cols],
-                          F.col(now_col).alias("_n_at"), F.lit(True).alias("_seen"))
-    j = existing.join(inc, list(PRODUCT_KEY), "full_outer")
-    is_new = F.col("_seen") & F.col("name").isNull() & F.col("business_id").isNull()
+    last = [seq_col] if seq_col else [now_col, *cols]
+    inc = (incoming.groupBy(*PRODUCT_KEY)
+           .agg(F.max_by(F.struct(*cols, F.col(now_col).alias("at")), F.struct(*last)).alias("_n"), F.lit(True).alias("_seen")))
+    j = existing.withColumn("_known", F.lit(True)).join(inc, list(PRODUCT_KEY), "full_outer")
+    known, seen = F.col("_known").isNotNull(), F.col("_seen").isNotNull()
     return j.select(*PRODUCT_KEY,
-                    *[F.coalesce(f"_n_{c}", c).alias(c) if c != "business_id"
-                      else F.coalesce("business_id", "_n_business_id").alias(c) for c in cols],
+                    F.coalesce("business_id", "_n.business_id").alias("business_id"),
+                    *[F.when(seen, F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) for c in cols if c != "business_id"],
                     F.coalesce("is_active", F.lit(True)).alias("is_active"),
-                    F.coalesce("_n_at", "updated_at").alias("updated_at"),
-                    F.coalesce(is_new, F.lit(False)).alias("is_new"))
+                    F.coalesce("_n.at", "updated_at").alias("updated_at"),
+                    (seen & ~known).alias("is_new"))
 
 
 def insert_new_orders(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J-19: orders whose (integration, external_id) is not stored yet.
     Returns (inserted rows, new table = existing + inserted)."""
-    inc = _first_per_key(incoming, ORDER_KEY)
-    inserted = inc.join(existing.select(*ORDER_KEY), list(ORDER_KEY), "left_anti")
+    unseen = incoming.join(existing.select(*ORDER_KEY), list(ORDER_KEY), "left_anti")
+    inserted = _first_per_key(unseen, ORDER_KEY)  # only what is new is reduced, payloads and all
     return inserted, existing.unionByName(inserted.select(*existing.columns))
 
 
@@ -133,13 +141,15 @@ def _first_per_key(df: DataFrame, key: Sequence[str], order: str | None = None)
 def keep_latest(df: DataFrame, key: Sequence[str], id_col: str = "id") -> DataFrame:
     """A-28: one row per natural key, the one with the highest id.
 
-    A keyed ``max(struct(id, ...))`` aggregate, not a window: partial
-    aggregation collapses a key duplicated a million times map-side.
+    The highest id per key is a hash aggregate of fixed width (a key duplicated
+    a million times collapses map-side); whole rows are joined back for the
+    winners only, and only they are compared when an id repeats within a key.
     """
     others = [c for c in df.columns if c not in key and c != id_col]
-    packed = F.max(F.struct(F.col(id_col), *[F.col(c) for c in others])).alias("_row")
-    return df.groupBy(*key).agg(packed).select(*key, F.col(f"_row.{id_col}").alias(id_col),
-                                               *[F.col(f"_row.{c}").alias(c) for c in others])
+    top = df.groupBy(*key).agg(F.max(id_col).alias(id_col))
+    won = df.join(top, [*key, id_col])
+    packed = F.max(F.struct(*[F.col(c) for c in others])).alias("_row")
+    return won.groupBy(*key, id_col).agg(packed).select(*key, id_col, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def activate_model(models: DataFrame, model_id: int | DataFrame | None = None) -> DataFrame:
@@ -160,14 +170,19 @@ def activate_model(models: DataFrame, model_id: int | DataFrame | None = None) -
     return j.select(*[c for c in models.columns if c != "is_active"], active.alias("is_active"))
 
 
-def delete_model(models: DataFrame, predictions: DataFrame, model_id: int,
+def delete_model(models: DataFrame, predictions: DataFrame, model_id: int | DataFrame,
                  uploads: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """M-12: drop the model and its predictions; NULL out upload references."""
-    keep = F.col("model_id") != model_id
+    """M-12: drop models (one id, or a frame with a ``model_id`` column) and
+    their predictions; NULL out upload references."""
+    spark = models.sparkSession
+    gone = (model_id.select("model_id").distinct() if isinstance(model_id, DataFrame)
+            else spark.createDataFrame([(model_id,)], "model_id long"))
     up = None
     if uploads is not None:
-        up = uploads.withColumn("model_id", F.when(keep, F.col("model_id")))
-    return models.where(keep), predictions.where(keep), up
+        up = (uploads.join(gone.withColumn("_gone", F.lit(True)), "model_id", "left")
+              .withColumn("model_id", F.when(F.col("_gone").isNull(), F.col("model_id"))).select(*uploads.columns))
+    return (models.join(gone, "model_id", "left_anti").select(*models.columns),
+            predictions.join(gone, "model_id", "left_anti").select(*predictions.columns), up)
 
 
 def models_newest_first(models: DataFrame) -> DataFrame:
@@ -177,9 +192,11 @@ def models_newest_first(models: DataFrame) -> DataFrame:
 
 def newest(df: DataFrame, ts_col: str, limit: int = 10, max_limit: int = 100,
            tie_break: str | None = None) -> DataFrame:
-    """T-02: newest first, limited to ``limit`` (capped at ``max_limit``) - a
-    top-k report (planned as TakeOrderedAndProject: per-task top-k, no sort)."""
-    n = max(1, min(int(limit), max_limit))
+    """T-02: newest first, limited to ``limit`` (1 to ``max_limit``, else an
+    error) - a top-k report (planned as TakeOrderedAndProject: per-task top-k, no sort)."""
+    n = int(limit)
+    if not 1 <= n <= max_limit:
+        raise ValueError(f"limit {n} is not between 1 and {max_limit}")
     order = [F.col(ts_col).desc()] + ([F.col(tie_break).desc()] if tie_break else [])
     return df.orderBy(*order).limit(n)
 
@@ -201,6 +218,3 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
-
-def rank_within(df: DataFrame, part: Sequence[str], order, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))

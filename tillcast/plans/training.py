@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -145,9 +146,9 @@ def fold_frames(df: DataFrame, bounds: DataFrame, fold: int) -> tuple[DataFrame,
 
 # ---------------------------------------------------------------- metrics
 
-def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """M-07 / F-17: MAE and safe MAPE (actual = 0 skipped; none left -> 0) and rows."""
-    return pred.agg(F.avg(F.abs(F.col(label) - F.col(prediction))).alias("mae"),
+def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """M-07 / F-17: MAE and safe MAPE (actual = 0 skipped; none left -> 0) and rows, per ``by`` group."""
+    return pred.groupBy(*by).agg(F.avg(F.abs(F.col(label) - F.col(prediction))).alias("mae"),
                     F.coalesce(F.avg(ape(label, prediction)), F.lit(0.0)).alias("mape"),
                     F.count(F.lit(1)).alias("rows"))
 

@@ -32,12 +32,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     # Importing the modules fills the two dicts.
-    from . import series  # noqa: F401
-    for mod in ("calendars", "features", "items", "quality", "merges", "reports",
-                "providers", "ingest", "forecasting", "streams"):
-        try:
-            __import__(f"{__name__}.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name != f"{__name__}.{mod}":
-                raise
+    from . import (calendars, forecasting, ingest, items, merges, providers, quality, reports,  # noqa: F401
+                   series, streams)
     return dict(QUERIES), dict(ORACLE)

@@ -102,12 +102,7 @@ def safe_mape(spark, sf_dir):
     daily = T.daily_series(spark, sf_dir)
     from ..util import round_doubles
     p = R.scored(T.predictions(spark, sf_dir, daily), T.models(spark, sf_dir, daily))
-    return round_doubles(p.groupBy("business_id").agg(
-        F.avg(F.abs(F.col("actual_quantity") - F.col("predicted_quantity"))).alias("mae"),
-        F.coalesce(F.avg(F.when(F.col("actual_quantity") != 0, F.abs(
-            (F.col("actual_quantity") - F.col("predicted_quantity")) / F.col("actual_quantity")) * 100)),
-            F.lit(0.0)).alias("mape"),
-        F.count(F.lit(1)).alias("rows")))
+    return round_doubles(TR.metrics(p, "actual_quantity", "predicted_quantity", by=["business_id"]))
 
 
 @query("F18_round_prediction", T.with_ctes(*T.PRED_CTES) + """

@@ -49,6 +49,34 @@ def csv_roundtrip_day_first(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "dd/MM/yyyy")
 
 
+@query("S01_S26_text_roundtrip", """
+SELECT doc_id, text, source FROM documents""")
+def csv_text_roundtrip(spark, sf_dir):
+    """Texts with quotes, commas and line breaks survive export and upload."""
+    docs = T.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = scratch_path(spark, "upload-text")
+    P.write_sales_csv(docs, path)
+    rows = FL.read_sales_csv(spark, path)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+
+
+@query("S01_rejected_rows", """
+SELECT COUNT(*) AS good, COUNT(*) AS rejected FROM orders""")
+def csv_rejects(spark, sf_dir):
+    """Every order once as a sound line and once with a field too many."""
+    o = T.read_table(spark, sf_dir, "orders")
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", F.concat(F.lit('"'), "o_orderstatus", F.lit(' ""x"""')))
+    path = scratch_path(spark, "upload-bad")
+    lines = o.select(line.alias("value")).unionByName(o.select(F.concat(line, F.lit(",surplus")).alias("value")))
+    # the header stands in a file of its own layout: every part file gets one
+    lines.selectExpr("value as `o_orderkey,o_custkey,o_orderstatus`").write.option("header", True).option("quote", "\u0000").option(
+        "escapeQuotes", False).option("delimiter", "\u0001").csv(path)
+    good, bad = FL.read_csv_checked(spark, path)
+    counted = good.select(F.lit(1).alias("g"), F.lit(0).alias("b"), "o_orderkey").unionByName(
+        bad.select(F.lit(0).alias("g"), F.lit(1).alias("b"), "o_orderkey"))
+    return counted.agg(F.sum("g").alias("good"), F.sum("b").alias("rejected"))
+
+
 @query("S09_parse_dates_month_first", _RT_SQL)
 def csv_roundtrip_month_first(spark, sf_dir):
     """MM/dd/yyyy export read with the default day_first=True: the dataset vote

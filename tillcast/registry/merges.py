@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round_prediction
 from ..operators import merges as M
+from ..operators import reports as R
 from ..operators import series as S
 from ..plans import forecast as FC
 from ..sources import tables as T
@@ -18,15 +19,17 @@ _P = T.with_ctes(*T.PRED_CTES)
 
 
 def _new_forecasts(spark, sf_dir, daily):
-    """A second forecast to merge: rolling-7 naive forecast over the last 60
-    days of each business plus the 8-day grid ahead (item average)."""
-    recent = S.history_cutoff(S.lag_features(daily), 60)
-    hist = recent.select(T.model_id_of().alias("model_id"), F.col("date").alias("prediction_date"),
-                         "item_name", round_prediction("rolling_7_avg").alias("predicted_quantity"))
+    """A second forecast to merge: every key of the history twice, first with
+    the rolling-30 and then with the rolling-7 naive forecast (the later one
+    must win), plus the 8-day grid ahead (item average)."""
+    lags = S.lag_features(daily)
+    hist = [lags.select(T.model_id_of().alias("model_id"), F.col("date").alias("prediction_date"), "item_name",
+                        round_prediction(c).alias("predicted_quantity"), F.lit(seq).alias("seq"))
+            for seq, c in enumerate(("rolling_30_avg", "rolling_7_avg"))]
     ahead = FC.naive_forecast(daily, 7).select(
         T.model_id_of("business_id", "prediction_date").alias("model_id"), "prediction_date", "item_name",
-        "predicted_quantity")
-    return hist.unionByName(ahead)
+        "predicted_quantity", F.lit(0).alias("seq"))
+    return hist[0].unionByName(hist[1]).unionByName(ahead)
 
 
 _NEW_SQL = """,
@@ -35,7 +38,7 @@ avgd AS (SELECT business_id, item_name, AVG(quantity) AS a FROM daily GROUP BY A
 new AS (
   SELECT l.business_id * 10000 + year(l.date) AS model_id, l.date AS prediction_date, l.item_name,
          GREATEST(CAST(round_even(l.rolling_7_avg, 0) AS INTEGER), 0) AS predicted_quantity
-  FROM lags l JOIN mx USING (business_id) WHERE l.date >= mx.last_date - INTERVAL 60 DAY
+  FROM lags l
   UNION ALL
   SELECT g.business_id * 10000 + year(g.d), g.d, g.item_name, GREATEST(CAST(round_even(a.a, 0) AS INTEGER), 0)
   FROM (SELECT i.business_id, i.item_name,
@@ -53,23 +56,20 @@ FROM predictions p FULL OUTER JOIN new n
   ON p.model_id = n.model_id AND p.prediction_date = n.prediction_date AND p.item_name = n.item_name""")
 def upsert_predictions(spark, sf_dir):
     daily = T.daily_series(spark, sf_dir)
-    return M.upsert_predictions(T.predictions(spark, sf_dir, daily), _new_forecasts(spark, sf_dir, daily))
+    return M.upsert_predictions(T.predictions(spark, sf_dir, daily), _new_forecasts(spark, sf_dir, daily), "seq")
 
 
 def _compare(spark, sf_dir):
-    """Predictions without actuals, compared with the last 30 days of sales."""
+    """Predictions without actuals, compared with all sales."""
     daily = T.daily_series(spark, sf_dir)
     sales = T.sales(spark, sf_dir)
     preds = T.predictions(spark, sf_dir, daily).withColumn("actual_quantity", F.lit(None).cast("int"))
-    recent = S.history_cutoff(sales, 30)
-    return M.auto_compare(preds, T.models(spark, sf_dir, daily), M.actual_sales(recent))
+    return M.auto_compare(preds, T.models(spark, sf_dir, daily), M.actual_sales(sales))
 
 
 _CMP_SQL = """,
-mxs AS (SELECT business_id, MAX(date) AS last_date FROM sales GROUP BY business_id),
 act AS (SELECT s.business_id, s.date, s.item_name, CAST(trunc(SUM(s.quantity)) AS INTEGER) AS actual
-        FROM sales s JOIN mxs USING (business_id)
-        WHERE s.date >= mxs.last_date - INTERVAL 30 DAY AND s.item_name IS NOT NULL GROUP BY ALL),
+        FROM sales s WHERE s.item_name IS NOT NULL GROUP BY ALL),
 rng AS (SELECT business_id, MIN(date) AS lo, MAX(date) AS hi FROM act GROUP BY business_id),
 cmp AS (
   SELECT p.model_id, p.prediction_date, p.item_name, p.predicted_quantity, m.business_id,
@@ -94,35 +94,29 @@ def matched_count(spark, sf_dir):
 
 
 def _save(spark, sf_dir):
-    """Stored: predictions of the last 60 days without actuals; entered: the
-    actual daily sales of the last 90 days (older entries create rows)."""
+    """Stored: the active models' predictions without actuals; entered: all
+    daily sales, each twice (first 5 too many, then corrected: the last entry
+    counts). Entries of years before the active model's create rows."""
     daily = T.daily_series(spark, sf_dir)
     models = T.models(spark, sf_dir, daily)
-    recent = S.history_cutoff(daily, 60).select("business_id", "date", "item_name")
-    act = M.active_model(models)
-    stored = (T.predictions(spark, sf_dir, daily).join(act, "model_id", "left_semi")
-              .join(recent.select(F.col("date").alias("prediction_date"), "item_name",
-                                  T.model_id_of().alias("model_id")),
-                    ["model_id", "prediction_date", "item_name"], "left_semi")
+    stored = (T.predictions(spark, sf_dir, daily).join(M.active_model(models), "model_id", "left_semi")
               .withColumn("actual_quantity", F.lit(None).cast("int")))
-    entries = S.history_cutoff(daily, 90).select(
-        "business_id", "date", "item_name", F.col("quantity").cast("int").alias("actual_quantity"))
+    once = daily.select("business_id", "date", "item_name", F.col("quantity").cast("int").alias("actual_quantity"))
+    entries = once.withColumn("entry_seq", F.lit(1)).unionByName(
+        once.withColumn("actual_quantity", F.col("actual_quantity") + 5).withColumn("entry_seq", F.lit(0)))
     return M.save_actuals(stored, models, entries), models
 
 
 _SAVE_SQL = """,
-mx AS (SELECT business_id, MAX(date) AS last_date FROM daily GROUP BY business_id),
 act AS (SELECT business_id, arg_max(model_id, (created_at, model_id)) AS model_id FROM models
         WHERE is_active GROUP BY business_id),
 stored AS (
   SELECT p.model_id, p.prediction_date, p.item_name, p.predicted_quantity, CAST(NULL AS INTEGER) AS actual_quantity
-  FROM predictions p JOIN act USING (model_id) JOIN mx ON mx.business_id = act.business_id
-  WHERE p.prediction_date >= mx.last_date - INTERVAL 60 DAY
+  FROM predictions p JOIN act USING (model_id)
 ),
 entries AS (
   SELECT act.model_id, d.date AS prediction_date, d.item_name, MAX(CAST(trunc(d.quantity) AS INTEGER)) AS a
-  FROM daily d JOIN mx USING (business_id) JOIN act USING (business_id)
-  WHERE d.date >= mx.last_date - INTERVAL 90 DAY GROUP BY ALL
+  FROM daily d JOIN act USING (business_id) GROUP BY ALL
 ),
 merged AS (
   SELECT COALESCE(s.model_id, e.model_id) AS model_id, COALESCE(s.prediction_date, e.prediction_date) AS prediction_date,
@@ -149,13 +143,11 @@ def change_counts(spark, sf_dir):
 
 
 @query("J17_predictions_models", _P + """
-SELECT p.model_id, p.prediction_date, p.item_name, p.predicted_quantity, p.actual_quantity, m.business_id,
-       m.is_active
-FROM predictions p JOIN models m ON p.model_id = m.model_id""")
+SELECT p.model_id, p.prediction_date, p.item_name, p.predicted_quantity, p.actual_quantity, m.business_id
+FROM predictions p JOIN models m ON p.model_id = m.model_id WHERE p.actual_quantity IS NOT NULL""")
 def predictions_models(spark, sf_dir):
     daily = T.daily_series(spark, sf_dir)
-    return T.predictions(spark, sf_dir, daily).join(
-        T.models(spark, sf_dir, daily).select("model_id", "business_id", "is_active"), "model_id")
+    return R.scored(T.predictions(spark, sf_dir, daily), T.models(spark, sf_dir, daily))
 
 
 @query("A28_keep_latest", """
@@ -176,9 +168,7 @@ FROM models m JOIN tgt USING (business_id)""")
 def activate_model(spark, sf_dir):
     daily = T.daily_series(spark, sf_dir)
     models = T.models(spark, sf_dir, daily)
-    oldest = models.groupBy("business_id").agg(
-        F.min_by("model_id", F.struct("created_at", "model_id")).alias("model_id")).select("model_id")
-    return M.activate_model(models, oldest)
+    return M.activate_model(models, _oldest(models))
 
 
 @query("M12_delete_model", _P + """,
@@ -188,10 +178,36 @@ def delete_model(spark, sf_dir):
     daily = T.daily_series(spark, sf_dir)
     models = T.models(spark, sf_dir, daily)
     preds = T.predictions(spark, sf_dir, daily)
-    oldest = models.groupBy("business_id").agg(
-        F.min_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
-    # cascade for every business's oldest model: an anti join on the ids
-    return preds.join(oldest.select("model_id"), "model_id", "left_anti").select(*preds.columns)
+    return M.delete_model(models, preds, _oldest(models))[1]
+
+
+def _oldest(models):
+    return models.groupBy("business_id").agg(
+        F.min_by("model_id", F.struct("created_at", "model_id")).alias("model_id")).select("model_id")
+
+
+@query("M12_models_left", _P + """,
+old AS (SELECT business_id, arg_min(model_id, (created_at, model_id)) AS t FROM models GROUP BY business_id)
+SELECT m.model_id, m.business_id, m.training_rows, m.is_active FROM models m WHERE m.model_id NOT IN (SELECT t FROM old)""")
+def models_left(spark, sf_dir):
+    daily = T.daily_series(spark, sf_dir)
+    models = T.models(spark, sf_dir, daily)
+    return M.delete_model(models, T.predictions(spark, sf_dir, daily), _oldest(models))[0].drop("created_at")
+
+
+@query("M12_upload_references", _P + """,
+old AS (SELECT business_id, arg_min(model_id, (created_at, model_id)) AS t FROM models GROUP BY business_id)
+SELECT d.business_id, d.date AS upload_date,
+       CASE WHEN d.business_id * 10000 + year(d.date) NOT IN (SELECT t FROM old)
+            THEN d.business_id * 10000 + year(d.date) END AS model_id
+FROM (SELECT DISTINCT business_id, date FROM daily) d""")
+def upload_references(spark, sf_dir):
+    """One upload per business and day, referring to the model of its year."""
+    daily = T.daily_series(spark, sf_dir)
+    models = T.models(spark, sf_dir, daily)
+    uploads = daily.select("business_id", F.col("date").alias("upload_date")).distinct().withColumn(
+        "model_id", T.model_id_of("business_id", "upload_date"))
+    return M.delete_model(models, T.predictions(spark, sf_dir, daily), _oldest(models), uploads)[2]
 
 
 @query("T01_models_newest_first", _P + """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,9 +47,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (tests, a
-    laptop) is a private folder created and registered, so that later
-    checkpoints and side tables land in one place.
+    The setting is read from the session. Only when it is unset on a local
+    master (tests, a laptop) is a private folder created and registered, so
+    that later checkpoints and side tables land in one place; on a cluster an
+    unset folder is an error, since each executor would write its own disk.
     """
     try:
         sc = spark.sparkContext
@@ -62,16 +64,23 @@ def shared_dir(spark: SparkSession) -> str:
         if conf_dir:
             sc.setCheckpointDir(conf_dir)
             return conf_dir.rstrip("/")
+        _require_local(sc.master)
         local = tempfile.mkdtemp(prefix="tillcast-ckpt-")
         sc.setCheckpointDir(local)
         return (sc.getCheckpointDir() or local).rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        _require_local(spark.conf.get("spark.master", ""))
         conf_dir = tempfile.mkdtemp(prefix="tillcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     return conf_dir.rstrip("/")
 
 
+def _require_local(master: str) -> None:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder (never reused)."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

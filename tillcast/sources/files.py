@@ -55,13 +55,38 @@ COLUMN_ALIASES = {
     "comments": "notes", "remarks": "notes", "memo": "notes", "pizza_ingredients": "notes",
 }
 
+CORRUPT = "_corrupt_record"
 NUMERIC_COLUMNS = {"quantity": "double", "unit_price": "double", "total_price": "double", "cost": "double"}
 
 
-def read_sales_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """S-01: header CSV, one or many files / globs, every column a string."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").csv(paths if isinstance(paths, str) else list(paths)))
+def read_csv_checked(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S-01: header CSV, one or many files / globs, every column a string.
+
+    Returns (rows, rejects): quoted fields may hold doubled quotes and, with
+    ``multi_line``, line breaks; rows that do not fit the header come back as
+    rejects with their raw text in ``_corrupt_record``. Exports that are known
+    to have no line breaks in fields can pass ``multi_line=False``, which lets
+    Spark split large files.
+    """
+    where = paths if isinstance(paths, str) else list(paths)
+
+    def reader():
+        return (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+
+    header = reader().csv(where).schema
+    if CORRUPT in header.fieldNames():
+        raise ValueError(f"an upload column is named {CORRUPT}")
+    rows = reader().schema(header.add(CORRUPT, "string")).option("columnNameOfCorruptRecord", CORRUPT).csv(where)
+    # Spark refuses scans of the reject column alone (a bare count): the filter names a data column, too
+    some = F.coalesce(F.length(F.col(f"`{header.fieldNames()[0]}`")), F.lit(0)) >= 0
+    bad = F.col(CORRUPT).isNotNull()
+    return rows.where(~bad & some).drop(CORRUPT), rows.where(bad & some)
+
+
+def read_sales_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """S-01: the rows of ``read_csv_checked``."""
+    return read_csv_checked(spark, paths, multi_line)[0]
 
 
 def normalize_header(name: str, spaces_to_underscore: bool = True) -> str:

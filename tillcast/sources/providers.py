@@ -308,8 +308,10 @@ def orders_to_sales(orders: DataFrame) -> DataFrame:
 
 
 def write_sales_csv(sales: DataFrame, path: str) -> None:
-    """S-26: CSV export with a header line, no index column."""
-    sales.write.mode("overwrite").option("header", True).csv(path)
+    """S-26: CSV export with a header line, no index column; quotes inside
+    fields are doubled and blanks at their ends kept."""
+    (sales.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def products_lookup(products: DataFrame, business_id=None, integration_id=None) -> DataFrame:

@@ -11,16 +11,20 @@ executor or driver loss and restarts from its checkpoint.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import merges as M
 
-LOG_SCHEMA = ("batch_id long, status string, rows long, late_rows long, error string, "
+LOG_SCHEMA = ("run string, batch_id long, status string, rows long, late_rows long, error string, "
               "started_at timestamp, finished_at timestamp")
 
+# Seven days of de-duplication state for every key of a feed do not fit a heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def order_feed(spark: SparkSession, source_dir: str, schema, fmt: str = "parquet",
                max_files_per_trigger: int | None = None) -> DataFrame:
@@ -59,65 +63,144 @@ def daily_item_stream(stream: DataFrame, ts_col: str, item_col: str, value_col:
     return agg.select(F.to_date("w.start").alias("date"), "item_name", "quantity", "rows")
 
 
+class _Dropped(StreamingQueryListener):
+    """Rows dropped by the watermark over a whole run, whatever its length
+    (a query's own progress list keeps its newest reports only)."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
 def run_available_now(stream: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
                       fmt: str = "parquet") -> StreamingQuery:
-    """Process everything available, then stop (exactly-once file sink)."""
-    q = (stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(sink_path))
-    q.awaitTermination()
+    """Process everything available, then stop (exactly-once file sink). The
+    returned query has ``late_rows``: rows the watermark dropped in this run."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    dropped = _Dropped()
+    spark.streams.addListener(dropped)
+    try:
+        q = (stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(sink_path))
+        run = str(q.runId)
+        q.awaitTermination()
+        dropped.ended.setdefault(run, threading.Event()).wait(60)  # events arrive after the query has ended
+    finally:
+        spark.streams.removeListener(dropped)
+    q.late_rows = dropped.rows.get(run, 0)
     return q
 
 
 def late_rows(q: StreamingQuery) -> int:
-    """Rows dropped by the watermark over the run (from the progress reports)."""
-    total = 0
-    for p in q.recentProgress or []:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += int(v or 0)
-    return total
+    """Rows dropped by the watermark over the run."""
+    return q.late_rows
 
 
 def current_predictions(spark: SparkSession, table_path: str) -> DataFrame:
-    """Newest version of a versioned predictions table (version = partition)."""
+    """The predictions table: each month's newest version. Only partition
+    values are read to find the versions."""
     t = spark.read.parquet(table_path)
-    newest = t.agg(F.max("version")).scalar()
-    return t.where(F.col("version") == newest).drop("version")
+    newest = t.groupBy("month").agg(F.max("version").alias("version"))
+    return t.join(newest, ["month", "version"]).drop("month", "version")
 
 
 def write_version(df: DataFrame, table_path: str, version: int) -> None:
-    """Replace exactly one version partition (idempotent when a batch is re-run)."""
-    (df.withColumn("version", F.lit(int(version)).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(table_path))
+    """Write a version of the months in ``df``; other months keep theirs.
+    Writing the same version again replaces it. One file a month and task."""
+    (df.withColumn("month", _month("prediction_date")).withColumn("version", F.lit(int(version)).cast("long"))
+     .repartition("month").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("month", "version").parquet(table_path))
+
 
+def _month(date_col: str):
+    return (F.year(date_col) * 100 + F.month(date_col)).cast("int")
 
-def auto_compare_stream(stream: DataFrame, models: DataFrame, predictions_path: str, log_path: str,
-                        checkpoint: str) -> StreamingQuery:
-    """X-04 + X-05: every micro-batch of sales rows runs the auto-compare merge
-    (J-15) against the newest predictions version and writes the next version
-    (batch id + 1, so a replayed batch rewrites the same version); one log row
-    per batch records status, row count, error and times."""
+
+def _next_version(spark: SparkSession, table_path: str) -> int:
+    """One above the newest version in the table, whatever run wrote it."""
+    newest = spark.read.parquet(table_path).agg(F.max("version")).first()[0]
+    return (newest if newest is not None else -1) + 1
+
+
+def auto_compare_stream(stream: DataFrame, models: DataFrame, predictions_path: str, ledger_path: str, log_path: str,
+                        checkpoint: str, late_after_days: int = 7) -> StreamingQuery:
+    """X-04 + X-05: micro-batches of sales rows against stored predictions (J-15).
+
+    Every batch first adds its sums per (business, date, item) to the ledger, in
+    a partition of its own (checkpoint and batch id), so a replayed batch
+    replaces its part. The actuals of the dates it touches are then the sums
+    over the whole ledger - the result does not depend on how files fall into
+    batches, nor on the checkpoint they were read under - and only the months
+    of these dates get a new version in the predictions table.
+
+    One log row per batch: status, rows, rows dated more than
+    ``late_after_days`` before the newest date known before the batch, error
+    text and times.
+    """
+    run = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+
+    def merge(batch: DataFrame, batch_id: int) -> tuple[int, int]:
+        spark = batch.sparkSession
+        part = (batch.where(F.col("item_name").isNotNull() & F.col("date").isNotNull())
+                .groupBy("business_id", "date", "item_name").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("rows")))
+        before = _ledger(spark, ledger_path)
+        newest = before.where(~((F.col("run") == run) & (F.col("batch") == batch_id))).agg(F.max("date")).first()[0] if before else None
+        (part.withColumn("run", F.lit(run)).withColumn("batch", F.lit(int(batch_id)).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(ledger_path))
+        ledger = _ledger(spark, ledger_path)
+        mine = ledger.where((F.col("run") == run) & (F.col("batch") == batch_id))
+        cut = F.date_sub(F.lit(newest), late_after_days) if newest is not None else F.lit(None).cast("date")
+        late = mine.agg(F.sum(F.when(F.col("date") < cut, F.col("rows")))).first()[0] or 0
+        dates = mine.select("date").distinct()
+        actuals = M.actual_sales(ledger.join(dates, "date", "left_semi"))
+        months = dates.select(_month("date").alias("m")).distinct()
+        touched = current_predictions(spark, predictions_path).withColumn("m", _month("prediction_date")).join(
+            months, "m", "left_semi").drop("m")
+        merged = M.auto_compare(touched, models, actuals).select(*M.PRED_KEY, "predicted_quantity", "actual_quantity")
+        write_version(merged, predictions_path, _next_version(spark, predictions_path))
+        return int(batch.count()), int(late)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        status, err, rows = "success", None, 0
+        status, err, rows, late = "completed", None, 0, 0
+        batch.persist()
         try:
-            rows = batch.count()
-            if rows:
-                cur = current_predictions(spark, predictions_path)
-                merged = M.auto_compare(cur, models, M.actual_sales(batch))
-                write_version(merged.select(*M.PRED_KEY, "predicted_quantity", "actual_quantity"),
-                              predictions_path, batch_id + 1)
+            if not batch.isEmpty():
+                rows, late = merge(batch, batch_id)
         except Exception as exc:  # recorded, then re-raised so the batch is retried
-            status, err = "failed", str(exc)[:500]
+            status, err = "failed", str(exc)
             raise
         finally:
+            batch.unpersist()
             finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            log = spark.createDataFrame([(int(batch_id), status, int(rows), 0, err, started, finished)], LOG_SCHEMA)
+            log = spark.createDataFrame([(run, int(batch_id), status, rows, late, err, started, finished)], LOG_SCHEMA)
             log.write.mode("append").parquet(log_path)
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger, or None before the first batch."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    schema = "business_id long, date date, item_name string, quantity double, rows long, run string, batch long"
+    return spark.read.schema(schema).parquet(path)
