@@ -17,6 +17,7 @@ from tillcast.operators import quality as Q
 from tillcast.operators import reports as R
 from tillcast.operators import series as S
 from tillcast.sources import calendars as C
+from tillcast.sources import files as FL
 from tillcast.sources import providers as P
 from tillcast.util import null_nonfinite
 
@@ -328,3 +329,71 @@ def test_train_per_business_small(spark):
         m = res.metrics.first()
         assert m.training_rows > 0 and m.test_rows > 0 and m.test_mae >= 0
         assert res.importance.count() == len(res.names)
+
+
+def test_merges_last_entry_wins_and_null_overwrites(spark):
+    key = "model_id long, prediction_date date, item_name string"
+    old = spark.createDataFrame([(1, d("2024-01-01"), "a", 5, 4)], f"{key}, predicted_quantity int, actual_quantity int")
+    new = spark.createDataFrame([(1, d("2024-01-01"), "a", 9, 0), (1, d("2024-01-01"), "a", 7, 1)], f"{key}, predicted_quantity int, seq int")
+    assert [tuple(r)[3:] for r in M.upsert_predictions(old, new, "seq").collect()] == [(7, 4)]
+    models = spark.createDataFrame([(1, 1, d("2024-01-02"), True)], "model_id long, business_id long, created_at date, is_active boolean")
+    entries = spark.createDataFrame([(1, d("2024-01-01"), "a", 90, 0), (1, d("2024-01-01"), "a", 2, 1)],
+                                    "business_id long, date date, item_name string, actual_quantity int, entry_seq int")
+    assert [r.actual_quantity for r in M.save_actuals(old, models, entries).collect()] == [2]
+    cols = "integration_id long, external_id string, business_id long, name string, category string, sku string, price double"
+    stored = spark.createDataFrame([(1, "p", 1, "old", "cat", "sku", 2.0, True, None), (1, "q", 1, None, None, None, None, True, None)],
+                                   f"{cols}, is_active boolean, updated_at timestamp")
+    sent = spark.createDataFrame([(1, "p", 1, "first", "cat", "s1", 3.0, 0), (1, "p", 1, "last", None, None, None, 1), (1, "q", 1, "named", None, None, 1.0, 0),
+                                  (1, "r", 1, "new", None, None, None, 0)], f"{cols}, seq int").withColumn("synced_at", F.lit(None).cast("timestamp"))
+    got = {r.external_id: (r.name, r.category, r.sku, r.price, r.is_new) for r in M.upsert_products(stored, sent, seq_col="seq").collect()}
+    assert got == {"p": ("last", None, None, None, False), "q": ("named", None, None, 1.0, False), "r": ("new", None, None, None, True)}
+
+
+def test_listing_limit_is_refused(spark):
+    df = spark.range(3).withColumnRenamed("id", "ts")
+    with pytest.raises(ValueError):
+        M.newest(df, "ts", 101)
+    assert M.newest(df, "ts", 2).count() == 2
+
+
+def test_csv_quotes_line_breaks_and_rejects(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('item,note,qty\n"12"" pizza","line1\nline2",2\n"x, y", z ,3\ntoo,many,fields,here\n')
+    good, bad = FL.read_csv_checked(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in good.collect()] == [('12" pizza', "line1\nline2", "2"), ("x, y", " z ", "3")]
+    assert good.count() == 2 and bad.count() == 1 and bad.first()._corrupt_record == "too,many,fields,here"
+
+
+def test_auto_compare_does_not_depend_on_batches_or_checkpoints(spark, tmp_path):
+    """The same key in several batches adds up; a second checkpoint goes on from the newest version; a failure is logged whole."""
+    from tillcast.streaming import orders as X
+    schema = "business_id long, date date, item_name string, quantity double"
+    models = spark.createDataFrame([(1, 1)], "model_id long, business_id long")
+    X.write_version(spark.createDataFrame([(1, d("2024-01-01"), "a", 5, None), (1, d("2024-03-01"), "a", 5, None)],
+                                          "model_id long, prediction_date date, item_name string, predicted_quantity int, actual_quantity int"),
+                    f"{tmp_path}/p", 0)
+
+    def run(rows, ck, models=models):
+        for r in rows:
+            spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in-{ck}")
+        feed = X.order_feed(spark, f"{tmp_path}/in-{ck}", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+        X.auto_compare_stream(feed, models, f"{tmp_path}/p", f"{tmp_path}/ledger", f"{tmp_path}/log", f"{tmp_path}/{ck}")
+        return {r.prediction_date: r.actual_quantity for r in X.current_predictions(spark, f"{tmp_path}/p").collect()}
+
+    assert run([(1, d("2024-01-01"), "a", 5.0), (1, d("2024-01-01"), "a", 2.0)], "one") == {d("2024-01-01"): 7, d("2024-03-01"): None}
+    assert run([(1, d("2024-03-01"), "a", 4.0), (1, d("2024-01-01"), "a", 1.0)], "two") == {d("2024-01-01"): 8, d("2024-03-01"): 4}
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert sorted(r.status for r in log.collect()) == ["completed"] * 4
+    assert log.agg(F.sum("late_rows")).first()[0] == 1      # January's row came after March's
+    with pytest.raises(Exception):
+        run([(1, d("2024-03-01"), "a", 4.0)], "three", models.select("model_id"))
+    failed = spark.read.parquet(f"{tmp_path}/log").where("status = 'failed'").first()
+    assert failed is not None and len(failed.error) > 0
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from tillcast import session
+    with pytest.raises(RuntimeError):
+        session._require_local("spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session._require_local("local-cluster[3,2,1024]")
+    session._require_local("local[8]")
