@@ -1,8 +1,8 @@
 """Arrow text columns as numpy byte blocks: words, hashes and window fingerprints.
 
 Every function here is a small per-block helper that runs inside Spark tasks
-(``mapInArrow``). A block is a run of whole documents of at most a few
-megabytes (one longer document is a block of its own), so task memory is
+(``mapInArrow``). A block is a run of whole documents of about
+``BLOCK_BYTES`` (one longer document is a block of its own), so task memory is
 bounded by the longest document and never by a partition.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17  # a block's arrays stay in the processor's cache
 
 # The byte classes of the contracts.
 SPACE = np.zeros(256, bool)

@@ -61,7 +61,7 @@ def _parser(width: int, trigger: int):
         if not len(at):
             z = np.zeros(0, np.uint64)
             i = np.zeros(0, np.int64)
-            return Parsed(z, i, i, i, z, z, lambda seg: [])
+            return Parsed(z, i, i, i, lambda seg: (z, z), lambda seg: [])
         values = byte_values(b.data)
         rolling = Prefix(values)
         h = rolling.windows(trigger)
@@ -79,7 +79,10 @@ def _parser(width: int, trigger: int):
         def pack(seg: np.ndarray) -> list[bytes]:
             return [raw[i:j].tobytes() for i, j in zip(a[seg].tolist(), z[seg].tolist(), strict=True)]
 
-        return Parsed(h[cut[head]], own, a - b.offsets[own], n, rolling.spans(a, z), Prefix(values, SECOND).spans(a, z), pack)
+        def prints(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return rolling.spans(a[seg], z[seg]), Prefix(values, SECOND).spans(a[seg], z[seg])
+
+        return Parsed(h[cut[head]], own, a - b.offsets[own], n, prints, pack)
     return parse
 
 

@@ -24,6 +24,7 @@ from .blocks import mix
 ROUNDS = 3
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _INDEX_BITS = np.uint64(24)
+_SALT = mix(np.arange(101, 165, dtype=np.uint64))  # splits the symbols of each round into left and right anew
 
 
 class Level(NamedTuple):
@@ -58,7 +59,7 @@ def _name_runs(lv: Level, first: np.ndarray) -> Level:
 
 def _name_pairs(lv: Level, first: np.ndarray, round_no: int) -> Level:
     n = len(lv.name)
-    is_left = (mix(lv.name + _B * np.uint64(round_no + 1)) & np.uint64(1)).astype(bool)
+    is_left = (mix(lv.name ^ _SALT[round_no]) & np.uint64(1)).astype(bool)
     opens = np.zeros(n, bool)
     opens[:-1] = is_left[:-1] & ~is_left[1:] & (lv.own[1:] == lv.own[:-1])
     second = np.zeros(n, bool)

@@ -31,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,8 @@ class Parsed(NamedTuple):
     own: np.ndarray    # document of the block
     start: np.ndarray  # first unit, counted in the document
     n: np.ndarray      # windows
-    f1: np.ndarray     # uint64 fingerprints of the covered units
-    f2: np.ndarray
-    pack: Callable[[np.ndarray], list[bytes]]  # segments -> what tells their windows apart
+    prints: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  # segments -> two uint64 fingerprints of the covered units
+    pack: Callable[[np.ndarray], list[bytes]]                       # segments -> what tells their windows apart
 
 
 class Units(NamedTuple):
@@ -168,18 +168,19 @@ def _shared_keys(source: DataFrame, units: Units) -> DataFrame:
 
     def emit(buf: _Buffer) -> pa.RecordBatch:
         key, doc, th = buf.take()
-        order = np.lexsort((th, doc, key))
+        order = np.argsort(key, kind="stable")       # a key's rows stay in reading order, so one document's lie together
         key, doc, th = key[order], doc[order], th[order]
         keep = _starts(key, doc, th)
         key, doc, th = key[keep], doc[keep], th[keep]
-        group = _group_of(_starts(key))
-        docs = np.bincount(group[_starts(key, doc)])
-        known = docs[group] > 1                      # shared inside this task already
-        rep = known & _starts(key)                   # one row still tells the other tasks
-        deal = np.where(known, mix(key ^ th.view(np.uint64)), key)
-        cols = [np.concatenate([c, c[rep]]) for c in (key, doc, th)]
-        return pa.record_batch({"deal": _i64(np.concatenate([deal, key[rep]])), "key": _i64(cols[0]), "doc_id": cols[1], "th": cols[2],
-                                "known": np.concatenate([known, np.zeros(rep.sum(), bool)])})
+        head = _starts(key)
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(key)))
+        other = np.add.reduceat(doc != np.repeat(doc[first], size), first)
+        known = np.repeat(other > 0, size)           # shared inside this task already
+        rep = known & head                           # one row still tells the other tasks
+        deal = np.concatenate([np.where(known, mix(key ^ th.view(np.uint64)), key), key[rep]])
+        found = pa.array(_i64(np.concatenate([key, key[rep]])), mask=np.concatenate([~known, np.ones(rep.sum(), bool)]))
+        return pa.record_batch({"deal": _i64(deal), "doc_id": np.concatenate([doc, doc[rep]]), "th": np.concatenate([th, th[rep]]), "known": found})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf = _Buffer()
@@ -190,22 +191,25 @@ def _shared_keys(source: DataFrame, units: Units) -> DataFrame:
         if buf.rows:
             yield emit(buf)
 
+    def told(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
+        return pa.record_batch({"doc_id": column(batch, "doc_id"), "th": column(batch, "th"), "key": column(batch, key)})
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _Stream()
         for batch in batches:
-            known = _np(batch, "known")
-            if known.any():
-                yield batch.filter(pa.array(known)).select(["doc_id", "th", "key"])
-                batch = batch.filter(pa.array(~known))
+            known = pc.is_valid(column(batch, "known"))
+            if pc.any(known).as_py():
+                yield told(batch.filter(known), "known")
+                batch = batch.filter(pc.invert(known))
             if batch.num_rows:
                 doc = _np(batch, "doc_id")
-                released, several, _ = state.feed(batch, _u64(batch, "key"), [doc], doc)
+                released, several, _ = state.feed(batch, _u64(batch, "deal"), [doc], doc)
                 for r in released:
-                    yield r.select(["doc_id", "th", "key"])
+                    yield told(r, "deal")
                 if several.any():
-                    yield batch.filter(pa.array(several)).select(["doc_id", "th", "key"])
+                    yield told(batch.filter(pa.array(several)), "deal")
 
-    rows = source.mapInArrow(scan, "deal long, key long, doc_id long, th long, known boolean")
+    rows = source.mapInArrow(scan, "deal long, doc_id long, th long, known long")  # known: the key, if shared already
     flagged = _dealt(rows, "doc_id").mapInArrow(meet, "doc_id long, th long, key long")
     return flagged.groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
 
@@ -246,7 +250,7 @@ def _segments(source: DataFrame, keys: DataFrame, units: Units) -> DataFrame:
         for b in blocks(batches):
             p = units.parse(b)
             at = np.flatnonzero(_member(p.own, p.key, column(b.rows, "keys")))
-            if len(at) and buf.add(p.key[at], p.f1[at], p.f2[at], _np(b.rows, "doc_id")[p.own[at]],
+            if len(at) and buf.add(p.key[at], *p.prints(at), _np(b.rows, "doc_id")[p.own[at]],
                                    _np(b.rows, "th")[p.own[at]], p.start[at], p.n[at]):
                 yield emit(buf)
         if buf.rows:
@@ -346,12 +350,18 @@ def _compare(parts: list[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBat
     ids = units.unfold(column(batch, "pack").to_pylist(), n)
     row = np.repeat(np.arange(len(n)), n)
     pos = start[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    key = _np(batch, "deal")[row]
-    order = np.lexsort((doc[row], *ids.T[::-1], key))
-    cols = [key[order], *(c[order] for c in ids.T)]
-    d = doc[row][order]
-    new = _starts(*cols)
-    hit = order[d > d[new][_group_of(new)]]
+    # a window whose fingerprint is alone has no equal; the rest are sorted exactly
+    mark = np.zeros(len(row), np.uint64)
+    for c in ids.T:
+        mark = mix(mark * np.uint64(0x9E3779B97F4A7C15) + c)
+    order = np.argsort(mark)
+    alone = _starts(mark[order])
+    alone[:-1] &= alone[1:].copy()
+    some = order[~alone]
+    some = some[np.lexsort((doc[row[some]], *ids[some].T[::-1]))]
+    d = doc[row[some]]
+    new = _starts(*ids[some].T) if len(some) else np.zeros(0, bool)
+    hit = some[d > d[new][_group_of(new)]] if len(some) else some
     if len(hit):
         hit.sort()
         new_run = _starts(row[hit], pos[hit] - np.arange(len(hit)))

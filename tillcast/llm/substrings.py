@@ -41,22 +41,25 @@ def _parser(width: int):
         if not len(at):
             z = np.zeros(0, np.uint64)
             i = np.zeros(0, np.int64)
-            return Parsed(z, i, i, i, z, z, lambda seg: [])
+            return Parsed(z, i, i, i, lambda seg: (z, z), lambda seg: [])
         own = owners(first)
         level, symbol, lo, hi = anchors(levels(h, first, own), at, width)
         new = np.ones(len(at), bool)
         new[1:] = (level[1:] != level[:-1]) | (symbol[1:] != symbol[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)
         n = np.diff(np.append(head, len(at)))
-        one, two = Prefix(h), Prefix(h, SECOND)
+        one = Prefix(h)
         key = mix(one.spans(lo[head], hi[head]) + level[head].astype(np.uint64))
         a, z = at[head], at[head] + n + width - 1
 
         def pack(seg: np.ndarray) -> list[bytes]:
-            w = np.stack([one.windows(width), two.windows(width)], axis=1)
+            w = np.stack([one.windows(width), Prefix(h, SECOND).windows(width)], axis=1)
             return [w[i:i + k].tobytes() for i, k in zip(a[seg].tolist(), n[seg].tolist(), strict=True)]
 
-        return Parsed(key, own[a], a - first[own[a]], n, one.spans(a, z), two.spans(a, z), pack)
+        def prints(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return one.spans(a[seg], z[seg]), Prefix(h, SECOND).spans(a[seg], z[seg])
+
+        return Parsed(key, own[a], a - first[own[a]], n, prints, pack)
     return parse
 
 
