@@ -397,3 +397,36 @@ def test_shared_folder_is_required_on_a_cluster():
     with pytest.raises(RuntimeError):
         session._require_local("local-cluster[3,2,1024]")
     session._require_local("local[8]")
+
+
+def test_codes_stay_when_a_new_item_joins(spark, tmp_path):
+    """A saved model scores with the codes it was fitted on; items it has not seen borrow a similar item's or the best seller's."""
+    from tillcast.plans import training as TR
+    rows = [(1, d("2024-01-01") + dt.timedelta(days=k), item, q, item[0]) for k in range(60) for item, q in (("a tea", 9.0), ("c cake", 2.0))]
+    sales = spark.createDataFrame(rows, "business_id long, date date, item_name string, quantity double, type string").withColumn("order_id", F.lit("o"))
+    res = TR.train(TR.training_frame(sales, pooled=False), tune=False, params={"maxIter": 3, "maxDepth": 2}, n_folds=2, sales=sales)
+    TR.save_model(res.artefact, f"{tmp_path}/m")
+    art = TR.load_model(spark, f"{tmp_path}/m")
+    assert {r.item_name: r.item_encoded for r in art.codes.collect()} == {"a tea": 0, "c cake": 1}
+    wanted = spark.createDataFrame([(1, "a tea"), (1, "b new"), (1, "c cake"), (1, "c cake xl")], "business_id long, item_name string")
+    codes = I.item_code_lookup(wanted.withColumnRenamed("item_name", "name"), art.codes, art.known, art.averages)
+    assert {r.name: r.item_encoded for r in codes.collect()} == {"a tea": 0, "b new": 0, "c cake": 1, "c cake xl": 1}
+    base = {(r.prediction_date, r.item_name): r.predicted_quantity for r in TR.forecast(art, days=3).collect()}
+    more = {(r.prediction_date, r.item_name): r.predicted_quantity for r in TR.forecast(art, days=3, items=wanted).collect()}
+    assert len(base) == 8 and len(more) == 16 and base.items() <= more.items()
+
+
+def test_search_candidates_are_distinct_and_empty_folds_do_not_win(spark):
+    from tillcast.plans import training as TR
+    grid = {"maxDepth": [1, 2], "maxIter": [1, 2, 3]}
+    cands = TR.sample_candidates(grid, 20)
+    assert len(cands) == 6 and len({str(c) for c in cands}) == 6
+    assert TR.sample_candidates(TR.SEARCH_GRID, 5) == TR.sample_candidates(TR.SEARCH_GRID, 5)
+
+
+def test_forecast_lags_need_few_exchanges(spark):
+    from tillcast.plans import forecast as FC
+    daily = spark.createDataFrame([(1, d("2024-03-01"), "a", 2.0)], "business_id long, date date, item_name string, quantity double")
+    grid = FC.forecast_grid(daily, 3).withColumnRenamed("prediction_date", "date")
+    plan = FC.forecast_lags(grid, daily)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 4  # the grid's own and one history expansion

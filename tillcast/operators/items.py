@@ -93,9 +93,9 @@ def price_stats(sales: DataFrame) -> DataFrame:
 
 
 def category_index(categories: DataFrame) -> DataFrame:
-    """A-13: category -> sorted item list (one row per category)."""
-    return (categories.groupBy("business_id", "category")
-            .agg(F.sort_array(F.collect_list("item_name")).alias("items")))
+    """A-13: category -> its items in order, one row per item with its position."""
+    w = Window.partitionBy("business_id", "category").orderBy("item_name")
+    return categories.select("business_id", "category", F.row_number().over(w).alias("pos"), "item_name")
 
 
 def category_average(daily: DataFrame, categories: DataFrame, value: str = "quantity") -> DataFrame:
@@ -123,17 +123,18 @@ def item_metadata(sales: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def hourly_patterns(timed: DataFrame, value: str = "quantity", time_col: str = "time") -> DataFrame:
-    """A-14 + A-15 in one pass: per (item, hour) and per hour over all items
-    (scope '_overall'), via grouping sets. Percentage of the scope's total,
-    half-even to 1 decimal; 0 when the total is not > 0."""
+    """A-14 + A-15: per (item, hour) from the raw rows, then per hour over all
+    items (scope '_overall') from those few rows. Percentage of the scope's
+    total, half-even to 1 decimal; 0 when the total is not > 0."""
     df, _ = with_business(timed)
     df = df.where(F.col("item_name").isNotNull()).withColumn("hour", parse_hour(time_col)).where(
         F.col("hour").isNotNull())
-    g = df.groupingSets([["business_id", "item_name", "hour"], ["business_id", "hour"]],
-                        "business_id", "item_name", "hour").agg(
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"), F.count(value).alias("count"),
-        F.avg(value).alias("mean"), F.grouping("item_name").alias("_g"))
-    g = g.withColumn("scope", F.when(F.col("_g") == 1, F.lit(OVERALL_SCOPE)).otherwise(F.col("item_name")))
+    per_item = df.groupBy("business_id", "item_name", "hour").agg(F.sum(value).alias("_sum"), F.count(value).alias("count"))
+    overall = per_item.groupBy("business_id", "hour").agg(F.sum("_sum").alias("_sum"), F.sum("count").alias("count"))
+    g = (per_item.withColumnRenamed("item_name", "scope")
+         .unionByName(overall.withColumn("scope", F.lit(OVERALL_SCOPE)))
+         .select("business_id", "scope", "hour", F.coalesce("_sum", F.lit(0.0)).alias("sum"), "count",
+                 F.when(F.col("count") > 0, F.col("_sum") / F.col("count")).alias("mean")))
     w = Window.partitionBy("business_id", "scope")  # <= 24 rows per scope
     total = F.sum("sum").over(w)
     pct = F.when(total > 0, F.bround(F.col("sum") / total * 100, 1)).otherwise(F.lit(0.0))
@@ -188,8 +189,9 @@ def item_code_lookup(names: DataFrame, codes: DataFrame, known: DataFrame,
     """J-21: name -> trained code; unknown -> similar item's code, else the code
     of the best seller (highest average daily quantity, name as tie-break),
     else -1. ``codes``: (business_id, item_name, item_encoded)."""
-    direct = names.join(codes.withColumnRenamed("item_name", "name"), ["business_id", "name"], "left")
-    sim = similar_items(names, known)
+    direct = names.select("business_id", "name").distinct().join(
+        codes.withColumnRenamed("item_name", "name"), ["business_id", "name"], "left")
+    sim = similar_items(direct.where(F.col("item_encoded").isNull()).select("business_id", "name"), known)
     sim_code = sim.join(codes.select("business_id", F.col("item_name").alias("similar_item"),
                                      F.col("item_encoded").alias("_sim_code")),
                         ["business_id", "similar_item"], "left")
@@ -207,8 +209,9 @@ def fallback_quantity(names: DataFrame, avg_daily: DataFrame, known: DataFrame,
                       category_avg: DataFrame, global_avg: DataFrame) -> DataFrame:
     """J-23: item's own average daily quantity -> similar item's category
     average -> business average."""
-    own = names.join(avg_daily.withColumnRenamed("item_name", "name"), ["business_id", "name"], "left")
-    sim = similar_items(names, known).join(
+    own = names.select("business_id", "name").distinct().join(
+        avg_daily.withColumnRenamed("item_name", "name"), ["business_id", "name"], "left")
+    sim = similar_items(own.where(F.col("avg_daily_qty").isNull()).select("business_id", "name"), known).join(
         category_avg.withColumnRenamed("category", "similar_category"),
         ["business_id", "similar_category"], "left")
     out = (own.join(sim.select("business_id", "name", "category_avg"), ["business_id", "name"], "left")

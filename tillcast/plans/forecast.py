@@ -3,10 +3,10 @@
 J-13, J-24, W-07, W-08, M-09.
 
 Calendar windows over the history (W-07: rows with d-7 <= h.date < d) are
-computed without a theta join: every history row is expanded to the (at most
-7 or 30) forecast dates whose window contains it, then equi-joined on
-(business, item, date) and aggregated. Work is history x window length, and a
-hot item never meets more than its own 60 days of history.
+computed without a theta join: every history row is expanded once to the (at
+most 30) forecast dates that see it and aggregated per (business, item, date).
+Work is history x 30, and a hot item never meets more than its own 60 days of
+history.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def forecast_grid(daily: DataFrame, days: int = 7, start=None, items: DataFrame
     its = items if items is not None else d.select(*KEYS).distinct()
     if start is None:
         last = d.groupBy("business_id").agg(F.date_add(F.max("date"), offset).alias("_start"))
-        its = its.join(F.broadcast(last), "business_id")
+        its = its.join(last, "business_id")
     else:
         its = its.withColumn("_start", F.to_date(F.lit(start)))
     return its.select("business_id", F.explode(F.sequence("_start", F.date_add("_start", days))).alias(
@@ -47,13 +47,22 @@ def naive_forecast(daily: DataFrame, days: int = 7) -> DataFrame:
         round_prediction("avg_daily_qty").alias("predicted_quantity"))
 
 
-def _window_stats(hist: DataFrame, span: int, prefix: str) -> DataFrame:
-    """Per (item, d): mean / sample std / count of history rows with d-span <= date < d."""
-    ex = hist.select(*KEYS, "quantity",
-                     F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", span))).alias("date"))
+def _calendar_lags(hist: DataFrame, grid: DataFrame) -> DataFrame:
+    """W-07 / J-24 in one aggregate: per (item, d) of the grid's span, mean / std
+    / count of the history of d-7..d-1, mean / count of d-30..d-1, and the
+    quantities of d-1 and d-7. Every history row is expanded once, to the at
+    most 30 forecast dates that can see it, and only to dates of the grid."""
+    span = grid.groupBy("business_id").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    first, last = F.greatest(F.date_add("date", 1), F.col("_lo")), F.least(F.date_add("date", 30), F.col("_hi"))
+    ex = (hist.join(span, "business_id").where(first <= last)
+          .select(*KEYS, "quantity", F.col("date").alias("_from"), F.explode(F.sequence(first, last)).alias("date"))
+          .withColumn("_ago", F.datediff("date", "_from")))
+    week = F.when(F.col("_ago") <= 7, F.col("quantity"))
     return ex.groupBy(*KEYS, "date").agg(
-        F.avg("quantity").alias(f"{prefix}_mean"), F.stddev_samp("quantity").alias(f"{prefix}_std"),
-        F.count("quantity").alias(f"{prefix}_n"))
+        F.avg(week).alias("r7_mean"), F.stddev_samp(week).alias("r7_std"), F.count(week).alias("r7_n"),
+        F.avg("quantity").alias("r30_mean"), F.count("quantity").alias("r30_n"),
+        F.max(F.when(F.col("_ago") == 1, F.col("quantity"))).alias("_q1"),
+        F.max(F.when(F.col("_ago") == 7, F.col("quantity"))).alias("_q7"))
 
 
 def forecast_lags(grid: DataFrame, daily: DataFrame, fallback: DataFrame | None = None,
@@ -70,18 +79,9 @@ def forecast_lags(grid: DataFrame, daily: DataFrame, fallback: DataFrame | None
     stats = hist.groupBy(*KEYS).agg(
         F.avg("quantity").alias("h_mean"), F.stddev_samp("quantity").alias("h_std"),
         F.count("quantity").alias("h_n"), F.max_by("quantity", "date").alias("h_last"))
-    r7 = _window_stats(hist, 7, "r7")
-    r30 = _window_stats(hist, 30, "r30").drop("r30_std")
-    # J-24: the value at d-1 / d-7 is an equi-join with history shifted forward
-    at1 = hist.select(*KEYS, F.date_add("date", 1).alias("date"), F.col("quantity").alias("_q1"))
-    at7 = hist.select(*KEYS, F.date_add("date", 7).alias("date"), F.col("quantity").alias("_q7"))
-    j = (g.join(stats, KEYS, "left")
-         .join(r7, [*KEYS, "date"], "left")
-         .join(r30, [*KEYS, "date"], "left")
-         .join(at1, [*KEYS, "date"], "left")
-         .join(at7, [*KEYS, "date"], "left"))
+    j = g.join(stats, KEYS, "left").join(_calendar_lags(hist, g), [*KEYS, "date"], "left")
     gmean = S.business_mean(daily, name="_gmean")
-    j = j.join(F.broadcast(gmean), "business_id", "left")
+    j = j.join(gmean, "business_id", "left")
     if fallback is not None:
         j = j.join(fallback.select(*KEYS, F.col("fallback_qty").alias("_fb")), KEYS, "left")
     else:

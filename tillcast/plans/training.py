@@ -18,26 +18,30 @@ import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ape, round_prediction
+from ..operators import items as I
 from ..operators import series as S
 from ..session import cut_lineage
 from ..util import with_business
-from .features import FEATURE_COLUMNS, Calendars, build_features, feature_names
+from .features import Calendars, build_features, feature_names
 from .forecast import forecast_grid, forecast_lags
 
 LABEL = "quantity"
 KEYS = ["business_id", "date", "item_name"]
 
-# Default boosting settings and the random-search grid.
-DEFAULT_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1}
+# Default boosting settings and the random-search grid. The item code
+# is one continuous column, so items share a bin beyond ``maxBins`` of them: pass a
+# larger value for a larger catalogue.
+DEFAULT_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "maxBins": 256}
 SEARCH_GRID = {
     "maxIter": [50, 100, 150, 200, 250],
     "maxDepth": [3, 4, 5, 6, 7, 8],
@@ -90,7 +94,7 @@ def gbt(params: dict | None = None, seed: int = 42) -> GBTRegressor:
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
     return GBTRegressor(featuresCol="features", labelCol=LABEL, predictionCol="prediction", seed=seed,
-                        lossType="squared", maxBins=64, **p)
+                        lossType="squared", **p)
 
 
 def fit(train: DataFrame, names: list[str], params: dict | None = None) -> PipelineModel:
@@ -114,7 +118,7 @@ def split_dates(df: DataFrame, test_size: float = 0.2) -> DataFrame:
 
 def chronological_split(df: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """W-11: rows before the split date train, the rest test."""
-    j = df.join(F.broadcast(split_dates(df, test_size)), "business_id")
+    j = df.join(split_dates(df, test_size), "business_id")
     return (j.where(F.col("date") < F.col("split_date")).drop("split_date"),
             j.where(F.col("date") >= F.col("split_date")).drop("split_date"))
 
@@ -136,7 +140,7 @@ def fold_bounds(df: DataFrame, n_folds: int = 3) -> DataFrame:
 
 
 def fold_frames(df: DataFrame, bounds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
-    b = F.broadcast(bounds.where(F.col("fold") == fold).drop("fold"))
+    b = bounds.where(F.col("fold") == fold).drop("fold")
     j = df.join(b, "business_id")
     train = j.where(F.col("date") < F.col("valid_start")).drop("valid_start", "valid_end")
     valid = j.where((F.col("date") >= F.col("valid_start")) & (F.col("date") < F.col("valid_end"))).drop(
@@ -165,49 +169,88 @@ class SearchResult:
     candidates: list[tuple[dict, float]] = field(default_factory=list)
 
 
-def random_search(df: DataFrame, names: list[str], n_iter: int | None = None, n_folds: int = 3,
-                  seed: int = 42, grid: dict | None = None, cap: dict | None = None) -> SearchResult:
-    """M-05 / M-06: random candidates scored by mean fold MAE on expanding
-    folds. n_iter defaults to max(5, min(20, rows // 50)). ``cap`` bounds
-    parameters (e.g. trees) for quick runs."""
-    grid = grid or SEARCH_GRID
-    if n_iter is None:
-        rows = df.count()
-        n_iter = max(5, min(20, rows // 50))
-    rng = random.Random(seed)
-    cands = []
-    for _ in range(n_iter):
-        c = {k: rng.choice(v) for k, v in grid.items()}
-        for k, v in (cap or {}).items():
-            c[k] = min(c[k], v)
-        cands.append(c)
+def sample_candidates(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
+    """``n_iter`` distinct combinations of the grid (all of them if there are fewer)."""
+    sizes = [len(v) for v in grid.values()]
+    total = math.prod(sizes)
+    out = []
+    for code in random.Random(seed).sample(range(total), min(n_iter, total)):
+        c = {}
+        for (k, values), n in zip(grid.items(), sizes, strict=True):
+            code, at = divmod(code, n)
+            c[k] = values[at]
+        out.append(c)
+    return out
+
+
+def _fold_scores(folds: list[tuple[DataFrame, DataFrame]], names: list[str], candidates: list[dict],
+                 parallelism: int) -> list[list[float]]:
+    """Validation MAE of every candidate on every fold; the fits are independent
+    Spark jobs and run ``parallelism`` at a time."""
+    jobs = [(c, tr, va) for c in candidates for tr, va in folds]
+    score = inheritable_thread_target(folds[0][0].sparkSession)(lambda job: mae_of(fit(job[1], names, job[0]), job[2]))
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        maes = pool.map(score, jobs, chunksize=1)
+    return [maes[k:k + len(folds)] for k in range(0, len(maes), len(folds))]
+
+
+def random_search(df: DataFrame, names: list[str], n_iter: int = 20, n_folds: int = 3, seed: int = 42,
+                  grid: dict | None = None, parallelism: int = 8) -> SearchResult:
+    """M-05 / M-06: ``n_iter`` distinct random candidates scored by mean fold MAE
+    on expanding folds. A fold without rows has no score and is left out of the
+    mean; a candidate without any score cannot win."""
+    cands = sample_candidates(grid or SEARCH_GRID, n_iter, seed)
     bounds = fold_bounds(df, n_folds)
     folds = [fold_frames(df, bounds, k) for k in range(1, n_folds + 1)]
     scored = []
-    best = None
-    for c in cands:
-        maes = [mae_of(fit(tr, names, c), va) for tr, va in folds]
-        mean = sum(maes) / len(maes)
-        scored.append((c, mean))
-        if best is None or mean < best[1]:
-            best = (c, mean, maes)
-    return SearchResult(best[0], best[2], scored)
+    for c, maes in zip(cands, _fold_scores(folds, names, cands, parallelism), strict=True):
+        some = [m for m in maes if not math.isnan(m)]
+        scored.append((c, sum(some) / len(some) if some else math.nan, maes))
+    able = [x for x in scored if not math.isnan(x[1])]
+    if not able:
+        raise ValueError("no fold has training and validation rows")
+    best = min(able, key=lambda x: x[1])
+    return SearchResult(best[0], best[2], [(c, m) for c, m, _ in scored])
 
 
 @dataclass
-class TrainResult:
+class Artefact:
+    """M-10: everything a forecast needs, saved and loaded as one folder."""
     model: PipelineModel
     names: list[str]
+    codes: DataFrame          # business_id, item_name, item_encoded: the codes the trees were fitted on
+    known: DataFrame          # business_id, item_name, category
+    averages: DataFrame       # business_id, item_name, avg_daily_qty
+    category_avg: DataFrame   # business_id, category, category_avg
+    history: DataFrame        # the last 60 days per business: business_id, date, item_name, quantity
+    hourly: DataFrame | None = None    # A-14 / A-15, where the sales have times
+    metadata: DataFrame | None = None  # per item: sizes, shares, prices
+
+
+_TABLES = ("codes", "known", "averages", "category_avg", "history", "hourly", "metadata")
+
+
+@dataclass
+class TrainResult:
+    artefact: Artefact
     metrics: DataFrame
     importance: DataFrame
     search: SearchResult | None
 
+    @property
+    def model(self) -> PipelineModel:
+        return self.artefact.model
 
-def cv_scores(df: DataFrame, names: list[str], params: dict | None, n_folds: int = 3) -> list[float]:
+    @property
+    def names(self) -> list[str]:
+        return self.artefact.names
+
+
+def cv_scores(df: DataFrame, names: list[str], params: dict | None, n_folds: int = 3, parallelism: int = 8) -> list[float]:
     """M-06: fold MAEs of one parameter set on expanding folds."""
     bounds = fold_bounds(df, n_folds)
-    return [mae_of(fit(tr, names, params), va)
-            for tr, va in (fold_frames(df, bounds, k) for k in range(1, n_folds + 1))]
+    folds = [fold_frames(df, bounds, k) for k in range(1, n_folds + 1)]
+    return _fold_scores(folds, names, [dict(params or {})], parallelism)[0]
 
 
 def feature_importance(model: PipelineModel, names: list[str]) -> DataFrame:
@@ -230,28 +273,23 @@ def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
 
 
 def train(frame: DataFrame, test_size: float = 0.2, tune: bool = True, n_folds: int = 3,
-          params: dict | None = None, n_iter: int | None = None, cap: dict | None = None,
-          min_rows_for_search: int = 100) -> TrainResult:
-    """M-13 (fit part): search (if enough rows) -> evaluate a model fitted on
-    the training split -> refit on all rows for serving."""
+          params: dict | None = None, n_iter: int = 20, parallelism: int = 8,
+          sales: DataFrame | None = None) -> TrainResult:
+    """M-13: search (``tune``) or cross-validation of ``params`` -> evaluate a
+    model fitted on the training split -> refit on all rows for serving ->
+    collect codes, averages, history and, from ``sales``, categories, item
+    metadata and hourly patterns beside the model."""
     names = model_features(frame)
     # many jobs re-read this frame (folds, candidates, refits): cut the long
-    # feature lineage with a reliable checkpoint in the shared folder
+    # feature lineage with a written table in the shared folder
     df = cut_lineage(prepare(frame, names))
     search = None
     best = dict(params or {})
-    if cap:
-        for k, v in cap.items():
-            if k in best:
-                best[k] = min(best[k], v)
-            elif k in DEFAULT_PARAMS:
-                best[k] = min(DEFAULT_PARAMS[k], v)
-    if tune and df.count() >= min_rows_for_search:
-        search = random_search(df, names, n_iter=n_iter, n_folds=n_folds, cap=cap)
-        best = search.best_params
-        folds = search.fold_maes
+    if tune:
+        search = random_search(df, names, n_iter=n_iter, n_folds=n_folds, parallelism=parallelism)
+        best, folds = search.best_params, search.fold_maes
     else:
-        folds = cv_scores(df, names, best, n_folds)
+        folds = cv_scores(df, names, best, n_folds, parallelism)
     train_df, test_df = chronological_split(df, test_size)
     eval_model = fit(train_df, names, best)
     tr = metrics(eval_model.transform(train_df)).first()
@@ -265,7 +303,20 @@ def train(frame: DataFrame, test_size: float = 0.2, tune: bool = True, n_folds:
         "train_mae double, test_mae double, train_mape double, test_mape double, training_rows long, "
         "test_rows long, cv_mae_mean double, cv_mae_std double")
     serving = fit(df, names, best)
-    return TrainResult(serving, names, summary, feature_importance(serving, names), search)
+    return TrainResult(_artefact(serving, names, df, sales), summary, feature_importance(serving, names), search)
+
+
+def _artefact(model: PipelineModel, names: list[str], df: DataFrame, sales: DataFrame | None) -> Artefact:
+    daily = df.select(*KEYS, F.col(LABEL).alias("quantity"))
+    codes = df.select("business_id", "item_name", F.col("item_encoded").cast("int").alias("item_encoded")).distinct()
+    if sales is not None and "type" in sales.columns:
+        known = I.item_category(sales)
+    else:
+        known = codes.select("business_id", "item_name", F.lit(I.DEFAULT_CATEGORY).alias("category"))
+    return Artefact(
+        model, names, codes, known, S.avg_daily_quantity(daily), I.category_average(daily, known), S.history_cutoff(daily, 60),
+        I.hourly_patterns(sales) if sales is not None and "time" in sales.columns else None,
+        I.item_metadata(sales, daily) if sales is not None and {"size", "unit_price", "type"} <= set(sales.columns) else None)
 
 
 def train_per_business(frame: DataFrame, business_ids, **kwargs) -> dict:
@@ -275,42 +326,45 @@ def train_per_business(frame: DataFrame, business_ids, **kwargs) -> dict:
     return {b: train(frame.where(F.col("business_id") == F.lit(b)), **kwargs) for b in business_ids}
 
 
-def forecast(model: PipelineModel, names: list[str], daily: DataFrame, days: int = 7,
-             cal: Calendars | None = None, start=None, items: DataFrame | None = None,
-             fallback: DataFrame | None = None) -> DataFrame:
-    """M-09: grid (J-13) -> features (M-01) -> history lags (J-24, W-07, W-08)
-    -> trees -> half-even round, floor 0 (F-18)."""
-    grid = forecast_grid(daily, days, start, items).withColumnRenamed("prediction_date", "date")
-    cal = cal or Calendars.for_data(daily.select("date").unionByName(grid.select("date")))
-    feats = build_features(grid, cal, codes=_codes_from(daily))
-    lags = forecast_lags(grid, daily, fallback)
-    frame = feats.join(lags, KEYS)
-    if "business_code" in names:
+def forecast(art: Artefact, days: int = 7, cal: Calendars | None = None, start=None,
+             items: DataFrame | None = None) -> DataFrame:
+    """M-09: grid (J-13) -> features (M-01) with the codes of the training run
+    -> history lags (J-24, W-07, W-08) -> trees -> half-even round, floor 0
+    (F-18). ``items``: (business_id, item_name) to forecast, all trained ones by
+    default; an item the model has not seen gets the code of a similar item or
+    of the best seller (J-21) and the fallback quantities of J-23."""
+    wanted = (items if items is not None else art.codes).select("business_id", "item_name").distinct()
+    grid = forecast_grid(art.history, days, start, wanted).withColumnRenamed("prediction_date", "date")
+    named = wanted.withColumnRenamed("item_name", "name")
+    codes = I.item_code_lookup(named, art.codes, art.known, art.averages).withColumnRenamed("name", "item_name")
+    fallback = I.fallback_quantity(named, art.averages, art.known, art.category_avg,
+                                   S.business_mean(art.history, name="global_avg")).withColumnRenamed("name", "item_name")
+    cal = cal or Calendars.for_data(art.history.select("date").unionByName(grid.select("date")))
+    feats = build_features(grid, cal, codes=codes)
+    frame = feats.join(forecast_lags(grid, art.history, fallback), KEYS)
+    if "business_code" in art.names:
         frame = frame.withColumn("business_code", F.col("business_id").cast("double"))
-    scored = model.transform(prepare(frame, names))
+    scored = art.model.transform(prepare(frame, art.names))
     return scored.select("business_id", F.col("date").alias("prediction_date"), "item_name",
                          round_prediction("prediction").alias("predicted_quantity"))
 
 
-def _codes_from(daily: DataFrame) -> DataFrame:
-    from .features import item_codes
-    return item_codes(daily)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    """M-10: persist the fitted pipeline (assembler + trees)."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-def features_as_array(df: DataFrame) -> DataFrame:
-    return df.withColumn("features", vector_to_array("features"))
+def save_model(art: Artefact, path: str) -> None:
+    """M-10: the fitted pipeline, its feature names and the tables of the training run."""
+    spark = art.codes.sparkSession
+    art.model.write().overwrite().save(f"{path}/pipeline")
+    spark.createDataFrame(list(enumerate(art.names)), "place int, name string").write.mode("overwrite").parquet(f"{path}/names")
+    saved = [t for t in _TABLES if getattr(art, t) is not None]
+    spark.createDataFrame([(t,) for t in saved], "name string").write.mode("overwrite").parquet(f"{path}/tables")
+    for t in saved:
+        getattr(art, t).write.mode("overwrite").parquet(f"{path}/{t}")
 
 
-__all__ = ["FEATURE_COLUMNS", "train", "forecast", "random_search", "chronological_split", "fold_bounds"]
+def load_model(spark, path: str) -> Artefact:
+    names = [r.name for r in spark.read.parquet(f"{path}/names").orderBy("place").collect()]  # one row a feature
+    saved = {r.name for r in spark.read.parquet(f"{path}/tables").collect()}
+    return Artefact(PipelineModel.load(f"{path}/pipeline"), names,
+                    **{t: spark.read.parquet(f"{path}/{t}") if t in saved else None for t in _TABLES})
 
 
 # ---------------------------------------------------------------- positional (Q5)

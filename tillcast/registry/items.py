@@ -92,9 +92,7 @@ def price_stats(spark, sf_dir):
 SELECT business_id, category, CAST(row_number() OVER (PARTITION BY business_id, category ORDER BY item_name)
        AS INTEGER) AS pos, item_name FROM cat""")
 def category_index(spark, sf_dir):
-    idx = I.category_index(I.item_category(T.sales(spark, sf_dir)))
-    return idx.select("business_id", "category", F.posexplode("items").alias("pos", "item_name")).withColumn(
-        "pos", (F.col("pos") + 1).cast("int"))
+    return I.category_index(I.item_category(T.sales(spark, sf_dir)))
 
 
 @query("A14_A15_hourly_patterns", T.with_ctes(T.TIMED_SALES_SQL) + """,
