@@ -13,6 +13,7 @@ from ..functions import scalars as X
 from ..operators import calendar_joins as J
 from ..plans import features as FE
 from ..sources import calendars as C
+from ..sources import derived as V
 from ..sources import tables as T
 from ..util import round_doubles
 from . import query
@@ -49,22 +50,6 @@ def school_calendar(spark, sf_dir):
     return _cal(spark, sf_dir)[1].school
 
 
-@query("S20_holiday_calendar", _CAL + "SELECT date, name, type FROM holidays")
-def holiday_calendar(spark, sf_dir):
-    return _cal(spark, sf_dir)[1].holidays.drop("seq")
-
-
-@query("S21_games_calendar", _CAL + "SELECT date, name, home_team, away_team, venue FROM games")
-def games_calendar(spark, sf_dir):
-    return _cal(spark, sf_dir)[1].games
-
-
-@query("S19_weather_calendar", _CAL + """
-SELECT date, temp_max, temp_min, precipitation, weather_code FROM weather""")
-def weather_calendar(spark, sf_dir):
-    return _cal(spark, sf_dir)[1].weather
-
-
 # ------------------------------------------------------------ date / time functions
 
 @query("F01_F02_date_parts", _CAL + """
@@ -126,13 +111,13 @@ def parse_hour(spark, sf_dir):
     return ts.select("order_id", D.parse_hour("time").alias("hour"))
 
 
-@query("F10_weather_type", _CAL + """
+@query("F10_weather_type", T.with_ctes(V.DERIVED_SQL) + """
 SELECT date, CASE WHEN COALESCE(precipitation, 0) > 10 THEN 'rain'
   WHEN COALESCE(temp_max, 70) > 95 OR COALESCE(temp_min, 50) < 20 THEN 'extreme_temp'
   ELSE 'normal' END AS weather_type
-FROM weather""")
+FROM d_weather""")
 def weather_type(spark, sf_dir):
-    w = _cal(spark, sf_dir)[1].weather
+    w = V.daily_weather(spark, sf_dir)
     return w.select("date", X.weather_type("precipitation", "temp_max", "temp_min").alias("weather_type"))
 
 
@@ -140,10 +125,10 @@ _WMO_CASE = "CASE weather_code " + " ".join(
     f"WHEN {k} THEN '{v}'" for k, v in X.WEATHER_CODES.items()) + " ELSE 'Unknown' END"
 
 
-@query("F11_weather_description", _CAL + f"""
-SELECT date, weather_code, {_WMO_CASE} AS description FROM weather""")
+@query("F11_weather_description", T.with_ctes(V.DERIVED_SQL) + f"""
+SELECT date, weather_code, {_WMO_CASE} AS description FROM d_weather""")
 def weather_description(spark, sf_dir):
-    w = _cal(spark, sf_dir)[1].weather
+    w = V.daily_weather(spark, sf_dir)
     return w.select("date", "weather_code", X.weather_description("weather_code").alias("description"))
 
 

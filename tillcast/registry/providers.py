@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merges as M
-from ..plans.features import Calendars
 from ..sources import calendars as C
 from ..sources import documents as D
 from ..sources import providers as P
+from ..sources import derived as V
 from ..sources import tables as T
 from ..util import round_doubles
 from . import query
@@ -103,27 +103,24 @@ def clover_products(spark, sf_dir):
     return round_doubles(P.flatten_clover_products(D.clover_items(spark, sf_dir)))
 
 
-_CAL = T.with_ctes(T.SALES_SQL, *C.ALL_CALENDARS_SQL)
+_DER = T.with_ctes(V.DERIVED_SQL)
 
 
-@query("S19_weather_to_rows", _CAL + "SELECT date, temp_max, temp_min, precipitation, weather_code FROM weather")
+@query("S19_weather_to_rows", _DER + "SELECT date, temp_max, temp_min, precipitation, weather_code FROM d_weather")
 def weather_to_rows(spark, sf_dir):
-    cal = Calendars.for_data(T.sales(spark, sf_dir))
-    return P.weather_to_rows(D.weather_docs(cal.weather)).drop("month")
+    return P.weather_to_rows(D.weather_docs(V.daily_weather(spark, sf_dir))).drop("month")
 
 
-@query("S20_normalize_holidays", _CAL + "SELECT date, name, type FROM holidays")
+@query("S20_normalize_holidays", _DER + "SELECT date, name, type FROM d_holidays")
 def normalize_holidays(spark, sf_dir):
-    cal = Calendars.for_data(T.sales(spark, sf_dir))
-    return P.normalize_holidays(D.holiday_docs(cal.holidays)).select("date", "name", "type")
+    return P.normalize_holidays(D.holiday_docs(V.monthly_holidays(spark, sf_dir))).select("date", "name", "type")
 
 
-@query("S21_normalize_games", _CAL + """
+@query("S21_normalize_games", _DER + """
 SELECT date, name, 'Home' AS home_team, CASE WHEN month(date) = 1 THEN '' ELSE 'Away' END AS away_team, venue
-FROM games""")
+FROM d_games""")
 def normalize_games(spark, sf_dir):
-    cal = Calendars.for_data(T.sales(spark, sf_dir))
-    return P.normalize_games(D.games_docs(cal.games)).drop("year")
+    return P.normalize_games(D.games_docs(V.daily_games(spark, sf_dir))).drop("year")
 
 
 @query("S25_orders_to_sales", _ORD + f"""

@@ -14,6 +14,7 @@ from ..operators import series as S
 from ..plans import forecast as FC
 from ..plans.features import Calendars
 from ..sources import calendars as C
+from ..sources import derived as V
 from ..sources import tables as T
 from ..util import round_doubles
 from . import query
@@ -110,16 +111,16 @@ def weekday_profile(spark, sf_dir):
     return round_doubles(R.weekday_profile(_scored(spark, sf_dir)))
 
 
-@query("A23_source_row_counts", T.with_ctes(T.SALES_SQL, *C.ALL_CALENDARS_SQL) + """
-SELECT 'weather' AS source, COUNT(*) AS rows FROM weather
-UNION ALL SELECT 'holidays', COUNT(*) FROM holidays
-UNION ALL SELECT 'sports', COUNT(*) FROM games
+@query("A23_source_row_counts", T.with_ctes(T.SALES_SQL, *C.ALL_CALENDARS_SQL, V.DERIVED_SQL) + """
+SELECT 'weather' AS source, COUNT(*) AS rows FROM d_weather
+UNION ALL SELECT 'holidays', COUNT(*) FROM d_holidays
+UNION ALL SELECT 'sports', COUNT(*) FROM d_games
 UNION ALL SELECT 'paydays', COUNT(*) FROM paydays
 UNION ALL SELECT 'school', COUNT(*) FROM school""")
 def source_row_counts(spark, sf_dir):
     cal = Calendars.for_data(T.sales(spark, sf_dir))
-    return R.source_row_counts({"weather": cal.weather, "holidays": cal.holidays, "sports": cal.games,
-                                "paydays": cal.paydays, "school": cal.school})
+    return R.source_row_counts({"weather": V.daily_weather(spark, sf_dir), "holidays": V.monthly_holidays(spark, sf_dir),
+                                "sports": V.daily_games(spark, sf_dir), "paydays": cal.paydays, "school": cal.school})
 
 
 _FC = T.with_ctes(T.SALES_SQL, T.daily_sales_sql()).rstrip() + """,
