@@ -430,3 +430,24 @@ def test_forecast_lags_need_few_exchanges(spark):
     grid = FC.forecast_grid(daily, 3).withColumnRenamed("prediction_date", "date")
     plan = FC.forecast_lags(grid, daily)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") <= 4  # the grid's own and one history expansion
+
+
+def test_prices_below_a_cent_count(spark):
+    rows = [(1, d("2024-01-01"), "a", q, "s", 0.004, "t", f"o{k}") for k, q in enumerate((1.0, 2.0))]
+    sales = spark.createDataFrame(rows, "business_id long, date date, item_name string, quantity double, size string, unit_price double, type string, order_id string")
+    pred = spark.createDataFrame([(1, "a", 10)], "business_id long, item_name string, predicted_quantity int")
+    r = I.expand_by_size(pred, I.item_profile(sales), I.size_profile(sales)).first()
+    assert r.unit_price == 0.0 and r.predicted_revenue == 0.04
+    one = spark.createDataFrame([(1,)], "k int").select(*[
+        I.money(F.lit(t).cast("decimal(28,6)"), F.lit(n)).alias(f"c{i}")
+        for i, (t, n) in enumerate((("0.05", 2), ("0.03", 2), ("3.044999", 3), ("-0.05", 2)))]).first()
+    assert tuple(one) == (0.02, 0.02, 1.01, -0.02)
+
+
+def test_profiles_hash_aggregate_raw_rows(spark):
+    sales = spark.createDataFrame([], "business_id long, date date, item_name string, type string, order_id string, size string, quantity double, unit_price double, time string")
+    for df in (I.hourly_patterns(sales), I.item_size_stats(sales)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Expand" not in plan
+    raw = I.item_category(sales)._jdf.queryExecution().sparkPlan().toString()
+    assert raw.count("SortAggregate") <= 2      # the one day's pick, partial and final

@@ -75,6 +75,14 @@ def safe_parse_date(text) -> Column:
                         ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd")]).cast("date")
 
 
+def dated(df, text_col: str, name: str = "date"):
+    """S-10: (rows with ``name`` parsed, rows whose non-empty text fits no
+    layout), so that bad dates are reported instead of becoming NULL."""
+    out = df.withColumn(name, safe_parse_date(text_col))
+    bad = F.col(name).isNull() & (F.trim(F.col(text_col).cast("string")) != "")
+    return out.where(~F.coalesce(bad, F.lit(False))), out.where(bad).drop(name)
+
+
 def parse_hour(time_text) -> Column:
     """F-09: hour of day from 'HH:mm', 'HH:mm:ss', 'h:mm a' or a full timestamp."""
     t = F.trim(col_of(time_text).cast("string"))

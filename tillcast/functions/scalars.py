@@ -38,11 +38,6 @@ def weather_description(code) -> Column:
     return F.coalesce(F.try_element_at(mapping, col_of(code).cast("int")), F.lit("Unknown"))
 
 
-def clip_days(days, cap: int) -> Column:
-    """F-12: distance bounded to [0, cap]; missing -> cap."""
-    return F.coalesce(F.least(F.greatest(col_of(days), F.lit(0)), F.lit(cap)), F.lit(cap))
-
-
 def expected_range(mean, std) -> Column:
     """F-13: 'max(0, mean-2std) - mean+2std' with no decimals."""
     m, s = col_of(mean), col_of(std)
@@ -57,23 +52,31 @@ def z_score(value, mean, std) -> Column:
     return F.abs(col_of(value) - col_of(mean)) / F.nullif(col_of(std), F.lit(0.0))
 
 
+# Data quality grades and advice texts.
+GRADES = ("no_data", "excellent", "good", "fair", "poor")
+ADVICE_MISSING = "Too many missing dates. Fill gaps before training."
+ADVICE_OUTLIERS = "High number of outliers. Review flagged data points before training."
+ADVICE_SOME = "Found %d outliers. Review them, but okay to proceed with training."
+ADVICE_CLEAN = "Data looks clean. Ready for training."
+
+
 def quality_grade(anomaly_count, total_rows) -> Column:
     """F-15: data quality grade from the anomaly rate."""
     rate = col_of(anomaly_count) / col_of(total_rows)
-    return (F.when(col_of(total_rows) == 0, F.lit("no_data"))
-            .when(rate < 0.01, F.lit("excellent"))
-            .when(rate < 0.03, F.lit("good"))
-            .when(rate < 0.05, F.lit("fair"))
-            .otherwise(F.lit("poor")))
+    return (F.when(col_of(total_rows) == 0, F.lit(GRADES[0]))
+            .when(rate < 0.01, F.lit(GRADES[1]))
+            .when(rate < 0.03, F.lit(GRADES[2]))
+            .when(rate < 0.05, F.lit(GRADES[3]))
+            .otherwise(F.lit(GRADES[4])))
 
 
 def recommendation(outlier_count, missing_count, total_rows) -> Column:
     """F-16: advice text; checks run in the reference's order."""
     o, m, n = col_of(outlier_count), col_of(missing_count), col_of(total_rows)
-    return (F.when(m > n * 0.1, F.lit("Too many missing dates. Fill gaps before training."))
-            .when(o > n * 0.05, F.lit("High number of outliers. Review flagged data points before training."))
-            .when(o > 0, F.format_string("Found %d outliers. Review them, but okay to proceed with training.", o))
-            .otherwise(F.lit("Data looks clean. Ready for training.")))
+    return (F.when(m > n * 0.1, F.lit(ADVICE_MISSING))
+            .when(o > n * 0.05, F.lit(ADVICE_OUTLIERS))
+            .when(o > 0, F.format_string(ADVICE_SOME, o))
+            .otherwise(F.lit(ADVICE_CLEAN)))
 
 
 def ape(actual, predicted, skip_nonpositive: bool = False) -> Column:
@@ -109,7 +112,7 @@ def display_name(name) -> Column:
     spaced = F.regexp_replace(n, "_", " ")
     words = F.split(spaced, " ", -1)
     titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
-                                                                  F.substring(w, 2, 1 << 20))), " ")
+                                                                  F.substr(w, F.lit(2)))), " ")
     return F.coalesce(F.try_element_at(mapping, n), titled)
 
 
@@ -123,11 +126,6 @@ def valid_business_type(btype) -> Column:
     return col_of(btype).isin(*BUSINESS_TYPES)
 
 
-def revenue(quantity, price) -> Column:
-    """F-26: quantity x price rounded to 2 (half-even, as the reference's round)."""
-    return F.bround(col_of(quantity) * col_of(price), 2)
-
-
 def line_measures(unit_price, unit_cost, quantity) -> dict[str, Column]:
     """F-27: line revenue, line cost and gross margin, each rounded to 2."""
     rev = F.bround(col_of(unit_price) * col_of(quantity), 2)

@@ -42,19 +42,25 @@ def fill_weather(df: DataFrame, date_col: str = "date") -> DataFrame:
     """W-09: NULL weather := mean of the same month (over this business's rows),
     then the business-wide median of the result, then 70 / 50 / 0 / 0 (Q21).
 
-    The month means are one row per (business, month) and the medians one row
-    per business. ``median`` is Spark's exact percentile, which aggregates a
-    value -> count map, so its memory follows the number of distinct weather
-    values (at most one per day), not the number of rows.
+    The rows are first counted per (business, date and weather), a table of the
+    days' size; means and medians are its weighted ones. The median is Spark's
+    exact percentile, whose value -> count map follows the number of distinct
+    weather values (at most one per day).
     """
     base, added = with_business(df)
     base = base.withColumn("_month", F.month(date_col))
-    monthly = base.groupBy("business_id", "_month").agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in WEATHER_COLS])
-    step1 = base.join(F.broadcast(monthly), ["business_id", "_month"], "left")
-    step1 = step1.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in WEATHER_COLS})
-    medians = step1.groupBy("business_id").agg(*[F.median(c).alias(f"_q_{c}") for c in WEATHER_COLS])
-    step2 = step1.join(F.broadcast(medians), "business_id", "left")
+    days = base.groupBy("business_id", "_month", F.col(date_col).alias("_wday"), *WEATHER_COLS).agg(F.count("*").alias("_n"))
+    monthly = days.groupBy("business_id", "_month").agg(*[
+        (F.sum(F.col(c).cast("double") * F.col("_n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("_n")))).alias(f"_m_{c}")
+        for c in WEATHER_COLS])
+
+    def filled(frame: DataFrame) -> DataFrame:
+        joined = frame.join(monthly, ["business_id", "_month"], "left")
+        return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in WEATHER_COLS})
+
+    medians = filled(days).groupBy("business_id").agg(
+        *[F.percentile(c, F.lit(0.5), F.col("_n")).alias(f"_q_{c}") for c in WEATHER_COLS])
+    step2 = filled(base).join(medians, "business_id", "left")
     step2 = step2.withColumns({c: F.coalesce(F.col(c), F.col(f"_q_{c}"), F.lit(WEATHER_DEFAULTS[c]))
                                for c in WEATHER_COLS})
     drop = ["_month"] + [f"_m_{c}" for c in WEATHER_COLS] + [f"_q_{c}" for c in WEATHER_COLS]
@@ -146,7 +152,7 @@ def overlapping(events: DataFrame, windows: DataFrame, start_col: str = "start_d
     ev = events.select("*", F.explode(F.sequence(F.col(start_col), e_end)).alias("_day"))
     wd = windows.select("window_start", "window_end",
                         F.explode(F.sequence("window_start", "window_end")).alias("_day"))
-    return ev.join(F.broadcast(wd), "_day").drop("_day").distinct()
+    return ev.join(wd, "_day").drop("_day").distinct()
 
 
 def month_windows(frame: DataFrame, date_col: str = "date") -> DataFrame:
@@ -166,7 +172,7 @@ def events_for_window(windows: DataFrame, holidays: DataFrame, games: DataFrame,
                            F.explode(F.sequence("window_start", "window_end")).alias("date"))
 
     def one_day(df: DataFrame, kind: str, name: Column, typ: Column) -> DataFrame:
-        return df.join(F.broadcast(wdays), "date").select(
+        return df.join(wdays, "date").select(
             "window_start", F.lit(kind).alias("kind"), F.col("date").alias("start_date"),
             F.col("date").alias("end_date"), name.alias("name"), typ.alias("type"))
 
@@ -180,7 +186,7 @@ def events_for_window(windows: DataFrame, holidays: DataFrame, games: DataFrame,
     ]
     if weather is not None:
         w14 = wdays.where(F.col("date") < F.date_add("window_start", max_weather_days))
-        parts.append(weather.join(F.broadcast(w14), "date").select(
+        parts.append(weather.join(w14, "date").select(
             "window_start", F.lit("weather").alias("kind"), F.col("date").alias("start_date"),
             F.col("date").alias("end_date"), F.col("weather_code").cast("string").alias("name"),
             F.lit("weather").alias("type")))

@@ -9,8 +9,6 @@ one entry per distinct size of an item: bounded by the catalogue, not by sales.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def item_size_stats(sales: DataFrame, value: str | None = "quantity") -> DataFra
         F.coalesce(F.sum(measure), F.lit(0.0)).cast("double").alias("qty"),
         F.sum("unit_price").alias("price_sum"), F.count("unit_price").alias("price_n"),
         F.min("unit_price").alias("price_min"), F.max("unit_price").alias("price_max"),
-        F.sum(F.round(F.col("unit_price") * 100).cast("long")).alias("price_cents"))
+        F.sum(F.col("unit_price").cast("decimal(18,6)")).alias("price_total"))
 
 
 def _items(stats: DataFrame):
@@ -49,9 +47,15 @@ def item_category(sales: DataFrame) -> DataFrame:
     """A-06: first non-NULL ``type`` of each item, 'first' = earliest by
     (date, order_id, type) (Q27). Items without any type get 'Other'."""
     df, _ = with_business(sales)
-    order = F.when(F.col("type").isNotNull(), F.struct("date", "order_id", "type"))
-    return (df.where(F.col("item_name").isNotNull()).groupBy("business_id", "item_name")
-            .agg(F.min_by(F.col("type"), order).alias("category"))
+    # the earliest date is a fixed-width hash aggregate over all rows; only that
+    # day's rows meet the string-ordered pick
+    named = df.where(F.col("item_name").isNotNull()).select("business_id", "item_name", "type", "date", "order_id")
+    per_item = named.groupBy("business_id", "item_name").agg(
+        F.min(F.when(F.col("type").isNotNull(), F.col("date"))).alias("_first"))
+    day = (named.where(F.col("type").isNotNull()).join(per_item, ["business_id", "item_name"])
+           .where(F.col("date").eqNullSafe(F.col("_first")))
+           .groupBy("business_id", "item_name").agg(F.min_by("type", F.struct("order_id", "type")).alias("category")))
+    return (per_item.drop("_first").join(day, ["business_id", "item_name"], "left")
             .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))))
 
 
@@ -222,19 +226,20 @@ def fallback_quantity(names: DataFrame, avg_daily: DataFrame, known: DataFrame,
 
 # ---------------------------------------------------------------- size expansion
 
-def _cents(price: Column) -> Column:
-    return F.round(price * 100).cast("long")
-
-
-def money(cents_sum: Column, n: Column, qty: Column | None = None) -> Column:
-    """Half-even to whole cents of (qty x) sum / n, from integer cents: exact,
-    so the result does not depend on summation order across partitions."""
-    num = cents_sum if qty is None else qty.cast("long") * cents_sum
-    return F.bround(num / n, 0) / 100
+def money(total: Column, n: Column, qty: Column | None = None) -> Column:
+    """Half-even to whole cents of (qty x) total / n, ``total`` an exact decimal
+    sum of the given prices: the division is done with remainders, so neither
+    summation order nor a rounded quotient can turn a tie."""
+    cents = total * F.lit(100) if qty is None else total * F.lit(100) * qty.cast("decimal(10,0)")
+    count = n.cast("decimal(20,0)")
+    rest = F.pmod(cents, count)
+    whole = ((cents - rest) / count).cast("decimal(38,0)")
+    up = (rest * 2 > count) | ((rest * 2 == count) & (F.pmod(whole, F.lit(2)) == 1))
+    return (whole + F.when(up, 1).otherwise(0)).cast("double") / 100
 
 
 def size_profile(sales: DataFrame, value: str | None = "quantity", stats: DataFrame | None = None) -> DataFrame:
-    """Per (item, size): quantity share (A-09) and the price as integer cents
+    """Per (item, size): quantity share (A-09) and the price as exact
     sum + count (A-10), one row per size. ``stats``: a precomputed
     ``item_size_stats`` (e.g. materialised once for several profiles)."""
     st = stats if stats is not None else item_size_stats(sales, value)
@@ -242,12 +247,12 @@ def size_profile(sales: DataFrame, value: str | None = "quantity", stats: DataFr
     return (st.withColumn("_total", F.sum("qty").over(w))
             .where(F.col("size").isNotNull() & (F.col("_total") > 0))
             .select("business_id", "item_name", "size", (F.col("qty") / F.col("_total")).alias("share"),
-                    "price_cents", "price_n"))
+                    "price_total", "price_n"))
 
 
 def item_profile(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Per item: category (A-06), sizes (A-07), primary size (A-08), number of
-    size shares and the item price as integer cents sum + count (A-11), all
+    size shares and the item price as exact sum + count (A-11), all
     from the one (item, size) aggregate."""
     st = stats if stats is not None else item_size_stats(sales)
     w = Window.partitionBy("business_id", "item_name")
@@ -258,7 +263,7 @@ def item_profile(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         F.min_by(F.when(sized, F.col("size")), F.when(sized, F.struct(-F.col("rows"), F.col("size"))))
         .alias("primary_size"),
         F.count(F.when(sized & (F.col("_total") > 0), 1)).alias("n_sizes"),
-        F.sum("price_cents").alias("item_cents"), F.sum("price_n").alias("item_n"))
+        F.sum("price_total").alias("item_total"), F.sum("price_n").alias("item_n"))
     return item_category(sales).join(prof, ["business_id", "item_name"])
 
 
@@ -277,25 +282,22 @@ def expand_by_size(predictions: DataFrame, items: DataFrame, sizes: DataFrame,
     multi = F.coalesce(F.col("n_sizes"), F.lit(0)) > 1
     many = j.where(multi).join(sizes, keys)
     use_size = F.col("price_n") > 0
-    cents = F.when(use_size, F.col("price_cents")).otherwise(F.col("item_cents"))
+    total = F.when(use_size, F.col("price_total")).otherwise(F.col("item_total"))
     n = F.when(use_size, F.col("price_n")).otherwise(F.col("item_n"))
     qty = F.greatest(F.lit(1), F.bround(F.col(qty_col) * F.col("share"), 0).cast("int"))
-    nonzero = cents != 0
+    nonzero = total != 0
     many = many.select(
         *base, qty.alias(qty_col), "size",
-        F.when(nonzero, money(cents, n)).alias("unit_price"),
-        F.when(nonzero, money(cents, n, qty)).alias("predicted_revenue"),
+        F.when(nonzero, money(total, n)).alias("unit_price"),
+        F.when(nonzero, money(total, n, qty)).alias("predicted_revenue"),
         "category", F.coalesce("sizes", F.array().cast("array<string>")).alias("available_sizes"),
         F.bround(F.col("share") * 100, 1).alias("size_proportion"))
     has_price = F.coalesce(F.col("item_n"), F.lit(0)) > 0
     one = j.where(~multi).select(
         *base, F.col(qty_col), F.col("primary_size").alias("size"),
-        F.when(has_price, money(F.col("item_cents"), F.col("item_n"))).alias("unit_price"),
-        F.when(has_price, money(F.col("item_cents"), F.col("item_n"), F.col(qty_col))).alias("predicted_revenue"),
+        F.when(has_price, money(F.col("item_total"), F.col("item_n"))).alias("unit_price"),
+        F.when(has_price, money(F.col("item_total"), F.col("item_n"), F.col(qty_col))).alias("predicted_revenue"),
         "category", F.coalesce("sizes", F.array().cast("array<string>")).alias("available_sizes"),
         F.lit(None).cast("double").alias("size_proportion"))
     return many.unionByName(one)
 
-
-def keys_for(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [k for k in keys if k in df.columns]

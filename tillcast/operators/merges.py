@@ -160,8 +160,7 @@ def activate_model(models: DataFrame, model_id: int | DataFrame | None = None) -
         target = model_id.join(models.select("model_id", "business_id"), "model_id").select(
             "business_id", F.col("model_id").alias("_target"))
     elif model_id is not None:
-        target = F.broadcast(models.where(F.col("model_id") == model_id).select(
-            "business_id", F.col("model_id").alias("_target")))
+        target = models.where(F.col("model_id") == model_id).select("business_id", F.col("model_id").alias("_target"))
     else:
         target = models.groupBy("business_id").agg(
             F.max_by("model_id", F.struct("created_at", "model_id")).alias("_target"))

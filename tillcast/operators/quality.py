@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import time_block_or_default
 from ..functions.dates import day_name
-from ..functions.scalars import expected_range, quality_grade, recommendation, weather_type
+from ..functions.scalars import expected_range, quality_grade, recommendation, weather_type, z_score
 from ..operators import calendar_joins as J
 from ..util import with_business
 
@@ -76,8 +76,8 @@ def grouped_outliers(ctx: DataFrame, z_threshold: float = 2.5, min_rows: int = 4
     stats = group_stats(df, value)
     keys = ["business_id", *GROUP_COLUMNS]
     j = df.join(stats, keys)
-    z = F.abs(F.col(value) - F.col("group_mean")) / F.col("group_std")
-    flagged = j.where((F.col("group_rows") >= min_rows) & (F.col("group_std") != 0) & (z > z_threshold))
+    z = z_score(value, "group_mean", "group_std")
+    flagged = j.where((F.col("group_rows") >= min_rows) & (z > z_threshold))
     out = flagged.select(
         "business_id", "date", F.col("item_name").alias("item"), F.col(value).cast("int").alias("quantity"),
         *[F.col(c).alias(f"group_{c}") for c in GROUP_COLUMNS[1:]],

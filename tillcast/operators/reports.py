@@ -23,9 +23,9 @@ PERIODS = ("week", "month", "quarter", "year")
 
 
 def with_as_of(df: DataFrame, date_col: str, name: str = "as_of") -> DataFrame:
-    """Attach each business's newest date as its 'today' (one row per business, broadcast)."""
+    """Attach each business's newest date as its 'today' (one row per business; Spark's size check picks the join)."""
     mx = df.groupBy("business_id").agg(F.max(date_col).alias(name))
-    return df.join(F.broadcast(mx), "business_id")
+    return df.join(mx, "business_id")
 
 
 def scored(predictions: DataFrame, models: DataFrame, since_days: int | None = None) -> DataFrame:
@@ -165,13 +165,20 @@ def forecast_summary(forecast: DataFrame, qty: str = "predicted_quantity", date_
     return stats.join(above, "business_id")
 
 
+def key_factors(factors: DataFrame, name_col: str = "feature", weight_col: str = "importance", k: int = 5) -> DataFrame:
+    """A-24: the ``k`` weightiest factor names as one text (a top-k report; ties by name)."""
+    top = factors.orderBy(F.col(weight_col).desc(), name_col).limit(k)
+    rows = F.sort_array(F.collect_list(F.struct((-F.col(weight_col)).alias("w"), F.col(name_col).alias("n"))))
+    return top.agg(F.concat_ws(", ", F.transform(rows, lambda r: r["n"])).alias("key_factors"))
+
+
 def daily_totals(forecast: DataFrame, days: int = 14, qty: str = "predicted_quantity",
                  date_col: str = "prediction_date") -> DataFrame:
     """A-25: total per date over the first ``days`` days of each business's
     forecast, flagged busiest / slowest (ties -> earliest date)."""
     f, _ = with_business(forecast)
     start = f.groupBy("business_id").agg(F.min(date_col).alias("_start"))
-    t = (f.join(F.broadcast(start), "business_id").where(F.col(date_col) < F.date_add("_start", days))
+    t = (f.join(start, "business_id").where(F.col(date_col) < F.date_add("_start", days))
          .groupBy("business_id", date_col).agg(F.sum(qty).cast("long").alias("total")))
     w = Window.partitionBy("business_id")  # at most ``days`` rows per business
     best = F.min_by(F.col(date_col), F.struct(-F.col("total"), F.col(date_col))).over(w)

@@ -96,7 +96,7 @@ def lag_features(daily: DataFrame, keys: Sequence[str] = ("item_name",), value:
         F.stddev_samp(value).over(r7w).alias("_s7"),
     )
     means = business_mean(df, value, "_mean")
-    joined = raw.join(F.broadcast(means), BUSINESS, "left")
+    joined = raw.join(means, BUSINESS, "left")
 
     def fill(c: str):
         return F.coalesce(F.col(c), F.col("_r7"), F.col("_mean"), F.lit(0.0))
@@ -130,6 +130,6 @@ def history_cutoff(daily: DataFrame, days: int = 60, date_col: str = "date") ->
     """F-20: keep the last ``days`` days before each business's newest date (Q24)."""
     df, added = with_business(daily)
     newest = df.groupBy(BUSINESS).agg(F.max(date_col).alias("_max_date"))
-    out = (df.join(F.broadcast(newest), BUSINESS)
+    out = (df.join(newest, BUSINESS)
            .where(F.col(date_col) >= F.date_sub("_max_date", days)).drop("_max_date"))
     return out.drop(BUSINESS) if added else out

@@ -155,15 +155,3 @@ def feature_names(df: DataFrame) -> list[str]:
         names.append(TIME_BLOCK_FEATURE)
     return names
 
-
-def assemble(df: DataFrame, names: list[str] | None = None, out: str = "features") -> DataFrame:
-    """M-02: missing feature columns -> 0, NULLs -> 0, then one vector column."""
-    from pyspark.ml.feature import VectorAssembler
-
-    names = names or feature_names(df)
-    missing = {n: F.lit(0.0) for n in names if n not in df.columns}
-    if missing:
-        df = df.withColumns(missing)
-    df = df.select("*", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"_f_{n}") for n in names])
-    va = VectorAssembler(inputCols=[f"_f_{n}" for n in names], outputCol=out, handleInvalid="keep")
-    return va.transform(df).drop(*[f"_f_{n}" for n in names])

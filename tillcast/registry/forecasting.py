@@ -65,7 +65,7 @@ FROM daily d JOIN sp USING (business_id) GROUP BY d.business_id, sp.split_date""
 def chronological_split(spark, sf_dir):
     daily = S.daily_item_sales(T.sales(spark, sf_dir))
     sp = TR.split_dates(daily, 0.2)
-    return (daily.join(F.broadcast(sp), "business_id").groupBy("business_id", "split_date")
+    return (daily.join(sp, "business_id").groupBy("business_id", "split_date")
             .agg(F.count_if(F.col("date") < F.col("split_date")).alias("train_rows"),
                  F.count_if(F.col("date") >= F.col("split_date")).alias("test_rows")))
 
@@ -86,7 +86,7 @@ FROM b JOIN daily d USING (business_id) GROUP BY ALL""")
 def expanding_folds(spark, sf_dir):
     daily = S.daily_item_sales(T.sales(spark, sf_dir))
     bounds = TR.fold_bounds(daily, 3)
-    return (daily.join(F.broadcast(bounds), "business_id")
+    return (daily.join(bounds, "business_id")
             .groupBy("business_id", "fold", "valid_start", "valid_end")
             .agg(F.count_if(F.col("date") < F.col("valid_start")).alias("train_rows"),
                  F.count_if((F.col("date") >= F.col("valid_start")) & (F.col("date") < F.col("valid_end")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates as DT
+from ..functions import scalars as X
 from ..operators import series as S
 from ..session import scratch_path
 from ..sources import files as FL
@@ -104,6 +106,70 @@ def default_columns(spark, sf_dir):
     return S.daily_item_sales(sales.select("date", "item_name", "quantity"))
 
 
+@query("S10_rejected_dates", """
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE 'soon' END AS text
+FROM orders WHERE o_orderkey % 3 < 2""")
+def rejected_dates(spark, sf_dir):
+    """Order dates, two thirds of them in layouts that are no date here: those are rejected."""
+    o = T.read_table(spark, sf_dir, "orders")
+    text = (F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd.MM.yyyy"))
+            .when(F.col("o_orderkey") % 3 == 1, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return DT.dated(o.select("o_orderkey", text.alias("text")), "text")[1]
+
+
+_ALIASES = sorted({**FL.COLUMN_ALIASES, **{s: s for s in FL.STANDARD_COLUMNS if s not in FL.COLUMN_ALIASES}}.items())
+_CATALOGUE_SQL = "WITH al(pos, alias, standard) AS (VALUES " + ", ".join(
+    f"({i + 1}, '{a}', '{s}')" for i, (a, s) in enumerate(_ALIASES)) + f"""),
+catalogue AS (
+  SELECT o_custkey AS file, COALESCE(alias, 'field_' || CAST(o_orderkey AS VARCHAR)) AS "column"
+  FROM orders LEFT JOIN al ON pos = o_orderkey % {len(_ALIASES) + 9} + 1),
+std(standard) AS (SELECT unnest([{", ".join(f"'{s}'" for s in FL.STANDARD_COLUMNS)}]))
+"""
+
+
+def _catalogue(spark, sf_dir):
+    """Every customer's orders as the columns of one upload: known headers and unknown ones."""
+    names = F.array(*[F.lit(a) for a, _ in _ALIASES])
+    at = (F.col("o_orderkey") % (len(_ALIASES) + 9) + 1).cast("int")
+    column = F.coalesce(F.get(names, at - 1), F.concat(F.lit("field_"), F.col("o_orderkey").cast("string")))
+    return T.read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), column.alias("column"))
+
+
+@query("S04_suggest_mapping", _CATALOGUE_SQL + """SELECT file, "column", standard FROM catalogue JOIN al ON alias = "column\"""")
+def suggest_mapping(spark, sf_dir):
+    return FL.suggest_mapping(_catalogue(spark, sf_dir), FL.alias_table(spark))
+
+
+@query("S05_relevant_mapping", _CATALOGUE_SQL + """SELECT DISTINCT file, alias, standard FROM catalogue JOIN al ON alias = "column\"""")
+def relevant_mapping(spark, sf_dir):
+    return FL.relevant_mapping(_catalogue(spark, sf_dir), FL.alias_table(spark))
+
+
+@query("S06_unmapped_theirs", _CATALOGUE_SQL + """SELECT file, "column" FROM catalogue WHERE "column" NOT IN (SELECT alias FROM al)""")
+def unmapped_theirs(spark, sf_dir):
+    return FL.unmapped_theirs(_catalogue(spark, sf_dir), FL.alias_table(spark))
+
+
+@query("S06_unmapped_ours", _CATALOGUE_SQL + """SELECT file, s.standard FROM (SELECT DISTINCT file FROM catalogue) AS f, std AS s
+WHERE NOT EXISTS (SELECT 1 FROM catalogue c JOIN al ON al.alias = c."column" WHERE c.file = f.file AND al.standard = s.standard)""")
+def unmapped_ours(spark, sf_dir):
+    return FL.unmapped_ours(_catalogue(spark, sf_dir), FL.alias_table(spark))
+
+
+@query("F24_business_type", "SELECT c_custkey, lower(c_mktsegment) AS btype, lower(c_mktsegment) IN ("
+       + ", ".join(f"'{b}'" for b in X.BUSINESS_TYPES) + ") AS valid FROM customer")
+def business_type(spark, sf_dir):
+    c = T.read_table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("btype"))
+    return c.withColumn("valid", X.valid_business_type("btype"))
+
+
+@query("S07_upload_preview", "SELECT o_orderkey AS order_key, COALESCE(o_orderstatus, '') AS status FROM orders ORDER BY o_orderkey LIMIT 5")
+def upload_preview(spark, sf_dir):
+    """The preview of an upload: its first rows (limit = the feature) as text."""
+    o = T.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
+    return FL.profile_upload(o.orderBy("order_key"))[1].withColumn("order_key", F.col("order_key").cast("long"))
+
+
 @query("S10_safe_parse_date", _SALES + """,
 txt AS (
   SELECT DISTINCT date, f, CASE f WHEN 0 THEN strftime(date, '%Y-%m-%d') WHEN 1 THEN strftime(date, '%d/%m/%Y')

@@ -141,6 +141,15 @@ def _forecast(spark, sf_dir):
     return FC.naive_forecast(T.daily_series(spark, sf_dir), 7)
 
 
+@query("A24_key_factors", T.with_ctes(T.SALES_SQL, *C.ALL_CALENDARS_SQL, V.DERIVED_SQL) + """,
+n AS (SELECT 'weather' AS source, COUNT(*) AS rows FROM d_weather UNION ALL SELECT 'holidays', COUNT(*) FROM d_holidays
+      UNION ALL SELECT 'sports', COUNT(*) FROM d_games UNION ALL SELECT 'paydays', COUNT(*) FROM paydays
+      UNION ALL SELECT 'school', COUNT(*) FROM school)
+SELECT string_agg(source, ', ' ORDER BY rows DESC, source) AS key_factors FROM n""")
+def key_factors(spark, sf_dir):
+    return R.key_factors(source_row_counts(spark, sf_dir), "source", "rows")
+
+
 @query("A24_A26_forecast_summary", _FC + """,
 st AS (SELECT business_id, COUNT(*) AS rows, CAST(SUM(predicted_quantity) AS BIGINT) AS total,
               AVG(predicted_quantity) AS avg_per_record FROM fc GROUP BY business_id),
@@ -291,7 +300,7 @@ def factors_in_range(spark, sf_dir):
     wdays = win.select("business_id", F.explode(F.sequence("s", "e")).alias("date"))
 
     def in_window(df, kind, name):
-        return df.join(F.broadcast(wdays), "date").select("business_id", F.lit(kind).alias("kind"), "date",
+        return df.join(wdays, "date").select("business_id", F.lit(kind).alias("kind"), "date",
                                                           name.alias("name"))
 
     parts = [in_window(C.holiday_calendar(years), "holiday", F.col("name")),
