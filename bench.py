@@ -22,7 +22,8 @@ from tillcast.session import get_spark  # noqa: E402
 
 # The end-to-end operators of the reference's main jobs: series + lags
 # (training input), full feature frame, item profiles, size expansion,
-# anomalies, merges and accuracy reports, lookups, streaming-equivalent batch.
+# anomalies, merges and accuracy reports, lookups, streaming, CSV, training
+# (100 trees, 3 folds, evaluation, refit) and the forecast with the trained model.
 HEADLINE = (
     "A01_daily_item_sales",
     "W01_W06_lag_features",
@@ -41,6 +42,11 @@ HEADLINE = (
     "A28_keep_latest",
     "S25_orders_to_sales",
     "X03_stream_daily_item_sales",
+    "S01_S26_text_roundtrip",
+    "J15_auto_compare",
+    "X04_stream_auto_compare",
+    "M04_M07_train_evaluate",
+    "M09_forecast",
 )
 
 

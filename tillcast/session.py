@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,3 +99,36 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_shared(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through Spark's file system, wherever the shared folder is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the application,
+    whatever folder they start in: its sources go to them as a zip, once."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{scratch_path(spark, os.path.basename(root))}.zip"
+    write_shared(spark, path, packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
