@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.session import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,8 +19,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def release_finished_shuffles(spark: SparkSession) -> None:
-    """Ask Spark to delete a query's shuffle files when the query ends: every
-    stage of these operators ends in a written table, which is what later
-    stages read."""
+def prepare(spark: SparkSession) -> None:
+    """Called by every operator before it starts work.
+
+    The Python workers get this package, and Spark deletes a query's shuffle
+    files when the query ends: every stage of the operators ends in a written
+    table, which is what later stages read.
+    """
+    ship_package(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Prefix, blocks, byte_values, column, covered, owners, words
-from .common import table
+from .common import prepare, table
 
 WINDOW = 10                  # item words that make a window
 MAX_ITEM_WORDS = 5_000_000   # bound of the broadcast automaton
@@ -184,6 +184,7 @@ def _matches(b, auto: Automaton):
 
 def contamination(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_words", T.LongType()),
@@ -215,6 +216,7 @@ def remove_spans(docs: DataFrame, automaton: Automaton, max_coverage: float = MA
     whose hit words exceed ``max_coverage`` of its words is dropped. Documents
     without a hit come back unchanged, byte for byte (NULL text included).
     """
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
     names = docs.columns
 

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from tillcast.session import cut_lineage
 
 from .blocks import Block, Prefix, blocks, byte_values, column, mix, owners, window_starts, words
-from .common import release_finished_shuffles, table
+from .common import prepare, table
 
 WORDS = 5
 RARE = 16                 # holders of a shingle whose pairs are named directly
@@ -299,7 +299,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document, and its class."""
     spark = docs.sparkSession
-    release_finished_shuffles(spark)
+    prepare(spark)
     fragments = min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     members = cut_lineage(classes(docs, width, id_col, text_col), "jaccard-classes")
     sets = cut_lineage(shared_items(docs, fragments, width, text_col), "jaccard-sets")

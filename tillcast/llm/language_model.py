@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from tillcast.session import cut_lineage
 
 from .blocks import Block, Prefix, blocks, byte_values, column, words
-from .common import release_finished_shuffles, table
+from .common import prepare, table
 from .repeats import identified
 
 SHORTLIST = 1984      # words the network predicts one by one: 31 classes
@@ -377,7 +377,7 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_of:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    release_finished_shuffles(spark)
+    prepare(spark)
     source = identified(docs, id_col, text_col).withColumn("held_out", held_out())
     training = source.where(~F.col("held_out")).select("doc_id", "text")
     counts = cut_lineage(count_words(training), "lm-counts")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tillcast.session import cut_lineage
 
-from .common import release_finished_shuffles, table
+from .common import prepare, table
 
 # Fixed values of the contract.
 WEIGHTS = (3, 1, 2)
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         share: float = SHARE, most: float = MOST, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every document; ``keep``: further columns to carry."""
     spark = docs.sparkSession
-    release_finished_shuffles(spark)
+    prepare(spark)
     keep = keep or []
     rows = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *keep,

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tillcast.session import cut_lineage
 
 from .blocks import SPACE, Prefix, blocks, byte_values, column, owners, window_starts, words
-from .common import release_finished_shuffles, table
+from .common import prepare, table
 
 # Fixed values of the contract: base rule and symbol class.
 MIN_WORDS = 50
@@ -129,7 +129,7 @@ def limits(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Every document with its measures, its group's limits and the verdict."""
-    release_finished_shuffles(docs.sparkSession)
+    prepare(docs.sparkSession)
     per_word = F.greatest(F.col("n_words"), F.lit(1))
     measured = cut_lineage(measure(docs, id_col, text_col, lang_col, source_col).select(
         "*",

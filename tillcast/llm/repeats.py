@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tillcast.session import cut_lineage
 
 from .blocks import Block, blocks, column, list_sizes, mix
-from .common import release_finished_shuffles
+from .common import prepare
 
 FLUSH_ROWS = 1 << 18   # rows merged in a task before they are dealt
 HOT = 4096             # open segments of one key that are still compared in one task
@@ -377,7 +377,7 @@ def removed_spans(source: DataFrame, units: Units) -> DataFrame:
     """doc_id, th, spans (array of start, end in units) of every document of
     ``source`` (see ``identified``) that repeats windows of documents with a
     smaller id. Rows with a NULL id are neither earlier nor later than others."""
-    release_finished_shuffles(source.sparkSession)
+    prepare(source.sparkSession)
     source = source.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "th", "text")
     keys = cut_lineage(_shared_keys(source, units), "repeat-keys")
     segs = cut_lineage(_segments(source, keys, units), "repeat-segments")

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tillcast.session import cut_lineage
 
 from .blocks import column
-from .common import release_finished_shuffles, table
+from .common import prepare, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public byte-level BPE pattern that belongs to the vocabulary.
@@ -152,6 +152,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, leaf_chars, leaf_pres, leaf_tokens: the leaves, which the sums above them follow from."""
+    prepare(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,6 @@ def redaction_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    release_finished_shuffles(spark)
     docs = table(spark, sf_dir, "documents")
     trees = cut_lineage(build_trees(docs), "token-trees")
     edits = cut_lineage(redaction_edits(docs).where(F.size("edits") > 0), "token-edits")

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tillcast.session import cut_lineage
 
 from .blocks import Block, Prefix, blocks, byte_values, column, mix, owners, words
-from .common import release_finished_shuffles, table
+from .common import prepare, table
 from .decontaminate import WORD
 
 MAX_EXAMPLES = 20_000
@@ -184,6 +184,7 @@ def choose_terms(sample: DataFrame) -> list[tuple[int, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    prepare(docs.sparkSession)
     sample = cut_lineage(examples(docs, labels, id_col, text_col, label_col), "toxic-examples")
     chosen = sorted((np.int64(t).astype(np.uint64), df) for t, df in choose_terms(sample))
     terms = np.array([t for t, _ in chosen], np.uint64)
@@ -278,6 +279,5 @@ def drop_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    release_finished_shuffles(spark)
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.session import shared_dir
+from tillcast.session import shared_dir, write_shared
 
 from .blocks import column
-from .common import ascii_lower, table
+from .common import ascii_lower, prepare, table
 
 SHARD_RULES = 1_000_000
 
@@ -52,16 +52,6 @@ class Index(NamedTuple):
     path_lengths: list[int]    # distinct lengths of the rules' paths, in bytes
 
 
-def _write_shared(spark: SparkSession, path: str, data: bytes) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    try:
-        out.write(data)
-    finally:
-        out.close()
-
-
 def _pack(rules: list[tuple[str, str]]) -> bytes:
     """Header, sorted digests, string offsets, verdicts, strings."""
     keyed = sorted((xxhash.xxh64_intdigest(r), r.encode(), v) for r, v in rules)
@@ -111,7 +101,7 @@ def build_index(spark: SparkSession, rules: DataFrame) -> Index:
     def flush() -> None:
         name = f"urls-{uuid.uuid4().hex}.digests"
         path = f"{shared_dir(spark)}/{name}"
-        _write_shared(spark, path, _pack(part))
+        write_shared(spark, path, _pack(part))
         spark.sparkContext.addFile(path)
         files.append(name)
         part.clear()
@@ -137,6 +127,7 @@ def with_host_and_path(pages: DataFrame, id_col: str = "page_id", url_col: str =
 def judge_urls(pages: DataFrame, index: Index, default: str = "allow",
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
+    prepare(pages.sparkSession)
     source = with_host_and_path(pages, id_col, url_col)
     schema = T.StructType([*source.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     files, lengths = index
