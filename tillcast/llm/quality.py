@@ -43,7 +43,7 @@ MIN_GROUP = 200
 FENCE = 3.0
 SKETCH_K = 400  # about 0.7 % rank error
 #: feature -> least width of the fence above the upper quartile
-FEATURES = {"symbol_share": 0.10, "repeat_share": 0.10, "dup_line_share": 0.15}
+FEATURES = {"symbol_share": 0.10, "repeat_share": 0.45, "dup_line_share": 0.50}
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
