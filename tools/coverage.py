@@ -16,12 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tillcast.registry import load_all  # noqa: E402
 
 LIBRARY_ONLY = {
-    "S-04": "sources/files.suggest_mapping (tests/test_edges::test_catalogue_mapping)",
-    "S-05": "sources/files.relevant_mapping (tests/test_edges::test_catalogue_mapping)",
-    "S-06": "sources/files.unmapped_theirs / unmapped_ours (tests/test_edges::test_catalogue_mapping)",
     "F-21": "util.null_nonfinite (tests/test_edges::test_null_nonfinite)",
     "F-23": "functions/scalars.display_name (T04_top_features; tests/test_edges::test_scalar_helpers)",
-    "F-24": "functions/scalars.valid_business_type (tests/test_edges::test_business_type_line_measures_football)",
     "F-27": "functions/scalars.line_measures (tests/test_edges::test_business_type_line_measures_football)",
     "F-28": "functions/dates.football_day / event_label (games calendar S21; tests/test_edges)",
 }
