@@ -451,3 +451,15 @@ def test_profiles_hash_aggregate_raw_rows(spark):
         assert "SortAggregate" not in plan and "Expand" not in plan
     raw = I.item_category(sales)._jdf.queryExecution().sparkPlan().toString()
     assert raw.count("SortAggregate") <= 2      # the one day's pick, partial and final
+
+
+def test_small_search_and_training_job(spark):
+    """The whole job on a small grid: search, evaluation, refit, artefact."""
+    from tillcast.plans import training as TR
+    rows = [(1, d("2024-01-01") + dt.timedelta(days=k), item, q + k % 7) for k in range(80) for item, q in (("a", 9.0), ("b", 2.0))]
+    sales = spark.createDataFrame(rows, "business_id long, date date, item_name string, quantity double")
+    frame = TR.training_frame(sales, pooled=False)
+    names = TR.model_features(frame)
+    res = TR.random_search(TR.prepare(frame, names), names, n_iter=3, n_folds=2, grid={"maxDepth": [1, 2], "maxIter": [1, 2]})
+    assert len(res.candidates) == 3 and res.best_params in [c for c, _ in res.candidates] and len(res.fold_maes) == 2
+    assert min(s for _, s in res.candidates) == pytest.approx(sum(res.fold_maes) / 2)
