@@ -55,6 +55,8 @@ def test_suffix_array_bytes(docs, rows):
 def test_hot_keys_are_compared_by_window(docs, rows, monkeypatch):
     from tillcast.llm import repeats
     monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "RIMS", 1)
+    monkeypatch.setattr(repeats, "FLUSH_ROWS", 40)
     want = sorted((r[0] if r[0] is not None else -1, sum(g)) for r, g in zip(rows, byte_truth(rows), strict=True))
     assert by_row(phrases.repeated_bytes(docs), lambda r: (r.n_removed,)) == want
 

@@ -17,11 +17,13 @@ keys. The plan then never handles all windows:
 3. ``_open_windows``: only those rims are compared window by window.
 4. ``removed_spans`` collects each document's spans.
 
-Dealt groups are streamed in sorted order with constant state, so a key that a
-third of all documents holds costs time on one sorted run but no memory; equal
-rows are merged per task before they are dealt. Rims of keys with more than
-``HOT`` open segments are dealt by window instead of by key. All stages end in
-tables in the shared folder, so a lost executor costs a stage at most.
+Dealt groups are streamed in sorted order with constant state, and equal rows
+are merged per task before they are dealt. A key with many different segments
+in one task (the rim of a passage that a third of all documents holds) is dealt
+by segment instead, and one marker row tells the key's other rows that it has
+several; rims of keys with more than ``HOT`` open segments are dealt by window.
+All stages end in tables in the shared folder, so a lost executor costs a stage
+at most.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ from .common import prepare
 
 FLUSH_ROWS = 1 << 18   # rows merged in a task before they are dealt
 HOT = 4096             # open segments of one key that are still compared in one task
+RIMS = 32              # different segments of one key in one flush from which on they are dealt one by one
 
 
 class Parsed(NamedTuple):
@@ -178,7 +181,7 @@ def _shared_keys(source: DataFrame, units: Units) -> DataFrame:
         other = np.add.reduceat(doc != np.repeat(doc[first], size), first)
         known = np.repeat(other > 0, size)           # shared inside this task already
         rep = known & head                           # one row still tells the other tasks
-        deal = np.concatenate([np.where(known, mix(key ^ th.view(np.uint64)), key), key[rep]])
+        deal = np.concatenate([np.where(known, mix(key ^ mix(doc.view(np.uint64))), key), key[rep]])
         found = pa.array(_i64(np.concatenate([key, key[rep]])), mask=np.concatenate([~known, np.ones(rep.sum(), bool)]))
         return pa.record_batch({"deal": _i64(deal), "doc_id": np.concatenate([doc, doc[rep]]), "th": np.concatenate([th, th[rep]]), "known": found})
 
@@ -228,46 +231,78 @@ def _member(own: np.ndarray, key: np.ndarray, lists: pa.Array) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
 
 
-_SEG = "doc_id long, th long, start long, n long, key long"
+def _chained(p: Parsed, at: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Periodic text repeats one segment back to back: (which of ``at`` begin a
+    chain of equal adjacent segments, and how many each chain has)."""
+    goes_on = np.zeros(len(at), bool)
+    a, b = at[:-1], at[1:]
+    goes_on[1:] = ((b == a + 1) & (p.own[b] == p.own[a]) & (p.key[b] == p.key[a]) & (p.n[b] == p.n[a])
+                   & (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1]) & (p.start[b] == p.start[a] + p.n[a]))
+    head = np.flatnonzero(~goes_on)
+    return head, np.diff(np.append(head, len(at)))
+
+
+_SEG = "doc_id long, th long, start long, n long, times long, key long"
 
 
 def _segments(source: DataFrame, keys: DataFrame, units: Units) -> DataFrame:
-    """doc_id, th, start, n, key, open: repeated segments (open false) and rims still to be compared."""
-    names = ["deal", "f1", "f2", "doc_id", "th", "start", "n", "key", "known"]
+    """doc_id, th, start, n, times, key, open: repeated segments (open false) and
+    rims still to be compared; ``times``: adjacent repetitions of the segment."""
+    names = ["deal", "f1", "f2", "doc_id", "th", "start", "n", "times", "key", "known", "spread"]
 
     def emit(buf: _Buffer) -> pa.RecordBatch:
-        key, f1, f2, doc, th, start, n = buf.take()
-        order = np.lexsort((doc, f2, f1, key))
-        key, f1, f2, doc, th, start, n = (c[order] for c in (key, f1, f2, doc, th, start, n))
+        cols = buf.take()
+        order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        key, f1, f2, doc, th, start, n, times = (c[order] for c in cols)
         new = _starts(key, f1, f2)
         known = doc > doc[new][_group_of(new)]       # an earlier document of this task has it
-        deal = np.where(known, mix(f1 ^ doc.view(np.uint64)), key)
-        cols = [_i64(deal), _i64(f1), _i64(f2), doc, th, start, n, _i64(key), known]
-        return pa.record_batch(dict(zip(names, cols, strict=True)))
+        head = _starts(key)
+        spread = ~known & (np.bincount(_group_of(head)[~known & new], minlength=int(head.sum())) > RIMS)[_group_of(head)]
+        deal = np.where(known, mix(f1 ^ mix(doc.view(np.uint64))), np.where(spread, mix(key ^ mix(f1)), key))
+        # a marker: to the rows that other tasks deal by this key, one more segment
+        mark = key[head][np.bincount(_group_of(head)[spread], minlength=int(head.sum())) > 0]
+        m = len(mark)
+        ones, zeros = np.full(m, -1, np.int64), np.zeros(m, np.int64)
+        cols = [(_i64(deal), _i64(mark)), (_i64(f1), ones), (_i64(f2), ones), (doc, np.full(m, np.iinfo(np.int64).max)), (th, zeros),
+                (start, zeros), (n, zeros), (times, zeros), (_i64(key), _i64(mark)), (known, zeros > 0), (spread, zeros > 0)]
+        return pa.record_batch({name: np.concatenate(c) for name, c in zip(names, cols, strict=True)})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf = _Buffer()
         for b in blocks(batches):
             p = units.parse(b)
             at = np.flatnonzero(_member(p.own, p.key, column(b.rows, "keys")))
-            if len(at) and buf.add(p.key[at], *p.prints(at), _np(b.rows, "doc_id")[p.own[at]],
-                                   _np(b.rows, "th")[p.own[at]], p.start[at], p.n[at]):
+            if not len(at):
+                continue
+            f1, f2 = p.prints(at)
+            head, times = _chained(p, at, f1, f2)
+            at = at[head]
+            if buf.add(p.key[at], f1[head], f2[head], _np(b.rows, "doc_id")[p.own[at]], _np(b.rows, "th")[p.own[at]],
+                       p.start[at], p.n[at], times):
                 yield emit(buf)
         if buf.rows:
             yield emit(buf)
 
-    out = ["doc_id", "th", "start", "n", "key"]
+    out = ["doc_id", "th", "start", "n", "times", "key"]
 
     def told(batch: pa.RecordBatch, is_open: bool) -> pa.RecordBatch:
+        batch = batch.filter(pc.greater(column(batch, "n"), 0))  # markers stay here
         return batch.select(out).append_column("open", pa.array(np.full(batch.num_rows, is_open)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Stream()
+        state, apart = _Stream(), _Stream()
         for batch in batches:
             known = _np(batch, "known")
             if known.any():
                 yield told(batch.filter(pa.array(known)), False)
                 batch = batch.filter(pa.array(~known))
+            spread = _np(batch, "spread")
+            if spread.any():
+                rows = batch.filter(pa.array(spread))
+                batch = batch.filter(pa.array(~spread))
+                _, _, later = apart.feed(rows, _u64(rows, "deal"), [_u64(rows, "f1"), _u64(rows, "f2")], _np(rows, "doc_id"))
+                yield told(rows.filter(pa.array(later)), False)
+                yield told(rows.filter(pa.array(~later)), True)
             if batch.num_rows:
                 released, several, later = state.feed(batch, _u64(batch, "key"), [_u64(batch, "f1"), _u64(batch, "f2")], _np(batch, "doc_id"))
                 for r in released:
@@ -279,7 +314,8 @@ def _segments(source: DataFrame, keys: DataFrame, units: Units) -> DataFrame:
                     yield told(batch.filter(pa.array(rim)), True)
 
     rows = source.join(keys, ["doc_id", "th"]).mapInArrow(
-        scan, "deal long, f1 long, f2 long, doc_id long, th long, start long, n long, key long, known boolean")
+        scan, "deal long, f1 long, f2 long, doc_id long, th long, start long, n long, times long, key long, "
+        "known boolean, spread boolean")
     return _dealt(rows, "f1", "f2", "doc_id").mapInArrow(meet, f"{_SEG}, open boolean")
 
 
@@ -290,7 +326,7 @@ def _open_windows(source: DataFrame, rims: DataFrame, units: Units) -> DataFrame
     hot = (rims.groupBy("key").count().where(F.col("count") > HOT)
            .select("key", F.lit(True).alias("hot")))
     per_doc = (rims.join(hot, "key", "left").groupBy("doc_id", "th")
-               .agg(F.collect_list(F.struct("start", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rims")))
+               .agg(F.collect_list(F.struct("start", "key", "times", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rims")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -304,17 +340,17 @@ def _open_windows(source: DataFrame, rims: DataFrame, units: Units) -> DataFrame
             seg = order[np.searchsorted(have[order], want)]
             is_hot = flat.field("hot").to_numpy(zero_copy_only=False)
             doc, th = _np(b.rows, "doc_id")[p.own[seg]], _np(b.rows, "th")[p.own[seg]]
-            packs, sizes = p.pack(seg), p.n[seg]
+            packs, sizes, times = p.pack(seg), p.n[seg], flat.field("times").to_numpy()
             # cold keys: one row a rim; hot keys: one row a window
             cold = np.flatnonzero(~is_hot)
-            yield _rim_rows(p.key[seg[cold]], doc[cold], th[cold], p.start[seg[cold]], sizes[cold], [packs[i] for i in cold.tolist()])
+            yield _rim_rows(p.key[seg[cold]], doc[cold], th[cold], p.start[seg[cold]], sizes[cold], sizes[cold], times[cold], [packs[i] for i in cold.tolist()])
             warm = np.flatnonzero(is_hot)
             if len(warm):
                 row = np.repeat(warm, sizes[warm])
                 at = np.arange(len(row)) - np.repeat(np.cumsum(sizes[warm]) - sizes[warm], sizes[warm])
                 own = [units.one(packs[i], j) for i, j in zip(row.tolist(), at.tolist(), strict=True)]
                 deal = np.fromiter((xxhash.xxh64_intdigest(x) for x in own), np.uint64, len(own))
-                yield _rim_rows(deal, doc[row], th[row], p.start[seg[row]] + at, np.ones(len(row), np.int64), own)
+                yield _rim_rows(deal, doc[row], th[row], p.start[seg[row]] + at, np.ones(len(row), np.int64), sizes[row], times[row], own)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -332,12 +368,12 @@ def _open_windows(source: DataFrame, rims: DataFrame, units: Units) -> DataFrame
             yield from _compare(waiting, units)
 
     rows = source.join(per_doc, ["doc_id", "th"]).mapInArrow(
-        scan, "deal long, doc_id long, th long, start long, n long, pack binary")
+        scan, "deal long, doc_id long, th long, start long, n long, step long, times long, pack binary")
     return _dealt(rows).mapInArrow(meet, "doc_id long, th long, start long, n long")
 
 
-def _rim_rows(key, doc, th, start, n, packs) -> pa.RecordBatch:
-    return pa.record_batch({"deal": _i64(key), "doc_id": doc, "th": th, "start": start, "n": n, "pack": pa.array(packs, pa.binary())})
+def _rim_rows(key, doc, th, start, n, step, times, packs) -> pa.RecordBatch:
+    return pa.record_batch({"deal": _i64(key), "doc_id": doc, "th": th, "start": start, "n": n, "step": step, "times": times, "pack": pa.array(packs, pa.binary())})
 
 
 def _compare(parts: list[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
@@ -346,7 +382,7 @@ def _compare(parts: list[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBat
     if not t:
         return
     batch = t[0]
-    n, doc, th, start = (_np(batch, c) for c in ("n", "doc_id", "th", "start"))
+    n, doc, th, start, step, times = (_np(batch, c) for c in ("n", "doc_id", "th", "start", "step", "times"))
     ids = units.unfold(column(batch, "pack").to_pylist(), n)
     row = np.repeat(np.arange(len(n)), n)
     pos = start[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
@@ -368,7 +404,12 @@ def _compare(parts: list[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBat
         at = np.flatnonzero(new_run)
         size = np.diff(np.append(at, len(hit)))
         h = hit[at]
-        yield pa.record_batch({"doc_id": doc[row[h]], "th": th[row[h]], "start": pos[h], "n": size})
+        full = size == step[row[h]]                     # every window of the segment, so every one of the whole chain
+        again = np.where(full, 1, times[row[h]])        # else the same ones in each repetition
+        size = np.where(full, size * times[row[h]], size)
+        h, size = np.repeat(h, again), np.repeat(size, again)
+        turn = np.arange(len(h)) - np.repeat(np.cumsum(again) - again, again)
+        yield pa.record_batch({"doc_id": doc[row[h]], "th": th[row[h]], "start": pos[h] + turn * step[row[h]], "n": size})
 
 
 # --- 4. spans ---------------------------------------------------------------------------------
@@ -381,8 +422,8 @@ def removed_spans(source: DataFrame, units: Units) -> DataFrame:
     source = source.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "th", "text")
     keys = cut_lineage(_shared_keys(source, units), "repeat-keys")
     segs = cut_lineage(_segments(source, keys, units), "repeat-segments")
-    rims = segs.where("open").select("doc_id", "th", "start", "key")
+    rims = segs.where("open").select("doc_id", "th", "start", "times", "key")
     opened = cut_lineage(_open_windows(source, rims, units), "repeat-windows")
-    spans = segs.where("not open").select("doc_id", "th", "start", "n").unionByName(opened)
+    spans = segs.where("not open").select("doc_id", "th", "start", (F.col("n") * F.col("times")).alias("n")).unionByName(opened)
     return spans.groupBy("doc_id", "th").agg(
         F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(units.width - 1)).alias("e"))).alias("spans"))
