@@ -216,7 +216,8 @@ class Network:
 
 
 class Lanes:
-    """Documents laid out side by side: each lane reads whole documents one after another."""
+    """Documents laid out side by side: each lane reads whole documents one after
+    another. Fuller lanes come first, so that the lanes still reading are a prefix."""
 
     def __init__(self, ids: np.ndarray, offs: np.ndarray, lanes: int):
         n = np.diff(offs)
@@ -227,7 +228,12 @@ class Lanes:
             lane = int(load.argmin())
             place[d] = lane, load[lane]
             load[lane] += n[d]
+        rank = np.argsort(-load, kind="stable")
+        moved = np.empty(lanes, np.int64)
+        moved[rank] = np.arange(lanes)
+        place[:, 0] = moved[place[:, 0]]
         steps = int(load.max(initial=0))
+        self.reading = np.searchsorted(-load[rank], -np.arange(steps))  # lanes with a token at each step
         self.x = np.full((steps, lanes), -1, np.int32)          # -1: the lane has ended
         self.reset = np.zeros((steps, lanes), bool)
         row = np.repeat(place[:, 1] - offs[:-1], n) + np.arange(offs[-1])
@@ -242,14 +248,15 @@ def log_probabilities(p: dict[str, np.ndarray], lanes: Lanes) -> np.ndarray:
     out = np.zeros((steps, width), np.float32)
     h = np.zeros((width, HIDDEN), np.float32)
     for t0 in range(0, steps, WINDOW):
-        x = lanes.x[t0:t0 + WINDOW]
+        width = lanes.reading[t0]
+        x, reset, h = lanes.x[t0:t0 + WINDOW, :width], lanes.reset[t0:t0 + WINDOW, :width], h[:width]
         states = np.empty((len(x), width, HIDDEN), np.float32)
         for t in range(len(x)):
-            h = h * ~lanes.reset[t0 + t][:, None]
+            h = h * ~reset[t][:, None]
             states[t] = h
             h = Network.step(p, h, np.maximum(x[t], 0))[0]
         live = x >= 0
-        out[t0:t0 + len(x)][live] = Network.outputs(p, states[live], x[live])
+        out[t0:t0 + len(x), :width][live] = Network.outputs(p, states[live], x[live])
     return out[lanes.at]
 
 
@@ -302,7 +309,8 @@ class Trainer:
     def documents(self, lanes: Lanes) -> None:
         h = np.zeros((lanes.x.shape[1], HIDDEN), np.float32)
         for t in range(0, len(lanes.x), WINDOW):
-            h = self.window(h, lanes.x[t:t + WINDOW], lanes.reset[t:t + WINDOW])
+            width = lanes.reading[t]
+            h = self.window(h[:width], lanes.x[t:t + WINDOW, :width], lanes.reset[t:t + WINDOW, :width])
 
 
 def _ids(vocab: Vocabulary, key: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
