@@ -247,7 +247,9 @@ def links(sets: DataFrame) -> DataFrame:
     right = rare.select("item", F.col("class").alias("y"), F.col("n").alias("b_n"))
     direct = _ordered(left.join(right, "item").where("x < y").where(near))
     common = heads.where(F.col("df") > RARE)
-    hubs = common.groupBy("item").agg(F.min(F.struct("rare", "n", "class")).alias("h")).select("item", F.col("h.class").alias("hub"))
+    # written, so that the join below deals raw rows only and Spark can split a hot shingle
+    hubs = cut_lineage(common.groupBy("item").agg(F.min(F.struct("rare", "n", "class")).alias("h"))
+                       .select("item", F.col("h.class").alias("hub")), "jaccard-item-hubs")
     member = cut_lineage(common.join(hubs, "item").where("class != hub").select("hub", "class").distinct(), "jaccard-members")
     first = cut_lineage(_overlaps(direct.unionByName(_ordered(member.select(F.col("hub").alias("x"), F.col("class").alias("y")))).distinct(), sets),
                         "jaccard-overlaps")
