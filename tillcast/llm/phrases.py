@@ -61,7 +61,7 @@ def _parser(width: int, trigger: int):
         if not len(at):
             z = np.zeros(0, np.uint64)
             i = np.zeros(0, np.int64)
-            return Parsed(z, i, i, i, lambda seg: (z, z), lambda seg: [])
+            return Parsed(z, i, i, i, lambda seg: (z, z))
         values = byte_values(b.data)
         rolling = Prefix(values)
         h = rolling.windows(trigger)
@@ -74,18 +74,20 @@ def _parser(width: int, trigger: int):
         a = at[head]
         z = a + n + width - 1
         own = np.searchsorted(b.offsets, a, side="right") - 1
-        raw = b.data
-
-        def pack(seg: np.ndarray) -> list[bytes]:
-            return [raw[i:j].tobytes() for i, j in zip(a[seg].tolist(), z[seg].tolist(), strict=True)]
-
         def prints(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return rolling.spans(a[seg], z[seg]), Prefix(values, SECOND).spans(a[seg], z[seg])
 
-        return Parsed(h[cut[head]], own, a - b.offsets[own], n, prints, pack)
+        return Parsed(h[cut[head]], own, a - b.offsets[own], n, prints)
     return parse
 
 
+def _packer(width: int):
+    def pack(b: Block, own: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[bytes]:
+        a = b.offsets[own] + start
+        return [b.data[i:j].tobytes() for i, j in zip(a.tolist(), (a + n + width - 1).tolist(), strict=True)]
+    return pack
+
+
 def _unfolder(width: int):
     def unfold(packs: list[bytes], n: np.ndarray) -> np.ndarray:
         """Every suffix of at least ``width`` bytes, cut there, as big-endian words: their order is byte order."""
@@ -101,7 +103,7 @@ def _unfolder(width: int):
 
 
 def units(width: int = WIDTH, trigger: int = TRIGGER) -> Units:
-    return Units(width, _parser(width, trigger), _unfolder(width), lambda pack, j: pack[j:j + width])
+    return Units(width, _parser(width, trigger), _packer(width), _unfolder(width), lambda pack, j: pack[j:j + width])
 
 
 def _kept(b: Block) -> tuple[np.ndarray, np.ndarray]:

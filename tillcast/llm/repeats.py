@@ -55,13 +55,13 @@ class Parsed(NamedTuple):
     start: np.ndarray  # first unit, counted in the document
     n: np.ndarray      # windows
     prints: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  # segments -> two uint64 fingerprints of the covered units
-    pack: Callable[[np.ndarray], list[bytes]]                       # segments -> what tells their windows apart
 
 
 class Units(NamedTuple):
-    """How documents are parsed, and how packed segments unfold into windows."""
+    """How documents are parsed, and how segments are packed and unfold into windows."""
     width: int
     parse: Callable[[Block], Parsed]
+    pack: Callable[[Block, np.ndarray, np.ndarray, np.ndarray], list[bytes]]  # document, start, windows -> what tells the windows apart
     unfold: Callable[[list[bytes], np.ndarray], np.ndarray]  # packs and window counts -> one row of uint64 a window
     one: Callable[[bytes, int], bytes]                       # a pack and a window's number -> the window's own pack
 
@@ -326,31 +326,28 @@ def _open_windows(source: DataFrame, rims: DataFrame, units: Units) -> DataFrame
     hot = (rims.groupBy("key").count().where(F.col("count") > HOT)
            .select("key", F.lit(True).alias("hot")))
     per_doc = (rims.join(hot, "key", "left").groupBy("doc_id", "th")
-               .agg(F.collect_list(F.struct("start", "key", "times", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rims")))
+               .agg(F.collect_list(F.struct("start", "n", "key", "times", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rims")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            p = units.parse(b)
             lists = column(b.rows, "rims")
             flat = lists.flatten()
             owner = np.repeat(np.arange(b.n), list_sizes(lists))
-            want = mix(flat.field("start").to_numpy().astype(np.uint64) + mix(owner.astype(np.uint64) + np.uint64(1)))
-            have = mix(p.start.astype(np.uint64) + mix(p.own.astype(np.uint64) + np.uint64(1)))
-            order = np.argsort(have)
-            seg = order[np.searchsorted(have[order], want)]
+            start, sizes, times = (flat.field(c).to_numpy() for c in ("start", "n", "times"))
+            key = flat.field("key").to_numpy().view(np.uint64)
             is_hot = flat.field("hot").to_numpy(zero_copy_only=False)
-            doc, th = _np(b.rows, "doc_id")[p.own[seg]], _np(b.rows, "th")[p.own[seg]]
-            packs, sizes, times = p.pack(seg), p.n[seg], flat.field("times").to_numpy()
+            doc, th = _np(b.rows, "doc_id")[owner], _np(b.rows, "th")[owner]
+            packs = units.pack(b, owner, start, sizes)
             # cold keys: one row a rim; hot keys: one row a window
             cold = np.flatnonzero(~is_hot)
-            yield _rim_rows(p.key[seg[cold]], doc[cold], th[cold], p.start[seg[cold]], sizes[cold], sizes[cold], times[cold], [packs[i] for i in cold.tolist()])
+            yield _rim_rows(key[cold], doc[cold], th[cold], start[cold], sizes[cold], sizes[cold], times[cold], [packs[i] for i in cold.tolist()])
             warm = np.flatnonzero(is_hot)
             if len(warm):
                 row = np.repeat(warm, sizes[warm])
                 at = np.arange(len(row)) - np.repeat(np.cumsum(sizes[warm]) - sizes[warm], sizes[warm])
                 own = [units.one(packs[i], j) for i, j in zip(row.tolist(), at.tolist(), strict=True)]
                 deal = np.fromiter((xxhash.xxh64_intdigest(x) for x in own), np.uint64, len(own))
-                yield _rim_rows(deal, doc[row], th[row], p.start[seg[row]] + at, np.ones(len(row), np.int64), sizes[row], times[row], own)
+                yield _rim_rows(deal, doc[row], th[row], start[row] + at, np.ones(len(row), np.int64), sizes[row], times[row], own)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -422,7 +419,7 @@ def removed_spans(source: DataFrame, units: Units) -> DataFrame:
     source = source.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "th", "text")
     keys = cut_lineage(_shared_keys(source, units), "repeat-keys")
     segs = cut_lineage(_segments(source, keys, units), "repeat-segments")
-    rims = segs.where("open").select("doc_id", "th", "start", "times", "key")
+    rims = segs.where("open").select("doc_id", "th", "start", "n", "times", "key")
     opened = cut_lineage(_open_windows(source, rims, units), "repeat-windows")
     spans = segs.where("not open").select("doc_id", "th", "start", (F.col("n") * F.col("times")).alias("n")).unionByName(opened)
     return spans.groupBy("doc_id", "th").agg(

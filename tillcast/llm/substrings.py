@@ -41,7 +41,7 @@ def _parser(width: int):
         if not len(at):
             z = np.zeros(0, np.uint64)
             i = np.zeros(0, np.int64)
-            return Parsed(z, i, i, i, lambda seg: (z, z), lambda seg: [])
+            return Parsed(z, i, i, i, lambda seg: (z, z))
         own = owners(first)
         level, symbol, lo, hi = anchors(levels(h, first, own), at, width)
         new = np.ones(len(at), bool)
@@ -52,23 +52,29 @@ def _parser(width: int):
         key = mix(one.spans(lo[head], hi[head]) + level[head].astype(np.uint64))
         a, z = at[head], at[head] + n + width - 1
 
-        def pack(seg: np.ndarray) -> list[bytes]:
-            w = np.stack([one.windows(width), Prefix(h, SECOND).windows(width)], axis=1)
-            return [w[i:i + k].tobytes() for i, k in zip(a[seg].tolist(), n[seg].tolist(), strict=True)]
-
         def prints(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return one.spans(a[seg], z[seg]), Prefix(h, SECOND).spans(a[seg], z[seg])
 
-        return Parsed(key, own[a], a - first[own[a]], n, prints, pack)
+        return Parsed(key, own[a], a - first[own[a]], n, prints)
     return parse
 
 
+def _packer(width: int):
+    def pack(b: Block, own: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[bytes]:
+        s, e, first = words(b.data, b.offsets)
+        h = word_hashes(b.data, s, e)
+        w = np.stack([Prefix(h).windows(width), Prefix(h, SECOND).windows(width)], axis=1)
+        a = first[own] + start
+        return [w[i:j].tobytes() for i, j in zip(a.tolist(), (a + n).tolist(), strict=True)]
+    return pack
+
+
 def _unfold(packs: list[bytes], n: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(packs), np.uint64).reshape(-1, 2)
 
 
 def units(width: int = WIDTH) -> Units:
-    return Units(width, _parser(width), _unfold, lambda pack, j: pack[16 * j:16 * j + 16])
+    return Units(width, _parser(width), _packer(width), _unfold, lambda pack, j: pack[16 * j:16 * j + 16])
 
 
 def kept_mask(b: Block, spans: pa.Array, first: np.ndarray) -> np.ndarray:
