@@ -207,6 +207,16 @@ def test_language_model(docs, rows):
     assert all(r.score < 0 for r in out)
 
 
+def test_every_training_document_reaches_the_network(spark):
+    """Each document, alone in the corpus, moves the weights from where they start."""
+    import numpy as np
+    for i in range(5):
+        one = spark.createDataFrame([(i, "some words that follow some words")], "doc_id long, text string")
+        vocab = language_model.vocabulary(language_model.count_words(one))
+        start, got = language_model.Network.initial(vocab.start), language_model.train(one, vocab)
+        assert not np.array_equal(start["wc"], got["wc"])
+
+
 def test_network_gradient():
     """Back-propagation against finite differences."""
     import numpy as np

@@ -11,10 +11,9 @@ word has a probability, and the counts of all training documents enter it.
 * Training: truncated back-propagation through time in numpy. In each of
   ``ROUNDS`` rounds the tasks start from the same weights, train on their own
   documents with the state carried from window to window, and return their
-  weights; Spark averages them in a tree. The recurrent weights learn from
-  ``1 / TRAIN_ONE_OF`` of the training documents, picked by a hash (a documented
-  parameter: a share of the corpus, so the work grows with it); class and tail
-  statistics use every training document.
+  weights; Spark averages them in a tree. A hash deals every training document
+  to one of the rounds, so all of them reach the weights, as they do the class
+  and tail statistics.
 * Scoring: whole documents, the state carried across windows to the last word.
   Only words outside the broadcast ``KNOWN`` most frequent ones leave a task:
   their counts are joined by Spark and summed back per document.
@@ -50,7 +49,6 @@ WINDOW = 32           # steps of truncated back-propagation
 TRAIN_LANES = 64      # documents trained side by side
 SCORE_LANES = 256
 ROUNDS = 2
-TRAIN_ONE_OF = 4
 RATE = 0.02
 FLUSH_TOKENS = 1 << 21
 TAILS = 18            # 3 lengths x 3 last bytes x ASCII or not
@@ -330,11 +328,11 @@ def _load(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_of: int = TRAIN_ONE_OF) -> dict[str, np.ndarray]:
+def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights averaged over the tasks' local training, round by round (``training``: doc_id, text)."""
     spark = training.sparkSession
     p = Network.initial(vocab.start)
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(one_of * rounds))
+    pick = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(rounds))
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0.0
