@@ -61,6 +61,35 @@ def test_hot_keys_are_compared_by_window(docs, rows, monkeypatch):
     assert by_row(phrases.repeated_bytes(docs), lambda r: (r.n_removed,)) == want
 
 
+def test_cuts_beyond_24_bits():
+    """A passage is cut alike wherever it stands in a document of over 16 MiB."""
+    import numpy as np
+    import pyarrow as pa
+    from tillcast.llm.blocks import Block
+    rng = np.random.default_rng(2)
+    size, span = (1 << 24) + 4000, 1000
+    data = rng.integers(97, 123, size).astype(np.uint8)
+    rows = pa.record_batch({"doc_id": pa.array([1])})
+    far = (1 << 24) + 1500
+    part = phrases._parser(50, 16)(Block(rows, data[far:far + span], np.array([0, span])))
+    whole = phrases._parser(50, 16)(Block(rows, data, np.array([0, size])))
+    want = dict(zip((part.start[1:-1] + far).tolist(), part.key[1:-1].tolist(), strict=True))
+    got = dict(zip(whole.start.tolist(), whole.key.tolist(), strict=True))
+    assert want and all(got.get(a) == k for a, k in want.items())
+
+
+def test_symbols_beyond_24_bits():
+    """The least symbol of a range, far into a document of over 16.7 million words."""
+    import numpy as np
+    from tillcast.llm import recompress
+    name = np.random.default_rng(3).integers(0, 1 << 63, (1 << 24) + 4000).astype(np.uint64)
+    level = recompress.Level(name, np.arange(len(name)), np.arange(1, len(name) + 1), np.zeros(len(name), np.int64))
+    far = np.arange((1 << 24) + 1500, (1 << 24) + 1700)
+    short = recompress.Level(*(c[far[0]:far[0] + 300] for c in (name, np.arange(len(name)), np.arange(1, len(name) + 1), level.own)))
+    want = recompress.anchors([short], far, 50)[1] + far[0]
+    assert (recompress.anchors([level], far, 50)[1] == want).all()
+
+
 def test_remove_repeats_keeps_text_valid(docs, rows):
     out = phrases.remove_repeats(docs)
     assert out.columns == docs.columns

@@ -43,6 +43,7 @@ WIDTH = 50
 TRIGGER = 16
 
 _LOW = np.uint64((1 << 24) - 1)
+_STRETCH = 1 << 23     # positions ranked together; with their overlap they fit in _LOW
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -55,6 +56,16 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
+def _cuts(h: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least hash of every ``width`` neighbours, the leftmost of equal ones."""
+    parts = []
+    for lo in range(0, len(h) - width + 1, _STRETCH):
+        part = h[lo:lo + _STRETCH + width - 1]
+        rank = (mix(part) | _LOW) ^ _LOW | np.arange(len(part), dtype=np.uint64)
+        parts.append((_least(rank, width) & _LOW).astype(np.int64) + lo)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _parser(width: int, trigger: int):
     def parse(b: Block) -> Parsed:
         at = window_starts(b.offsets, width)
@@ -65,8 +76,7 @@ def _parser(width: int, trigger: int):
         values = byte_values(b.data)
         rolling = Prefix(values)
         h = rolling.windows(trigger)
-        rank = (mix(h) | _LOW) ^ _LOW | np.arange(len(h), dtype=np.uint64)  # leftmost of equal hashes
-        cut = (_least(rank, width - trigger + 1)[at] & _LOW).astype(np.int64)
+        cut = _cuts(h, width - trigger + 1)[at]
         new = np.ones(len(at), bool)
         new[1:] = (cut[1:] != cut[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)

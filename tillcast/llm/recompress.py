@@ -24,6 +24,7 @@ from .blocks import mix
 ROUNDS = 3
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _INDEX_BITS = np.uint64(24)
+_STRETCH = 1 << 23  # symbols ranked together; with their overlap they fit in _INDEX_BITS
 _SALT = mix(np.arange(101, 165, dtype=np.uint64))  # splits the symbols of each round into left and right anew
 
 
@@ -100,6 +101,19 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
+def _least_symbols(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Index of the least rank in each of the non-empty ranges (``lo`` ascending), the leftmost of equal ones."""
+    out = np.empty(len(lo), np.int64)
+    for first in range(0, len(name), _STRETCH):
+        now = slice(*np.searchsorted(lo, [first, first + _STRETCH]))
+        if now.start == now.stop:
+            continue
+        part = name[first:hi[now].max()]
+        rank = (mix(part ^ _C) >> _INDEX_BITS << _INDEX_BITS) | np.arange(len(part), dtype=np.uint64)
+        out[now] = (_range_min(rank, lo[now] - first, hi[now] - first) & np.uint64((1 << 24) - 1)).astype(np.int64) + first
+    return out
+
+
 def anchors(lvs: list[Level], starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per window start: anchor level, symbol index, and the symbol's context (lo, hi)."""
     level = np.full(len(starts), -1, np.int8)
@@ -111,9 +125,7 @@ def anchors(lvs: list[Level], starts: np.ndarray, width: int) -> tuple[np.ndarra
         a = np.searchsorted(lv.lo, at)
         b = np.searchsorted(lv.hi, at + width, side="right")
         has = b > a
-        index = np.arange(len(lv.name), dtype=np.uint64)
-        rank = (mix(lv.name ^ _C) >> _INDEX_BITS << _INDEX_BITS) | index
-        best = (_range_min(rank, a[has], b[has]) & np.uint64((1 << 24) - 1)).astype(np.int64)
+        best = _least_symbols(lv.name, a[has], b[has])
         into = todo[has]
         level[into], symbol[into] = k, best
         lo_out[into], hi_out[into] = lv.lo[best], lv.hi[best]
