@@ -136,6 +136,19 @@ def test_stages_by_brute_force(spark, stages):
     assert all(abs(taken[s] - goal[s]) <= biggest for s in goal)
 
 
+def test_nothing_is_toxic_without_both_classes(spark, tmp_path):
+    """Labels that are none, unusable or all toxic are no evidence; the pipeline keeps its documents."""
+    import corpus_pipeline
+    rows = edge_documents()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for labels in ([], [(1, None), (None, 1), (10**9, 1)], [(1, 1), (4, 1), (7, 1)]):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, frame(spark, rows), str(tmp_path)).count() == len(rows)
+    spark.createDataFrame([], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_run_on_edges(spark, tmp_path):
     """Edge documents as tables of their own pass the whole pipeline."""
     import corpus_pipeline

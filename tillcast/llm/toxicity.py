@@ -256,7 +256,11 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, in the columns they came with."""
+    """The documents that are not predicted toxic, in the columns they came with.
+
+    A document without neighbours has no evidence against it and stays, whatever
+    the base rate; so all stay where the labels are not of both classes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     names = docs.columns
 
@@ -264,14 +268,15 @@ def drop_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
         ix = shared.value
         sieve = ix.sieve()
         for batch in batches:
-            keep = np.full(batch.num_rows, ix.score(ix.base) < THRESHOLD)
+            keep = np.ones(batch.num_rows, bool)
             done = 0
             for b in blocks([batch.select([text_col])], text_col):
                 own, term, n = _counts(b, ix.terms, sieve)
                 edge = np.searchsorted(own, np.arange(b.n + 1))
                 for i in np.flatnonzero(np.diff(edge)).tolist():
                     t = term[edge[i]:edge[i + 1]]
-                    keep[done + i] = ix.score(ix.vote(*ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS))) < THRESHOLD
+                    at, cosine = ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS)
+                    keep[done + i] = not len(at) or ix.score(ix.vote(at, cosine)) < THRESHOLD
                 done += b.n
             yield batch.select(names).filter(pa.array(keep))
 
