@@ -330,6 +330,17 @@ def test_token_counts(docs, rows):
         assert r.after is None or r.n_tokens_after == n(r.after)
 
 
+def test_edits_of_documents_without_an_id(spark):
+    counter = token_counts.Counter(token_counts.read_ranks(token_counts.VOCABULARY))
+    n = lambda t: len(counter.encoding.encode_ordinary(t))
+    text = "write to someone.long@mail.example.com today"
+    docs = spark.createDataFrame([(None, text, "en", "s", 0), (1, text, "en", "s", 0)], DOCS)
+    out = token_counts.apply_edits(docs, token_counts.build_trees(docs), token_counts.redaction_edits(docs), with_text=True).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 1]
+    for r in out:
+        assert r.n_edits == 1 and r.n_reencoded > 0 and r.after == "write to <EMAIL> today" and r.n_tokens_after == n(r.after)
+
+
 def test_tree_follows_random_edits():
     import random
     rng = random.Random(4)

@@ -195,11 +195,13 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
 
     leaves = trees.dropDuplicates(["doc_id", "th"])
     touched = edits.where(F.size("edits") > 0)
-    changed = (_keyed(docs, id_col, text_col).dropDuplicates(["doc_id", "th"]).join(touched, ["doc_id", "th"]).join(leaves, ["doc_id", "th"])
-               .mapInArrow(run, f"{_KEYED}, n_tokens_after long, n_pretokens_after long, n_reencoded long{extra}"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     key = lambda d, p: d.withColumnsRenamed({"doc_id": f"{p}_id", "th": f"{p}_th"})
     same = lambda p: F.col("doc_id").eqNullSafe(F.col(f"{p}_id")) & (F.col("th") == F.col(f"{p}_th"))
+    changed = (_keyed(docs, id_col, text_col).dropDuplicates(["doc_id", "th"])
+               .join(key(touched, "e"), same("e")).join(key(leaves, "l"), same("l"))
+               .select("doc_id", "th", "text", "leaf_chars", "leaf_pres", "leaf_tokens", "edits")
+               .mapInArrow(run, f"{_KEYED}, n_tokens_after long, n_pretokens_after long, n_reencoded long{extra}"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     counted = trees.select("doc_id", "th", total("leaf_pres").alias("n_pretokens"), total("leaf_tokens").alias("n_tokens"))
     n_edits = key(touched.select("doc_id", "th", F.size("edits").cast("long").alias("n_edits")), "e")
     return (counted.join(n_edits, same("e"), "left").join(key(changed, "c"), same("c"), "left")
