@@ -319,6 +319,19 @@ def test_toxicity_is_exact_knn(spark):
     assert {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, flipped)).collect()} == {k: r.score for k, r in out.items()}
 
 
+def test_toxicity_is_over_all_words(spark):
+    """Words count whichever class they lean to, and however many there are."""
+    rows, labels = [], []
+    for i in range(600):
+        rows.append((i, " ".join([f"q{i // 10:03d}z{k}" for k in range(8)] + ["kind" if i % 2 else "vile"]), "en", "s", 0))
+        labels.append((i, 1 - i % 2))
+    rows += [(9001, "kind", "en", "s", 0)]
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    index = toxicity.fit(docs, lab)
+    assert len(index.terms) > 1024
+    assert toxicity.score(docs, index).where("doc_id = 9001").first().evidence  # a word of the clean class has neighbours
+
+
 def test_token_counts(docs, rows):
     counter = token_counts.Counter(token_counts.read_ranks(token_counts.VOCABULARY))
     n = lambda t: len(counter.encoding.encode_ordinary(t or ""))

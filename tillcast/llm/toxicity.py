@@ -1,8 +1,8 @@
 """Toxicity scores from nearest labelled examples (operator 4).
 
-A text is a TF-IDF vector over terms (folded words and their first 4 to 8 byte
-beginnings) that tell the classes apart. The labelled examples form an inverted
-index whose postings lie in blocks of ``BLOCK`` examples, each with its largest
+A text is a TF-IDF vector over all terms (folded words and their first 4 to 8
+byte beginnings) of at least ``MIN_DF`` labelled examples, whichever class they
+lean to. The labelled examples form an inverted index whose postings lie in blocks of ``BLOCK`` examples, each with its largest
 weight. A query adds the block maxima of its terms to a bound for every block
 and opens blocks in falling order of bound until the bound can no longer beat
 the k-th best cosine, so the k nearest examples are exact. Their votes, weighted
@@ -15,7 +15,7 @@ the sample is the same on reruns), the documented bound of the broadcast index.
 Labels of held-out documents are never read. Everything else covers all data:
 every whole text is scored.
 
-Edge cases: NULL and empty texts, and texts without any chosen term, have no
+Edge cases: NULL and empty texts, and texts without any indexed term, have no
 neighbours and get the calibrated base rate; a NULL doc_id is never held out;
 labels with a NULL id or label are ignored, of repeated labels the toxic one
 counts; without labelled rows of both classes every score is 0.5 or the share
@@ -35,13 +35,13 @@ from pyspark.sql import types as T
 
 from tillcast.session import cut_lineage
 
-from .blocks import Block, Prefix, blocks, byte_values, column, mix, owners, words
+from .blocks import Block, Prefix, blocks, byte_values, column, list_sizes, mix, owners, words
 from .common import prepare, table
 from .decontaminate import WORD
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 1024      # chosen terms, by likelihood ratio
 MIN_DF = 3            # examples a term must occur in
+OPEN = 16             # blocks opened at first; twice as many each further time
 NEIGHBOURS = 16
 BLOCK = 64
 SHRINK = 0.5          # cosine mass of the base rate in a vote
@@ -79,15 +79,31 @@ def _counts(b: Block, chosen: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray
     return pair // max(len(chosen), 1), pair % max(len(chosen), 1), count
 
 
+class Lists:
+    """Many arrays in one: list t is ``flat[edge[t]:edge[t + 1]]``."""
+
+    def __init__(self, flat: np.ndarray, edge: np.ndarray):
+        self.flat, self.edge = flat, edge
+
+    def __getitem__(self, t: int) -> np.ndarray:
+        return self.flat[self.edge[t]:self.edge[t + 1]]
+
+
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers lo .. lo + size - 1 of every range, one after another."""
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Index(NamedTuple):
-    terms: np.ndarray      # sorted chosen terms
+    terms: np.ndarray      # sorted terms
     idf: np.ndarray
     ids: np.ndarray        # examples' doc ids, in block order
     toxic: np.ndarray
-    where: list[np.ndarray]   # per term: example positions
-    weight: list[np.ndarray]  # per term: their weights
-    cuts: list[np.ndarray]    # per term: first posting of each block
-    top: np.ndarray           # terms x blocks: largest weight
+    where: Lists           # per term: example positions
+    weight: Lists          # per term: their weights
+    block: Lists           # per term: the blocks that hold it
+    top: np.ndarray        # largest weight of each entry of ``block``
+    cuts: np.ndarray       # first posting of each entry of ``block``, and the end
     base: float
     curve: tuple[float, float]
 
@@ -100,24 +116,34 @@ class Index(NamedTuple):
         w = (1 + np.log(count)) * self.idf[term]
         return w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples (position, cosine), exact; ``skip`` is left out."""
-        bound = weight @ self.top[term]
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar examples (position, cosine), exact; those of the id ``skip`` are left out."""
+        size = self.block.edge[term + 1] - self.block.edge[term]
+        entry = _ranges(self.block.edge[term], size)
+        q = np.repeat(weight, size)
+        block = self.block.flat[entry]
+        bound = np.bincount(block, q * self.top[entry], minlength=-(-len(self.ids) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
         best_at = np.zeros(0, np.int64)
         best = np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, q in zip(term.tolist(), weight.tolist(), strict=True):
-                lo, hi = self.cuts[t][block], self.cuts[t][block + 1]
-                sums[self.where[t][lo:hi] - block * BLOCK] += q * self.weight[t][lo:hi]
+        lo, step = 0, OPEN
+        while lo < len(order) and bound[order[lo]] > 0 and not (len(best) == k and bound[order[lo]] < best[-1] - 1e-9):
+            opened = np.zeros(len(order), bool)
+            opened[order[lo:lo + step]] = True
+            lo, step = lo + step, 2 * step
+            sel = opened[block]
+            n = self.cuts[entry[sel] + 1] - self.cuts[entry[sel]]
+            post = _ranges(self.cuts[entry[sel]], n)
+            sums = np.bincount(self.where.flat[post], np.repeat(q[sel], n) * self.weight.flat[post], minlength=len(self.ids))
             at = np.flatnonzero(sums)
-            at = at[at + block * BLOCK != skip]
-            best_at = np.concatenate([best_at, at + block * BLOCK])
+            if skip is not None:
+                at = at[self.ids[at] != skip]
+            if len(at) > k:  # ties with the k-th stay, the smallest positions win below
+                at = at[sums[at] >= np.partition(sums[at], -k)[-k]]
+            best_at = np.concatenate([best_at, at])
             best = np.concatenate([best, sums[at]])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
+            rank = np.lexsort((best_at, -best))[:k]
+            best_at, best = best_at[rank], best[rank]
         return best_at, best
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -154,42 +180,35 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             .select("doc_id", "text", "toxic"))
 
 
-def choose_terms(sample: DataFrame) -> list[tuple[int, int]]:
-    """(term, df) of the terms that lean to toxic examples, by likelihood ratio."""
+def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, sorted, and their df) of the terms in at least ``MIN_DF`` examples; none without both classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, max_bytes=1 << 22):
             term, own = _terms(b)
-            toxic = column(b.rows, "toxic").to_numpy(zero_copy_only=False)
             order = np.lexsort((own, term))
             term, own = term[order], own[order]
             new = np.ones(len(term), bool)
             new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
-            term, bad = term[new], toxic[own[new]]
-            at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-            n = np.diff(np.append(at, len(term)))
-            pos = np.add.reduceat(bad, at) if len(at) else at
-            yield pa.record_batch({"term": term[at].view(np.int64), "pos": pos.astype(np.int64), "n": n.astype(np.int64)})
+            term, n = np.unique(term[new], return_counts=True)
+            yield pa.record_batch({"term": term.view(np.int64), "n": n.astype(np.int64)})
 
     sizes = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
-    p, n = int(sizes.p or 0), int(sizes.n)
-    if not 0 < p < n:
-        return []
-    rate = p / n
-    g = "pos * ln(pos / n / {r}) + if(n > pos, (n - pos) * ln((n - pos) / n / {s}), 0)".format(r=rate, s=1 - rate)
-    rows = (sample.mapInArrow(count, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-            .where((F.col("n") >= MIN_DF) & (F.col("pos") > rate * F.col("n")))
-            .withColumn("g", F.expr(g)).orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term", "n").collect())
-    return [(r.term, r.n) for r in rows]
+    if not 0 < int(sizes.p or 0) < int(sizes.n):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = (sample.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= MIN_DF).toArrow())  # bounded by the sample's words
+    term, n = rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(term)
+    return term[order], n[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
     prepare(docs.sparkSession)
     sample = cut_lineage(examples(docs, labels, id_col, text_col, label_col), "toxic-examples")
-    chosen = sorted((np.int64(t).astype(np.uint64), df) for t, df in choose_terms(sample))
-    terms = np.array([t for t, _ in chosen], np.uint64)
+    terms, df = choose_terms(sample)
     size = sample.count()
-    idf = np.log((1 + size) / (1 + np.array([df for _, df in chosen], float))) + 0.1
+    idf = np.log((1 + size) / (1 + df)) + 0.1
     sieve = np.zeros(1 << 16, bool)
     sieve[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -202,29 +221,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 "terms": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(term, pa.int32())),
                 "counts": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(n, pa.int32()))})
 
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()  # bounded sample
-    base = min(max(sum(r.toxic for r in rows) / len(rows), 1e-6), 1 - 1e-6) if rows else 0.5
-    full = [r for r in rows if r.terms]
-    index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0), [], [], [], np.zeros((len(terms), 0)), base, (1.0, 0.0))
-    vecs = [(np.array(r.terms), index.vector(np.array(r.terms), np.array(r.counts))) for r in full]
+    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().combine_chunks()  # bounded sample
+    toxic = rows["toxic"].to_numpy()
+    base = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
+    sizes = np.concatenate([np.zeros(0, np.int64), *[list_sizes(c) for c in rows["terms"].chunks]])
+    term, count = (np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in rows[x].chunks]]) for x in ("terms", "counts"))
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    weight = (1 + np.log(count)) * idf[term]
+    weight = (weight / np.sqrt(np.bincount(own, weight * weight, minlength=len(sizes)))[own]).astype(np.float32)
+    full = np.flatnonzero(sizes)
     # examples with the same leading term share blocks, which keeps the block maxima tight
-    order = sorted(range(len(full)), key=lambda i: (int(vecs[i][0][np.argmax(vecs[i][1])]), -float(vecs[i][1].max()), full[i].doc_id))
-    blocks_n = -(-len(full) // BLOCK)
-    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-    top = np.zeros((len(terms), blocks_n))
-    for place, i in enumerate(order):
-        for t, w in zip(*vecs[i], strict=True):
-            lists[t].append((place, float(w)))
-            top[t, place // BLOCK] = max(top[t, place // BLOCK], w)
-    where = [np.array([x for x, _ in lst], np.int64) for lst in lists]
-    index = index._replace(
-        ids=np.array([full[i].doc_id for i in order], np.int64), toxic=np.array([full[i].toxic for i in order], float),
-        where=where, weight=[np.array([w for _, w in lst]) for lst in lists],
-        cuts=[np.searchsorted(w, np.arange(blocks_n + 1) * BLOCK) for w in where], top=top)
-    votes = [index.vote(*index.nearest(*vecs[i], NEIGHBOURS, skip=place)) for place, i in enumerate(order)]
-    bare = len(rows) - len(full)
-    y = np.concatenate([index.toxic, [r.toxic for r in rows if not r.terms]])
-    return index._replace(curve=_calibrate(np.concatenate([votes, np.full(bare, base)]), y) if rows and 0 < y.sum() < len(y) else (1.0, 0.0))
+    first = (np.cumsum(sizes) - sizes)[full]
+    most = np.maximum.reduceat(weight, first) if len(full) else weight
+    is_most = np.flatnonzero(weight == np.repeat(most, sizes[full]))
+    lead = term[is_most[np.searchsorted(is_most, first)]]
+    order = full[np.lexsort((rows["doc_id"].to_numpy()[full], -most, lead))]
+    place = np.zeros(len(sizes), np.int32)
+    place[order] = np.arange(len(order))
+    at = np.lexsort((place[own], term))
+    term, where, weight = term[at], place[own][at], weight[at]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (where[1:] // BLOCK != where[:-1] // BLOCK)
+    cuts = np.flatnonzero(new)
+    edge = np.searchsorted(term, np.arange(len(terms) + 1))
+    index = Index(terms, idf, rows["doc_id"].to_numpy()[order], toxic[order].astype(float), Lists(where, edge), Lists(weight, edge),
+                  Lists(where[cuts] // BLOCK, np.searchsorted(term[cuts], np.arange(len(terms) + 1))),
+                  np.maximum.reduceat(weight, cuts) if len(cuts) else weight, np.append(cuts, len(term)), base, (1.0, 0.0))
+    if not 0 < toxic.sum() < len(toxic):
+        return index
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for b in blocks(batches):
+            own, term, n = _counts(b, ix.terms, sieve)
+            edge = np.searchsorted(own, np.arange(b.n + 1))
+            votes = np.full(b.n, ix.base)
+            for i, doc in enumerate(column(b.rows, "doc_id").to_pylist()):
+                t = term[edge[i]:edge[i + 1]]
+                if len(t):
+                    votes[i] = ix.vote(*ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS, skip=doc))
+            yield pa.record_batch({"doc_id": column(b.rows, "doc_id"), "vote": votes, "toxic": column(b.rows, "toxic")})
+
+    votes = (sample.repartition(-(-size // 256)).mapInArrow(leave_one_out, "doc_id long, vote double, toxic int")
+             .orderBy("doc_id", "vote").toArrow())  # one small row an example
+    return index._replace(curve=_calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy()))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
