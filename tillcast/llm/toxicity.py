@@ -226,29 +226,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
     sizes = np.concatenate([np.zeros(0, np.int64), *[list_sizes(c) for c in rows["terms"].chunks]])
     term, count = (np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in rows[x].chunks]]) for x in ("terms", "counts"))
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    weight = (1 + np.log(count)) * idf[term]
-    weight = (weight / np.sqrt(np.bincount(own, weight * weight, minlength=len(sizes)))[own]).astype(np.float32)
+    ids = rows["doc_id"].to_numpy()
+    del rows  # postings are many: 32 bits each, and nothing is kept twice
+    own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    weight = (1 + np.log(count, dtype=np.float32)) * idf.astype(np.float32)[term]
+    del count
+    weight /= np.sqrt(np.bincount(own, weight * weight, minlength=len(sizes))).astype(np.float32)[own]
     full = np.flatnonzero(sizes)
     # examples with the same leading term share blocks, which keeps the block maxima tight
     first = (np.cumsum(sizes) - sizes)[full]
     most = np.maximum.reduceat(weight, first) if len(full) else weight
     is_most = np.flatnonzero(weight == np.repeat(most, sizes[full]))
     lead = term[is_most[np.searchsorted(is_most, first)]]
-    order = full[np.lexsort((rows["doc_id"].to_numpy()[full], -most, lead))]
+    order = full[np.lexsort((ids[full], -most, lead))]
     place = np.zeros(len(sizes), np.int32)
     place[order] = np.arange(len(order))
-    at = np.lexsort((place[own], term))
-    term, where, weight = term[at], place[own][at], weight[at]
+    del is_most
+    key = term.astype(np.int64) * max(len(order), 1)
+    key += place[own]
+    del term, own
+    at = np.argsort(key)
+    weight = weight[at]
+    key = key[at]
+    del at
+    term, where = (key // max(len(order), 1)).astype(np.int32), (key % max(len(order), 1)).astype(np.int32)
+    del key
     new = np.ones(len(term), bool)
     new[1:] = (term[1:] != term[:-1]) | (where[1:] // BLOCK != where[:-1] // BLOCK)
-    cuts = np.flatnonzero(new)
+    cuts = np.flatnonzero(new).astype(np.int32 if len(new) < 1 << 31 else np.int64)
+    del new
     edge = np.searchsorted(term, np.arange(len(terms) + 1))
-    index = Index(terms, idf, rows["doc_id"].to_numpy()[order], toxic[order].astype(float), Lists(where, edge), Lists(weight, edge),
+    index = Index(terms, idf, ids[order], toxic[order].astype(float), Lists(where, edge), Lists(weight, edge),
                   Lists(where[cuts] // BLOCK, np.searchsorted(term[cuts], np.arange(len(terms) + 1))),
-                  np.maximum.reduceat(weight, cuts) if len(cuts) else weight, np.append(cuts, len(term)), base, (1.0, 0.0))
+                  np.maximum.reduceat(weight, cuts) if len(cuts) else weight, np.append(cuts, cuts.dtype.type(len(term))), base, (1.0, 0.0))
     if not 0 < toxic.sum() < len(toxic):
         return index
+    del term
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
