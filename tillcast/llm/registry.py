@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language_model, mixing, phrases, quality, substrings, token_counts, toxicity, urls
+from . import decontaminate, jaccard, language_model, manifest, mixing, phrases, quality, substrings, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8,
     "op9_lm_scoring": language_model.op9,
     "op10_mix_sources": mixing.op10,
+    "op12_merkle_manifest": manifest.op12,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op7_suffix_array_dedup": phrases.SQL,
     "op8_ngram_jaccard_join": jaccard.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }
