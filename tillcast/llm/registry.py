@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language_model, manifest, mixing, phrases, quality, substrings, token_counts, toxicity, urls
+from . import (decontaminate, jaccard, language_model, manifest, mixing, negatives, neighbours, phrases, quality, substrings,
+               token_counts, toxicity, urls)
 
 QUERIES = {
     "op1_url_filter": urls.op1,
@@ -15,7 +16,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8,
     "op9_lm_scoring": language_model.op9,
     "op10_mix_sources": mixing.op10,
+    "op11_hard_negatives": negatives.op11,
     "op12_merkle_manifest": manifest.op12,
+    "op13_nearest_neighbours": neighbours.op13,
 }
 
 ORACLE = {
@@ -24,5 +27,6 @@ ORACLE = {
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op7_suffix_array_dedup": phrases.SQL,
     "op8_ngram_jaccard_join": jaccard.SQL,
+    "op11_hard_negatives": negatives.SQL,
     "op12_merkle_manifest": manifest.SQL,
 }
