@@ -144,6 +144,38 @@ def test_similar_items_both_directions(spark):
     assert got == {"pepperoni": "Pepperoni Pizza", "Large Cola Zero": "Cola"}
 
 
+def test_similar_items_against_all_pairs(spark):
+    import random
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abÄ ") for _ in range(rng.randrange(0, 7)))
+    names = [(rng.randrange(2), word()) for _ in range(80)]
+    known = [(rng.randrange(2), word(), rng.choice("xy")) for _ in range(80)] + [(0, "", "x"), (1, None, "y")]
+    got = {(r.business_id, r.name): (r.similar_item, r.similar_category) for r in I.similar_items(
+        spark.createDataFrame(names, "business_id int, name string"),
+        spark.createDataFrame(known, "business_id int, item_name string, category string")).collect()}
+    want = {}
+    for b, n in names:
+        fits = [(abs(len(k) - len(n)), c, k) for kb, k, c in known if kb == b and n and k and (n.lower() in k.lower() or k.lower() in n.lower())]
+        if fits:
+            want[b, n] = min(fits)[:0:-1]
+    assert got == want and len(want) > 20
+    plan = I.similar_items(spark.createDataFrame(names, "business_id int, name string"),
+                           spark.createDataFrame(known, "business_id int, item_name string, category string"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_merges_with_null_keys(spark):
+    key = "model_id long, prediction_date date, item_name string"
+    day = d("2024-01-01")
+    old = spark.createDataFrame([(1, day, None, 5, 4), (1, day, "a", 6, None)], f"{key}, predicted_quantity int, actual_quantity int")
+    new = spark.createDataFrame([(1, day, None, 9), (None, day, "a", 7)], f"{key}, predicted_quantity int")
+    got = sorted(map(tuple, M.upsert_predictions(old, new).collect()), key=str)
+    assert got == sorted([(1, day, None, 9, 4), (1, day, "a", 6, None), (None, day, "a", 7, None)], key=str)
+    rows = [("a", 1, "x"), ("a", 2, "y"), (None, 3, "p"), (None, 7, "q"), ("b", None, "z"), (None, 7, "r")]
+    got = M.keep_latest(spark.createDataFrame(rows, "k string, id int, v string"), ["k"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 2, "y"), (None, 7, "r"), ("b", None, "z")], key=str)
+
+
 def test_accuracy_skips_nonpositive_actuals(spark):
     rows = [(1, 0, d("2024-01-01"), "a", 5, 0), (1, 0, d("2024-01-01"), "b", 3, -1),
             (1, 0, d("2024-01-02"), "a", 5, 10)]
@@ -318,19 +350,6 @@ def test_forecast_lags_calendar_lookups_and_fallbacks(spark):
     assert b6.rolling_7_std == pytest.approx(0.6)
 
 
-def test_train_per_business_small(spark):
-    from tillcast.plans import training as TR
-    from tillcast.sources import tables as T
-
-    frame = TR.training_frame(T.sales(spark, "/root/testdata/sf0.001"), pooled=False)
-    models = TR.train_per_business(frame, [0, 1], tune=False, params={"maxIter": 2, "maxDepth": 2}, n_folds=2)
-    assert sorted(models) == [0, 1]
-    for res in models.values():
-        m = res.metrics.first()
-        assert m.training_rows > 0 and m.test_rows > 0 and m.test_mae >= 0
-        assert res.importance.count() == len(res.names)
-
-
 def test_merges_last_entry_wins_and_null_overwrites(spark):
     key = "model_id long, prediction_date date, item_name string"
     old = spark.createDataFrame([(1, d("2024-01-01"), "a", 5, 4)], f"{key}, predicted_quantity int, actual_quantity int")

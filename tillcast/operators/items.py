@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_hour
 from ..util import with_business
+from .ranking import with_position
 
 DEFAULT_CATEGORY = "Other"
 OVERALL_SCOPE = "_overall"
@@ -97,9 +98,12 @@ def price_stats(sales: DataFrame) -> DataFrame:
 
 
 def category_index(categories: DataFrame) -> DataFrame:
-    """A-13: category -> its items in order, one row per item with its position."""
-    w = Window.partitionBy("business_id", "category").orderBy("item_name")
-    return categories.select("business_id", "category", F.row_number().over(w).alias("pos"), "item_name")
+    """A-13: category -> its items in order, one row per item with its position.
+
+    The default category can hold most of a catalogue, so positions come from a
+    range-partitioned sort and not from a window over the category."""
+    placed = with_position(categories.select("business_id", "category", "item_name"), ["business_id", "category"], ["item_name"])
+    return placed.select("business_id", "category", (F.col("pos") + 1).cast("int").alias("pos"), "item_name")
 
 
 def category_average(daily: DataFrame, categories: DataFrame, value: str = "quantity") -> DataFrame:
@@ -147,40 +151,50 @@ def hourly_patterns(timed: DataFrame, value: str = "quantity", time_col: str = "
 
 # ---------------------------------------------------------------- lookups
 
-def _substrings(s: Column) -> Column:
-    """All non-empty substrings of ``s`` (length L -> L(L+1)/2 entries)."""
-    n = F.length(s)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1))))
+GRAM = 3  # longest gram of the substring index
+
+
+def _grams(s: Column, longest: int = GRAM) -> Column:
+    """The distinct substrings of up to ``longest`` characters: at most ``longest`` x length of them."""
+    def of(k: int) -> Column:
+        starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(s, i, F.lit(k)))
+    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(business_id, a, b) with ``a`` a value of ``inner`` and a substring of ``b``, a value of ``outer``.
+
+    ``outer`` is indexed by its grams; an inner value is looked up by one key,
+    the rarest in the index of its grams of ``GRAM`` characters (a shorter value
+    is its own gram), and every hit is verified. A value with a gram that the
+    index lacks is contained nowhere and is not joined at all."""
+    index = outer.select("business_id", "b", F.explode(_grams(F.col("b"))).alias("g"))
+    often = index.groupBy("business_id", "g").agg(F.count("*").alias("n"))
+    own = F.filter(_grams(F.col("a")), lambda g: F.length(g) == F.least(F.length("a"), F.lit(GRAM)))
+    probes = inner.select("business_id", "a", F.explode(own).alias("g")).join(often, ["business_id", "g"], "left")
+    rarest = probes.groupBy("business_id", "a").agg(
+        F.min_by("g", F.struct("n", "g")).alias("g"), F.count_if(F.col("n").isNull()).alias("lacking")).where("lacking = 0")
+    return (rarest.join(index, ["business_id", "g"]).where(F.contains(F.col("b"), F.col("a")))
+            .select("business_id", "a", "b"))
 
 
 def similar_items(names: DataFrame, known: DataFrame) -> DataFrame:
     """J-22: for each name, the known item that contains it or is contained in
-    it (case-insensitive). Both directions are equi-joins on generated
-    substrings (no theta join): a known item matches a name iff lower(name) is
-    one of its substrings, or lower(known) is one of the name's substrings.
-    Deterministic pick (Q15): closest length, then category, then item name.
+    it (case-insensitive). Either direction is a lookup of the shorter value in
+    a gram index of the longer ones (``_contained``), so a name costs keys in
+    proportion to its length. Deterministic pick (Q15): closest length, then
+    category, then item name.
 
     ``names``: (business_id, name); ``known``: (business_id, item_name, category).
     """
     nm = names.select("business_id", "name", F.lower("name").alias("_lname")).where(F.length("_lname") > 0)
     kn = known.select("business_id", "item_name", "category", F.lower("item_name").alias("_lknown"))
-
-    def keys(subs_of: str, whole: str, subs_dir: str, whole_dir: str):
-        subs = F.transform(F.array_distinct(_substrings(F.col(subs_of))),
-                           lambda x: F.struct(x.alias("k"), F.lit(subs_dir).alias("d")))
-        one = F.array(F.struct(F.col(whole).alias("k"), F.lit(whole_dir).alias("d")))
-        return F.explode(F.concat(subs, one) if subs_dir == "a" else F.concat(one, subs)).alias("_key")
-
-    # direction a: lower(name) is a substring of the known name;
-    # direction b: lower(known) is a substring of the name. Each side emits the
-    # keys of both directions in one pass, then one equi-join matches them.
-    k_keys = kn.select("*", keys("_lknown", "_lknown", "a", "b")).select(
-        "business_id", "item_name", "category", "_lknown", F.col("_key.k").alias("_k"), F.col("_key.d").alias("_d"))
-    n_keys = nm.select("*", keys("_lname", "_lname", "b", "a")).select(
-        "business_id", "name", "_lname", F.col("_key.k").alias("_k"), F.col("_key.d").alias("_d"))
-    cand = n_keys.join(k_keys, ["business_id", "_k", "_d"])
+    short = nm.select("business_id", F.col("_lname").alias("a")).distinct()
+    long = kn.where(F.length("_lknown") > 0).select("business_id", F.col("_lknown").alias("b")).distinct()
+    pairs = _contained(short, long).select("business_id", F.col("a").alias("_lname"), F.col("b").alias("_lknown")).union(
+        _contained(long.withColumnRenamed("b", "a"), short.withColumnRenamed("a", "b")).select("business_id", "b", "a")).distinct()
+    cand = nm.join(pairs, ["business_id", "_lname"]).join(kn, ["business_id", "_lknown"])
     rank = F.struct(F.abs(F.length("_lknown") - F.length("_lname")).alias("d"),
                     F.col("category").alias("c"), F.col("item_name").alias("i"))
     return (cand.groupBy("business_id", "name")

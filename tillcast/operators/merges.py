@@ -20,13 +20,26 @@ PRODUCT_KEY = ("integration_id", "external_id")
 ORDER_KEY = ("integration_id", "external_id")
 
 
+def merge_join(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Full outer join on ``key`` in which NULL equals NULL, so that a key with a
+    NULL part (an item without a name) is one key on both sides. One shuffle of
+    each side, as for a plain join."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in key else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in key:
+        on = on & left[c].eqNullSafe(r[f"_r_{c}"])
+    joined = left.withColumn("_l", F.lit(True)).join(r, on, "full_outer")
+    return joined.withColumns({c: F.when(F.col("_l"), F.col(c)).otherwise(F.col(f"_r_{c}")) for c in key}).drop(
+        "_l", *[f"_r_{c}" for c in key])
+
+
 def upsert_predictions(existing: DataFrame, new: DataFrame, seq_col: str | None = None) -> DataFrame:
     """J-14: key (model, date, item): a new row overwrites the predicted
     quantity and keeps the stored actual; new keys are inserted. Of several new
     rows for one key the last by ``seq_col`` wins (without one, the largest)."""
     n = new.groupBy(*PRED_KEY).agg(
         F.max_by("predicted_quantity", seq_col or "predicted_quantity").alias("_new_pred"))
-    j = existing.join(n, list(PRED_KEY), "full_outer")
+    j = merge_join(existing, n, PRED_KEY)
     return j.select(*PRED_KEY,
                     F.coalesce("_new_pred", "predicted_quantity").alias("predicted_quantity"),
                     "actual_quantity")
@@ -82,7 +95,7 @@ def save_actuals(predictions: DataFrame, models: DataFrame, entries: DataFrame,
     e = (entries.join(act, "business_id")
          .groupBy("model_id", F.col("date").alias("prediction_date"), "item_name")
          .agg(F.max_by("actual_quantity", seq_col).alias("_actual")))
-    j = predictions.join(e, list(PRED_KEY), "full_outer")
+    j = merge_join(predictions, e, PRED_KEY)
     change = (F.when(F.col("_actual").isNull(), F.lit(None))
               .when(F.col("predicted_quantity").isNull(), F.lit("created")).otherwise(F.lit("updated")))
     return j.select(*PRED_KEY,
@@ -110,7 +123,7 @@ def upsert_products(existing: DataFrame, incoming: DataFrame, now_col: str = "sy
     last = [seq_col] if seq_col else [now_col, *cols]
     inc = (incoming.groupBy(*PRODUCT_KEY)
            .agg(F.max_by(F.struct(*cols, F.col(now_col).alias("at")), F.struct(*last)).alias("_n"), F.lit(True).alias("_seen")))
-    j = existing.withColumn("_known", F.lit(True)).join(inc, list(PRODUCT_KEY), "full_outer")
+    j = merge_join(existing.withColumn("_known", F.lit(True)), inc, PRODUCT_KEY)
     known, seen = F.col("_known").isNotNull(), F.col("_seen").isNotNull()
     return j.select(*PRODUCT_KEY,
                     F.coalesce("business_id", "_n.business_id").alias("business_id"),
@@ -141,13 +154,20 @@ def _first_per_key(df: DataFrame, key: Sequence[str], order: str | None = None)
 def keep_latest(df: DataFrame, key: Sequence[str], id_col: str = "id") -> DataFrame:
     """A-28: one row per natural key, the one with the highest id.
 
-    The highest id per key is a hash aggregate of fixed width (a key duplicated
-    a million times collapses map-side); whole rows are joined back for the
-    winners only, and only they are compared when an id repeats within a key.
+    NULL key values are equal to each other, as in a GROUP BY; a NULL id is
+    lower than any other. The highest id per key is a hash aggregate of fixed
+    width (a key duplicated a million times collapses map-side); whole rows are
+    joined back for the winners only, and only they are compared when an id
+    repeats within a key.
     """
     others = [c for c in df.columns if c not in key and c != id_col]
-    top = df.groupBy(*key).agg(F.max(id_col).alias(id_col))
-    won = df.join(top, [*key, id_col])
+    top = df.groupBy(*[F.col(c).alias(f"_t_{c}") for c in key]).agg(F.max(id_col).alias("_t_id"))
+    on = F.col(id_col).eqNullSafe(F.col("_t_id"))
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    won = df.join(top, on, "left_semi")
+    if not others:
+        return won.select(*key, id_col).distinct()
     packed = F.max(F.struct(*[F.col(c) for c in others])).alias("_row")
     return won.groupBy(*key, id_col).agg(packed).select(*key, id_col, *[F.col(f"_row.{c}").alias(c) for c in others])
 

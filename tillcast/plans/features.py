@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import time_block, time_block_code
 from ..functions.dates import cyclical, date_parts
 from ..operators import calendar_joins as J
+from ..operators.ranking import with_position
 from ..sources import calendars as C
 from ..util import with_business
 
@@ -120,12 +121,13 @@ def calendar_day_features(days: DataFrame, cal: Calendars) -> DataFrame:
 def item_codes(frame: DataFrame, keys=("item_name",)) -> DataFrame:
     """M-03 (plan side): item code = alphabetical position within the business.
 
-    One row per (business, item): the window holds one business's catalogue.
+    A range-partitioned sort of the distinct items, so that a large catalogue is
+    ranked by many tasks (``operators.ranking``).
     """
     df, _ = with_business(frame)
     items = df.select("business_id", *keys).where(F.col(keys[0]).isNotNull()).distinct()
-    w = Window.partitionBy("business_id").orderBy(*keys)
-    return items.withColumn("item_encoded", (F.row_number().over(w) - 1).cast("int"))
+    return with_position(items, ["business_id"], list(keys), "item_encoded").withColumn(
+        "item_encoded", F.col("item_encoded").cast("int"))
 
 
 def build_features(rows: DataFrame, cal: Calendars | None = None, time_col: str = "time",

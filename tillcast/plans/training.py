@@ -1,4 +1,4 @@
-"""Model training, evaluation, search, persistence and forecasting on MLlib.
+"""Model training, evaluation, search, persistence and forecasting.
 
 M-02..M-10, M-13, W-11, W-12, T-04, F-17, F-18.
 
@@ -7,31 +7,32 @@ M-02..M-10, M-13, W-11, W-12, T-04, F-17, F-18.
   value -> count map, bounded by the number of distinct days).
 * Folds (W-12) are expanding windows cut at the k/(n+1) date quantiles.
 * Metrics are computed on a model fitted on the training part only; the
-  serving model is then refitted on all rows (fix of Q6).
-* The only driver loops are over hyper-parameter candidates and folds; every
-  fit and every metric is a distributed Spark job.
+  serving model is fitted on all rows (fix of Q6).
+* A whole training job - folds, evaluation and serving of every candidate, one
+  model over all businesses or one per business - is one run of
+  ``boosting.grow`` over one quantised matrix. There is no loop over
+  candidates, folds or businesses.
 """
 
 from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass, field, replace
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ape, round_prediction
 from ..operators import items as I
 from ..operators import series as S
-from ..session import cut_lineage
+from ..operators.ranking import with_position
+from ..session import cut_lineage, write_shared
 from ..util import with_business
+from . import boosting as B
 from .features import Calendars, build_features, feature_names
 from .forecast import forecast_grid, forecast_lags
 
@@ -41,7 +42,7 @@ KEYS = ["business_id", "date", "item_name"]
 # Default boosting settings and the random-search grid. The item code
 # is one continuous column, so items share a bin beyond ``maxBins`` of them: pass a
 # larger value for a larger catalogue.
-DEFAULT_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "maxBins": 256}
+DEFAULT_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "maxBins": 64}
 SEARCH_GRID = {
     "maxIter": [50, 100, 150, 200, 250],
     "maxDepth": [3, 4, 5, 6, 7, 8],
@@ -89,16 +90,24 @@ def prepare(df: DataFrame, names: list[str]) -> DataFrame:
                      *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
 
 
-def gbt(params: dict | None = None, seed: int = 42) -> GBTRegressor:
-    """M-04: squared-error gradient-boosted trees."""
-    p = dict(DEFAULT_PARAMS)
-    p.update(params or {})
-    return GBTRegressor(featuresCol="features", labelCol=LABEL, predictionCol="prediction", seed=seed,
-                        lossType="squared", **p)
+def fit_of(params: dict | None, role: str, seed: int = 42) -> B.Fit:
+    """M-04: the parameters of squared-error gradient-boosted trees."""
+    p = {**DEFAULT_PARAMS, **(params or {})}
+    return B.Fit(role, depth=p["maxDepth"], step=p["stepSize"], trees=(p["maxIter"],), min_rows=p.get("minInstancesPerNode", 1),
+                 row_share=p.get("subsamplingRate", 1.0), feature_share=float(p.get("featureSubsetStrategy", 1.0)),
+                 min_gain=p.get("minInfoGain", 0.0), bins=p["maxBins"], seed=seed)
 
 
-def fit(train: DataFrame, names: list[str], params: dict | None = None) -> PipelineModel:
-    return Pipeline(stages=[assembler(names), gbt(params)]).fit(train)
+@dataclass
+class Model:
+    """Fitted trees, one forest or one per business (``group``)."""
+    trees: DataFrame  # boosting.MODEL_SCHEMA
+    names: list[str]
+    group: str | None = None
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        """``frame`` with a ``prediction``."""
+        return B.predict(frame, self.trees, self.names, self.group)
 
 
 def item_indexer(df: DataFrame) -> StringIndexer:
@@ -139,15 +148,6 @@ def fold_bounds(df: DataFrame, n_folds: int = 3) -> DataFrame:
     return b.select("business_id", rows).select("business_id", "f.*")
 
 
-def fold_frames(df: DataFrame, bounds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
-    b = bounds.where(F.col("fold") == fold).drop("fold")
-    j = df.join(b, "business_id")
-    train = j.where(F.col("date") < F.col("valid_start")).drop("valid_start", "valid_end")
-    valid = j.where((F.col("date") >= F.col("valid_start")) & (F.col("date") < F.col("valid_end"))).drop(
-        "valid_start", "valid_end")
-    return train, valid
-
-
 # ---------------------------------------------------------------- metrics
 
 def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -157,11 +157,6 @@ def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction",
                     F.count(F.lit(1)).alias("rows"))
 
 
-def mae_of(model: PipelineModel, frame: DataFrame) -> float:
-    r = model.transform(frame).agg(F.avg(F.abs(F.col(LABEL) - F.col("prediction")))).first()[0]
-    return float(r) if r is not None else float("nan")
-
-
 @dataclass
 class SearchResult:
     best_params: dict
@@ -183,40 +178,93 @@ def sample_candidates(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def _fold_scores(folds: list[tuple[DataFrame, DataFrame]], names: list[str], candidates: list[dict],
-                 parallelism: int) -> list[list[float]]:
-    """Validation MAE of every candidate on every fold; the fits are independent
-    Spark jobs and run ``parallelism`` at a time."""
-    jobs = [(c, tr, va) for c in candidates for tr, va in folds]
-    score = inheritable_thread_target(folds[0][0].sparkSession)(lambda job: mae_of(fit(job[1], names, job[0]), job[2]))
-    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
-        maes = pool.map(score, jobs, chunksize=1)
-    return [maes[k:k + len(folds)] for k in range(0, len(maes), len(folds))]
+def with_roles(df: DataFrame, n_folds: int = 3, test_size: float | None = 0.2) -> tuple[DataFrame, list[str]]:
+    """``df`` with a role column (1 trains, 2 is held out, else unused) for each expanding fold, then, with a
+    ``test_size``, for the chronological split (``evaluate``) and for all rows (``serve``)."""
+    folds = [f"fold_{k}" for k in range(1, n_folds + 1)]
+    bounds = fold_bounds(df, n_folds).groupBy("business_id").agg(
+        *[F.first(F.when(F.col("fold") == k, F.struct("valid_start", "valid_end")), True).alias(f) for k, f in enumerate(folds, 1)])
+    out = df.join(bounds, "business_id").withColumns({
+        f: F.when(F.col("date") < F.col(f"{f}.valid_start"), B.TRAIN).when(F.col("date") < F.col(f"{f}.valid_end"), B.HELD_OUT) for f in folds})
+    if test_size is None:
+        return out, folds
+    out = out.join(split_dates(df, test_size), "business_id")
+    return out.withColumn("evaluate", F.when(F.col("date") < F.col("split_date"), B.TRAIN).otherwise(B.HELD_OUT)).withColumn(
+        "serve", F.lit(B.TRAIN)).drop("split_date"), [*folds, "evaluate", "serve"]
+
+
+@dataclass
+class Runs:
+    """What one run of all candidates on all roles gave."""
+    candidates: list[dict]
+    roles: list[str]
+    scores: DataFrame  # grp, candidate, job (role column), role, rows, abs_error, ape, ape_rows
+    models: DataFrame  # boosting.MODEL_SCHEMA with candidate and job; the trees of evaluate and serve
+    group: str | None
+
+
+def run_candidates(df: DataFrame, names: list[str], candidates: list[dict], n_folds: int = 3, test_size: float | None = 0.2,
+                   group: str | None = None, seed: int = 42) -> Runs:
+    """Grow and measure every candidate on every role, in one run. Candidates that differ in ``maxIter`` alone
+    share their trees: a smaller one is a prefix of the largest."""
+    spark = df.sparkSession
+    with_role, roles = with_roles(df, n_folds, test_size)
+    fits: dict[B.Fit, int] = {}  # without its tree counts -> its place
+    counts: list[set[int]] = []
+    jobs = []  # fit, trees, candidate, role column
+    for c, params in enumerate(candidates):
+        for role in roles:
+            fit = fit_of(params, role, seed)
+            k = fits.setdefault(replace(fit, trees=()), len(fits))
+            if k == len(counts):
+                counts.append(set())
+            counts[k].add(fit.trees[0])
+            jobs.append((k, fit.trees[0], c, role))
+    grown = B.grow(with_role, names, LABEL, [replace(f, trees=tuple(sorted(n))) for f, n in zip(fits, counts, strict=True)],
+                   keep=[k for f, k in fits.items() if f.role in ("evaluate", "serve")], group=group)
+    table = F.broadcast(spark.createDataFrame(jobs, "fit int, n_trees int, candidate int, job string"))  # candidates x roles rows
+    scores = grown.scores.withColumnRenamed("trees", "n_trees").join(table, ["fit", "n_trees"]).drop("fit", "n_trees")
+    models = grown.models.join(table, "fit").where(F.col("tree") < F.col("n_trees"))
+    return Runs(candidates, roles, scores, models, group)
+
+
+def candidate_scores(runs: Runs) -> DataFrame:
+    """M-06: grp, candidate, cv_mae (mean of the folds' MAE; a fold without rows has none and is left out) and the
+    folds' MAEs in order."""
+    folds = runs.scores.where(F.col("job").startswith("fold_") & (F.col("role") == B.HELD_OUT) & (F.col("rows") > 0))
+    mae = F.col("abs_error") / F.col("rows")
+    return folds.groupBy("grp", "candidate").agg(
+        F.avg(mae).alias("cv_mae"), F.stddev_pop(mae).alias("cv_std"),
+        F.transform(F.array_sort(F.collect_list(F.struct("job", mae.alias("mae")))), lambda x: x["mae"]).alias("fold_maes"))
+
+
+def best_candidates(runs: Runs) -> DataFrame:
+    """The candidate with the lowest score in each group, the first of equals."""
+    return candidate_scores(runs).groupBy("grp").agg(
+        F.min_by(F.struct("candidate", "cv_mae", "cv_std", "fold_maes"), F.struct("cv_mae", "candidate")).alias("b")).select("grp", "b.*")
+
+
+def _search_result(runs: Runs) -> SearchResult:
+    scored = {r.candidate: r for r in candidate_scores(runs).collect()}  # one row a candidate
+    if not scored:
+        raise ValueError("no fold has training and validation rows")
+    best = min(scored.values(), key=lambda r: (r.cv_mae, r.candidate))
+    return SearchResult(runs.candidates[best.candidate], list(best.fold_maes),
+                        [(c, scored[i].cv_mae if i in scored else math.nan) for i, c in enumerate(runs.candidates)])
 
 
 def random_search(df: DataFrame, names: list[str], n_iter: int = 20, n_folds: int = 3, seed: int = 42,
-                  grid: dict | None = None, parallelism: int = 8) -> SearchResult:
+                  grid: dict | None = None) -> SearchResult:
     """M-05 / M-06: ``n_iter`` distinct random candidates scored by mean fold MAE
-    on expanding folds. A fold without rows has no score and is left out of the
-    mean; a candidate without any score cannot win."""
-    cands = sample_candidates(grid or SEARCH_GRID, n_iter, seed)
-    bounds = fold_bounds(df, n_folds)
-    folds = [fold_frames(df, bounds, k) for k in range(1, n_folds + 1)]
-    scored = []
-    for c, maes in zip(cands, _fold_scores(folds, names, cands, parallelism), strict=True):
-        some = [m for m in maes if not math.isnan(m)]
-        scored.append((c, sum(some) / len(some) if some else math.nan, maes))
-    able = [x for x in scored if not math.isnan(x[1])]
-    if not able:
-        raise ValueError("no fold has training and validation rows")
-    best = min(able, key=lambda x: x[1])
-    return SearchResult(best[0], best[2], [(c, m) for c, m, _ in scored])
+    on expanding folds, all in one run. A fold without rows has no score and is
+    left out of the mean; a candidate without any score cannot win."""
+    return _search_result(run_candidates(df, names, sample_candidates(grid or SEARCH_GRID, n_iter, seed), n_folds, None))
 
 
 @dataclass
 class Artefact:
     """M-10: everything a forecast needs, saved and loaded as one folder."""
-    model: PipelineModel
+    model: Model
     names: list[str]
     codes: DataFrame          # business_id, item_name, item_encoded: the codes the trees were fitted on
     known: DataFrame          # business_id, item_name, category
@@ -236,9 +284,11 @@ class TrainResult:
     metrics: DataFrame
     importance: DataFrame
     search: SearchResult | None
+    evaluation: Model | None = None  # the model of the training part, which the metrics are of
+    runs: Runs | None = None         # scores of every candidate, fold and role
 
     @property
-    def model(self) -> PipelineModel:
+    def model(self) -> Model:
         return self.artefact.model
 
     @property
@@ -246,22 +296,13 @@ class TrainResult:
         return self.artefact.names
 
 
-def cv_scores(df: DataFrame, names: list[str], params: dict | None, n_folds: int = 3, parallelism: int = 8) -> list[float]:
-    """M-06: fold MAEs of one parameter set on expanding folds."""
-    bounds = fold_bounds(df, n_folds)
-    folds = [fold_frames(df, bounds, k) for k in range(1, n_folds + 1)]
-    return _fold_scores(folds, names, [dict(params or {})], parallelism)[0]
-
-
-def feature_importance(model: PipelineModel, names: list[str]) -> DataFrame:
-    """M-08: feature -> importance (rounded to 4), largest first."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
-    return df.select("feature", F.bround("importance", 4).alias("importance")).orderBy(
-        F.col("importance").desc(), "feature")
+def feature_importance(model: Model) -> DataFrame:
+    """M-08: feature -> importance (rounded to 4), largest first; per business where the model is."""
+    trees, by = model.trees, []
+    if model.group:
+        trees, by = trees.withColumnRenamed("grp", model.group), [model.group]
+    return B.importance(trees, model.names, by).select(*by, "feature", F.bround("importance", 4).alias("importance")).orderBy(
+        *by, F.col("importance").desc(), "feature")
 
 
 def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
@@ -272,41 +313,54 @@ def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
         "feature", display_name("feature").alias("display_name"), (F.col("importance") * 100).alias("percent"))
 
 
+def _summary(runs: Runs, best: DataFrame) -> DataFrame:
+    """One row per group: errors on the training and test part, their rows, and the best candidate's fold errors."""
+    ev = runs.scores.where("job = 'evaluate'").join(best, ["grp", "candidate"])
+    part = lambda role, value: F.max(F.when(F.col("role") == role, value))
+    mae = F.when(F.col("rows") > 0, F.col("abs_error") / F.col("rows"))
+    mape = F.when(F.col("ape_rows") > 0, F.col("ape") / F.col("ape_rows")).otherwise(F.lit(0.0))
+    return ev.groupBy("grp").agg(
+        part(B.TRAIN, mae).alias("train_mae"), part(B.HELD_OUT, mae).alias("test_mae"),
+        part(B.TRAIN, mape).alias("train_mape"), part(B.HELD_OUT, mape).alias("test_mape"),
+        part(B.TRAIN, F.col("rows")).alias("training_rows"), part(B.HELD_OUT, F.col("rows")).alias("test_rows"),
+        F.max("cv_mae").alias("cv_mae_mean"), F.max("cv_std").alias("cv_mae_std"), F.max("candidate").alias("candidate"))
+
+
+def _forests(runs: Runs, best: DataFrame, names: list[str], job: str) -> Model:
+    trees = runs.models.where(F.col("job") == job).join(best.select("grp", "candidate"), ["grp", "candidate"])
+    return Model(cut_lineage(trees.select(*[f.name for f in B.T.StructType.fromDDL(B.MODEL_SCHEMA)]), "forest"), names, runs.group)
+
+
 def train(frame: DataFrame, test_size: float = 0.2, tune: bool = True, n_folds: int = 3,
-          params: dict | None = None, n_iter: int = 20, parallelism: int = 8,
-          sales: DataFrame | None = None) -> TrainResult:
-    """M-13: search (``tune``) or cross-validation of ``params`` -> evaluate a
-    model fitted on the training split -> refit on all rows for serving ->
-    collect codes, averages, history and, from ``sales``, categories, item
-    metadata and hourly patterns beside the model."""
+          params: dict | None = None, n_iter: int = 20, sales: DataFrame | None = None, group: str | None = None) -> TrainResult:
+    """M-13: search (``tune``) or cross-validation of ``params`` -> errors of a
+    model fitted on the training split -> serving model on all rows -> codes,
+    averages, history and, from ``sales``, categories, item metadata and hourly
+    patterns beside the model. ``group``: one model per value of that column."""
     names = model_features(frame)
-    # many jobs re-read this frame (folds, candidates, refits): cut the long
-    # feature lineage with a written table in the shared folder
+    # folds, evaluation and the artefact read this frame: cut the long feature lineage
     df = cut_lineage(prepare(frame, names))
-    search = None
-    best = dict(params or {})
-    if tune:
-        search = random_search(df, names, n_iter=n_iter, n_folds=n_folds, parallelism=parallelism)
-        best, folds = search.best_params, search.fold_maes
+    cands = sample_candidates(SEARCH_GRID, n_iter, 42) if tune else [dict(params or {})]
+    runs = run_candidates(df, names, cands, n_folds, test_size, group)
+    best = cut_lineage(best_candidates(runs), "best")
+    if not group and not best.take(1):  # too few days for folds: nothing to choose by
+        best = frame.sparkSession.createDataFrame([("", 0, None, None, None)], best.schema)
+    elif group:
+        lone = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp")).distinct().join(best, "grp", "left")
+        best = cut_lineage(lone.withColumn("candidate", F.coalesce("candidate", F.lit(0))), "best")
+    summary = _summary(runs, best)
+    if group:
+        summary = summary.withColumn("grp", F.col("grp").cast(df.schema[group].dataType)).withColumnRenamed("grp", group)
     else:
-        folds = cv_scores(df, names, best, n_folds, parallelism)
-    train_df, test_df = chronological_split(df, test_size)
-    eval_model = fit(train_df, names, best)
-    tr = metrics(eval_model.transform(train_df)).first()
-    te = metrics(eval_model.transform(test_df)).first()
-    finite = [x for x in folds if not math.isnan(x)]
-    mean = sum(finite) / len(finite) if finite else None
-    std = math.sqrt(sum((x - mean) ** 2 for x in finite) / len(finite)) if finite else None
-    # a handful of scalars (already aggregated by Spark) -> one summary row
-    summary = frame.sparkSession.createDataFrame(
-        [(tr["mae"], te["mae"], tr["mape"], te["mape"], tr["rows"], te["rows"], mean, std)],
-        "train_mae double, test_mae double, train_mape double, test_mape double, training_rows long, "
-        "test_rows long, cv_mae_mean double, cv_mae_std double")
-    serving = fit(df, names, best)
-    return TrainResult(_artefact(serving, names, df, sales), summary, feature_importance(serving, names), search)
-
-
-def _artefact(model: PipelineModel, names: list[str], df: DataFrame, sales: DataFrame | None) -> Artefact:
+        summary = summary.drop("grp", "candidate")
+    serving = _forests(runs, best, names, "serve")
+    result = TrainResult(_artefact(serving, names, df, sales), cut_lineage(summary, "summary"), feature_importance(serving),
+                         _search_result(runs) if tune and not group else None)
+    result.evaluation, result.runs = _forests(runs, best, names, "evaluate"), runs
+    return result
+
+
+def _artefact(model: Model, names: list[str], df: DataFrame, sales: DataFrame | None) -> Artefact:
     daily = df.select(*KEYS, F.col(LABEL).alias("quantity"))
     codes = df.select("business_id", "item_name", F.col("item_encoded").cast("int").alias("item_encoded")).distinct()
     if sales is not None and "type" in sales.columns:
@@ -319,11 +373,12 @@ def _artefact(model: PipelineModel, names: list[str], df: DataFrame, sales: Data
         I.item_metadata(sales, daily) if sales is not None and {"size", "unit_price", "type"} <= set(sales.columns) else None)
 
 
-def train_per_business(frame: DataFrame, business_ids, **kwargs) -> dict:
-    """One model per business, as the reference trains them. The loop runs over
-    business ids (tenants, a small list chosen by the caller); every fit inside
-    ``train`` is a distributed job on that business's rows only."""
-    return {b: train(frame.where(F.col("business_id") == F.lit(b)), **kwargs) for b in business_ids}
+def train_per_business(frame: DataFrame, **kwargs) -> TrainResult:
+    """One model per business, as the reference trains them: one job for all
+    businesses, each with its own search, errors, importances and trees - the
+    same as from training each alone. Metrics and importances have a row per
+    business."""
+    return train(frame, group="business_id", **kwargs)
 
 
 def forecast(art: Artefact, days: int = 7, cal: Calendars | None = None, start=None,
@@ -349,44 +404,56 @@ def forecast(art: Artefact, days: int = 7, cal: Calendars | None = None, start=N
                          round_prediction("prediction").alias("predicted_quantity"))
 
 
+_POINTER = "CURRENT"
+
+
 def save_model(art: Artefact, path: str) -> None:
-    """M-10: the fitted pipeline, its feature names and the tables of the training run."""
+    """M-10: trees, feature names and the tables of the training run as one version.
+
+    Everything goes into a new folder under ``path``; the pointer that names it
+    is written last and replaces the older one in one step, so a reader always
+    loads a whole version: the old one until then, and also if a save breaks off.
+    """
     spark = art.codes.sparkSession
-    art.model.write().overwrite().save(f"{path}/pipeline")
-    spark.createDataFrame(list(enumerate(art.names)), "place int, name string").write.mode("overwrite").parquet(f"{path}/names")
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    at = f"{path}/{version}"
+    art.model.trees.write.parquet(f"{at}/trees")
     saved = [t for t in _TABLES if getattr(art, t) is not None]
-    spark.createDataFrame([(t,) for t in saved], "name string").write.mode("overwrite").parquet(f"{path}/tables")
+    rows = [("name", i, n) for i, n in enumerate(art.names)] + [("table", i, t) for i, t in enumerate(saved)]
+    rows += [("group", 0, art.model.group)] if art.model.group else []
+    spark.createDataFrame(rows, "kind string, place int, value string").coalesce(1).write.parquet(f"{at}/contents")
     for t in saved:
-        getattr(art, t).write.mode("overwrite").parquet(f"{path}/{t}")
+        getattr(art, t).write.parquet(f"{at}/{t}")
+    _point(spark, path, version)
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    write_shared(spark, f"{path}/.{version}", version.encode())
+    jvm = spark.sparkContext._jvm
+    made, target = jvm.org.apache.hadoop.fs.Path(f"{path}/.{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(files.makeQualified(made), files.makeQualified(target), overwrite)
 
 
-def load_model(spark, path: str) -> Artefact:
-    names = [r.name for r in spark.read.parquet(f"{path}/names").orderBy("place").collect()]  # one row a feature
-    saved = {r.name for r in spark.read.parquet(f"{path}/tables").collect()}
-    return Artefact(PipelineModel.load(f"{path}/pipeline"), names,
-                    **{t: spark.read.parquet(f"{path}/{t}") if t in saved else None for t in _TABLES})
+def load_model(spark: SparkSession, path: str) -> Artefact:
+    at = f"{path}/{spark.read.text(f'{path}/{_POINTER}').first()[0]}"
+    contents = sorted(map(tuple, spark.read.parquet(f"{at}/contents").collect()))  # a row a feature and table
+    of = lambda kind: [value for k, _, value in contents if k == kind]
+    model = Model(spark.read.parquet(f"{at}/trees"), of("name"), (of("group") or [None])[0])
+    return Artefact(model, of("name"), **{t: spark.read.parquet(f"{at}/{t}") if t in of("table") else None for t in _TABLES})
 
 
 # ---------------------------------------------------------------- positional (Q5)
 
 def positions(df: DataFrame, order: tuple[str, str] = ("item_name", "date")) -> DataFrame:
     """1-based row position per business in (item, date) order, the reference's
-    item-major order (Q5), without a single-task global window: the position is
-    the number of rows of earlier items (a running sum over the per-item count
-    table, one row per item) plus the row number inside the item (a window over
-    that item's days). Also adds the business row count ``_n``."""
+    item-major order (Q5), by a range-partitioned sort (``operators.ranking``):
+    no task ranks a whole business or its catalogue. Also adds the business
+    row count ``_n``."""
     d, _ = with_business(df)
-    item, date = order
-    counts = d.groupBy("business_id", item).agg(F.count(F.lit(1)).alias("_cnt"))
-    w_items = Window.partitionBy("business_id").orderBy(item)
-    offsets = counts.select(
-        "business_id", item,
-        (F.sum("_cnt").over(w_items.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
-        F.sum("_cnt").over(Window.partitionBy("business_id")).alias("_n"))
-    w_rows = Window.partitionBy("business_id", item).orderBy(date)
-    return (d.join(offsets, ["business_id", item])
-            .withColumn("_pos", F.coalesce(F.col("_before"), F.lit(0)) + F.row_number().over(w_rows))
-            .drop("_before"))
+    return with_position(d, ["business_id"], list(order), "_pos", "_n").withColumn("_pos", F.col("_pos") + 1)
 
 
 def positional_split(df: DataFrame, test_size: float = 0.2) -> DataFrame:

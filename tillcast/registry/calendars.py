@@ -341,10 +341,12 @@ feat AS (
   FROM filled f
 )"""
 
+FEATURES_SQL = _CAL.rstrip() + _FILL + _DAY_FEATS  # ... feat
+
 _FEATURE_OUT = [c for c in FE.FEATURE_COLUMNS if not c.startswith(("lag_", "rolling_"))]
 
 
-@query("M01_build_features", _CAL.rstrip() + _FILL + _DAY_FEATS + "\nSELECT business_id, date, item_name, "
+@query("M01_build_features", FEATURES_SQL + "\nSELECT business_id, date, item_name, "
        + ", ".join(f"ROUND({c}, 6) + 0.0 AS {c}" if c in (
            "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos", "temp_max", "temp_min",
            "precipitation", "weather_code") else c for c in _FEATURE_OUT) + " FROM feat")

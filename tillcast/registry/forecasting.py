@@ -6,22 +6,30 @@ importances) depend on the boosting library, so those queries have no SQL
 oracle (rows-only check); splits, folds, encodings and metrics formulas do.
 
 Queries train with the library defaults (100 trees, depth 6, 3 folds) and
-search 5 candidates of the whole grid; ``M04_row_counts``, ``M08_importance_sums``,
-``M09_forecast_grid`` and ``M10_loaded_equals_trained`` hold what is exact about
-the model outputs against SQL.
+search 5 candidates of the whole grid. What is exact about the model outputs is
+held against SQL: rows of every fold, candidate and business (``M05_M06_search_rows``,
+``M04_row_counts``, ``M13_per_business_rows``), metrics recomputed from the scored
+rows (``M07_metrics_recomputed``), importances that sum to one, the forecast grid,
+and that a loaded model is the trained one.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import display_name
 from ..operators import reports as R
 from ..operators import series as S
 from ..plans import training as TR
+from ..plans import features as FE
 from ..session import scratch_path
 from ..sources import tables as T
+from ..util import round_doubles
+from . import calendars as CAL
 from . import query
+from .series import LAG_CTES
 
 _DAILY = T.with_ctes(T.SALES_SQL, T.daily_sales_sql())
 _MODELS: dict = {}
@@ -113,13 +121,20 @@ def round_prediction(spark, sf_dir):
     return T.predictions(spark, sf_dir, daily).drop("actual_quantity")
 
 
-@query("M02_feature_vector")
+@query("M02_feature_vector", CAL.FEATURES_SQL + """,
+""" + LAG_CTES + """
+SELECT f.business_id, f.date, f.item_name, l.quantity, unnest(generate_series(0, %d)) AS place,
+  unnest([%s]) AS value
+FROM feat f JOIN lagged l ON l.business_id = f.business_id AND l.date = f.date AND l.item_name = f.item_name""" % (
+    len(FE.FEATURE_COLUMNS), ", ".join(f"ROUND(CAST({c} AS DOUBLE), 6) + 0.0" for c in (
+        *(f"f.{c}" if not c.startswith(("lag_", "rolling_")) else f"l.{c}" for c in FE.FEATURE_COLUMNS), "f.business_id"))))
 def feature_vector(spark, sf_dir):
+    """Every value of every feature vector of the pooled training frame, with its place."""
     frame = _frame(spark, sf_dir)
     names = TR.model_features(frame)
     v = TR.assembler(names).transform(TR.prepare(frame, names))
-    return v.select("business_id", "date", "item_name", "quantity",
-                    F.size(vector_to_array("features")).alias("n_features"))
+    return round_doubles(v.select("business_id", "date", "item_name", "quantity", F.posexplode(vector_to_array("features")).alias("place", "value"))
+                         .withColumn("place", F.col("place").cast("long")))
 
 
 @query("M04_M07_train_evaluate")
@@ -142,6 +157,36 @@ def random_search(spark, sf_dir):
     return spark.createDataFrame(rows, "candidate int, params string, cv_mae double")
 
 
+@query("M05_M06_search_rows", _DAILY + f""",
+q AS (SELECT business_id, quantile_cont({_EPOCH}, [0.25, 0.5, 0.75, 1.0]) AS qs FROM daily GROUP BY business_id),
+b AS (
+  SELECT business_id, k AS fold, floor(qs[k]) AS lo, floor(qs[k + 1]) + CASE WHEN k = 3 THEN 1 ELSE 0 END AS hi FROM q, range(1, 4) t(k))
+SELECT CAST(c AS INTEGER) AS candidate, CAST(b.fold AS INTEGER) AS fold, COUNT(*) FILTER (WHERE {_EPOCH} < b.lo) AS train_rows,
+       COUNT(*) FILTER (WHERE {_EPOCH} >= b.lo AND {_EPOCH} < b.hi) AS valid_rows, TRUE AS scored
+FROM b JOIN daily d USING (business_id), range(0, 5) t(c) GROUP BY ALL""")
+def search_rows(spark, sf_dir):
+    """Rows each candidate was trained on and scored on in each fold; whether it has a score."""
+    s = _tuned(spark, sf_dir).runs.scores.where(F.col("job").startswith("fold_"))
+    rows = lambda role: F.sum(F.when(F.col("role") == role, F.col("rows")))
+    return s.groupBy("candidate", F.substring("job", 6, 9).cast("int").alias("fold")).agg(
+        rows(TR.B.TRAIN).alias("train_rows"), rows(TR.B.HELD_OUT).alias("valid_rows"),
+        F.bool_and(F.col("abs_error") >= 0).alias("scored"))
+
+
+@query("M07_metrics_recomputed", "SELECT UNNEST(['test', 'train']) AS part, TRUE AS same_mae, TRUE AS same_mape, TRUE AS same_rows")
+def metrics_recomputed(spark, sf_dir):
+    """MAE, MAPE and rows of the run against the formulas (F-17) over rows scored by the saved trees."""
+    res = _trained(spark, sf_dir)
+    train, test = TR.chronological_split(TR.prepare(_frame(spark, sf_dir), res.names))
+    scored = TR.metrics(res.evaluation.transform(train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))),
+                        by=["part"])
+    m = res.metrics.select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_mae").alias("a"), F.col(f"{p}_mape").alias("b"),
+                                                        F.col(r).alias("c")) for p, r in (("train", "training_rows"), ("test", "test_rows"))])).alias("m")).select("m.*")
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 1e-9 * F.abs(F.col(y)) + 1e-9
+    return scored.join(m, "part").select("part", close("mae", "a").alias("same_mae"), close("mape", "b").alias("same_mape"),
+                                         (F.col("rows") == F.col("c")).alias("same_rows"))
+
+
 @query("M08_feature_importance")
 def feature_importance(spark, sf_dir):
     return _trained(spark, sf_dir).importance
@@ -239,6 +284,48 @@ def importance_sums(spark, sf_dir):
     return total.join(top, F.col("top") > 0)
 
 
+def _each(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "each")
+    if key not in _MODELS:
+        frame = _frame(spark, sf_dir).drop("business_code")
+        _MODELS[key] = TR.train_per_business(frame, tune=False, sales=T.sales(spark, sf_dir))
+    return _MODELS[key]
+
+
+@query("M13_per_business")
+def per_business(spark, sf_dir):
+    """One model per business, all in one run: errors on both parts and over the folds."""
+    return _each(spark, sf_dir).metrics.drop("candidate")
+
+
+@query("M13_per_business_rows", _DAILY + f""",
+sp AS (SELECT business_id, floor(quantile_cont({_EPOCH}, 0.8)) AS split FROM daily GROUP BY business_id)
+SELECT d.business_id, COUNT(*) FILTER (WHERE {_EPOCH} < split) AS training_rows, COUNT(*) FILTER (WHERE {_EPOCH} >= split) AS test_rows,
+       COUNT(*) AS served_rows, TRUE AS beats_last_week
+FROM daily d JOIN sp USING (business_id) GROUP BY d.business_id""")
+def per_business_rows(spark, sf_dir):
+    """Rows of each business's model, rows its serving model scores, and a test error no larger than that of last week's quantity."""
+    res, frame = _each(spark, sf_dir), _frame(spark, sf_dir)
+    _, test = TR.chronological_split(frame)
+    naive = test.groupBy("business_id").agg(F.avg(F.abs(F.col("quantity") - F.col("lag_7"))).alias("naive"))
+    served = res.model.transform(TR.prepare(frame, res.names)).groupBy("business_id").agg(F.count("prediction").alias("served_rows"))
+    return res.metrics.join(naive, "business_id").join(served, "business_id").select(
+        "business_id", "training_rows", "test_rows", "served_rows", (F.col("test_mae") <= F.col("naive")).alias("beats_last_week"))
+
+
+@query("T04_top_features_order", "SELECT UNNEST(range(1, 11)) AS place, TRUE AS named, TRUE AS falling")
+def top_features_order(spark, sf_dir):
+    """The ten largest importances by a rank over all of them: names shown, percents in falling order."""
+    res = _trained(spark, sf_dir)
+    known = spark.createDataFrame([(n,) for n in res.names], "feature string").select(display_name("feature").alias("display_name"), "feature")
+    rank = Window.orderBy(F.desc("importance"), "feature")  # one row a feature
+    ranked = res.importance.withColumn("place", F.row_number().over(rank).cast("long")).withColumn(
+        "above", F.lag("importance").over(rank))
+    top = TR.top_features(res.importance, 10).join(known, ["feature", "display_name"])
+    return top.join(ranked, "feature").select("place", (F.length("display_name") > 0).alias("named"),
+                                              F.coalesce(F.col("above") >= F.col("importance"), F.lit(True)).alias("falling"))
+
+
 @query("M13_training_job")
 def training_job(spark, sf_dir):
     """Search (5 candidates, 3 folds) -> evaluate -> refit; one summary row."""

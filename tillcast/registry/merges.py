@@ -161,6 +161,35 @@ def keep_latest(spark, sf_dir):
     return M.keep_latest(li, ["l_orderkey"], "id")
 
 
+@query("A28_keep_latest_null_keys", """
+SELECT k, priority, id, o_totalprice FROM (
+  SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 1000 END AS k,
+         CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS priority, o_orderkey AS id, o_totalprice FROM orders)
+QUALIFY row_number() OVER (PARTITION BY k, priority ORDER BY id DESC) = 1""")
+def keep_latest_null_keys(spark, sf_dir):
+    """A third of all rows have a NULL key part; NULLs are one key."""
+    o = T.read_table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 1000).alias("k"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"), F.col("o_orderkey").alias("id"), "o_totalprice")
+    return M.keep_latest(o, ["k", "priority"], "id")
+
+
+@query("J14_upsert_null_items", _P.rstrip() + _NEW_SQL.replace("l.item_name,", "NULLIF(l.item_name, 'Brand#1') AS item_name,").replace(
+    "SELECT g.business_id * 10000 + year(g.d), g.d, g.item_name,", "SELECT g.business_id * 10000 + year(g.d), g.d, NULLIF(g.item_name, 'Brand#1'),") + """,
+old AS (SELECT model_id, prediction_date, NULLIF(item_name, 'Brand#1') AS item_name, predicted_quantity, actual_quantity FROM predictions)
+SELECT COALESCE(p.model_id, n.model_id) AS model_id, COALESCE(p.prediction_date, n.prediction_date) AS prediction_date,
+       COALESCE(p.item_name, n.item_name) AS item_name,
+       COALESCE(n.predicted_quantity, p.predicted_quantity) AS predicted_quantity, p.actual_quantity
+FROM old p FULL OUTER JOIN new n
+  ON p.model_id = n.model_id AND p.prediction_date = n.prediction_date AND p.item_name IS NOT DISTINCT FROM n.item_name""")
+def upsert_null_items(spark, sf_dir):
+    """As J14, with one item that has no name: its rows are one key a day on both sides."""
+    daily = T.daily_series(spark, sf_dir)
+    nameless = F.when(F.col("item_name") != "Brand#1", F.col("item_name"))
+    return M.upsert_predictions(T.predictions(spark, sf_dir, daily).withColumn("item_name", nameless),
+                                _new_forecasts(spark, sf_dir, daily).withColumn("item_name", nameless), "seq")
+
+
 @query("M11_activate_model", _P + """,
 tgt AS (SELECT business_id, arg_min(model_id, (created_at, model_id)) AS t FROM models GROUP BY business_id)
 SELECT m.model_id, m.business_id, m.created_at, m.training_rows, m.model_id = tgt.t AS is_active

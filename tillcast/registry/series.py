@@ -11,8 +11,7 @@ from . import query
 
 _DAILY = T.with_ctes(T.SALES_SQL, T.daily_sales_sql())
 
-_LAG_SQL = _DAILY.rstrip() + """,
-m AS (SELECT business_id, AVG(quantity) AS mean_q FROM daily GROUP BY business_id),
+LAG_CTES = """m AS (SELECT business_id, AVG(quantity) AS mean_q FROM daily GROUP BY business_id),
 w AS (
   SELECT d.*,
     LAG(quantity, 1) OVER win AS l1,
@@ -22,15 +21,17 @@ w AS (
     STDDEV_SAMP(quantity) OVER (win ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS s7
   FROM daily d
   WINDOW win AS (PARTITION BY business_id, item_name ORDER BY date)
-)
-SELECT w.business_id, w.date, w.item_name, ROUND(w.quantity, 6) AS quantity,
-  ROUND(COALESCE(l1, r7, mean_q, 0), 6) AS lag_1,
-  ROUND(COALESCE(l7, r7, mean_q, 0), 6) AS lag_7,
-  ROUND(COALESCE(r7, mean_q, 0), 6) AS rolling_7_avg,
-  ROUND(COALESCE(r30, r7, mean_q, 0), 6) AS rolling_30_avg,
-  ROUND(COALESCE(s7, r7, mean_q, 0), 6) AS rolling_7_std
-FROM w LEFT JOIN m ON w.business_id = m.business_id
-"""
+),
+lagged AS (
+  SELECT w.business_id, w.date, w.item_name, ROUND(w.quantity, 6) AS quantity,
+    ROUND(COALESCE(l1, r7, mean_q, 0), 6) AS lag_1,
+    ROUND(COALESCE(l7, r7, mean_q, 0), 6) AS lag_7,
+    ROUND(COALESCE(r7, mean_q, 0), 6) AS rolling_7_avg,
+    ROUND(COALESCE(r30, r7, mean_q, 0), 6) AS rolling_30_avg,
+    ROUND(COALESCE(s7, r7, mean_q, 0), 6) AS rolling_7_std
+  FROM w LEFT JOIN m ON w.business_id = m.business_id
+)"""
+_LAG_SQL = _DAILY.rstrip() + ",\n" + LAG_CTES + "\nSELECT * FROM lagged"
 
 
 @query("W01_W06_lag_features", _LAG_SQL)
