@@ -148,6 +148,8 @@ _TREE = "leaf_chars array<int>, leaf_pres array<int>, leaf_tokens array<int>"
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
+BROADCAST_KEYS = 1_000_000  # edited texts whose keys (16 bytes) are broadcast; beyond it the texts are shuffled
+
 
 def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +199,10 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
     touched = edits.where(F.size("edits") > 0)
     key = lambda d, p: d.withColumnsRenamed({"doc_id": f"{p}_id", "th": f"{p}_th"})
     same = lambda p: F.col("doc_id").eqNullSafe(F.col(f"{p}_id")) & (F.col("th") == F.col(f"{p}_th"))
-    changed = (_keyed(docs, id_col, text_col).dropDuplicates(["doc_id", "th"])
+    # Only edited texts are moved: the keys go to the texts as long as they are few.
+    keys = key(touched.select("doc_id", "th"), "k")
+    keys = F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    changed = (_keyed(docs, id_col, text_col).join(keys, same("k"), "left_semi").dropDuplicates(["doc_id", "th"])
                .join(key(touched, "e"), same("e")).join(key(leaves, "l"), same("l"))
                .select("doc_id", "th", "text", "leaf_chars", "leaf_pres", "leaf_tokens", "edits")
                .mapInArrow(run, f"{_KEYED}, n_tokens_after long, n_pretokens_after long, n_reencoded long{extra}"))
