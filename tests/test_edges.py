@@ -382,6 +382,78 @@ def test_csv_quotes_line_breaks_and_rejects(spark, tmp_path):
     assert good.count() == 2 and bad.count() == 1 and bad.first()._corrupt_record == "too,many,fields,here"
 
 
+def test_csv_records_from_byte_ranges(spark, tmp_path):
+    """However a file is cut, the records are those of Python's own reader."""
+    import csv
+    import random
+
+    from tillcast.sources import records as RC
+    rng = random.Random(9)
+    piece = lambda: rng.choice(['a', 'bc', '"', ',', '\n', '\n\n', 'ü', ' ', '5" pipe', '""', '\r\n'])
+    want = [(str(k), "".join(piece() for _ in range(rng.randrange(0, 30))) or "x", "z" * rng.randrange(1, 20)) for k in range(300)]
+    for name, rows in (("a", want[:200]), ("b", want[200:])):
+        with open(tmp_path / f"{name} 1.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n" if name == "a" else "\r\n")
+            w.writerow(["id", "te\nxt", "z"])
+            w.writerows(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (97, 1000, 10**7):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            good, bad = FL.read_csv_checked(spark, str(tmp_path))
+            assert good.columns == ["id", "te\nxt", "z"] and bad.count() == 0
+            assert sorted(map(tuple, good.collect())) == sorted(want)
+            files = RC.layouts(spark, str(tmp_path))[0][1]
+            assert len(files) == 2 and (RC.records(spark, files).rdd.getNumPartitions() > 20) == (size < 1000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quotes_count_where_a_field_begins():
+    from tillcast.sources.records import ends_inside
+    assert not ends_inside('5" pipe,a"b,c', False) and ends_inside('a,"b', False) and not ends_inside('a,"b ""c"" d",e', False)
+    assert ends_inside('a,"b"",c', False) and not ends_inside('x",y', True) and ends_inside('x"",y', True) and ends_inside('x","y', True)
+
+
+def test_uploads_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Date,Product,Qty\n2024-01-02,tea,3\n")
+    (tmp_path / "2.csv").write_text("Qty,Date,Product\n7,2024-01-03,cake\n")
+    (tmp_path / "3.csv").write_text("order date,ITEM,notes\n2024-01-04,pie,n\n2024-01-05,pie,n,surplus\n")
+    (tmp_path / "4.csv").write_text("")
+    sales, rejects = FL.load_sales(spark, str(tmp_path))
+    assert sorted((r.date, r.item_name, r.quantity, r.notes) for r in sales.collect()) == [
+        (d("2024-01-02"), "tea", 3.0, None), (d("2024-01-03"), "cake", 7.0, None), (d("2024-01-04"), "pie", 1.0, "n")]
+    assert rejects.count() == 0 and FL.read_csv_checked(spark, str(tmp_path))[1].count() == 1
+
+
+def test_auto_compare_reads_only_what_it_touches(spark, tmp_path):
+    """Entries and predictions of other months can be unreadable: a batch does not open them. A replayed batch changes nothing."""
+    from tillcast.streaming import orders as X
+    schema = "business_id long, date date, item_name string, quantity double"
+    models = spark.createDataFrame([(1, 1)], "model_id long, business_id long")
+    X.write_version(spark.createDataFrame([(1, d("2024-01-01"), "a", 5, None), (1, d("2024-03-01"), "a", 5, None)],
+                                          "model_id long, prediction_date date, item_name string, predicted_quantity int, actual_quantity int"),
+                    f"{tmp_path}/p", 0)
+
+    def run(row, ck):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        feed = X.order_feed(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+        X.auto_compare_stream(feed, models, f"{tmp_path}/p", f"{tmp_path}/ledger", f"{tmp_path}/log", f"{tmp_path}/{ck}/ck")
+
+    run((1, d("2024-01-01"), "a", 5.0), "one")
+    for top in ("p/month=202401", "ledger/month=202401"):
+        for f in (tmp_path / top).rglob("part-*"):
+            f.write_bytes(b"lost")
+        for f in (tmp_path / top).rglob(".part-*"):
+            f.write_bytes(b"")
+    run((1, d("2024-03-01"), "a", 4.0), "one")
+    march = X.current_predictions(spark, f"{tmp_path}/p", [202403])
+    assert march.first().actual_quantity == 4
+    X.auto_compare_stream(X.order_feed(spark, f"{tmp_path}/in", march.sparkSession.createDataFrame([], schema).schema).where(
+        "date = '2024-03-01'"), models, f"{tmp_path}/p", f"{tmp_path}/ledger", f"{tmp_path}/log", f"{tmp_path}/two/ck")
+    assert X.current_predictions(spark, f"{tmp_path}/p", [202403]).first().actual_quantity == 4  # its batch 0 replaces batch 0 of this run
+
+
 def test_auto_compare_does_not_depend_on_batches_or_checkpoints(spark, tmp_path):
     """The same key in several batches adds up; a second checkpoint goes on from the newest version; a failure is logged whole."""
     from tillcast.streaming import orders as X

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as DT
 from ..functions import scalars as X
 from ..operators import series as S
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import files as FL
 from ..sources import providers as P
 from ..sources import tables as T
@@ -62,6 +62,45 @@ def csv_text_roundtrip(spark, sf_dir):
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
 
 
+@query("S01_S03_many_layouts", _SALES + """
+SELECT CAST(business_id AS VARCHAR) AS location, date, item_name, quantity, size,
+       CASE WHEN business_id % 3 <> 2 THEN type END AS type, unit_price, total_price, order_id
+FROM sales""")
+def many_layouts(spark, sf_dir):
+    """Uploads of different shops in one load: two orders of columns under different names, and one without a category."""
+    s = T.sales(spark, sf_dir)
+    path = scratch_path(spark, "upload-layouts")
+    day = F.date_format("date", "yyyy-MM-dd")
+    one = [day.alias("Order Date"), F.col("item_name").alias("Product Name"), F.col("quantity").alias("Qty"), F.col("size").alias("Pizza Size"),
+           F.col("type").alias("Category"), F.col("unit_price").alias("Price"), F.col("total_price").alias("Total"),
+           F.col("order_id").alias("Order"), F.col("business_id").alias("Store")]
+    two = [F.col("item_name").alias("ITEM"), F.col("type").alias("Item Type"), F.col("order_id").alias("receipt"), F.col("business_id").alias("branch"),
+           F.col("total_price").alias("Revenue"), F.col("unit_price").alias("item price"), F.col("quantity").alias("units"), F.col("size").alias("portion"),
+           day.alias("Sold On")]
+    for k, columns in enumerate((one, two, [c for c in one if c is not one[4]])):
+        P.write_sales_csv(s.where(F.col("business_id") % 3 == k).select(*columns), f"{path}/{k}")
+    return FL.load_sales(spark, f"{path}/*")[0].select("location", "date", "item_name", "quantity", "size", "type", "unit_price", "total_price", "order_id")
+
+
+@query("S01_one_large_file", """
+SELECT doc_id, text, TRUE AS by_many_tasks FROM documents""")
+def one_large_file(spark, sf_dir):
+    """All texts as one quoted file with line breaks inside its fields, read back by more than one task."""
+    docs = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "upload-large")
+    P.write_sales_csv(docs.coalesce(1), path)
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(4096, size // 16)))  # as a larger file would be cut
+    try:
+        rows = FL.read_sales_csv(spark, path)
+        tagged = cut_lineage(rows.withColumn("part", F.spark_partition_id()), "large-file")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    parts = tagged.agg(F.count_distinct("part")).first()[0]
+    return tagged.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(parts > 1).alias("by_many_tasks"))
+
+
 @query("S01_rejected_rows", """
 SELECT COUNT(*) AS good, COUNT(*) AS rejected FROM orders""")
 def csv_rejects(spark, sf_dir):

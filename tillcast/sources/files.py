@@ -14,8 +14,10 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import DAY_FIRST_FORMATS, ISO_FORMATS, MONTH_FIRST_FORMATS
+from . import records as R
 
 STANDARD_COLUMNS = ("date", "item_name", "quantity", "size", "type", "unit_price", "total_price",
                     "order_id", "time", "location", "employee_id", "payment_method", "notes", "cost")
@@ -59,34 +61,45 @@ CORRUPT = "_corrupt_record"
 NUMERIC_COLUMNS = {"quantity": "double", "unit_price": "double", "total_price": "double", "cost": "double"}
 
 
-def read_csv_checked(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_csv_checked(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """S-01: header CSV, one or many files / globs, every column a string.
 
-    Returns (rows, rejects): quoted fields may hold doubled quotes and, with
-    ``multi_line``, line breaks; rows that do not fit the header come back as
-    rejects with their raw text in ``_corrupt_record``. Exports that are known
-    to have no line breaks in fields can pass ``multi_line=False``, which lets
-    Spark split large files.
+    Returns (rows, rejects): quoted fields may hold doubled quotes and line
+    breaks; rows that do not fit their file's header come back as rejects with
+    their raw text in ``_corrupt_record``. Files are read by their own header:
+    another order of columns is no difference, a column that a file lacks is
+    NULL. Large files are read by many tasks (``sources.records``).
     """
-    where = paths if isinstance(paths, str) else list(paths)
+    parts = [read_one_layout(spark, header, files) for header, files in R.layouts(spark, paths)]
+    return _united([p[0] for p in parts]), _united([p[1] for p in parts])
 
-    def reader():
-        return (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-                .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
 
-    header = reader().csv(where).schema
-    if CORRUPT in header.fieldNames():
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def read_one_layout(spark: SparkSession, header: Sequence[str], files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and rejects of files with one header."""
+    if CORRUPT in header:
         raise ValueError(f"an upload column is named {CORRUPT}")
-    rows = reader().schema(header.add(CORRUPT, "string")).option("columnNameOfCorruptRecord", CORRUPT).csv(where)
-    # Spark refuses scans of the reject column alone (a bare count): the filter names a data column, too
-    some = F.coalesce(F.length(F.col(f"`{header.fieldNames()[0]}`")), F.lit(0)) >= 0
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
+    parsed = R.records(spark, files).select(F.from_csv("record", _ddl(schema), options).alias("r"))
+    rows = parsed.select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
     bad = F.col(CORRUPT).isNotNull()
-    return rows.where(~bad & some).drop(CORRUPT), rows.where(bad & some)
+    return rows.where(~bad).drop(CORRUPT), rows.where(bad)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` string" for f in schema.fields)
 
 
-def read_sales_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+def read_sales_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """S-01: the rows of ``read_csv_checked``."""
-    return read_csv_checked(spark, paths, multi_line)[0]
+    return read_csv_checked(spark, paths)[0]
 
 
 def normalize_header(name: str, spaces_to_underscore: bool = True) -> str:
@@ -248,8 +261,12 @@ def to_canonical(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def load_sales(spark: SparkSession, paths, day_first: bool = True) -> tuple[DataFrame, DataFrame]:
-    """S-01 -> S-02 -> S-03 -> S-08 -> S-09 -> typed SALES; returns (sales, rejects)."""
-    raw = read_sales_csv(spark, paths)
-    df = default_columns(apply_column_mapping(normalize_headers(raw)))
-    good, bad = parse_sales_dates(df, "date", day_first)
+    """S-01 -> S-02 -> S-03 -> S-08 -> S-09 -> typed SALES; returns (sales, rejects).
+
+    Every layout among the files is normalised and mapped by its own header
+    (S-02, S-03), then they are united by standard names. The order of day and
+    month is one choice for the whole dataset."""
+    mapped = [apply_column_mapping(normalize_headers(read_one_layout(spark, header, files)[0]))
+              for header, files in R.layouts(spark, paths)]
+    good, bad = parse_sales_dates(_united([default_columns(m) for m in mapped]), "date", day_first)
     return to_canonical(good), bad

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import merges as M
+from ..session import cut_lineage
 
 LOG_SCHEMA = ("run string, batch_id long, status string, rows long, late_rows long, error string, "
               "started_at timestamp, finished_at timestamp")
@@ -98,9 +99,11 @@ def run_available_now(stream: DataFrame, sink_path: str, checkpoint: str, mode:
              .trigger(availableNow=True).start(sink_path))
         run = str(q.runId)
         q.awaitTermination()
-        dropped.ended.setdefault(run, threading.Event()).wait(60)  # events arrive after the query has ended
+        ended = dropped.ended.setdefault(run, threading.Event()).wait(60)  # events arrive after the query has ended
     finally:
         spark.streams.removeListener(dropped)
+    if not ended:
+        raise RuntimeError("the query has ended, but its progress reports did not come: late rows are not known")
     q.late_rows = dropped.rows.get(run, 0)
     return q
 
@@ -110,19 +113,40 @@ def late_rows(q: StreamingQuery) -> int:
     return q.late_rows
 
 
-def current_predictions(spark: SparkSession, table_path: str) -> DataFrame:
-    """The predictions table: each month's newest version. Only partition
-    values are read to find the versions."""
-    t = spark.read.parquet(table_path)
-    newest = t.groupBy("month").agg(F.max("version").alias("version"))
-    return t.join(newest, ["month", "version"]).drop("month", "version")
+def _listed(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names of the folders under ``path`` that begin with ``prefix``; none if it is not there. No data is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    return sorted(int(n[len(prefix):]) for n in _listed(spark, path, prefix))
+
+
+_PREDICTIONS = "model_id long, prediction_date date, item_name string, predicted_quantity int, actual_quantity int"
+
+
+def _newest(spark: SparkSession, table_path: str, months: list[int]) -> dict[int, int]:
+    found = {m: _numbers(spark, f"{table_path}/month={m}", "version=") for m in months}
+    return {m: v[-1] for m, v in found.items() if v}
+
+
+def current_predictions(spark: SparkSession, table_path: str, months: list[int] | None = None) -> DataFrame:
+    """The predictions table (of some months): each month's newest version. Versions are found by folder names, and
+    only the folders that are asked for are opened."""
+    newest = _newest(spark, table_path, _numbers(spark, table_path, "month=") if months is None else months)
+    at = [f"{table_path}/month={m}/version={v}" for m, v in sorted(newest.items())]
+    return spark.read.schema(_PREDICTIONS).parquet(*at) if at else spark.createDataFrame([], _PREDICTIONS)
 
 
 def write_version(df: DataFrame, table_path: str, version: int) -> None:
     """Write a version of the months in ``df``; other months keep theirs.
-    Writing the same version again replaces it. One file a month and task."""
+    Writing the same version again replaces it. A month's rows are dealt to as
+    many tasks as their size asks for."""
     (df.withColumn("month", _month("prediction_date")).withColumn("version", F.lit(int(version)).cast("long"))
-     .repartition("month").write.mode("overwrite")
+     .hint("rebalance", "month").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("month", "version").parquet(table_path))
 
 
@@ -130,48 +154,72 @@ def _month(date_col: str):
     return (F.year(date_col) * 100 + F.month(date_col)).cast("int")
 
 
-def _next_version(spark: SparkSession, table_path: str) -> int:
-    """One above the newest version in the table, whatever run wrote it."""
-    newest = spark.read.parquet(table_path).agg(F.max("version")).first()[0]
-    return (newest if newest is not None else -1) + 1
+_LEDGER = "business_id long, date date, item_name string, quantity double, rows long, month int, run string, batch long"
+
+
+def _entries(spark: SparkSession, path: str, month: int, run: str, batch_id: int) -> list[str]:
+    """The folders with each run's newest entry of a month before this batch: it holds all of that run's sums so far."""
+    out = []
+    for r in _listed(spark, f"{path}/month={month}", "run="):
+        older = [b for b in _numbers(spark, f"{path}/month={month}/{r}", "batch=") if r != f"run={run}" or b < batch_id]
+        out += [f"{path}/month={month}/{r}/batch={older[-1]}"] if older else []
+    return out
+
+
+def _ledger(spark: SparkSession, path: str, months: list[int], run: str, batch_id: int) -> DataFrame:
+    """Totals by (business, date, item, run) of the given months before this batch. Folders of other months are neither
+    listed nor read."""
+    at = [e for m in months for e in _entries(spark, path, m, run, batch_id)]
+    return spark.read.schema(_LEDGER).option("basePath", path).parquet(*at) if at else spark.createDataFrame([], _LEDGER)
+
+
+def _newest_date(spark: SparkSession, path: str, run: str, batch_id: int) -> dt.date | None:
+    """The newest date in the ledger before this batch: months are found by folder names, one is read."""
+    for month in reversed(_numbers(spark, path, "month=")):
+        if _entries(spark, path, month, run, batch_id):
+            return _ledger(spark, path, [month], run, batch_id).agg(F.max("date")).first()[0]
+    return None
 
 
 def auto_compare_stream(stream: DataFrame, models: DataFrame, predictions_path: str, ledger_path: str, log_path: str,
                         checkpoint: str, late_after_days: int = 7) -> StreamingQuery:
     """X-04 + X-05: micro-batches of sales rows against stored predictions (J-15).
 
-    Every batch first adds its sums per (business, date, item) to the ledger, in
-    a partition of its own (checkpoint and batch id), so a replayed batch
-    replaces its part. The actuals of the dates it touches are then the sums
-    over the whole ledger - the result does not depend on how files fall into
-    batches, nor on the checkpoint they were read under - and only the months
-    of these dates get a new version in the predictions table.
+    The ledger holds the sums per (business, date, item), in a folder per month,
+    run (checkpoint) and batch. A batch reads the newest entries of the months it
+    touches, adds its own sums and writes what they are now as its own entry, so
+    a replayed batch replaces its part, the result does not depend on how files
+    fall into batches nor on the checkpoint they were read under, and what a
+    batch reads does not grow with the history: the entries and predictions of
+    other months are not opened. The touched months get a new version in the
+    predictions table.
 
     One log row per batch: status, rows, rows dated more than
     ``late_after_days`` before the newest date known before the batch, error
     text and times.
     """
     run = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+    keys = ["business_id", "date", "item_name"]
 
     def merge(batch: DataFrame, batch_id: int) -> tuple[int, int]:
         spark = batch.sparkSession
-        part = (batch.where(F.col("item_name").isNotNull() & F.col("date").isNotNull())
-                .groupBy("business_id", "date", "item_name").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("rows")))
-        before = _ledger(spark, ledger_path)
-        newest = before.where(~((F.col("run") == run) & (F.col("batch") == batch_id))).agg(F.max("date")).first()[0] if before else None
-        (part.withColumn("run", F.lit(run)).withColumn("batch", F.lit(int(batch_id)).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(ledger_path))
-        ledger = _ledger(spark, ledger_path)
-        mine = ledger.where((F.col("run") == run) & (F.col("batch") == batch_id))
-        cut = F.date_sub(F.lit(newest), late_after_days) if newest is not None else F.lit(None).cast("date")
-        late = mine.agg(F.sum(F.when(F.col("date") < cut, F.col("rows")))).first()[0] or 0
-        dates = mine.select("date").distinct()
-        actuals = M.actual_sales(ledger.join(dates, "date", "left_semi"))
-        months = dates.select(_month("date").alias("m")).distinct()
-        touched = current_predictions(spark, predictions_path).withColumn("m", _month("prediction_date")).join(
-            months, "m", "left_semi").drop("m")
+        part = cut_lineage(batch.where(F.col("item_name").isNotNull() & F.col("date").isNotNull())
+                           .groupBy(*keys).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("rows")), "batch-sums")
+        days = {r.date: r.n for r in part.groupBy("date").agg(F.sum("rows").alias("n")).collect()}  # a row a day of the batch
+        newest = _newest_date(spark, ledger_path, run, batch_id)
+        late = sum(n for day, n in days.items() if newest is not None and day < newest - dt.timedelta(days=late_after_days))
+        months = sorted({day.year * 100 + day.month for day in days})
+        before = _ledger(spark, ledger_path, months, run, batch_id)
+        mine = cut_lineage(part.unionByName(before.where(F.col("run") == run).select(*part.columns)).groupBy(*keys).agg(
+            F.sum("quantity").alias("quantity"), F.sum("rows").alias("rows")), "totals")
+        (mine.withColumns({"month": _month("date"), "run": F.lit(run), "batch": F.lit(int(batch_id)).cast("long")})
+         .hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("month", "run", "batch").parquet(ledger_path))
+        actuals = M.actual_sales(mine.select(*keys, "quantity").unionByName(
+            before.where(F.col("run") != run).select(*keys, "quantity")))
+        touched = current_predictions(spark, predictions_path, months)
         merged = M.auto_compare(touched, models, actuals).select(*M.PRED_KEY, "predicted_quantity", "actual_quantity")
-        write_version(merged, predictions_path, _next_version(spark, predictions_path))
+        write_version(merged, predictions_path, max(_newest(spark, predictions_path, months).values(), default=-1) + 1)
         return int(batch.count()), int(late)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -195,12 +243,3 @@ def auto_compare_stream(stream: DataFrame, models: DataFrame, predictions_path:
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
-
-
-def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """The ledger, or None before the first batch."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    schema = "business_id long, date date, item_name string, quantity double, rows long, run string, batch long"
-    return spark.read.schema(schema).parquet(path)
