@@ -137,11 +137,11 @@ def insert_new_orders(existing: DataFrame, incoming: DataFrame) -> tuple[DataFra
     """J-19: orders whose (integration, external_id) is not stored yet.
     Returns (inserted rows, new table = existing + inserted)."""
     unseen = incoming.join(existing.select(*ORDER_KEY), list(ORDER_KEY), "left_anti")
-    inserted = _first_per_key(unseen, ORDER_KEY)  # only what is new is reduced, payloads and all
+    inserted = first_per_key(unseen, ORDER_KEY)  # only what is new is reduced, payloads and all
     return inserted, existing.unionByName(inserted.select(*existing.columns))
 
 
-def _first_per_key(df: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
+def first_per_key(df: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
     """One row per key, deterministic: the smallest (order, all columns) row."""
     others = [c for c in df.columns if c not in key]
     if not others:

@@ -30,7 +30,7 @@ from ..functions.scalars import ape, round_prediction
 from ..operators import items as I
 from ..operators import series as S
 from ..operators.ranking import with_position
-from ..session import cut_lineage, write_shared
+from ..session import cut_lineage, replace_file
 from ..util import with_business
 from . import boosting as B
 from .features import Calendars, build_features, feature_names
@@ -424,17 +424,7 @@ def save_model(art: Artefact, path: str) -> None:
     spark.createDataFrame(rows, "kind string, place int, value string").coalesce(1).write.parquet(f"{at}/contents")
     for t in saved:
         getattr(art, t).write.parquet(f"{at}/{t}")
-    _point(spark, path, version)
-
-
-def _point(spark: SparkSession, path: str, version: str) -> None:
-    write_shared(spark, f"{path}/.{version}", version.encode())
-    jvm = spark.sparkContext._jvm
-    made, target = jvm.org.apache.hadoop.fs.Path(f"{path}/.{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(files.makeQualified(made), files.makeQualified(target), overwrite)
+    replace_file(spark, f"{path}/{_POINTER}", version.encode())
 
 
 def load_model(spark: SparkSession, path: str) -> Artefact:

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round_prediction
+from ..operators import bucketed as BK
 from ..operators import merges as M
 from ..operators import reports as R
 from ..operators import series as S
 from ..plans import forecast as FC
+from ..session import cut_lineage, scratch_path
 from ..sources import tables as T
 from . import query
 
@@ -48,17 +50,31 @@ new AS (
 )"""
 
 
-@query("J14_upsert_predictions", _P.rstrip() + _NEW_SQL + """
+_UPSERT_SQL = _P.rstrip() + _NEW_SQL + """
 SELECT COALESCE(p.model_id, n.model_id) AS model_id, COALESCE(p.prediction_date, n.prediction_date) AS prediction_date,
        COALESCE(p.item_name, n.item_name) AS item_name,
        COALESCE(n.predicted_quantity, p.predicted_quantity) AS predicted_quantity, p.actual_quantity
 FROM predictions p FULL OUTER JOIN new n
-  ON p.model_id = n.model_id AND p.prediction_date = n.prediction_date AND p.item_name = n.item_name""")
+  ON p.model_id = n.model_id AND p.prediction_date = n.prediction_date AND p.item_name = n.item_name"""
+
+
+@query("J14_upsert_predictions", _UPSERT_SQL)
 def upsert_predictions(spark, sf_dir):
     daily = T.daily_series(spark, sf_dir)
     return M.upsert_predictions(T.predictions(spark, sf_dir, daily), _new_forecasts(spark, sf_dir, daily), "seq")
 
 
+@query("J14_merge_into_stored_table", _UPSERT_SQL)
+def merge_into_stored_table(spark, sf_dir):
+    """The same as two merges into a stored table of buckets: first the rolling-30 forecasts, then all others."""
+    daily = T.daily_series(spark, sf_dir)
+    table = BK.Table.create(T.predictions(spark, sf_dir, daily), scratch_path(spark, "predictions-table"), M.PRED_KEY, buckets=16)
+    new = cut_lineage(_new_forecasts(spark, sf_dir, daily), "new-forecasts")
+    for part in ("seq = 0", "seq = 1"):
+        table.merge(new.where(part), lambda stored, rows: M.upsert_predictions(stored, rows, "seq"))
+    return table.read()
+
+
 def _compare(spark, sf_dir):
     """Predictions without actuals, compared with all sales."""
     daily = T.daily_series(spark, sf_dir)

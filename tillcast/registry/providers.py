@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bucketed as BK
 from ..operators import merges as M
 from ..sources import calendars as C
 from ..sources import documents as D
 from ..sources import providers as P
+from ..session import scratch_path
 from ..sources import derived as V
 from ..sources import tables as T
 from ..util import round_doubles
@@ -161,21 +163,39 @@ def upsert_products(spark, sf_dir):
     return round_doubles(out.drop("updated_at"))
 
 
-@query("J19_insert_new_orders", _ORD + f"""
+_NEW_ORDERS = _ORD + f"""
 SELECT CAST(1 AS BIGINT) AS integration_id, CAST(ob.o_orderkey AS VARCHAR) AS external_id, ob.business_id,
   ob.o_orderdate AS order_date, ROUND({_C.format(x="ob.o_totalprice")}, 6) AS total_amount,
   CAST(COALESCE(cnt.n, 0) AS INTEGER) AS item_count
-FROM ob LEFT JOIN cnt ON cnt.l_orderkey = ob.o_orderkey WHERE ob.o_orderstatus <> 'F'""")
-def insert_new_orders(spark, sf_dir):
+FROM ob LEFT JOIN cnt ON cnt.l_orderkey = ob.o_orderkey WHERE ob.o_orderstatus <> 'F'"""
+
+
+def _stored_and_incoming(spark, sf_dir):
     one = F.lit(1).cast("long").alias("integration_id")
-    stored = P.flatten_square_orders(D.square_orders(spark, sf_dir)).select("*", one)
-    incoming = P.flatten_clover_orders(D.clover_orders(spark, sf_dir)).select("*", one)
-    inserted, _ = M.insert_new_orders(stored, incoming)
+    return (P.flatten_square_orders(D.square_orders(spark, sf_dir)).select("*", one),
+            P.flatten_clover_orders(D.clover_orders(spark, sf_dir)).select("*", one))
+
+
+def _order_columns(inserted):
     return round_doubles(inserted.select("integration_id", "external_id", "business_id",
                                          F.col("order_date").cast("timestamp_ntz").alias("order_date"),
                                          "total_amount", "item_count"))
 
 
+@query("J19_insert_new_orders", _NEW_ORDERS)
+def insert_new_orders(spark, sf_dir):
+    inserted, _ = M.insert_new_orders(*_stored_and_incoming(spark, sf_dir))
+    return _order_columns(inserted)
+
+
+@query("J19_insert_into_stored_table", _NEW_ORDERS)
+def insert_into_stored_table(spark, sf_dir):
+    """The same into a stored table: filters of its keys tell most new orders without a look at the stored ones."""
+    stored, incoming = _stored_and_incoming(spark, sf_dir)
+    table = BK.Table.create(stored, scratch_path(spark, "orders-table"), M.ORDER_KEY, buckets=16, filtered=True)
+    return _order_columns(table.insert_absent(incoming, lambda df: M.first_per_key(df, M.ORDER_KEY)))
+
+
 @query("A21_sync_summary", _ORD + f""",
 o AS (SELECT business_id, COUNT(*) AS order_count, MIN(o_orderdate) AS first_order, MAX(o_orderdate) AS last_order,
              SUM({_C.format(x="o_totalprice")}) AS total_revenue FROM ob WHERE o_orderstatus = 'F' GROUP BY ALL),

@@ -111,6 +111,18 @@ def write_shared(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file in one step: a reader finds the old content or the new one, never a part."""
+    made = f"{path}.{uuid.uuid4().hex[:12]}"
+    write_shared(spark, made, data)
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(files.makeQualified(source), files.makeQualified(target), overwrite)
+
+
 _shipped: set[str] = set()
 
 
