@@ -287,7 +287,8 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(language_model.Network.outputs(p, h, x)).sum() - 1) < 1e-3
 
 
-def test_toxicity_is_exact_knn(spark):
+@pytest.mark.parametrize("frequent", [1, 20, 10**6])
+def test_toxicity_is_exact_knn(spark, monkeypatch, frequent):
     """The block-max search returns what a full scan returns; held-out labels change nothing."""
     import numpy as np
     import random
@@ -302,17 +303,28 @@ def test_toxicity_is_exact_knn(spark):
         labels.append((i, toxic))
     rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (None, "bad1 bad2 bad3", "en", "s", 0)]
     docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
-    index = toxicity.fit(docs, lab)
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    fitted = toxicity.fit(docs, lab)
+    index = fitted.index
     dense = np.zeros((len(index.ids), len(index.terms)))
     for t in range(len(index.terms)):
-        dense[index.where[t], t] = index.weight[t]
+        held = slice(index.where.edge[t], index.where.edge[t + 1])
+        dense[index.where[t], t] = (1 + np.log(index.count[held], dtype=float)) * index.idf[t] * index.inverse[index.where[t]]
+    assert np.allclose((dense * dense).sum(axis=1), 1)
     for place in range(0, len(index.ids), 7):
         term = np.flatnonzero(dense[place])
         at, cosine = index.nearest(term, dense[place][term], 16)
         full = np.sort(dense @ dense[place])[::-1]
         full = full[full > 0][:16]
         assert np.allclose(cosine, full)
-    out = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    out = {r.doc_id: r for r in toxicity.score(docs, fitted).collect()}
+    # Votes and scores of the examples, by hand: each is its own nearest neighbour with cosine 1.
+    for place in range(0, len(index.ids), 11):
+        cos = dense @ dense[place]
+        near = sorted((x for x in range(len(cos)) if cos[x] > 0), key=lambda x: (-round(cos[x], 12), x))[:16]
+        vote = (sum(cos[x] * index.toxic[x] for x in near) + 0.5 * index.base) / (sum(cos[x] for x in near) + 0.5)
+        a, b = fitted.curve
+        assert out[index.ids[place]].score == pytest.approx(1 / (1 + math.exp(-(a * math.log(vote / (1 - vote)) + b))), abs=1e-6)
     assert sum((out[i].score >= 0.3) == bool(t) for i, t in labels) >= 390
     assert out[900].score == out[901].score < 0.3 and not out[None].held_out and out[None].predicted == 1
     flipped = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -328,7 +340,7 @@ def test_toxicity_is_over_all_words(spark):
     rows += [(9001, "kind", "en", "s", 0)]
     docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
     index = toxicity.fit(docs, lab)
-    assert len(index.terms) > 1024
+    assert len(index.index.terms) > 1024
     assert toxicity.score(docs, index).where("doc_id = 9001").first().evidence  # a word of the clean class has neighbours
 
 

@@ -2,10 +2,14 @@
 
 A text is a TF-IDF vector over all terms (folded words and their first 4 to 8
 byte beginnings) of at least ``MIN_DF`` labelled examples, whichever class they
-lean to. The labelled examples form an inverted index whose postings lie in blocks of ``BLOCK`` examples, each with its largest
-weight. A query adds the block maxima of its terms to a bound for every block
-and opens blocks in falling order of bound until the bound can no longer beat
-the k-th best cosine, so the k nearest examples are exact. Their votes, weighted
+lean to; a term's inverse document frequency is scaled by how unevenly the two
+classes use it (the absolute log odds ratio over the examples). The labelled
+examples form an inverted index. A posting is an example's place and the term's
+count, from which its weight follows exactly; the postings of a frequent term
+lie in blocks of ``BLOCK`` examples, each with its largest weight. A query adds
+these maxima (and the weights of its rarer terms) to a bound for every block and
+opens blocks in falling order of bound until the bound can no longer beat the
+k-th best cosine, so the k nearest examples are exact. Their votes, weighted
 by cosine and shrunk towards the base rate, are calibrated by a logistic curve
 fitted on leave-one-out votes of the examples; the nearest examples are the
 evidence.
@@ -29,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +49,7 @@ MIN_DF = 3            # examples a term must occur in
 OPEN = 16             # blocks opened at first; twice as many each further time
 NEIGHBOURS = 16
 BLOCK = 64
+FREQUENT = 64         # postings from which on a term keeps block maxima
 SHRINK = 0.5          # cosine mass of the base rate in a vote
 THRESHOLD = 0.3       # fixed value of the contract
 EVIDENCE = 3
@@ -96,16 +102,18 @@ def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 class Index(NamedTuple):
     terms: np.ndarray      # sorted terms
-    idf: np.ndarray
+    idf: np.ndarray        # scaled by class
     ids: np.ndarray        # examples' doc ids, in block order
     toxic: np.ndarray
+    inverse: np.ndarray    # 1 / length of each example's vector
+    grown: np.ndarray      # 1 + log of each count there is
     where: Lists           # per term: example positions
-    weight: Lists          # per term: their weights
-    block: Lists           # per term: the blocks that hold it
-    top: np.ndarray        # largest weight of each entry of ``block``
-    cuts: np.ndarray       # first posting of each entry of ``block``, and the end
+    count: np.ndarray      # per posting: occurrences of the term
+    block: Lists           # per frequent term: the blocks that hold it
+    top: np.ndarray        # per entry of ``block``: its largest weight
+    cuts: np.ndarray       # per entry: its first posting
+    size: np.ndarray       # per entry: its postings
     base: float
-    curve: tuple[float, float]
 
     def sieve(self) -> np.ndarray:
         out = np.zeros(1 << 16, bool)
@@ -116,13 +124,24 @@ class Index(NamedTuple):
         w = (1 + np.log(count)) * self.idf[term]
         return w / max(np.sqrt((w * w).sum()), 1e-12)
 
+    def products(self, post: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+        """Query weight times example weight of postings; ``scaled`` is the query weight times the term's idf."""
+        return scaled * self.grown[self.count[post]] * self.inverse[self.where.flat[post]]
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (position, cosine), exact; those of the id ``skip`` are left out."""
-        size = self.block.edge[term + 1] - self.block.edge[term]
-        entry = _ranges(self.block.edge[term], size)
-        q = np.repeat(weight, size)
-        block = self.block.flat[entry]
-        bound = np.bincount(block, q * self.top[entry], minlength=-(-len(self.ids) // BLOCK))
+        scaled = weight * self.idf[term]
+        entries = self.block.edge[term + 1] - self.block.edge[term]
+        entry = _ranges(self.block.edge[term], entries)
+        block, q = self.block.flat[entry].astype(np.int64), np.repeat(scaled, entries)
+        rare = entries == 0  # their postings are looked at one by one
+        held = np.where(rare, self.where.edge[term + 1] - self.where.edge[term], 0)
+        post = _ranges(self.where.edge[term], held)
+        single = self.products(post, np.repeat(scaled, held))
+        place = self.where.flat[post].astype(np.int64)
+        n_blocks = -(-len(self.ids) // BLOCK)
+        bound = (np.bincount(block, np.repeat(weight, entries) * self.top[entry], minlength=n_blocks)
+                 + np.bincount(place // BLOCK, single, minlength=n_blocks))
         order = np.argsort(-bound, kind="stable")
         best_at = np.zeros(0, np.int64)
         best = np.zeros(0)
@@ -132,9 +151,11 @@ class Index(NamedTuple):
             opened[order[lo:lo + step]] = True
             lo, step = lo + step, 2 * step
             sel = opened[block]
-            n = self.cuts[entry[sel] + 1] - self.cuts[entry[sel]]
-            post = _ranges(self.cuts[entry[sel]], n)
-            sums = np.bincount(self.where.flat[post], np.repeat(q[sel], n) * self.weight.flat[post], minlength=len(self.ids))
+            n = self.size[entry[sel]].astype(np.int64)
+            many = _ranges(self.cuts[entry[sel]], n)
+            some = opened[place // BLOCK]
+            sums = (np.bincount(self.where.flat[many], self.products(many, np.repeat(q[sel], n)), minlength=len(self.ids))
+                    + np.bincount(place[some], single[some], minlength=len(self.ids)))
             at = np.flatnonzero(sums)
             if skip is not None:
                 at = at[self.ids[at] != skip]
@@ -149,9 +170,20 @@ class Index(NamedTuple):
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         return float(((cosine * self.toxic[at]).sum() + SHRINK * self.base) / (cosine.sum() + SHRINK))
 
-    def score(self, vote: float) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * np.log(vote / (1 - vote)) + b, -35, 35))))
+
+Curve = tuple[float, float]
+
+
+def calibrated(vote: float, curve: Curve) -> float:
+    a, b = curve
+    return float(1 / (1 + np.exp(-np.clip(a * np.log(vote / (1 - vote)) + b, -35, 35))))
+
+
+class Fitted(NamedTuple):
+    """An index, sent to the executors once, and the curve of its votes."""
+    index: Index
+    shared: Broadcast
+    curve: Curve
 
 
 def _calibrate(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -181,7 +213,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, sorted, and their df) of the terms in at least ``MIN_DF`` examples; none without both classes."""
+    """(terms, sorted, and their weights) of the terms in at least ``MIN_DF`` examples; none without both classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, max_bytes=1 << 22):
@@ -190,31 +222,41 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             term, own = term[order], own[order]
             new = np.ones(len(term), bool)
             new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
-            term, n = np.unique(term[new], return_counts=True)
-            yield pa.record_batch({"term": term.view(np.int64), "n": n.astype(np.int64)})
+            term, own = term[new], own[new]
+            toxic = column(b.rows, "toxic").to_numpy(zero_copy_only=False)[own]
+            term, at, n = np.unique(term, return_inverse=True, return_counts=True)
+            yield pa.record_batch({"term": term.view(np.int64), "n": n.astype(np.int64),
+                                   "p": np.bincount(at, toxic, len(term)).astype(np.int64)})
 
     sizes = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
-    if not 0 < int(sizes.p or 0) < int(sizes.n):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = (sample.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    toxic, size = int(sizes.p or 0), int(sizes.n)
+    if not 0 < toxic < size:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    rows = (sample.mapInArrow(count, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
             .where(F.col("n") >= MIN_DF).toArrow())  # bounded by the sample's words
-    term, n = rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    term, n, p = rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["p"].to_numpy()
+    odds = np.log((p + 0.5) / (toxic - p + 0.5)) - np.log((n - p + 0.5) / (size - toxic - (n - p) + 0.5))
     order = np.argsort(term)
-    return term[order], n[order]
+    return term[order], ((np.log((1 + size) / (1 + n)) + 0.1) * np.abs(odds))[order]
+
 
+def _small(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest unsigned type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Fitted:
     prepare(docs.sparkSession)
     sample = cut_lineage(examples(docs, labels, id_col, text_col, label_col), "toxic-examples")
-    terms, df = choose_terms(sample)
+    terms, idf = choose_terms(sample)
     size = sample.count()
-    idf = np.log((1 + size) / (1 + df)) + 0.1
     sieve = np.zeros(1 << 16, bool)
     sieve[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+    chosen = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            own, term, n = _counts(b, terms, sieve)
+            own, term, n = _counts(b, chosen.value, sieve)
             edge = np.searchsorted(own, np.arange(b.n + 1))
             yield pa.record_batch({
                 "doc_id": column(b.rows, "doc_id"), "toxic": column(b.rows, "toxic"),
@@ -222,50 +264,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 "counts": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(n, pa.int32()))})
 
     rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().combine_chunks()  # bounded sample
+    chosen.destroy()
     toxic = rows["toxic"].to_numpy()
     base = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
     sizes = np.concatenate([np.zeros(0, np.int64), *[list_sizes(c) for c in rows["terms"].chunks]])
     term, count = (np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in rows[x].chunks]]) for x in ("terms", "counts"))
     ids = rows["doc_id"].to_numpy()
     del rows  # postings are many: 32 bits each, and nothing is kept twice
-    own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    weight = (1 + np.log(count, dtype=np.float32)) * idf.astype(np.float32)[term]
-    del count
-    weight /= np.sqrt(np.bincount(own, weight * weight, minlength=len(sizes))).astype(np.float32)[own]
-    full = np.flatnonzero(sizes)
-    # examples with the same leading term share blocks, which keeps the block maxima tight
-    first = (np.cumsum(sizes) - sizes)[full]
-    most = np.maximum.reduceat(weight, first) if len(full) else weight
-    is_most = np.flatnonzero(weight == np.repeat(most, sizes[full]))
-    lead = term[is_most[np.searchsorted(is_most, first)]]
-    order = full[np.lexsort((ids[full], -most, lead))]
-    place = np.zeros(len(sizes), np.int32)
-    place[order] = np.arange(len(order))
-    del is_most
-    key = term.astype(np.int64) * max(len(order), 1)
-    key += place[own]
-    del term, own
-    at = np.argsort(key)
-    weight = weight[at]
-    key = key[at]
-    del at
-    term, where = (key // max(len(order), 1)).astype(np.int32), (key % max(len(order), 1)).astype(np.int32)
-    del key
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (where[1:] // BLOCK != where[:-1] // BLOCK)
-    cuts = np.flatnonzero(new).astype(np.int32 if len(new) < 1 << 31 else np.int64)
-    del new
-    edge = np.searchsorted(term, np.arange(len(terms) + 1))
-    index = Index(terms, idf, ids[order], toxic[order].astype(float), Lists(where, edge), Lists(weight, edge),
-                  Lists(where[cuts] // BLOCK, np.searchsorted(term[cuts], np.arange(len(terms) + 1))),
-                  np.maximum.reduceat(weight, cuts) if len(cuts) else weight, np.append(cuts, cuts.dtype.type(len(term))), base, (1.0, 0.0))
-    if not 0 < toxic.sum() < len(toxic):
-        return index
-    del term
+    index = _index(terms, idf, ids, toxic, sizes, term, count, base)
+    del term, count
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    if not 0 < toxic.sum() < len(toxic):
+        return Fitted(index, shared, (1.0, 0.0))
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
+        sieve = ix.sieve()
         for b in blocks(batches):
             own, term, n = _counts(b, ix.terms, sieve)
             edge = np.searchsorted(own, np.arange(b.n + 1))
@@ -278,12 +292,62 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     votes = (sample.repartition(-(-size // 256)).mapInArrow(leave_one_out, "doc_id long, vote double, toxic int")
              .orderBy("doc_id", "vote").toArrow())  # one small row an example
-    return index._replace(curve=_calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy()))
+    return Fitted(index, shared, _calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy()))
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray,
+           count: np.ndarray, base: float) -> Index:
+    """The index of examples with ``sizes`` postings each."""
+    own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    weight = ((1 + np.log(count, dtype=np.float32)) * idf.astype(np.float32)[term])
+    full = np.flatnonzero(np.bincount(own, weight, minlength=len(sizes)) > 0)  # examples with a vector
+    # examples with the same leading term share blocks, which keeps the block maxima tight
+    lead, most = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float32)
+    first = (np.cumsum(sizes) - sizes)[full]
+    if len(full):
+        np.maximum.at(most, own, weight)
+        is_most = np.flatnonzero(weight == most[own])
+        lead[full] = term[is_most[np.searchsorted(is_most, first)]]
+    order = full[np.lexsort((ids[full], -most[full], lead[full]))]
+    place = np.full(len(sizes), -1, np.int32)
+    place[order] = np.arange(len(order))
+    del weight
+    kept = place[own] >= 0
+    key = term[kept].astype(np.int64) * max(len(order), 1) + place[own[kept]]
+    count = count[kept]
+    del own, kept
+    at = np.argsort(key)
+    key, count = key[at], _small(count[at])
+    del at
+    term, where = (key // max(len(order), 1)).astype(np.int32), (key % max(len(order), 1)).astype(np.int32)
+    del key
+    # Lengths and weights in double precision, as queries recompute them.
+    norm = np.zeros(len(order))
+    for lo in range(0, len(term), 1 << 20):
+        part = slice(lo, lo + (1 << 20))
+        norm += np.bincount(where[part], ((1 + np.log(count[part], dtype=float)) * idf[term[part]]) ** 2, minlength=len(order))
+    norm = np.sqrt(norm)
+    edge = np.searchsorted(term, np.arange(len(terms) + 1))
+    frequent = np.diff(edge)[term] >= FREQUENT if len(term) else np.zeros(0, bool)
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (where[1:] // BLOCK != where[:-1] // BLOCK)
+    many = np.flatnonzero(frequent)
+    cuts = np.flatnonzero(new & frequent)
+    if len(cuts):
+        weight = (1 + np.log(count[many], dtype=float)) * idf[term[many]] / norm[where[many]]
+        top = np.nextafter(np.maximum.reduceat(weight, np.searchsorted(many, cuts)).astype(np.float32), np.float32(np.inf))
+        stop = np.minimum(np.append(cuts[1:], len(term)), edge[term[cuts] + 1])
+    else:
+        top, stop = np.zeros(0, np.float32), cuts
+    return Index(terms, idf, ids[order], toxic[order].astype(float), 1 / norm,
+                 np.concatenate([[0.0], 1 + np.log(np.arange(1, int(count.max(initial=1)) + 1))]), Lists(_small(where), edge), count,
+                 Lists(_small(where[cuts] // BLOCK), np.searchsorted(term[cuts], np.arange(len(terms) + 1))), top,
+                 cuts.astype(np.int32 if len(term) < 1 << 31 else np.int64), _small(stop - cuts), base)
+
+
+def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples' ids) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, curve = fitted.shared, fitted.curve
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
                            T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
@@ -291,7 +355,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         sieve = ix.sieve()
-        bare = ix.score(ix.base)
+        bare = calibrated(ix.base, curve)
         for b in blocks(batches):
             own, term, n = _counts(b, ix.terms, sieve)
             edge = np.searchsorted(own, np.arange(b.n + 1))
@@ -300,7 +364,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             for i in np.flatnonzero(np.diff(edge)).tolist():
                 t = term[edge[i]:edge[i + 1]]
                 at, cosine = ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS)
-                scores[i] = ix.score(ix.vote(at, cosine))
+                scores[i] = calibrated(ix.vote(at, cosine), curve)
                 evidence[i] = ix.ids[at[:EVIDENCE]].tolist()
             yield pa.record_batch({"doc_id": column(b.rows, "doc_id"), "held_out": column(b.rows, "held_out"), "score": scores,
                                    "predicted": (scores >= THRESHOLD).astype(np.int32),
@@ -309,13 +373,13 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, in the columns they came with.
 
     A document without neighbours has no evidence against it and stays, whatever
     the base rate; so all stay where the labels are not of both classes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, curve = fitted.shared, fitted.curve
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +394,7 @@ def drop_toxic(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
                 for i in np.flatnonzero(np.diff(edge)).tolist():
                     t = term[edge[i]:edge[i + 1]]
                     at, cosine = ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS)
-                    keep[done + i] = not len(at) or ix.score(ix.vote(at, cosine)) < THRESHOLD
+                    keep[done + i] = not len(at) or calibrated(ix.vote(at, cosine), curve) < THRESHOLD
                 done += b.n
             yield batch.select(names).filter(pa.array(keep))
 
