@@ -309,8 +309,10 @@ def test_toxicity_is_exact_knn(spark, monkeypatch, frequent):
     dense = np.zeros((len(index.ids), len(index.terms)))
     for t in range(len(index.terms)):
         held = slice(index.where.edge[t], index.where.edge[t + 1])
-        dense[index.where[t], t] = (1 + np.log(index.count[held], dtype=float)) * index.idf[t] * index.inverse[index.where[t]]
+        dense[index.where[t], t] = index.grown[index.count[held]] * index.idf[t] * index.inverse[index.where[t]]
     assert np.allclose((dense * dense).sum(axis=1), 1)
+    again = toxicity.unpacked(toxicity.packed(index))
+    assert (again.where.flat == index.where.flat).all() and again.where.flat.dtype == index.where.flat.dtype
     for place in range(0, len(index.ids), 7):
         term = np.flatnonzero(dense[place])
         at, cosine = index.nearest(term, dense[place][term], 16)

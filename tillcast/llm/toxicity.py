@@ -28,6 +28,9 @@ of toxic labels; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
+import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -106,9 +109,9 @@ class Index(NamedTuple):
     ids: np.ndarray        # examples' doc ids, in block order
     toxic: np.ndarray
     inverse: np.ndarray    # 1 / length of each example's vector
-    grown: np.ndarray      # 1 + log of each count there is
+    grown: np.ndarray      # 1 + log of each distinct count
     where: Lists           # per term: example positions
-    count: np.ndarray      # per posting: occurrences of the term
+    count: np.ndarray      # per posting: which of the distinct counts of a term in an example
     block: Lists           # per frequent term: the blocks that hold it
     top: np.ndarray        # per entry of ``block``: its largest weight
     cuts: np.ndarray       # per entry: its first posting
@@ -173,6 +176,28 @@ class Index(NamedTuple):
 
 Curve = tuple[float, float]
 
+_open: dict[str, Index] = {}  # of this worker: the index that its tasks share
+
+
+def packed(index: Index) -> bytes:
+    """The index as it travels: places as steps from posting to posting, then compressed (every executor keeps a copy on disk)."""
+    where = index.where.flat
+    steps = np.diff(where, prepend=where.dtype.type(0)) if len(where) else where
+    return zlib.compress(pickle.dumps(index._replace(where=Lists(steps, index.where.edge)), 5), 1)
+
+
+def unpacked(data: bytes) -> Index:
+    index = pickle.loads(zlib.decompress(data))
+    steps = index.where.flat
+    return index._replace(where=Lists(np.cumsum(steps, dtype=steps.dtype), index.where.edge))
+
+
+def opened(shared: Broadcast, name: str) -> Index:
+    if name not in _open:
+        _open.clear()
+        _open[name] = unpacked(shared.value)
+    return _open[name]
+
 
 def calibrated(vote: float, curve: Curve) -> float:
     a, b = curve
@@ -182,7 +207,8 @@ def calibrated(vote: float, curve: Curve) -> float:
 class Fitted(NamedTuple):
     """An index, sent to the executors once, and the curve of its votes."""
     index: Index
-    shared: Broadcast
+    shared: Broadcast  # of ``packed(index)``
+    name: str
     curve: Curve
 
 
@@ -273,12 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     del rows  # postings are many: 32 bits each, and nothing is kept twice
     index = _index(terms, idf, ids, toxic, sizes, term, count, base)
     del term, count
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, name = docs.sparkSession.sparkContext.broadcast(packed(index)), uuid.uuid4().hex
     if not 0 < toxic.sum() < len(toxic):
-        return Fitted(index, shared, (1.0, 0.0))
+        return Fitted(index, shared, name, (1.0, 0.0))
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = opened(shared, name)
         sieve = ix.sieve()
         for b in blocks(batches):
             own, term, n = _counts(b, ix.terms, sieve)
@@ -292,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     votes = (sample.repartition(-(-size // 256)).mapInArrow(leave_one_out, "doc_id long, vote double, toxic int")
              .orderBy("doc_id", "vote").toArrow())  # one small row an example
-    return Fitted(index, shared, _calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy()))
+    return Fitted(index, shared, name, _calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy()))
 
 
 def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray,
@@ -327,6 +353,7 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
         part = slice(lo, lo + (1 << 20))
         norm += np.bincount(where[part], ((1 + np.log(count[part], dtype=float)) * idf[term[part]]) ** 2, minlength=len(order))
     norm = np.sqrt(norm)
+    distinct, code = np.unique(count, return_inverse=True)
     edge = np.searchsorted(term, np.arange(len(terms) + 1))
     frequent = np.diff(edge)[term] >= FREQUENT if len(term) else np.zeros(0, bool)
     new = np.ones(len(term), bool)
@@ -340,20 +367,20 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
     else:
         top, stop = np.zeros(0, np.float32), cuts
     return Index(terms, idf, ids[order], toxic[order].astype(float), 1 / norm,
-                 np.concatenate([[0.0], 1 + np.log(np.arange(1, int(count.max(initial=1)) + 1))]), Lists(_small(where), edge), count,
+                 1 + np.log(distinct, dtype=float), Lists(_small(where), edge), _small(code),
                  Lists(_small(where[cuts] // BLOCK), np.searchsorted(term[cuts], np.arange(len(terms) + 1))), top,
                  cuts.astype(np.int32 if len(term) < 1 << 31 else np.int64), _small(stop - cuts), base)
 
 
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples' ids) of every document."""
-    shared, curve = fitted.shared, fitted.curve
+    shared, name, curve = fitted.shared, fitted.name, fitted.curve
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
                            T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = opened(shared, name)
         sieve = ix.sieve()
         bare = calibrated(ix.base, curve)
         for b in blocks(batches):
@@ -379,11 +406,11 @@ def drop_toxic(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col
     A document without neighbours has no evidence against it and stays, whatever
     the base rate; so all stay where the labels are not of both classes.
     """
-    shared, curve = fitted.shared, fitted.curve
+    shared, name, curve = fitted.shared, fitted.name, fitted.curve
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = opened(shared, name)
         sieve = ix.sieve()
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
