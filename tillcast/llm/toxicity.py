@@ -316,8 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     votes[i] = ix.vote(*ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS, skip=doc))
             yield pa.record_batch({"doc_id": column(b.rows, "doc_id"), "vote": votes, "toxic": column(b.rows, "toxic")})
 
-    votes = (sample.repartition(-(-size // 256)).mapInArrow(leave_one_out, "doc_id long, vote double, toxic int")
-             .orderBy("doc_id", "vote").toArrow())  # one small row an example
+    # One small row an example; sorted here, as a sort in Spark would compute the votes twice to sample them.
+    votes = sample.repartition(-(-size // 256)).mapInArrow(leave_one_out, "doc_id long, vote double, toxic int").toArrow()
+    votes = votes.sort_by([("doc_id", "ascending"), ("vote", "ascending")])
     return Fitted(index, shared, name, _calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy()))
 
 
