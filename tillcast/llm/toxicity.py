@@ -1,18 +1,23 @@
 """Toxicity scores from nearest labelled examples (operator 4).
 
-A text is a TF-IDF vector over all terms (folded words and their first 4 to 8
-byte beginnings) of at least ``MIN_DF`` labelled examples, whichever class they
-lean to; a term's inverse document frequency is scaled by how unevenly the two
-classes use it (the absolute log odds ratio over the examples). The labelled
-examples form an inverted index. A posting is an example's place and the term's
-count, from which its weight follows exactly; the postings of a frequent term
-lie in blocks of ``BLOCK`` examples, each with its largest weight. A query adds
-these maxima (and the weights of its rarer terms) to a bound for every block and
-opens blocks in falling order of bound until the bound can no longer beat the
-k-th best cosine, so the k nearest examples are exact. Their votes, weighted
-by cosine and shrunk towards the base rate, are calibrated by a logistic curve
-fitted on leave-one-out votes of the examples; the nearest examples are the
-evidence.
+A text is a TF-IDF vector over all terms (folded words, their first 4 bytes, and
+pairs of neighbouring words) of at least ``MIN_DF`` labelled examples, whichever
+class they lean to; a term's inverse document frequency is scaled by how unevenly
+the two classes use it (the absolute log odds ratio over the examples, to the
+power ``LEAN``; chosen by four-fold cross-validation on training rows). The
+labelled examples form an inverted index. A posting is an example's place and the
+term's count, from which its weight follows exactly; the postings of a frequent
+term lie in blocks of ``BLOCK`` examples, each with its largest weight. The tail
+is the frequent terms of least weight that make up ``TAIL`` of the examples'
+squared length together; it holds many postings. For it a block keeps the longest
+tail among its examples, as the product of two tails is at most that of their
+lengths. A query adds these maxima (and the largest sum of its rarer terms) to a
+bound for every block, opens blocks in falling order of bound, sums their
+postings, and completes an example by its own tail where that can still reach the
+k-th best cosine; it ends where no block can. So the k nearest examples are exact
+over all terms. Their votes, weighted by cosine and shrunk towards the base rate,
+are calibrated by a logistic curve fitted on leave-one-out votes of the examples;
+the nearest examples are the evidence.
 
 Fitting uses at most ``MAX_EXAMPLES`` labelled rows (by a hash of the id, so
 the sample is the same on reruns), the documented bound of the broadcast index.
@@ -32,6 +37,8 @@ import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -43,20 +50,24 @@ from pyspark.sql import types as T
 
 from tillcast.session import cut_lineage
 
-from .blocks import Block, Prefix, blocks, byte_values, column, list_sizes, mix, owners, words
+from .blocks import Block, Prefix, blocks, byte_values, column, list_sizes, mix, owners, window_starts, words
 from .common import prepare, table
 from .decontaminate import WORD
 
 MAX_EXAMPLES = 20_000
 MIN_DF = 3            # examples a term must occur in
-OPEN = 16             # blocks opened at first; twice as many each further time
+OPEN = 32             # blocks opened at first; twice as many each further time
 NEIGHBOURS = 16
 BLOCK = 64
-FREQUENT = 64         # postings from which on a term keeps block maxima
+FREQUENT = 512        # postings from which on a term keeps block maxima
+TAIL = 0.003          # share of the examples' squared length in the tail
+COMPLETED = 32        # examples completed by their tails at a time
+SLACK = 1e-9          # of bounds, for the order of additions
 SHRINK = 0.5          # cosine mass of the base rate in a vote
 THRESHOLD = 0.3       # fixed value of the contract
 EVIDENCE = 3
-BEGINNINGS = (4, 5, 6, 8)  # bytes
+BEGINNING = 4         # bytes
+LEAN = 1.5            # power of the log odds in a term's weight
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -64,17 +75,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _terms(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(term, document) of every word and word beginning of the block."""
+    """(term, document) of every word, word beginning and pair of neighbouring words of the block."""
     s, e, first = words(b.data, b.offsets, WORD)
     p = Prefix(byte_values(b.data, fold=True))
     own = owners(first)
-    out = [p.spans(s, e)]
-    owns = [own]
-    for k in BEGINNINGS:
-        long = e - s >= k
-        out.append(mix(p.spans(s[long], s[long] + k) + np.uint64(k)))
-        owns.append(own[long])
-    return np.concatenate(out), np.concatenate(owns)
+    word = p.spans(s, e)
+    long = e - s >= BEGINNING
+    begin = mix(p.spans(s[long], s[long] + BEGINNING) + np.uint64(BEGINNING))
+    at = window_starts(first, 2)
+    pair = Prefix(word).windows(2)[at]
+    return np.concatenate([word, begin, pair]), np.concatenate([own, own[long], own[at]])
 
 
 def _counts(b: Block, chosen: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +113,20 @@ def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-class Index(NamedTuple):
+class Search(NamedTuple):
+    """What a worker derives from an index: weights of the terms before the tail by term, tails by example."""
+    light: Lists           # per term before the tail: example positions
+    weight: np.ndarray     # per posting of ``light``
+    cuts: np.ndarray       # per entry of the blocks: its first posting in ``light``
+    number: np.ndarray     # per term: its number in the tail
+    far: Lists             # per example: the numbers of its tail terms
+    count: np.ndarray      # per posting of ``far``: which of the distinct counts
+    rest: np.ndarray       # per example: length of its tail
+    block_rest: np.ndarray  # per block: the longest of them
+
+
+@dataclass
+class Index:
     terms: np.ndarray      # sorted terms
     idf: np.ndarray        # scaled by class
     ids: np.ndarray        # examples' doc ids, in block order
@@ -112,12 +135,37 @@ class Index(NamedTuple):
     grown: np.ndarray      # 1 + log of each distinct count
     where: Lists           # per term: example positions
     count: np.ndarray      # per posting: which of the distinct counts of a term in an example
-    block: Lists           # per frequent term: the blocks that hold it
+    tail: np.ndarray       # per term: whether it is of the tail
+    block: Lists           # per other frequent term: the blocks that hold it
     top: np.ndarray        # per entry of ``block``: its largest weight
     cuts: np.ndarray       # per entry: its first posting
     size: np.ndarray       # per entry: its postings
     base: float
 
+    @cached_property
+    def search(self) -> Search:
+        sizes = np.diff(self.where.edge)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
+        far = self.tail[term]
+        edge = np.concatenate([[0], np.cumsum(np.where(self.tail, 0, sizes))])
+        at = np.flatnonzero(~far)
+        place = self.where.flat[at].astype(np.intp)
+        weight = self.grown[self.count[at]] * self.idf[term[at]] * self.inverse[place]
+        cuts = self.cuts - np.repeat(self.where.edge[:-1] - edge[:-1], np.diff(self.block.edge))
+        at = np.flatnonzero(far)
+        at = at[np.argsort(self.where.flat[at], kind="stable")]
+        owner, count = self.where.flat[at], self.count[at]
+        number = np.cumsum(self.tail) - 1
+        rest = np.zeros(len(self.ids))
+        for lo in range(0, len(at), 1 << 20):
+            part = slice(lo, lo + (1 << 20))
+            rest += np.bincount(owner[part], (self.grown[count[part]] * self.idf[term[at[part]]]) ** 2, minlength=len(rest))
+        rest = np.sqrt(rest) * self.inverse
+        firsts = np.arange(0, len(rest), BLOCK)
+        return Search(Lists(place, edge), weight, cuts, number,
+                      Lists(_small(number[term[at]]), np.searchsorted(owner, np.arange(len(rest) + 1))), count,
+                      rest, np.maximum.reduceat(rest, firsts) if len(rest) else rest)
+
     def sieve(self) -> np.ndarray:
         out = np.zeros(1 << 16, bool)
         out[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -127,47 +175,61 @@ class Index(NamedTuple):
         w = (1 + np.log(count)) * self.idf[term]
         return w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def products(self, post: np.ndarray, scaled: np.ndarray) -> np.ndarray:
-        """Query weight times example weight of postings; ``scaled`` is the query weight times the term's idf."""
-        return scaled * self.grown[self.count[post]] * self.inverse[self.where.flat[post]]
-
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (position, cosine), exact; those of the id ``skip`` are left out."""
-        scaled = weight * self.idf[term]
+        s, n = self.search, len(self.ids)
+        best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        if n == 0:
+            return best_at, best
+        late = self.tail[term]
+        query = np.zeros(int(s.number[-1]) + 1)  # over the tail
+        query[s.number[term[late]]] = weight[late] * self.idf[term[late]]
+        reach = np.sqrt((weight[late] ** 2).sum())
+        term, weight = term[~late], weight[~late]
         entries = self.block.edge[term + 1] - self.block.edge[term]
         entry = _ranges(self.block.edge[term], entries)
-        block, q = self.block.flat[entry].astype(np.int64), np.repeat(scaled, entries)
-        rare = entries == 0  # their postings are looked at one by one
-        held = np.where(rare, self.where.edge[term + 1] - self.where.edge[term], 0)
-        post = _ranges(self.where.edge[term], held)
-        single = self.products(post, np.repeat(scaled, held))
-        place = self.where.flat[post].astype(np.int64)
-        n_blocks = -(-len(self.ids) // BLOCK)
-        bound = (np.bincount(block, np.repeat(weight, entries) * self.top[entry], minlength=n_blocks)
-                 + np.bincount(place // BLOCK, single, minlength=n_blocks))
+        block, q = self.block.flat[entry], np.repeat(weight, entries)
+        held = np.where(entries == 0, s.light.edge[term + 1] - s.light.edge[term], 0)  # rare terms: one by one
+        post = _ranges(s.light.edge[term], held)
+        rare = np.bincount(s.light.flat[post], s.weight[post] * np.repeat(weight, held), minlength=n)
+        bound = (np.maximum.reduceat(rare, np.arange(0, n, BLOCK)) + np.bincount(block, q * self.top[entry], minlength=len(s.block_rest))
+                 + reach * s.block_rest)
         order = np.argsort(-bound, kind="stable")
-        best_at = np.zeros(0, np.int64)
-        best = np.zeros(0)
         lo, step = 0, OPEN
-        while lo < len(order) and bound[order[lo]] > 0 and not (len(best) == k and bound[order[lo]] < best[-1] - 1e-9):
+        while lo < len(order) and bound[order[lo]] > 0 and not (len(best) == k and bound[order[lo]] < best[-1] - SLACK):
             opened = np.zeros(len(order), bool)
             opened[order[lo:lo + step]] = True
             lo, step = lo + step, 2 * step
             sel = opened[block]
-            n = self.size[entry[sel]].astype(np.int64)
-            many = _ranges(self.cuts[entry[sel]], n)
-            some = opened[place // BLOCK]
-            sums = (np.bincount(self.where.flat[many], self.products(many, np.repeat(q[sel], n)), minlength=len(self.ids))
-                    + np.bincount(place[some], single[some], minlength=len(self.ids)))
-            at = np.flatnonzero(sums)
+            size = self.size[entry[sel]].astype(np.int64)
+            post = _ranges(s.cuts[entry[sel]], size)
+            sums = rare + np.bincount(s.light.flat[post], s.weight[post] * np.repeat(q[sel], size), minlength=n)
+            at = np.flatnonzero(opened)[:, None] * BLOCK + np.arange(BLOCK)
+            at = at[at < n]
             if skip is not None:
                 at = at[self.ids[at] != skip]
-            if len(at) > k:  # ties with the k-th stay, the smallest positions win below
-                at = at[sums[at] >= np.partition(sums[at], -k)[-k]]
-            best_at = np.concatenate([best_at, at])
-            best = np.concatenate([best, sums[at]])
-            rank = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[rank], best[rank]
+            floor = best[-1] if len(best) == k else 0.0
+            if len(at) >= k:  # a sum without its tail is a cosine's lower bound
+                floor = max(floor, np.partition(sums[at], -k)[-k])
+            upper = sums[at] + reach * s.rest[at]
+            sel = (upper > 0) & (upper >= floor - SLACK)
+            at, upper = at[sel], upper[sel]
+            rank = np.argsort(-upper, kind="stable")
+            at, upper = at[rank], upper[rank]
+            first = 0
+            while first < len(at) and not (len(best) == k and upper[first] < best[-1] - SLACK):
+                some = at[first:first + COMPLETED]
+                first += COMPLETED
+                cosine = sums[some]
+                if reach:
+                    own = s.far.edge[some + 1] - s.far.edge[some]
+                    post = _ranges(s.far.edge[some], own)
+                    parts = np.append(query[s.far.flat[post]] * self.grown[s.count[post]], 0)
+                    parts = np.add.reduceat(parts, np.cumsum(own) - own)
+                    cosine = cosine + self.inverse[some] * np.where(own > 0, parts, 0)
+                best_at, best = np.concatenate([best_at, some[cosine > 0]]), np.concatenate([best, cosine[cosine > 0]])
+                rank = np.lexsort((best_at, -best))[:k]  # of equal cosines the smallest positions
+                best_at, best = best_at[rank], best[rank]
         return best_at, best
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -183,13 +245,13 @@ def packed(index: Index) -> bytes:
     """The index as it travels: places as steps from posting to posting, then compressed (every executor keeps a copy on disk)."""
     where = index.where.flat
     steps = np.diff(where, prepend=where.dtype.type(0)) if len(where) else where
-    return zlib.compress(pickle.dumps(index._replace(where=Lists(steps, index.where.edge)), 5), 1)
+    return zlib.compress(pickle.dumps(replace(index, where=Lists(steps, index.where.edge)), 5), 1)
 
 
 def unpacked(data: bytes) -> Index:
     index = pickle.loads(zlib.decompress(data))
     steps = index.where.flat
-    return index._replace(where=Lists(np.cumsum(steps, dtype=steps.dtype), index.where.edge))
+    return replace(index, where=Lists(np.cumsum(steps, dtype=steps.dtype), index.where.edge))
 
 
 def opened(shared: Broadcast, name: str) -> Index:
@@ -263,7 +325,7 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     term, n, p = rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["p"].to_numpy()
     odds = np.log((p + 0.5) / (toxic - p + 0.5)) - np.log((n - p + 0.5) / (size - toxic - (n - p) + 0.5))
     order = np.argsort(term)
-    return term[order], ((np.log((1 + size) / (1 + n)) + 0.1) * np.abs(odds))[order]
+    return term[order], ((np.log((1 + size) / (1 + n)) + 0.1) * np.abs(odds) ** LEAN)[order]
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -349,14 +411,21 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
     term, where = (key // max(len(order), 1)).astype(np.int32), (key % max(len(order), 1)).astype(np.int32)
     del key
     # Lengths and weights in double precision, as queries recompute them.
-    norm = np.zeros(len(order))
+    norm, mass = np.zeros(len(order)), np.zeros(len(terms))
     for lo in range(0, len(term), 1 << 20):
         part = slice(lo, lo + (1 << 20))
         norm += np.bincount(where[part], ((1 + np.log(count[part], dtype=float)) * idf[term[part]]) ** 2, minlength=len(order))
     norm = np.sqrt(norm)
+    for lo in range(0, len(term), 1 << 20):
+        part = slice(lo, lo + (1 << 20))
+        mass += np.bincount(term[part], ((1 + np.log(count[part], dtype=float)) * idf[term[part]] / norm[where[part]]) ** 2, minlength=len(terms))
     distinct, code = np.unique(count, return_inverse=True)
     edge = np.searchsorted(term, np.arange(len(terms) + 1))
-    frequent = np.diff(edge)[term] >= FREQUENT if len(term) else np.zeros(0, bool)
+    often = np.diff(edge) >= FREQUENT
+    light = np.flatnonzero(often)[np.argsort(idf[often], kind="stable")]
+    tail = np.zeros(len(terms), bool)
+    tail[light[np.cumsum(mass[light]) <= TAIL * len(order)]] = True
+    frequent = (often & ~tail)[term]
     new = np.ones(len(term), bool)
     new[1:] = (term[1:] != term[:-1]) | (where[1:] // BLOCK != where[:-1] // BLOCK)
     many = np.flatnonzero(frequent)
@@ -368,7 +437,7 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
     else:
         top, stop = np.zeros(0, np.float32), cuts
     return Index(terms, idf, ids[order], toxic[order].astype(float), 1 / norm,
-                 1 + np.log(distinct, dtype=float), Lists(_small(where), edge), _small(code),
+                 1 + np.log(distinct, dtype=float), Lists(_small(where), edge), _small(code), tail,
                  Lists(_small(where[cuts] // BLOCK), np.searchsorted(term[cuts], np.arange(len(terms) + 1))), top,
                  cuts.astype(np.int32 if len(term) < 1 << 31 else np.int64), _small(stop - cuts), base)
 
