@@ -87,10 +87,18 @@ def _terms(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([word, begin, pair]), np.concatenate([own, own[long], own[at]])
 
 
+def _sieve(terms: np.ndarray) -> np.ndarray:
+    """Whether any of the terms begins with these 22 bits."""
+    out = np.zeros(1 << 22, bool)
+    out[(terms >> np.uint64(42)).astype(np.int64)] = True
+    return out
+
+
 def _counts(b: Block, chosen: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, index of a chosen term, count), sorted by document."""
     term, own = _terms(b)
-    maybe = sieve[term & np.uint64(0xFFFF)]
+    maybe = np.flatnonzero(sieve[term >> np.uint64(42)])
+    maybe = maybe[np.argsort(term[maybe])]  # neighbouring lookups share cache lines
     term, own = term[maybe], own[maybe]
     at = np.minimum(np.searchsorted(chosen, term), max(len(chosen) - 1, 0))
     hit = chosen[at] == term if len(chosen) else np.zeros(len(term), bool)
@@ -167,9 +175,7 @@ class Index:
                       rest, np.maximum.reduceat(rest, firsts) if len(rest) else rest)
 
     def sieve(self) -> np.ndarray:
-        out = np.zeros(1 << 16, bool)
-        out[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-        return out
+        return _sieve(self.terms)
 
     def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[term]
@@ -338,11 +344,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = cut_lineage(examples(docs, labels, id_col, text_col, label_col), "toxic-examples")
     terms, idf = choose_terms(sample)
     size = sample.count()
-    sieve = np.zeros(1 << 16, bool)
-    sieve[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
     chosen = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = _sieve(chosen.value)
         for b in blocks(batches):
             own, term, n = _counts(b, chosen.value, sieve)
             edge = np.searchsorted(own, np.arange(b.n + 1))
