@@ -310,7 +310,8 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(terms, sorted, and their weights) of the terms in at least ``MIN_DF`` examples; none without both classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, max_bytes=1 << 22):
+        _open.clear()  # an earlier run's index
+        for b in blocks(batches, max_bytes=1 << 20):
             term, own = _terms(b)
             order = np.lexsort((own, term))
             term, own = term[order], own[order]
