@@ -196,6 +196,18 @@ def test_decontamination(spark, rows):
     assert not decontaminate.contamination(df, none).where("contaminated").count()
 
 
+def test_decontamination_counts_ids_once(spark):
+    """Items that share an id are one item, items without one are one more; SQL counts them alike."""
+    import hashlib
+    w, v = (" ".join(f"{x}{k}" for k in range(12)) for x in "wv")
+    bench = spark.createDataFrame([(7, w), (7, w), (7, v), (None, v), (None, w)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"so {w} then {v}", "en", "s", 0), (2, "nothing", "en", "s", 0), (3, v + " end" * 200_000, "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in decontaminate.contamination(df, decontaminate.build_automaton(bench)).collect()}
+    seven, empty = (hashlib.sha256(x).hexdigest() for x in (b"7", b""))
+    assert [(got[k].n_items, got[k].items_sha256, got[k].n_hit) for k in (1, 2, 3)] == [(2, seven, 24), (0, empty, 0), (2, seven, 12)]
+    assert got[3].n_words == 200_012
+
+
 def test_quality_measures(docs, rows):
     import re
     want = []

@@ -12,9 +12,12 @@ the corpus; ``MAX_ITEM_WORDS`` is the checked bound of what is broadcast, and a
 larger set raises an error instead of being cut.
 
 Edge cases: NULL or empty texts have no words and no hits; items without words
-give no window; repeated items count as items of their own; a NULL item_id is
-never reported as a hit item (its windows still mark words); repeated
-documents are judged one by one; empty tables give empty results or no hits.
+give no window; items of the same id count as one item, and all items without
+an id as one more, which ``n_items`` counts and ``items_sha256`` cannot name
+(their windows mark words like any other's); repeated documents are judged one
+by one; very long texts are read whole, one block each; extra columns, whatever
+their names, are ignored by ``contamination`` and kept by ``remove_spans``; empty
+tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -197,11 +200,12 @@ def contamination(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id",
             _, _, first, hit, found = _matches(b, auto)
             sums = np.concatenate([[0], np.cumsum(hit)])
             n_hit = sums[first[1:]] - sums[first[:-1]]
-            names = [sorted({auto.names[k] for k in found.get(i, ()) if auto.names[k] is not None}) for i in range(b.n)]
+            held = [{auto.names[k] for k in found.get(i, ())} for i in range(b.n)]
+            names = [sorted(x - {None}) for x in held]
             yield pa.record_batch({
                 "doc_id": column(b.rows, "doc_id"),
                 "n_words": np.diff(first), "n_hit": n_hit.astype(np.int64),
-                "n_items": pa.array([len(found.get(i, ())) for i in range(b.n)], pa.int64()),
+                "n_items": pa.array([len(x) for x in held], pa.int64()),
                 "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
                 "contaminated": n_hit > 0})
 
