@@ -507,6 +507,38 @@ def test_codes_stay_when_a_new_item_joins(spark, tmp_path):
     assert len(base) == 8 and len(more) == 16 and base.items() <= more.items()
 
 
+def test_a_forecast_reads_the_written_tables_and_not_the_sales(spark, tmp_path):
+    """The tables beside a model are written once: no branch of a forecast or of a save joins the sales again."""
+    from tillcast.plans import training as TR
+    rows = [(1, d("2024-01-01") + dt.timedelta(days=k), item, q, item[0], "s", 2.0) for k in range(60) for item, q in (("a tea", 9.0), ("c cake", 2.0))]
+    spark.createDataFrame(rows, "business_id long, date date, item_name string, quantity double, type string, size string, unit_price double").withColumn(
+        "order_id", F.lit("o")).write.parquet(f"{tmp_path}/sales")
+    sales = spark.read.parquet(f"{tmp_path}/sales")
+    res = TR.train(TR.training_frame(sales, pooled=False), tune=False, params={"maxIter": 2, "maxDepth": 2}, n_folds=2, sales=sales)
+    art = res.artefact
+    assert art is res.artefact
+    out = TR.forecast(art, days=2, items=sales.select("business_id", "item_name"))
+    for df in (out, art.metadata, art.known, art.category_avg, art.codes, art.averages, art.history):
+        assert df.count() > 0 and not any(f"{tmp_path}/sales" in f for f in df.inputFiles())
+    assert {(r.item_name, r.category, r.primary_size, r.unit_price) for r in art.metadata.collect()} == {
+        ("a tea", "a", "s", 2.0), ("c cake", "c", "s", 2.0)}
+
+
+def test_parts_are_not_broadcast_to_the_sales(spark, tmp_path):
+    """A part table that is small on disk is large once broadcast."""
+    from tillcast.sources import tables as T
+    for name, ddl, rows in (
+            ("region", "r_regionkey int", [(0,)]), ("nation", "n_nationkey int, n_regionkey int", [(0, 0)]),
+            ("supplier", "s_suppkey long, s_nationkey int", [(1, 0)]),
+            ("part", "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double", [(1, "b", "t", 1, 2.0)]),
+            ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp",
+             [(1, 1, 1, 2.0, 3.0, dt.datetime(2024, 1, 1))])):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = T.sales(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [l_partkey" in plan
+    assert T.sales(spark, str(tmp_path)).count() == 1
+
+
 def test_search_candidates_are_distinct_and_empty_folds_do_not_win(spark):
     from tillcast.plans import training as TR
     grid = {"maxDepth": [1, 2], "maxIter": [1, 2, 3]}

@@ -40,6 +40,10 @@ def item_size_stats(sales: DataFrame, value: str | None = "quantity") -> DataFra
         F.sum(F.col("unit_price").cast("decimal(18,6)")).alias("price_total"))
 
 
+def _size_stats(sales: DataFrame, stats: DataFrame | None) -> DataFrame:
+    return stats if stats is not None else item_size_stats(sales)
+
+
 def _items(stats: DataFrame):
     return stats.groupBy("business_id", "item_name")
 
@@ -60,39 +64,39 @@ def item_category(sales: DataFrame) -> DataFrame:
             .withColumn("category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))))
 
 
-def item_sizes(sales: DataFrame) -> DataFrame:
+def item_sizes(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """A-07: sorted distinct non-NULL sizes per item (array; one entry per size)."""
-    return (_items(item_size_stats(sales).where(F.col("size").isNotNull()))
+    return (_items(_size_stats(sales, stats).where(F.col("size").isNotNull()))
             .agg(F.sort_array(F.collect_list("size")).alias("sizes")))
 
 
-def primary_size(sales: DataFrame) -> DataFrame:
+def primary_size(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """A-08: most frequent size (rows), smallest on ties."""
-    return (_items(item_size_stats(sales).where(F.col("size").isNotNull()))
+    return (_items(_size_stats(sales, stats).where(F.col("size").isNotNull()))
             .agg(F.min_by("size", F.struct(-F.col("rows"), F.col("size"))).alias("primary_size")))
 
 
-def size_distribution(sales: DataFrame, value: str | None = "quantity") -> DataFrame:
+def size_distribution(sales: DataFrame, value: str | None = "quantity", stats: DataFrame | None = None) -> DataFrame:
     """A-09: share of the item's quantity per size, as flat rows
     (business_id, item_name, size, share). The denominator includes rows with
     a NULL size; without a quantity column, rows are counted. Items whose total
     is not > 0 get no shares."""
-    st = item_size_stats(sales, value)
+    st = stats if stats is not None else item_size_stats(sales, value)
     w = Window.partitionBy("business_id", "item_name")  # one row per size of the item
     shares = st.withColumn("_total", F.sum("qty").over(w))
     return (shares.where(F.col("size").isNotNull() & (F.col("_total") > 0))
             .select("business_id", "item_name", "size", (F.col("qty") / F.col("_total")).alias("share")))
 
 
-def size_prices(sales: DataFrame) -> DataFrame:
+def size_prices(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """A-10: mean unit price per (item, size), NULL prices skipped."""
-    st = item_size_stats(sales).where(F.col("size").isNotNull() & (F.col("price_n") > 0))
+    st = _size_stats(sales, stats).where(F.col("size").isNotNull() & (F.col("price_n") > 0))
     return st.select("business_id", "item_name", "size", (F.col("price_sum") / F.col("price_n")).alias("size_price"))
 
 
-def price_stats(sales: DataFrame) -> DataFrame:
+def price_stats(sales: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """A-11: mean, min and max unit price per item."""
-    return (_items(item_size_stats(sales)).agg(
+    return (_items(_size_stats(sales, stats)).agg(
         (F.sum("price_sum") / F.sum("price_n")).alias("unit_price"), F.min("price_min").alias("min_price"),
         F.max("price_max").alias("max_price")).where(F.col("unit_price").isNotNull()))
 
@@ -114,19 +118,22 @@ def category_average(daily: DataFrame, categories: DataFrame, value: str = "quan
             .groupBy("business_id", "category").agg(F.avg(value).alias("category_avg")))
 
 
-def item_metadata(sales: DataFrame, daily: DataFrame) -> DataFrame:
+def item_metadata(sales: DataFrame, daily: DataFrame, stats: DataFrame | None = None,
+                  categories: DataFrame | None = None) -> DataFrame:
     """All per-item metadata in one row per item (category, sizes, primary size,
-    size shares / prices as maps, price stats, average daily quantity)."""
-    dist = (size_distribution(sales).groupBy("business_id", "item_name")
+    size shares / prices as maps, price stats, average daily quantity).
+    ``stats`` / ``categories``: a precomputed ``item_size_stats`` / ``item_category``."""
+    dist = (size_distribution(sales, stats=stats).groupBy("business_id", "item_name")
             .agg(F.map_from_entries(F.collect_list(F.struct("size", "share"))).alias("size_distribution")))
-    prices = (size_prices(sales).groupBy("business_id", "item_name")
+    prices = (size_prices(sales, stats).groupBy("business_id", "item_name")
               .agg(F.map_from_entries(F.collect_list(F.struct("size", "size_price"))).alias("size_prices")))
     d, _ = with_business(daily)
     avg_daily = d.groupBy("business_id", "item_name").agg(F.avg("quantity").alias("avg_daily_qty"))
     keys = ["business_id", "item_name"]
-    return (item_category(sales).join(item_sizes(sales), keys, "left")
-            .join(primary_size(sales), keys, "left").join(dist, keys, "left")
-            .join(prices, keys, "left").join(price_stats(sales), keys, "left")
+    category = categories if categories is not None else item_category(sales)
+    return (category.join(item_sizes(sales, stats), keys, "left")
+            .join(primary_size(sales, stats), keys, "left").join(dist, keys, "left")
+            .join(prices, keys, "left").join(price_stats(sales, stats), keys, "left")
             .join(avg_daily, keys, "left"))
 
 

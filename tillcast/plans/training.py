@@ -19,8 +19,9 @@ from __future__ import annotations
 import math
 import random
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property, partial
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -280,20 +281,19 @@ _TABLES = ("codes", "known", "averages", "category_avg", "history", "hourly", "m
 
 @dataclass
 class TrainResult:
-    artefact: Artefact
+    model: Model
+    names: list[str]
+    tables: Callable[[], Artefact]  # writes the tables beside the model
     metrics: DataFrame
     importance: DataFrame
     search: SearchResult | None
     evaluation: Model | None = None  # the model of the training part, which the metrics are of
     runs: Runs | None = None         # scores of every candidate, fold and role
 
-    @property
-    def model(self) -> Model:
-        return self.artefact.model
-
-    @property
-    def names(self) -> list[str]:
-        return self.artefact.names
+    @cached_property
+    def artefact(self) -> Artefact:
+        """The model and its tables, which are written when first asked for."""
+        return self.tables()
 
 
 def feature_importance(model: Model) -> DataFrame:
@@ -354,23 +354,30 @@ def train(frame: DataFrame, test_size: float = 0.2, tune: bool = True, n_folds:
     else:
         summary = summary.drop("grp", "candidate")
     serving = _forests(runs, best, names, "serve")
-    result = TrainResult(_artefact(serving, names, df, sales), cut_lineage(summary, "summary"), feature_importance(serving),
+    result = TrainResult(serving, names, partial(_artefact, serving, names, df, sales), cut_lineage(summary, "summary"), feature_importance(serving),
                          _search_result(runs) if tune and not group else None)
     result.evaluation, result.runs = _forests(runs, best, names, "evaluate"), runs
     return result
 
 
 def _artefact(model: Model, names: list[str], df: DataFrame, sales: DataFrame | None) -> Artefact:
+    """Every table is written once. A forecast reads them in many branches: were they plans over the sales,
+    each branch would join the sales again, and the sides it broadcasts would lie at the driver together."""
     daily = df.select(*KEYS, F.col(LABEL).alias("quantity"))
-    codes = df.select("business_id", "item_name", F.col("item_encoded").cast("int").alias("item_encoded")).distinct()
+    codes = cut_lineage(df.select("business_id", "item_name", F.col("item_encoded").cast("int").alias("item_encoded")).distinct(), "codes")
     if sales is not None and "type" in sales.columns:
-        known = I.item_category(sales)
+        known = cut_lineage(I.item_category(sales), "known")
     else:
         known = codes.select("business_id", "item_name", F.lit(I.DEFAULT_CATEGORY).alias("category"))
+    hourly = metadata = None
+    if sales is not None and "time" in sales.columns:
+        hourly = cut_lineage(I.hourly_patterns(sales), "hourly")
+    if sales is not None and {"size", "unit_price", "type"} <= set(sales.columns):
+        stats = cut_lineage(I.item_size_stats(sales), "sizes")
+        metadata = cut_lineage(I.item_metadata(sales, daily, stats, known), "metadata")
     return Artefact(
-        model, names, codes, known, S.avg_daily_quantity(daily), I.category_average(daily, known), S.history_cutoff(daily, 60),
-        I.hourly_patterns(sales) if sales is not None and "time" in sales.columns else None,
-        I.item_metadata(sales, daily) if sales is not None and {"size", "unit_price", "type"} <= set(sales.columns) else None)
+        model, names, codes, known, cut_lineage(S.avg_daily_quantity(daily), "averages"),
+        cut_lineage(I.category_average(daily, known), "category"), cut_lineage(S.history_cutoff(daily, 60), "history"), hourly, metadata)
 
 
 def train_per_business(frame: DataFrame, **kwargs) -> TrainResult:
@@ -388,7 +395,8 @@ def forecast(art: Artefact, days: int = 7, cal: Calendars | None = None, start=N
     (F-18). ``items``: (business_id, item_name) to forecast, all trained ones by
     default; an item the model has not seen gets the code of a similar item or
     of the best seller (J-21) and the fallback quantities of J-23."""
-    wanted = (items if items is not None else art.codes).select("business_id", "item_name").distinct()
+    # grid, codes and fallbacks read these items in many branches
+    wanted = cut_lineage((items if items is not None else art.codes).select("business_id", "item_name").distinct(), "wanted")
     grid = forecast_grid(art.history, days, start, wanted).withColumnRenamed("prediction_date", "date")
     named = wanted.withColumnRenamed("item_name", "name")
     codes = I.item_code_lookup(named, art.codes, art.known, art.averages).withColumnRenamed("name", "item_name")

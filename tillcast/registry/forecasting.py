@@ -24,7 +24,7 @@ from ..operators import reports as R
 from ..operators import series as S
 from ..plans import training as TR
 from ..plans import features as FE
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import tables as T
 from ..util import round_doubles
 from . import calendars as CAL
@@ -199,7 +199,7 @@ def top_features(spark, sf_dir):
 
 def _wanted(spark, sf_dir):
     """Every item, and beside each a new variant of it and an item like no other."""
-    items = S.daily_item_sales(T.sales(spark, sf_dir)).select("business_id", "item_name").distinct()
+    items = cut_lineage(S.daily_item_sales(T.sales(spark, sf_dir)).select("business_id", "item_name").distinct(), "items")
     return (items.unionByName(items.withColumn("item_name", F.concat("item_name", F.lit(" large"))))
             .unionByName(items.select("business_id", F.lit("?!").alias("item_name")).distinct()))
 

@@ -44,7 +44,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
     biz = supplier_business(spark, sf_dir)
-    joined = (li.join(part, li.l_partkey == part.p_partkey)
+    # part grows with the data and packs well: a file that the planner takes for small
+    # is a table of some 100 bytes a row once broadcast, and a plan may hold several
+    joined = (li.join(part.hint("shuffle_hash"), li.l_partkey == part.p_partkey)
               .join(biz, li.l_suppkey == biz.s_suppkey))
     return joined.select(
         "business_id",
