@@ -524,6 +524,31 @@ def test_a_forecast_reads_the_written_tables_and_not_the_sales(spark, tmp_path):
         ("a tea", "a", "s", 2.0), ("c cake", "c", "s", 2.0)}
 
 
+def test_each_date_text_and_record_is_read_once(spark, tmp_path):
+    """Dates are read once a distinct text; a record is parsed once, and files without open ranges are read once."""
+    (tmp_path / "a.csv").write_text("Day,Product\n13/01/2024,tea\n13/01/2024,\"a\nb\"\n,none\nsoon,late\n02/01/2024,tea,more\n\n02/01/2024,cake\n")
+    good, bad = FL.load_sales(spark, str(tmp_path / "a.csv"))
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "gettimestamp" not in plan.lower() and plan.count("FileScan text") == 1 and plan.count("from_csv") <= 2, plan
+    assert sorted((str(r.date), r.item_name) for r in good.collect()) == [
+        ("2024-01-02", "cake"), ("2024-01-13", "a\nb"), ("2024-01-13", "tea")]
+    assert sorted((r.date or "", r.item_name) for r in bad.collect()) == [("", "none"), ("soon", "late")]
+
+
+def test_large_uploads_are_several_files(spark, tmp_path, monkeypatch):
+    """No task writes more than a file's worth of the texts; every file is still read by more than one task."""
+    from tillcast.registry import ingest
+    monkeypatch.setattr(ingest, "FILE_BYTES", 20_000)
+    docs = [(k, f'say "{k}",\n' * 100) for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = []
+    write = ingest.P.write_sales_csv
+    monkeypatch.setattr(ingest.P, "write_sales_csv", lambda df, path: (write(df, path), files.extend(spark.read.text(path).inputFiles())))
+    out = ingest.one_large_file(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == docs and out.where("by_many_tasks").count() == 60
+    assert len(files) > 2
+
+
 def test_parts_are_not_broadcast_to_the_sales(spark, tmp_path):
     """A part table that is small on disk is large once broadcast."""
     from tillcast.sources import tables as T

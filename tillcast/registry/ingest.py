@@ -85,10 +85,12 @@ def many_layouts(spark, sf_dir):
 @query("S01_one_large_file", """
 SELECT doc_id, text, TRUE AS by_many_tasks FROM documents""")
 def one_large_file(spark, sf_dir):
-    """All texts as one quoted file with line breaks inside its fields, read back by more than one task."""
+    """All texts as one quoted file with line breaks inside its fields, read back by more than one task. A file is
+    written by one task: beyond ``FILE_BYTES`` of text there are more files, each of which many tasks read."""
     docs = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch_path(spark, "upload-large")
-    P.write_sales_csv(docs.coalesce(1), path)
+    files = _files_for(docs.agg(F.sum(F.octet_length("text"))).first()[0])
+    P.write_sales_csv(docs.repartition(files) if files > 1 else docs.coalesce(1), path)
     size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(4096, size // 16)))  # as a larger file would be cut
@@ -98,7 +100,14 @@ def one_large_file(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     parts = tagged.agg(F.count_distinct("part")).first()[0]
-    return tagged.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(parts > 1).alias("by_many_tasks"))
+    return tagged.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(parts > files).alias("by_many_tasks"))
+
+
+FILE_BYTES = 1 << 28  # of text that one task writes as a file
+
+
+def _files_for(size: int | None) -> int:
+    return max(1, -(-(size or 0) // FILE_BYTES))
 
 
 @query("S01_rejected_rows", """

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import DAY_FIRST_FORMATS, ISO_FORMATS, MONTH_FIRST_FORMATS
+from ..session import cut_lineage
 from . import records as R
 
 STANDARD_COLUMNS = ("date", "item_name", "quantity", "size", "type", "unit_price", "total_price",
@@ -58,6 +59,7 @@ COLUMN_ALIASES = {
 }
 
 CORRUPT = "_corrupt_record"
+BROADCAST_TEXTS = 100_000  # distinct date texts that go to the rows; beyond it both sides are shuffled
 NUMERIC_COLUMNS = {"quantity": "double", "unit_price": "double", "total_price": "double", "cost": "double"}
 
 
@@ -87,8 +89,8 @@ def read_one_layout(spark: SparkSession, header: Sequence[str], files: Sequence[
         raise ValueError(f"an upload column is named {CORRUPT}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())])
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
-    parsed = R.records(spark, files).select(F.from_csv("record", _ddl(schema), options).alias("r"))
-    rows = parsed.select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields])
+    # as a generator, a record is parsed once: neither the filter nor a column repeats it
+    rows = R.records(spark, files).select(F.inline(F.array(F.from_csv("record", _ddl(schema), options))))
     bad = F.col(CORRUPT).isNotNull()
     return rows.where(~bad).drop(CORRUPT), rows.where(bad)
 
@@ -221,28 +223,30 @@ def parse_sales_dates(df: DataFrame, col: str = "date", day_first: bool = True)
     """S-09 (Q1): ISO text is always year-month-day. For slash dates the order
     is chosen once per dataset: if some values only fit day-first (first field
     > 12) and none only fit month-first, the data is day-first, and vice versa;
-    otherwise ``day_first`` decides. The choice is a one-row aggregate joined
-    back (no driver round trip). Returns (parsed rows, rejected rows)."""
+    otherwise ``day_first`` decides. A layout that does not fit costs an
+    exception inside Spark, so each distinct text is read once, not each row:
+    the texts with their readings are a table that the rows are joined with and
+    that the choice is an aggregate of. Returns (parsed rows, rejected rows)."""
     t = F.trim(F.col(col).cast("string"))
 
     def any_of(fmts):
-        return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in fmts]).cast("date")
-
-    iso, dfirst, mfirst = any_of(ISO_FORMATS), any_of(DAY_FIRST_FORMATS), any_of(MONTH_FIRST_FORMATS)
-    tagged = df.select("*", iso.alias("_iso"), dfirst.alias("_df"), mfirst.alias("_mf"))
-    votes = tagged.agg(
-        F.count_if(F.col("_iso").isNull() & F.col("_df").isNotNull() & F.col("_mf").isNull()).alias("_only_df"),
-        F.count_if(F.col("_iso").isNull() & F.col("_mf").isNotNull() & F.col("_df").isNull()).alias("_only_mf"))
-    choice = votes.select(
-        F.when((F.col("_only_df") > 0) & (F.col("_only_mf") == 0), F.lit(True))
-        .when((F.col("_only_mf") > 0) & (F.col("_only_df") == 0), F.lit(False))
-        .otherwise(F.lit(day_first)).alias("_day_first")).scalar()   # scalar subquery, run once
-    parsed = F.coalesce(F.col("_iso"), F.when(choice, F.coalesce("_df", "_mf"))
-                        .otherwise(F.coalesce("_mf", "_df")))
-    out = tagged.withColumn("_parsed", parsed)
-    good = out.where(F.col("_parsed").isNotNull()).withColumn(col, F.col("_parsed")).drop(
-        "_iso", "_df", "_mf", "_parsed")
-    bad = out.where(F.col("_parsed").isNull()).drop("_iso", "_df", "_mf", "_parsed")
+        return F.coalesce(*[F.try_to_timestamp("_text", F.lit(f)) for f in fmts]).cast("date")
+
+    texts = df.select(t.alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    dates = cut_lineage(texts.select("_text", any_of(ISO_FORMATS).alias("_iso"), any_of(DAY_FIRST_FORMATS).alias("_df"),
+                                     any_of(MONTH_FIRST_FORMATS).alias("_mf")), "dates")
+    votes = dates.agg(
+        F.count("*").alias("texts"),
+        F.count_if(F.col("_iso").isNull() & F.col("_df").isNotNull() & F.col("_mf").isNull()).alias("only_df"),
+        F.count_if(F.col("_iso").isNull() & F.col("_mf").isNotNull() & F.col("_df").isNull()).alias("only_mf")).first()
+    if (votes.only_df > 0) != (votes.only_mf > 0):
+        day_first = votes.only_df > 0
+    order = ("_iso", "_df", "_mf") if day_first else ("_iso", "_mf", "_df")
+    parsed = dates.select("_text", F.coalesce(*order).alias("_parsed"))
+    parsed = F.broadcast(parsed) if votes.texts <= BROADCAST_TEXTS else parsed.hint("shuffle_hash")
+    out = df.withColumn("_text", t).join(parsed, "_text", "left").select(*df.columns, "_parsed")
+    good = out.where(F.col("_parsed").isNotNull()).withColumn(col, F.col("_parsed")).drop("_parsed")
+    bad = out.where(F.col("_parsed").isNull()).drop("_parsed")
     return good, bad
 
 

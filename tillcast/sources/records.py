@@ -112,14 +112,19 @@ def _joined(lines: DataFrame, inside: set[tuple[str, int]]) -> DataFrame:
             return [(*at, 3 if began and not borders else 2, "\n".join(open_lines))]
         for batch in batches:
             out = []
-            values = batch.column(0).to_pylist()
+            special = pc.match_substring_regex(batch.column(0), "[\"\r]")
             for file, block, lo, hi in _runs(batch):
                 if (file, block) != at:
                     out += left()
                     at, open_lines, borders = (file, block), [], 0
                     began, first = (file, block) in inside, block == 0
                     now = began
-                for line in values[lo:hi]:
+                lines = batch.column(0).slice(lo, hi - lo)
+                if not (now or open_lines or first) and not pc.any(special.slice(lo, hi - lo)).as_py():
+                    yield _whole(file, block, lines)  # every line is a record
+                    borders += hi - lo
+                    continue
+                for line in lines.to_pylist():
                     open_lines.append(line)
                     now = ends_inside(line, now) if '"' in line else now
                     if not now:
@@ -132,6 +137,11 @@ def _joined(lines: DataFrame, inside: set[tuple[str, int]]) -> DataFrame:
             yield _batch(out)
         yield _batch(left())
 
+    def _whole(file: str, block: int, records: pa.Array) -> pa.RecordBatch:
+        n = len(records)
+        return pa.RecordBatch.from_pydict({"file": pa.repeat(pa.scalar(file, pa.string()), n), "block": pa.repeat(pa.scalar(block, pa.int64()), n),
+                                           "kind": pa.repeat(pa.scalar(0, pa.int32()), n), "record": records.cast(pa.string())})
+
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"file": pa.array([r[0] for r in rows], pa.string()), "block": pa.array([r[1] for r in rows], pa.int64()),
                                            "kind": pa.array([r[2] for r in rows], pa.int32()), "record": pa.array([r[3] for r in rows], pa.string())})
@@ -147,19 +157,18 @@ def records(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     if len(inside) > MAX_OPEN:
         raise ValueError(f"more than {MAX_OPEN} ranges begin inside a quoted field: set larger spark.sql.files.maxPartitionBytes")
     parts = _joined(lines, inside)
+    if not inside:  # one reading; kind 2 is a last field that no quote closes
+        return parts.where(F.col("kind").isin(0, 2) & (F.length(F.trim("record")) > 0)).select("record")
     whole = parts.where("kind = 0").select("record")
-    if inside:
-        # A crossing record is a begin (2), ranges inside it (3) and an end (1), in the order of blocks; within a
-        # range the end of the earlier record comes before the begin of the next. At most two pieces a range.
-        begins = F.when(F.col("kind") == 2, 1).otherwise(0)
-        w = Window.partitionBy("file").orderBy("block", "begins").rowsBetween(Window.unboundedPreceding, 0)
-        pieces = parts.where("kind > 0").withColumn("begins", begins)
-        crossing = (pieces.withColumn("number", F.sum("begins").over(w)).where("number > 0").groupBy("file", "number")
-                    .agg(F.array_sort(F.collect_list(F.struct("block", "begins", "record"))).alias("p"))
-                    .select(F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record")))
-        whole = whole.unionByName(crossing)
-    else:  # a last field that no quote closes
-        whole = whole.unionByName(parts.where("kind = 2").select("record"))
+    # A crossing record is a begin (2), ranges inside it (3) and an end (1), in the order of blocks; within a
+    # range the end of the earlier record comes before the begin of the next. At most two pieces a range.
+    begins = F.when(F.col("kind") == 2, 1).otherwise(0)
+    w = Window.partitionBy("file").orderBy("block", "begins").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = parts.where("kind > 0").withColumn("begins", begins)
+    crossing = (pieces.withColumn("number", F.sum("begins").over(w)).where("number > 0").groupBy("file", "number")
+                .agg(F.array_sort(F.collect_list(F.struct("block", "begins", "record"))).alias("p"))
+                .select(F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record")))
+    whole = whole.unionByName(crossing)
     return whole.where(F.length(F.trim("record")) > 0)
 
 
