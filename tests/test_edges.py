@@ -549,7 +549,7 @@ def test_large_uploads_are_several_files(spark, tmp_path, monkeypatch):
     assert len(files) > 2
 
 
-def test_parts_are_not_broadcast_to_the_sales(spark, tmp_path):
+def test_spread_parts_are_not_broadcast_to_the_sales(spark, tmp_path):
     """A part table that is small on disk is large once broadcast."""
     from tillcast.sources import tables as T
     for name, ddl, rows in (
@@ -559,9 +559,9 @@ def test_parts_are_not_broadcast_to_the_sales(spark, tmp_path):
             ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp",
              [(1, 1, 1, 2.0, 3.0, dt.datetime(2024, 1, 1))])):
         spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
-    plan = T.sales(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    plan = T.sales(spark, str(tmp_path), spread_parts=True)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin [l_partkey" in plan
-    assert T.sales(spark, str(tmp_path)).count() == 1
+    assert T.sales(spark, str(tmp_path), spread_parts=True).collect() == T.sales(spark, str(tmp_path)).collect()
 
 
 def test_search_candidates_are_distinct_and_empty_folds_do_not_win(spark):

@@ -48,7 +48,7 @@ def _frame(spark, sf_dir):
 def _trained(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = TR.train(_frame(spark, sf_dir), tune=False, sales=T.sales(spark, sf_dir))
+        _MODELS[key] = TR.train(_frame(spark, sf_dir), tune=False, sales=T.sales(spark, sf_dir, spread_parts=True))
     return _MODELS[key]
 
 
@@ -146,7 +146,7 @@ def _tuned(spark, sf_dir):
     """The full job once per application: search (5 candidates, 3 folds), evaluation, refit."""
     key = (spark.sparkContext.applicationId, sf_dir, "tuned")
     if key not in _MODELS:
-        _MODELS[key] = TR.train(_frame(spark, sf_dir), tune=True, n_iter=5, sales=T.sales(spark, sf_dir))
+        _MODELS[key] = TR.train(_frame(spark, sf_dir), tune=True, n_iter=5, sales=T.sales(spark, sf_dir, spread_parts=True))
     return _MODELS[key]
 
 
@@ -199,7 +199,7 @@ def top_features(spark, sf_dir):
 
 def _wanted(spark, sf_dir):
     """Every item, and beside each a new variant of it and an item like no other."""
-    items = cut_lineage(S.daily_item_sales(T.sales(spark, sf_dir)).select("business_id", "item_name").distinct(), "items")
+    items = cut_lineage(S.daily_item_sales(T.sales(spark, sf_dir, spread_parts=True)).select("business_id", "item_name").distinct(), "items")
     return (items.unionByName(items.withColumn("item_name", F.concat("item_name", F.lit(" large"))))
             .unionByName(items.select("business_id", F.lit("?!").alias("item_name")).distinct()))
 
@@ -288,7 +288,7 @@ def _each(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "each")
     if key not in _MODELS:
         frame = _frame(spark, sf_dir).drop("business_code")
-        _MODELS[key] = TR.train_per_business(frame, tune=False, sales=T.sales(spark, sf_dir))
+        _MODELS[key] = TR.train_per_business(frame, tune=False, sales=T.sales(spark, sf_dir, spread_parts=True))
     return _MODELS[key]
 
 

@@ -38,15 +38,17 @@ def supplier_business(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("s_suppkey", F.col("n_regionkey").cast("long").alias("business_id")))
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, spread_parts: bool = False) -> DataFrame:
+    """The sales view. ``spread_parts`` shuffles part to the line items: part grows with the
+    data and packs well, so a file that the planner takes for small is a table of some 100
+    bytes a row once broadcast, and a plan that reads the sales often holds several."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
     biz = supplier_business(spark, sf_dir)
-    # part grows with the data and packs well: a file that the planner takes for small
-    # is a table of some 100 bytes a row once broadcast, and a plan may hold several
-    joined = (li.join(part.hint("shuffle_hash"), li.l_partkey == part.p_partkey)
+    part = part.hint("shuffle_hash") if spread_parts else part
+    joined = (li.join(part, li.l_partkey == part.p_partkey)
               .join(biz, li.l_suppkey == biz.s_suppkey))
     return joined.select(
         "business_id",
