@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,10 +174,13 @@ def _ledger(spark: SparkSession, path: str, months: list[int], run: str, batch_i
     return spark.read.schema(_LEDGER).option("basePath", path).parquet(*at) if at else spark.createDataFrame([], _LEDGER)
 
 
-def _newest_date(spark: SparkSession, path: str, run: str, batch_id: int) -> dt.date | None:
-    """The newest date in the ledger before this batch: months are found by folder names, one is read."""
+def _newest_date(spark: SparkSession, path: str, run: str, batch_id: int, unless: Callable[[dt.date], bool]) -> dt.date | None:
+    """The newest date in the ledger before this batch: months are found by folder names, and the newest is read
+    ``unless`` that holds for its last day, the newest date there can be."""
     for month in reversed(_numbers(spark, path, "month=")):
         if _entries(spark, path, month, run, batch_id):
+            if unless(dt.date(month // 100 + month % 100 // 12, month % 100 % 12 + 1, 1) - dt.timedelta(days=1)):
+                return None
             return _ledger(spark, path, [month], run, batch_id).agg(F.max("date")).first()[0]
     return None
 
@@ -206,8 +210,9 @@ def auto_compare_stream(stream: DataFrame, models: DataFrame, predictions_path:
         part = cut_lineage(batch.where(F.col("item_name").isNotNull() & F.col("date").isNotNull())
                            .groupBy(*keys).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("rows")), "batch-sums")
         days = {r.date: r.n for r in part.groupBy("date").agg(F.sum("rows").alias("n")).collect()}  # a row a day of the batch
-        newest = _newest_date(spark, ledger_path, run, batch_id)
-        late = sum(n for day, n in days.items() if newest is not None and day < newest - dt.timedelta(days=late_after_days))
+        is_late = lambda day, newest: day < newest - dt.timedelta(days=late_after_days)
+        newest = _newest_date(spark, ledger_path, run, batch_id, lambda last: not any(is_late(day, last) for day in days))
+        late = sum(n for day, n in days.items() if newest is not None and is_late(day, newest))
         months = sorted({day.year * 100 + day.month for day in days})
         before = _ledger(spark, ledger_path, months, run, batch_id)
         mine = cut_lineage(part.unionByName(before.where(F.col("run") == run).select(*part.columns)).groupBy(*keys).agg(
