@@ -140,3 +140,29 @@ def test_a_broken_save_leaves_the_old_model(spark, tmp_path, monkeypatch):
     assert TR.load_model(spark, path).model.trees.count() == 2
     TR.save_model(new, path)
     assert TR.load_model(spark, path).model.trees.count() == 5
+
+
+def test_a_large_block_is_small_and_sums_its_own_cells():
+    """Bins are as narrow as their numbers, and a feature's sums touch no other feature's cells."""
+    rng = np.random.default_rng(4)
+    edges = [np.arange(n, dtype=float) for n in (3, 64, 1, 20)]
+    cells = np.stack([rng.integers(0, len(e) + 1, 500) for e in edges]).astype(np.min_scalar_type(max(map(len, edges))))
+    assert cells.itemsize == 1
+    rest, at = rng.integers(-9, 9, 500).astype(float), rng.integers(0, 5, 500)
+    first, w = B._cells(edges)
+    allowed = np.array([False, True, False, True])
+    sums = B._sum_nodes(cells, rest, at, 5, first, w, allowed)
+    for f, lo in enumerate(first):
+        for node in range(5):
+            for c in range(len(edges[f]) + 1):
+                here = (at == node) & (cells[f] == c)
+                want = [rest[here].sum(), here.sum()] if allowed[f] or f == 0 else [0, 0]
+                assert sums[:, node, lo + c].tolist() == want
+
+
+def test_blocks_hold_a_byte_a_bin(spark, rows):
+    import pickle
+    flat = rows.select(F.lit("").alias("grp"), *NAMES, F.col("y").alias("label"), F.array("early").alias("__roles"), F.xxhash64("id").alias("__key"))
+    edges = B._edges(flat, NAMES, 64)
+    held = [pickle.loads(r.payload) for r in B._packed(B._dealt(spark, flat, NAMES, 1), edges, 1).collect()]
+    assert {h["cells"].dtype for h in held} == {np.dtype(np.uint8)} and sum(h["cells"].shape[1] for h in held) == rows.count()

@@ -41,7 +41,7 @@ from ..session import cut_lineage, scratch_path, shared_dir, ship_package
 
 TRAIN, HELD_OUT = 1, 2
 BLOCK_ROWS = 16_384
-TASK_ROWS = 1 << 19  # of a business that one task holds (bins of 28 features: about 30 MB)
+TASK_ROWS = 1 << 19  # of a business that one task holds (bins of 28 features: about 15 MB)
 MODELS = 4_096       # (business, fit) pairs whose splits are at the driver together
 CHECKPOINT = 25
 SALTS = 8  # a business's rows are scored in as many parts at least
@@ -102,9 +102,9 @@ def _packed(rows: DataFrame, edges: dict[str, dict], n_roles: int):
         def block() -> pa.RecordBatch:
             x = np.concatenate([h[0] for h in held])
             e = edges[at]["edges"]
-            first, _ = _cells(e)
-            cells = np.stack([first[f] + np.searchsorted(edge, x[:, f], "left") for f, edge in enumerate(e)])
-            packed = {"cells": cells.astype(np.int32),  # a row per feature
+            kind = np.min_scalar_type(max(map(len, e)))  # a bin's number is at most the number of edges
+            cells = np.stack([np.searchsorted(edge, x[:, f], "left").astype(kind) for f, edge in enumerate(e)])
+            packed = {"cells": cells,  # a row per feature: the bin in it
                       "y": np.concatenate([h[1] for h in held]), "roles": np.concatenate([h[2] for h in held]),
                       "key": np.concatenate([h[3] for h in held])}
             return pa.RecordBatch.from_pydict({"grp": [at], "part": pa.array([int(packed["key"][0]) >> 1], pa.int64()),
@@ -164,17 +164,20 @@ def _walk(cells: np.ndarray, tree: dict, depth: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ one level
 
-def _sum_nodes(cells: np.ndarray, rest: np.ndarray, at: np.ndarray, nodes: int, w: int) -> np.ndarray:
-    """[2, nodes, w]: residuals and rows by node and cell; ``at`` is a row's place among the nodes."""
-    out = np.zeros((2, nodes * w))
-    base = at * w
-    for feature in cells:
-        index = base + feature
-        low, high = index.min(), index.max() + 1
-        index = index - low
-        out[0, low:high] += np.bincount(index, rest)
-        out[1, low:high] += np.bincount(index)
-    return out.reshape(2, nodes, w)
+def _sum_nodes(cells: np.ndarray, rest: np.ndarray, at: np.ndarray, nodes: int, first: np.ndarray, w: int, allowed: np.ndarray) -> np.ndarray:
+    """[2, nodes, w]: residuals and rows by node and cell; ``at`` is a row's place among the nodes. Features that may
+    not be split on stay 0, but for the first, which gives the nodes' totals."""
+    out = np.zeros((2, nodes, w))
+    ends = np.append(first[1:], w)
+    base = {}
+    for f in np.flatnonzero(allowed | (np.arange(len(first)) == 0)):
+        n = int(ends[f] - first[f])
+        if n not in base:
+            base[n] = at * n
+        index = base[n] + cells[f]  # of a feature's own cells alone: they are few, and no other's are touched
+        out[0, :, first[f]:ends[f]] = np.bincount(index, rest, nodes * n).reshape(nodes, n)
+        out[1, :, first[f]:ends[f]] = np.bincount(index, minlength=nodes * n).reshape(nodes, n)
+    return out
 
 
 def _open_places(tree: dict, level: int) -> np.ndarray:
@@ -187,7 +190,8 @@ def _rest(block: dict, use: np.ndarray, so_far: np.ndarray, scale: float) -> np.
     return np.rint((block["y"][use] - so_far[use]) * scale)
 
 
-def _sums(blocks, fits: list[Fit], roles: dict[str, int], trees: dict, level: int, number: int, scale: dict, width: dict):
+def _sums(blocks, fits: list[Fit], roles: dict[str, int], trees: dict, level: int, number: int, scale: dict, first: dict,
+          width: dict, allowed: dict[int, np.ndarray]):
     """Partial sums of one partition: ((grp, fit), [2, open nodes, cells])."""
     out: dict = {}
     for grp, b in blocks:
@@ -201,7 +205,7 @@ def _sums(blocks, fits: list[Fit], roles: dict[str, int], trees: dict, level: in
             inside = at >= 0
             if inside.any():
                 sums = _sum_nodes(cells[:, inside], _rest(b, use[inside], b["so_far"][k], scale[grp]), at[inside],
-                                  len(tree["open"]), width[grp])
+                                  len(tree["open"]), first[grp], width[grp], allowed[k])
                 key = grp, k
                 out[key] = out[key] + sums if key in out else sums
     return iter(out.items())
@@ -225,7 +229,7 @@ def _best(sums: np.ndarray, fit: Fit, first: np.ndarray, scale: float, allowed:
         at = gain.argmax(axis=1)
         row = np.arange(n)
         better = gain[row, at] > best["gain"]
-        for name, value in (("gain", gain[row, at]), ("feature", np.full(n, f)), ("cell", first[f] + at),
+        for name, value in (("gain", gain[row, at]), ("feature", np.full(n, f)), ("cell", at),
                             ("left", left[row, at]), ("left_rows", left_rows[row, at])):
             best[name] = np.where(better, value, best[name])
     enough = best["gain"] > np.maximum(fit.min_gain * rows * scale * scale, 1e-9 * np.abs(base))
@@ -282,8 +286,8 @@ def _score_rows(found) -> list[tuple]:
     return [(g, k, trees, r, int(v[0]), float(v[1]), float(v[2]), int(v[3])) for (g, k, trees, r), v in found]
 
 
-def _model_row(grp: str, k: int, number: int, tree: dict, edges: list[np.ndarray], first: np.ndarray, start: float, step: float) -> tuple:
-    cut = [float(edges[f][c - first[f]]) if f >= 0 else 0.0 for f, c in zip(tree["feature"], tree["cell"])]
+def _model_row(grp: str, k: int, number: int, tree: dict, edges: list[np.ndarray], start: float, step: float) -> tuple:
+    cut = [float(edges[f][c]) if f >= 0 else 0.0 for f, c in zip(tree["feature"], tree["cell"])]
     return grp, k, number, tree["feature"].tolist(), cut, tree["value"].tolist(), tree["gain"].tolist(), start, step
 
 
@@ -313,9 +317,9 @@ def _grow_here(grp: str, k: int, fit: Fit, role: int, block: dict, edges: list[n
         for level in range(fit.depth if len(drawn) else 0):
             at = _open_places(tree, level)[node]
             if above is None:
-                sums = _sum_nodes(cells, rest, at, 1, w)
+                sums = _sum_nodes(cells, rest, at, 1, first, w, allowed)
             else:
-                sums = _sum_children(cells, rest, at, tree["open"], above, w)
+                sums = _sum_children(cells, rest, at, tree["open"], above, first, w, allowed)
             before = tree["open"]
             _take(tree, _best(sums, fit, first, scale, allowed), fit, scale, level)
             if not len(tree["open"]):
@@ -326,13 +330,14 @@ def _grow_here(grp: str, k: int, fit: Fit, role: int, block: dict, edges: list[n
             if not inside.all():
                 cells, rest, node = cells[:, inside], rest[inside], node[inside]
         so_far = so_far + fit.step * tree["value"][_walk(block["cells"], tree, fit.depth)]
-        models.append(_model_row(grp, k, number, tree, edges, first, start, fit.step))
+        models.append(_model_row(grp, k, number, tree, edges, start, fit.step))
         if number + 1 in fit.trees:
             scores += [((grp, k, number + 1, r), _error(block, so_far, (role, r))) for r in (TRAIN, HELD_OUT)]
     return models, _score_rows(scores)
 
 
-def _sum_children(cells: np.ndarray, rest: np.ndarray, at: np.ndarray, nodes: np.ndarray, above: dict, w: int) -> np.ndarray:
+def _sum_children(cells: np.ndarray, rest: np.ndarray, at: np.ndarray, nodes: np.ndarray, above: dict, first: np.ndarray, w: int,
+                  allowed: np.ndarray) -> np.ndarray:
     """Sums of a level's nodes: of two siblings the smaller is summed, the other is what its parent has more (exact)."""
     n = len(nodes)
     rows = np.bincount(at, minlength=n)
@@ -342,7 +347,7 @@ def _sum_children(cells: np.ndarray, rest: np.ndarray, at: np.ndarray, nodes: np
     sibling[pair], sibling[pair + 1] = pair + 1, pair
     derived = (sibling >= 0) & ((rows > rows[sibling]) | ((rows == rows[sibling]) & (np.arange(n) > sibling)))
     use = ~derived[at]
-    sums = _sum_nodes(cells[:, use], rest[use], at[use], n, w) if use.any() else np.zeros((2, n, w))
+    sums = _sum_nodes(cells[:, use], rest[use], at[use], n, first, w, allowed) if use.any() else np.zeros((2, n, w))
     for i in np.flatnonzero(derived):
         sums[:, i] = above["sums"][:, above["place"][int(parent[i])]] - sums[:, sibling[i]]
     return sums
@@ -367,19 +372,23 @@ def _grow_small(blocks: DataFrame, fits: list[Fit], roles: dict[str, int], edges
             if not held:
                 return
             grp, k = at
-            block = {c: np.concatenate([h[c] for h in held], axis=1 if c == "cells" else 0) for c in held[0]}
+            block = {c: np.concatenate([h.pop(c) for h in held], axis=1 if c == "cells" else 0) for c in list(held[0])}
             models, scores = _grow_here(grp, k, fits[k], roles[fits[k].role], block, edges[grp]["edges"], edges[grp]["scale"])
             rows = [dict(zip(names[:9], m)) for m in models if k in keep]
             rows += [dict(zip(("grp", "fit", "trees", "role", "rows", "abs_error", "ape", "ape_rows"), x)) for x in scores]
             yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in names} for r in rows], arrow)
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["grp"], r["fit"]) != at:
+            for i in range(batch.num_rows):
+                grp, k, payload = (batch.column(c)[i] for c in range(3))
+                if (grp.as_py(), k.as_py()) != at:
                     yield from finished()
-                    at, held = (r["grp"], r["fit"]), []
-                held.append(pickle.loads(r["payload"]))
+                    at, held = (grp.as_py(), k.as_py()), []
+                held.append(pickle.loads(payload.as_buffer()))
         yield from finished()
-    number = F.create_map(*[F.lit(x) for g, i in groups.items() for x in (g, i)])[F.col("grp")] * len(fits) + F.col("fit")
+    # The longest fits begin first: of equal ones those of later roles, which hold more rows.
+    longest = sorted(range(len(fits)), key=lambda k: (-max(fits[k].trees) * fits[k].depth, -roles[fits[k].role]))
+    place = F.array(*[F.lit(longest.index(k)) for k in range(len(fits))])[F.col("fit")]
+    number = place * len(groups) + F.create_map(*[F.lit(x) for g, i in groups.items() for x in (g, i)])[F.col("grp")]
     every = blocks.select("grp", F.explode(F.array(*[F.lit(k) for k in range(len(fits))])).alias("fit"), "part", "payload")
     return (every.withColumn("task", number).repartitionByRange(n, "task").sortWithinPartitions("task", "part")
             .select("grp", "fit", "payload").mapInArrow(run, schema))
@@ -471,7 +480,8 @@ def _grow_levels(spark: SparkSession, flat: DataFrame, names: Sequence[str], fit
             growing = {key: {n: t[n] for n in ("feature", "cell", "open")} for key, t in trees.items() if len(t["open"])}
             if not growing:
                 break
-            found = (state.mapPartitions(lambda part, t=growing, at=level, no=number: _sums(part, fits, roles, t, at, no, scale, width))
+            found = (state.mapPartitions(lambda part, t=growing, at=level, no=number, ok=allowed: _sums(
+                part, fits, roles, t, at, no, scale, first, width, ok))
                      .reduceByKey(np.add, partitions)
                      .map(lambda kv, ok=allowed: (kv[0], _best(kv[1], fits[kv[0][1]], first[kv[0][0]], scale[kv[0][0]], ok[kv[0][1]])))
                      .collect())
@@ -497,7 +507,7 @@ def _grow_levels(spark: SparkSession, flat: DataFrame, names: Sequence[str], fit
         state = state.map(add).persist(StorageLevel.MEMORY_AND_DISK)
         if (number + 1) % CHECKPOINT == 0:
             state.checkpoint()
-        models += [_model_row(g, k, number, t, edges[g]["edges"], first[g], float(start[g, k]), fits[k].step)
+        models += [_model_row(g, k, number, t, edges[g]["edges"], float(start[g, k]), fits[k].step)
                    for (g, k), t in trees.items() if k in keep]
         measured = [k for k in live if number + 1 in fits[k].trees]
         if measured:
