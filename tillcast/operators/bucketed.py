@@ -66,7 +66,7 @@ class Table:
         held = {"key": list(key), "buckets": buckets, "folders": {}, "filters": {}, "schema": df.schema.jsonValue()}
         replace_file(spark, f"{path}/{MANIFEST}", json.dumps(held).encode())
         table = cls(spark, path)
-        folders = table._write(cut_lineage(df.withColumn("bucket", table._of()), "table"))
+        folders = table._write(df.withColumn("bucket", table._of()))
         table._publish(folders, table._built(folders) if filtered else {})
         return cls(spark, path)
 
@@ -83,16 +83,20 @@ class Table:
         self.__init__(self.spark, self.path)
 
     def _write(self, df: DataFrame) -> dict[int, list[str]]:
-        """Write rows with ``bucket`` as a new part; the folder of each bucket that has rows."""
+        """Write rows with ``bucket`` as a new part, once; the folder of each bucket that has rows, as the part names them."""
         part = f"part-{uuid.uuid4().hex[:12]}"
         df.select("bucket", *[F.col(f.name).cast(f.dataType) for f in self.schema]).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{part}")
-        there = {r.bucket for r in df.select("bucket").distinct().collect()}  # at most as many as buckets
+        written = self.spark.read.schema(T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{part}")
+        there = {r.bucket for r in written.select("bucket").distinct().collect()}  # at most as many as buckets
         return {b: [f"{part}/bucket={b}"] for b in sorted(there)}
 
     def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
         """The table, or some of its buckets."""
         wanted = sorted(self.folders if buckets is None else set(buckets) & self.folders.keys())
-        at = [f"{self.path}/{f}" for b in wanted for f in self.folders[b]]
+        return self._at({b: self.folders[b] for b in wanted})
+
+    def _at(self, folders: dict[int, list[str]]) -> DataFrame:
+        at = [f"{self.path}/{f}" for fs in folders.values() for f in fs]
         return self.spark.read.schema(self.schema).parquet(*at) if at else self.spark.createDataFrame([], self.schema)
 
     def merge(self, incoming: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -187,11 +191,11 @@ class Table:
         maybe = maybe.withColumnRenamed("h", "_h")
         stored_keys = stored.join(F.broadcast(maybe) if n <= BROADCAST_KEYS else maybe, same).select(*[f"_k_{c}" for c in self.key], "_h").distinct()
         unseen = first(tagged.join(stored_keys, same, "left_anti").select(*self.schema.fieldNames()))
-        new = cut_lineage(unseen.withColumns({"bucket": self._of(), "h": _key_hash(self.key, self._types())}), "new-rows")
-        added = self._write(new)
+        added = self._write(unseen.withColumn("bucket", self._of()))
+        new = self._at(added)
         folders = {b: [*self.folders.get(b, []), *f] for b, f in added.items()}
-        self._publish(folders, self._grown(new, added, folders) if self.filters or not self.folders else {})
-        return new.drop("bucket", "h")
+        self._publish(folders, self._grown(self._hashes(new), added, folders) if self.filters or not self.folders else {})
+        return new
 
     def _grown(self, new: DataFrame, added: dict[int, list[str]], folders: dict[int, list[str]]) -> dict[int, str]:
         """Filters of the buckets with new rows: extended, or built anew where they are missing or too full."""
@@ -200,7 +204,7 @@ class Table:
         counts = {r.bucket: r.n for r in new.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
         held = {r.bucket: r for r in self._held_filters(list(added)).select("bucket", "keys", "room").collect()}
         extend = [b for b in added if b in held and held[b].keys + counts[b] <= FULL * held[b].room]
-        out = self._filters(new.where(F.col("bucket").isin(*extend)).select("bucket", "h"), self._held_filters(extend)) if extend else {}
+        out = self._filters(new.where(F.col("bucket").isin(*extend)), self._held_filters(extend)) if extend else {}
         return {**out, **self._built({b: folders[b] for b in added if b not in extend})}
 
 
