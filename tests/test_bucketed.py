@@ -78,3 +78,19 @@ def test_filters_know_all_they_were_told():
     bits = BK._empty(10_000)
     BK._set(bits, h[:10_000])
     assert BK._hit(bits, h[:10_000]).all() and BK._hit(bits, h[10_000:]).mean() < 0.02
+
+
+def test_rows_are_written_once(spark, tmp_path):
+    """Neither storing a table nor inserting into it leaves a scratch copy of its rows."""
+    from pathlib import Path
+
+    from tillcast.session import shared_dir
+
+    scratch = Path(shared_dir(spark).removeprefix("file:"))
+    copies = lambda: {p for name in ("table-*", "new-rows-*") for p in scratch.glob(name)}
+    before = copies()
+    rows = spark.createDataFrame([(1, f"o{k}", float(k)) for k in range(20)], "integration_id long, external_id string, total double")
+    table = BK.Table.create(rows.where("total < 10"), str(tmp_path / "orders"), M.ORDER_KEY, buckets=4, filtered=True)
+    added = table.insert_absent(rows, lambda df: M.first_per_key(df, M.ORDER_KEY))
+    assert rows_of(added) == rows_of(rows.where("total >= 10")) and rows_of(table.read()) == rows_of(rows)
+    assert scratch.is_dir() and copies() == before
