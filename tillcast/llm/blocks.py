@@ -8,7 +8,7 @@ bounded by the longest document and never by a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +41,35 @@ class Block(NamedTuple):
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
 
+_kept: dict = {}  # what this worker keeps from one task to the next, by name
+_keeper: list[int | None] = [None]  # the last task that asked for it
+
+
+def _task() -> int | None:
+    from pyspark import TaskContext
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once a worker for tasks that follow each other; one name is kept at a time."""
+    _keeper[0] = _task()
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Drop what is kept, unless this task asked for it: a worker reused by other work holds it no longer."""
+    if _kept and _keeper[0] != _task():
+        _kept.clear()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text_col: str = "text",
            max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut record batches into blocks of whole documents; NULL text is empty."""
+    release()
     for batch in batches:
         if batch.num_rows == 0:
             continue

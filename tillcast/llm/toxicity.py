@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 
 from tillcast.session import cut_lineage
 
-from .blocks import Block, Prefix, blocks, byte_values, column, list_sizes, mix, owners, window_starts, words
+from .blocks import Block, Prefix, blocks, byte_values, column, keep, list_sizes, mix, owners, window_starts, words
 from .common import prepare, table
 from .decontaminate import WORD
 
@@ -121,6 +121,21 @@ def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+PART = 1 << 20        # postings worked on at a time
+BATCH_BYTES = 8 << 20  # of texts that go to a worker at a time
+SENT = 1_000          # documents that come back at a time
+
+
+def _parts(n: int) -> Iterator[tuple[int, int]]:
+    return ((lo, min(lo + PART, n)) for lo in range(0, n, PART))
+
+
+def _terms_of(edge: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The term of each of the postings lo .. hi - 1, where term t has edge[t] .. edge[t + 1] - 1."""
+    first, last = np.searchsorted(edge, lo, side="right") - 1, np.searchsorted(edge, hi, side="left")
+    return np.repeat(np.arange(first, last), np.diff(np.clip(edge[first:last + 1], lo, hi)))
+
+
 class Search(NamedTuple):
     """What a worker derives from an index: weights of the terms before the tail by term, tails by example."""
     light: Lists           # per term before the tail: example positions
@@ -152,26 +167,36 @@ class Index:
 
     @cached_property
     def search(self) -> Search:
-        sizes = np.diff(self.where.edge)
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
-        far = self.tail[term]
-        edge = np.concatenate([[0], np.cumsum(np.where(self.tail, 0, sizes))])
-        at = np.flatnonzero(~far)
-        place = self.where.flat[at].astype(np.intp)
-        weight = self.grown[self.count[at]] * self.idf[term[at]] * self.inverse[place]
-        cuts = self.cuts - np.repeat(self.where.edge[:-1] - edge[:-1], np.diff(self.block.edge))
-        at = np.flatnonzero(far)
-        at = at[np.argsort(self.where.flat[at], kind="stable")]
-        owner, count = self.where.flat[at], self.count[at]
-        number = np.cumsum(self.tail) - 1
+        edge, sizes = self.where.edge, np.diff(self.where.edge)
+        far = np.repeat(self.tail, sizes)
+        light = np.concatenate([[0], np.cumsum(np.where(self.tail, 0, sizes))])
+        number, numbered = np.cumsum(self.tail) - 1, np.flatnonzero(self.tail)
+        # A worker holds each posting once, in small types, and makes one part at a time: the tail, then the rest.
+        held, done = len(far) - int(light[-1]), 0
+        owner, late, count = (np.empty(held, x) for x in (self.where.flat.dtype, _small(number[-1:]).dtype, self.count.dtype))
+        for lo, hi in _parts(len(far)):
+            of = np.flatnonzero(far[lo:hi])
+            part = slice(done, done := done + len(of))
+            owner[part], late[part], count[part] = (x.take(of) for x in (self.where.flat[lo:hi], number[_terms_of(edge, lo, hi)], self.count[lo:hi]))
+        at = np.argsort(owner, kind="stable")
+        owner, late, count = owner[at], late[at], count[at]
+        del at
         rest = np.zeros(len(self.ids))
-        for lo in range(0, len(at), 1 << 20):
-            part = slice(lo, lo + (1 << 20))
-            rest += np.bincount(owner[part], (self.grown[count[part]] * self.idf[term[at[part]]]) ** 2, minlength=len(rest))
+        for lo, hi in _parts(held):
+            rest += np.bincount(owner[lo:hi], (self.grown[count[lo:hi]] * self.idf[numbered[late[lo:hi]]]) ** 2, minlength=len(rest))
+        begin = np.searchsorted(owner, np.arange(len(rest) + 1))
+        del owner
+        place, weight, done = np.empty(int(light[-1]), self.where.flat.dtype), np.empty(int(light[-1])), 0
+        for lo, hi in _parts(len(far)):
+            of = np.flatnonzero(~far[lo:hi])
+            part = slice(done, done := done + len(of))
+            place[part] = self.where.flat[lo:hi].take(of)
+            weight[part] = self.grown[self.count[lo:hi].take(of)] * self.idf[_terms_of(edge, lo, hi).take(of)] * self.inverse[place[part]]
         rest = np.sqrt(rest) * self.inverse
         firsts = np.arange(0, len(rest), BLOCK)
-        return Search(Lists(place, edge), weight, cuts, number,
-                      Lists(_small(number[term[at]]), np.searchsorted(owner, np.arange(len(rest) + 1))), count,
+        cuts = self.cuts - np.repeat(edge[:-1] - light[:-1], np.diff(self.block.edge))
+        return Search(Lists(place, light), weight, cuts, number,
+                      Lists(late, begin), count,
                       rest, np.maximum.reduceat(rest, firsts) if len(rest) else rest)
 
     def sieve(self) -> np.ndarray:
@@ -194,11 +219,11 @@ class Index:
         term, weight = term[~late], weight[~late]
         entries = self.block.edge[term + 1] - self.block.edge[term]
         entry = _ranges(self.block.edge[term], entries)
-        block, q = self.block.flat[entry], np.repeat(weight, entries)
+        block, q = self.block.flat.take(entry), np.repeat(weight, entries)
         held = np.where(entries == 0, s.light.edge[term + 1] - s.light.edge[term], 0)  # rare terms: one by one
         post = _ranges(s.light.edge[term], held)
-        rare = np.bincount(s.light.flat[post], s.weight[post] * np.repeat(weight, held), minlength=n)
-        bound = (np.maximum.reduceat(rare, np.arange(0, n, BLOCK)) + np.bincount(block, q * self.top[entry], minlength=len(s.block_rest))
+        rare = np.bincount(s.light.flat.take(post), s.weight.take(post) * np.repeat(weight, held), minlength=n)
+        bound = (np.maximum.reduceat(rare, np.arange(0, n, BLOCK)) + np.bincount(block, q * self.top.take(entry), minlength=len(s.block_rest))
                  + reach * s.block_rest)
         order = np.argsort(-bound, kind="stable")
         lo, step = 0, OPEN
@@ -206,10 +231,11 @@ class Index:
             opened = np.zeros(len(order), bool)
             opened[order[lo:lo + step]] = True
             lo, step = lo + step, 2 * step
-            sel = opened[block]
-            size = self.size[entry[sel]].astype(np.int64)
-            post = _ranges(s.cuts[entry[sel]], size)
-            sums = rare + np.bincount(s.light.flat[post], s.weight[post] * np.repeat(q[sel], size), minlength=n)
+            sel = np.flatnonzero(opened.take(block))
+            some = entry.take(sel)
+            size = self.size.take(some).astype(np.int64)
+            post = _ranges(s.cuts.take(some), size)
+            sums = rare + np.bincount(s.light.flat.take(post), s.weight.take(post) * np.repeat(q[sel], size), minlength=n)
             at = np.flatnonzero(opened)[:, None] * BLOCK + np.arange(BLOCK)
             at = at[at < n]
             if skip is not None:
@@ -230,7 +256,7 @@ class Index:
                 if reach:
                     own = s.far.edge[some + 1] - s.far.edge[some]
                     post = _ranges(s.far.edge[some], own)
-                    parts = np.append(query[s.far.flat[post]] * self.grown[s.count[post]], 0)
+                    parts = np.append(query.take(s.far.flat.take(post)) * self.grown.take(s.count.take(post)), 0)
                     parts = np.add.reduceat(parts, np.cumsum(own) - own)
                     cosine = cosine + self.inverse[some] * np.where(own > 0, parts, 0)
                 best_at, best = np.concatenate([best_at, some[cosine > 0]]), np.concatenate([best, cosine[cosine > 0]])
@@ -244,9 +270,6 @@ class Index:
 
 Curve = tuple[float, float]
 
-_open: dict[str, Index] = {}  # of this worker: the index that its tasks share
-
-
 def packed(index: Index) -> bytes:
     """The index as it travels: places as steps from posting to posting, then compressed (every executor keeps a copy on disk)."""
     where = index.where.flat
@@ -257,14 +280,17 @@ def packed(index: Index) -> bytes:
 def unpacked(data: bytes) -> Index:
     index = pickle.loads(zlib.decompress(data))
     steps = index.where.flat
-    return replace(index, where=Lists(np.cumsum(steps, dtype=steps.dtype), index.where.edge))
+    np.cumsum(steps, dtype=steps.dtype, out=steps)
+    return index
 
 
 def opened(shared: Broadcast, name: str) -> Index:
-    if name not in _open:
-        _open.clear()
-        _open[name] = unpacked(shared.value)
-    return _open[name]
+    def make() -> Index:
+        index = unpacked(shared.value)
+        index.search  # holds the postings from now on  # noqa: B018
+        index.where, index.count = Lists(index.where.flat[:0].copy(), index.where.edge), index.count[:0].copy()
+        return index
+    return keep(name, make)
 
 
 def calibrated(vote: float, curve: Curve) -> float:
@@ -310,7 +336,6 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(terms, sorted, and their weights) of the terms in at least ``MIN_DF`` examples; none without both classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _open.clear()  # an earlier run's index
         for b in blocks(batches, max_bytes=1 << 20):
             term, own = _terms(b)
             order = np.lexsort((own, term))
@@ -342,6 +367,7 @@ def _small(a: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Fitted:
     prepare(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sample = cut_lineage(examples(docs, labels, id_col, text_col, label_col), "toxic-examples")
     terms, idf = choose_terms(sample)
     size = sample.count()
@@ -357,14 +383,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 "terms": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(term, pa.int32())),
                 "counts": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(n, pa.int32()))})
 
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().combine_chunks()  # bounded sample
+    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()  # bounded sample
     chosen.destroy()
-    toxic = rows["toxic"].to_numpy()
+    toxic, ids = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()
     base = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
     sizes = np.concatenate([np.zeros(0, np.int64), *[list_sizes(c) for c in rows["terms"].chunks]])
-    term, count = (np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in rows[x].chunks]]) for x in ("terms", "counts"))
-    ids = rows["doc_id"].to_numpy()
-    del rows  # postings are many: 32 bits each, and nothing is kept twice
+    most = max((int(c.flatten().to_numpy().max(initial=0)) for c in rows["counts"].chunks), default=0)
+    term, count = (np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy().astype(kind, copy=False) for c in rows[x].chunks]])
+                   for x, kind in (("terms", np.dtype(np.int32)), ("counts", np.min_scalar_type(most))))
+    del rows  # postings are many: nothing is kept twice
     index = _index(terms, idf, ids, toxic, sizes, term, count, base)
     del term, count
     shared, name = docs.sparkSession.sparkContext.broadcast(packed(index)), uuid.uuid4().hex
@@ -393,59 +420,80 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray,
            count: np.ndarray, base: float) -> Index:
     """The index of examples with ``sizes`` postings each."""
-    own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    weight = ((1 + np.log(count, dtype=np.float32)) * idf.astype(np.float32)[term])
-    full = np.flatnonzero(np.bincount(own, weight, minlength=len(sizes)) > 0)  # examples with a vector
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    idf32 = idf.astype(np.float32)
     # examples with the same leading term share blocks, which keeps the block maxima tight
-    lead, most = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float32)
-    first = (np.cumsum(sizes) - sizes)[full]
-    if len(full):
+    mass, lead, most = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float32)
+    counts: list[np.ndarray] = [np.zeros(0, count.dtype)]
+    starts = np.searchsorted(first, np.arange(0, first[-1], PART), side="right") - 1
+    for a, z in zip(starts, np.append(starts[1:], len(sizes)), strict=True):  # whole examples
+        part = slice(first[a], first[z])
+        own, weight = np.repeat(np.arange(a, z), sizes[a:z]), (1 + np.log(count[part], dtype=np.float32)) * idf32[term[part]]
+        mass[a:z] = np.bincount(own - a, weight, minlength=z - a)
         np.maximum.at(most, own, weight)
         is_most = np.flatnonzero(weight == most[own])
-        lead[full] = term[is_most[np.searchsorted(is_most, first)]]
+        some = a + np.flatnonzero(sizes[a:z])
+        lead[some] = term[part][is_most[np.searchsorted(is_most, first[some] - first[a])]]
+        if mass[a:z].any():
+            counts.append(np.unique(count[part][mass[own] > 0]))
+    full = np.flatnonzero(mass > 0)  # examples with a vector
     order = full[np.lexsort((ids[full], -most[full], lead[full]))]
     place = np.full(len(sizes), -1, np.int32)
     place[order] = np.arange(len(order))
-    del weight
-    kept = place[own] >= 0
-    key = term[kept].astype(np.int64) * max(len(order), 1) + place[own[kept]]
-    count = count[kept]
-    del own, kept
-    at = np.argsort(key)
-    key, count = key[at], _small(count[at])
-    del at
-    term, where = (key // max(len(order), 1)).astype(np.int32), (key % max(len(order), 1)).astype(np.int32)
+    distinct = np.unique(np.concatenate(counts))
+    # One number a posting, sorted in place: its term, its example's place, its count.
+    width, per_term = max(len(distinct), 1), max(len(order), 1) * max(len(distinct), 1)
+    key = np.empty(int(sizes[full].sum()), np.int64)
+    done = 0
+    for lo, hi in _parts(len(term)):
+        at = place[_terms_of(first, lo, hi)]
+        kept = at >= 0
+        part = slice(done, done + int(kept.sum()))
+        key[part] = (term[lo:hi][kept].astype(np.int64) * per_term + at[kept].astype(np.int64) * width
+                     + np.searchsorted(distinct, count[lo:hi][kept]))
+        done = part.stop
+    key.sort()
+    edge = np.searchsorted(key, np.arange(len(terms) + 1) * per_term)
+    where, code = np.empty(len(key), np.min_scalar_type(max(len(order) - 1, 0))), np.empty(len(key), np.min_scalar_type(width - 1))
+    for lo, hi in _parts(len(key)):
+        where[lo:hi], code[lo:hi] = key[lo:hi] % per_term // width, key[lo:hi] % width
     del key
     # Lengths and weights in double precision, as queries recompute them.
+    grown = 1 + np.log(distinct, dtype=float)
     norm, mass = np.zeros(len(order)), np.zeros(len(terms))
-    for lo in range(0, len(term), 1 << 20):
-        part = slice(lo, lo + (1 << 20))
-        norm += np.bincount(where[part], ((1 + np.log(count[part], dtype=float)) * idf[term[part]]) ** 2, minlength=len(order))
+    for lo, hi in _parts(len(where)):
+        norm += np.bincount(where[lo:hi], (grown[code[lo:hi]] * idf[_terms_of(edge, lo, hi)]) ** 2, minlength=len(order))
     norm = np.sqrt(norm)
-    for lo in range(0, len(term), 1 << 20):
-        part = slice(lo, lo + (1 << 20))
-        mass += np.bincount(term[part], ((1 + np.log(count[part], dtype=float)) * idf[term[part]] / norm[where[part]]) ** 2, minlength=len(terms))
-    distinct, code = np.unique(count, return_inverse=True)
-    edge = np.searchsorted(term, np.arange(len(terms) + 1))
+    for lo, hi in _parts(len(where)):
+        of = _terms_of(edge, lo, hi)
+        mass += np.bincount(of, (grown[code[lo:hi]] * idf[of] / norm[where[lo:hi]]) ** 2, minlength=len(terms))
     often = np.diff(edge) >= FREQUENT
     light = np.flatnonzero(often)[np.argsort(idf[often], kind="stable")]
     tail = np.zeros(len(terms), bool)
     tail[light[np.cumsum(mass[light]) <= TAIL * len(order)]] = True
-    frequent = (often & ~tail)[term]
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (where[1:] // BLOCK != where[:-1] // BLOCK)
-    many = np.flatnonzero(frequent)
+    frequent = np.repeat(often & ~tail, np.diff(edge))
+    new = np.ones(len(where), bool)
+    new[1:] = where[1:] // BLOCK != where[:-1] // BLOCK
+    new[edge[:-1][np.diff(edge) > 0]] = True
     cuts = np.flatnonzero(new & frequent)
+    del new
+    of = np.searchsorted(edge, cuts, side="right") - 1
+    stop = np.minimum(np.append(cuts[1:], len(where)), edge[of + 1]) if len(cuts) else cuts
+    top = np.zeros(len(cuts), np.float32)
     if len(cuts):
-        weight = (1 + np.log(count[many], dtype=float)) * idf[term[many]] / norm[where[many]]
-        top = np.nextafter(np.maximum.reduceat(weight, np.searchsorted(many, cuts)).astype(np.float32), np.float32(np.inf))
-        stop = np.minimum(np.append(cuts[1:], len(term)), edge[term[cuts] + 1])
-    else:
-        top, stop = np.zeros(0, np.float32), cuts
+        weight = np.empty(int(frequent.sum()))
+        done = 0
+        for lo, hi in _parts(len(where)):
+            at = frequent[lo:hi]
+            part = slice(done, done + int(at.sum()))
+            weight[part] = grown[code[lo:hi][at]] * idf[_terms_of(edge, lo, hi)[at]] / norm[where[lo:hi][at]]
+            done = part.stop
+        begin = np.cumsum(stop - cuts) - (stop - cuts)  # the entries hold all frequent postings, one after another
+        top = np.nextafter(np.maximum.reduceat(weight, begin).astype(np.float32), np.float32(np.inf))
     return Index(terms, idf, ids[order], toxic[order].astype(float), 1 / norm,
-                 1 + np.log(distinct, dtype=float), Lists(_small(where), edge), _small(code), tail,
-                 Lists(_small(where[cuts] // BLOCK), np.searchsorted(term[cuts], np.arange(len(terms) + 1))), top,
-                 cuts.astype(np.int32 if len(term) < 1 << 31 else np.int64), _small(stop - cuts), base)
+                 grown, Lists(where, edge), code, tail,
+                 Lists(_small(where[cuts] // BLOCK), np.searchsorted(of, np.arange(len(terms) + 1))), top,
+                 cuts.astype(np.int32 if len(where) < 1 << 31 else np.int64), _small(stop - cuts), base)
 
 
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -489,7 +537,7 @@ def drop_toxic(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col
         ix = opened(shared, name)
         sieve = ix.sieve()
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
+            kept = np.ones(batch.num_rows, bool)
             done = 0
             for b in blocks([batch.select([text_col])], text_col):
                 own, term, n = _counts(b, ix.terms, sieve)
@@ -497,9 +545,10 @@ def drop_toxic(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col
                 for i in np.flatnonzero(np.diff(edge)).tolist():
                     t = term[edge[i]:edge[i + 1]]
                     at, cosine = ix.nearest(t, ix.vector(t, n[edge[i]:edge[i + 1]]), NEIGHBOURS)
-                    keep[done + i] = not len(at) or calibrated(ix.vote(at, cosine), curve) < THRESHOLD
+                    kept[done + i] = not len(at) or calibrated(ix.vote(at, cosine), curve) < THRESHOLD
                 done += b.n
-            yield batch.select(names).filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, SENT):
+                yield batch.slice(lo, SENT).select(names).filter(pa.array(kept[lo:lo + SENT]))
 
     return docs.mapInArrow(run, docs.schema)
 
