@@ -181,3 +181,24 @@ def test_copies_tie_by_id(spark):
     df = spark.createDataFrame([(k, v if k != 7 else [2 * x for x in v], 0) for k in range(200)], SCHEMA)
     got = neighbours.nearest(df).where("query_id = 150").orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4] and len({r.score for r in got}) == 1
+
+
+def test_other_blocks_count_one_window(monkeypatch):
+    """Where a query knows its reach, a block counts one window or what lies outside it, and misses next to nothing nearer."""
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(3000, 16)), rng.normal(size=(40, 16))
+    block = {"ids": np.arange(3000), "vecs": v, **neighbours.index(v)}
+    cos = (q / np.linalg.norm(q, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T
+    counted = []
+    bincount = np.bincount
+    monkeypatch.setattr(neighbours, "radii", lambda: pytest.fail("widened"))
+    monkeypatch.setattr(neighbours.np, "bincount", lambda x, **k: counted.append(len(x)) or bincount(x, **k))
+    for reach in (0.6, 1.3):
+        counted.clear()
+        got = neighbours.search(block, q, np.full(40, -1), np.full(40, reach))
+        assert len(counted) == 40 and max(counted) <= 3000 * neighbours.PROJECTIONS // 2
+        want = [set([x for x in np.argsort(-c)[:5] if c[x] >= 1 - reach * reach / 2]) for c in cos]
+        hit = sum(len(w & set(place.tolist())) for w, (place, _) in zip(want, got))
+        assert hit >= 0.95 * sum(map(len, want)) > 0
+        for i, (place, score) in enumerate(got):
+            assert np.allclose(score, cos[i][place]) and (np.diff(score) <= 0).all()

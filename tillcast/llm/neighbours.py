@@ -17,8 +17,13 @@ more, whatever the data. At R = 2 windows have met all there is; should fewer
 than k vectors have been verified then, all others are (the exact way for the
 rest), so no result is short.
 
-The arrays are kept per block of vectors, written once beside them. Every query
-meets every block and brings home that block's k best; a ranking merges them.
+The arrays are kept per block of vectors, written once beside them. A query
+searches its own block so. The distance R of its k-th there bounds that of its
+k nearest in the whole table, so in every other block the window of this one
+radius is counted, or what lies outside it, if that is less. A ranking merges
+the blocks' k best. As one vector in 50 is a query and every query meets every
+block, the number of windows grows with the square of the vectors; a task holds
+one block and ``CHUNK`` queries.
 Hot vectors are spread over the blocks; ties have bit-equal scores, as a row's
 cosine does not depend on its neighbours in memory.
 
@@ -56,7 +61,9 @@ START, GROWTH = 0.125, 1.2
 SEED = 20_13
 CHUNK = 256
 CHUNKED = 4_096
+SLACK = 1e-9  # of cosines, for the order of additions
 
+HOME = "block long, at long, id long, vec binary, reach double, near_id array<long>, near array<double>"
 FOUND = "block long, at long, query_id long, vec_id long, score double"
 
 
@@ -94,51 +101,105 @@ def index(v: np.ndarray) -> dict:
     return {"order": order, "sorted": np.take_along_axis(projected, order.T, 0).T.copy()}
 
 
-def search(number: int, block: dict, chunk: dict) -> pa.RecordBatch:
-    """The best NEIGHBOURS of each query among the block's vectors that collide often enough."""
+def _windows(block: dict, centre: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window ends (array, query, radius) around every query's projections; ``half``: the radii's half widths, query by query."""
+    return tuple(np.stack([np.searchsorted(s, c[:, None] + sign * half, side) for s, c in zip(block["sorted"], centre.T)])
+                 for sign, side in ((-1, "left"), (1, "right")))
+
+
+def search(block: dict, vecs: np.ndarray, own: np.ndarray, reach: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The best NEIGHBOURS (places, cosines) of each query among the block's vectors that collide often enough.
+
+    ``own``: the query's place in the block, or -1. ``reach``: a distance within
+    which the query has NEIGHBOURS already, so that one radius will do; NaN: none yet.
+    """
     v, norm = scaled(block["vecs"])
-    q, q_norm = scaled(chunk["vecs"])
+    q, q_norm = scaled(vecs)
     n, need = len(v), threshold()
     centre = (q / q_norm[:, None]) @ directions(q.shape[1])
-    steps = radii()
-    half = np.array(steps) * WIDTH / 2
-    # Window ends of every query and radius, array by array.
-    lo = np.stack([np.searchsorted(s, c[:, None] - half, "left") for s, c in zip(block["sorted"], centre.T)])
-    hi = np.stack([np.searchsorted(s, c[:, None] + half, "right") for s, c in zip(block["sorted"], centre.T)])
-    rows, places, cosines = [], [], []
-    for i in range(len(q)):
-        own = int(chunk["at"][i]) if chunk["block"][i] == number else -1
-        wanted = min(NEIGHBOURS, n - (own >= 0))
+
+    def first(i: int, place: np.ndarray, cosine: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(found) > NEIGHBOURS:  # a quick product tells which can be among the first; those get the score that ties rely on
+            near = (v.take(found, axis=0) @ q[i]) / (norm[found] * q_norm[i])
+            floor = max(np.partition(near, -NEIGHBOURS)[-NEIGHBOURS], cosine[-1] if len(cosine) == NEIGHBOURS else -2.0,
+                        -2.0 if np.isnan(reach[i]) else 1 - reach[i] * reach[i] / 2)
+            found = found[near >= floor - SLACK]
+        c = (v[found] * q[i]).sum(axis=1) / (norm[found] * q_norm[i])
+        return _first(np.concatenate([place, found]), np.concatenate([cosine, c]), block["ids"])
+
+    def widened(i: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wanted = min(NEIGHBOURS, n - (own[i] >= 0))
         count = np.zeros(n, np.int64)
         fresh = np.ones(n, bool)
-        if own >= 0:
-            fresh[own] = False
+        if own[i] >= 0:
+            fresh[own[i]] = False
         place, cosine = np.zeros(0, np.int64), np.zeros(0)
-
-        def verify(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            fresh[found] = False
-            c = (v[found] * q[i]).sum(axis=1) / (norm[found] * q_norm[i])
-            return _first(np.concatenate([place, found]), np.concatenate([cosine, c]), block["ids"])
-        start, end = lo[:, i], hi[:, i]
-        for step, radius in enumerate(steps):
+        for step, radius in enumerate(radii()):
             inner, outer = (start[:, step - 1], end[:, step - 1]) if step else (end[:, 0], end[:, 0])
             met = [o[a:b] for o, a, b in zip(block["order"], start[:, step], inner)]
             met += [o[a:b] for o, a, b in zip(block["order"], outer, end[:, step])]
             count += np.bincount(np.concatenate(met), minlength=n)
             found = np.flatnonzero((count >= need) & fresh)
             if len(found):
-                place, cosine = verify(found)
+                fresh[found] = False
+                place, cosine = first(i, place, cosine, found)
             if len(place) >= wanted and (not wanted or cosine[-1] >= 1 - radius * radius / 2):
                 break
         if len(place) < wanted:
-            place, cosine = verify(np.flatnonzero(fresh))
-        rows.append(np.full(len(place), i))
-        places.append(place)
-        cosines.append(cosine)
-    i, place = np.concatenate(rows), np.concatenate(places)
+            place, cosine = first(i, place, cosine, np.flatnonzero(fresh))
+        return place, cosine
+
+    def within(i: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # The smaller of a window and what lies outside it is counted.
+        if 2 * int((end - start).sum()) <= n * PROJECTIONS:
+            count = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(block["order"], start, end)]), minlength=n)
+        else:
+            out = [o[:a] for o, a in zip(block["order"], start)] + [o[b:] for o, b in zip(block["order"], end)]
+            count = PROJECTIONS - np.bincount(np.concatenate(out), minlength=n)
+        count[own[i]:own[i] + 1] = 0  # its own row, if it is here
+        return first(i, np.zeros(0, np.int64), np.zeros(0), np.flatnonzero(count >= need))
+
+    out: list = [None] * len(q)
+    for some, work in ((np.flatnonzero(np.isnan(reach)), widened), (np.flatnonzero(~np.isnan(reach)), within)):
+        if not len(some):
+            continue
+        half = np.array([radii()] * len(some)) if work is widened else reach[some, None]
+        lo, hi = _windows(block, centre[some], half * WIDTH / 2)
+        for j, i in enumerate(some.tolist()):
+            ends = (lo[:, j], hi[:, j]) if work is widened else (lo[:, j, 0], hi[:, j, 0])
+            out[i] = work(i, *ends)
+    return out
+
+
+def _home(blocks: DataFrame) -> DataFrame:
+    """The queries, each with its nearest in its own block, and their reach."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, p in vectors.payloads(batches, "block"):
+            every = np.flatnonzero((p["ids"] % QUERY_EVERY == 0) & (p["ids"] != vectors.NO_ID))
+            for lo in range(0, len(every), CHUNK):
+                at = every[lo:lo + CHUNK]
+                got = search(p, p["vecs"][at], at, np.full(len(at), np.nan))
+                # The last one's distance, with room for rounding; NaN where there are fewer.
+                reach = [math.sqrt(max(0.0, 2 - 2 * c[-1])) + 1e-7 if len(c) == NEIGHBOURS else math.nan for _, c in got]
+                edge = pa.array(np.cumsum([0, *(len(x) for x, _ in got)]), pa.int32())
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array(np.full(len(at), block)), "at": pa.array(at), "id": pa.array(p["ids"][at]),
+                    "vec": pa.array([x.tobytes() for x in p["vecs"][at]], pa.binary()), "reach": pa.array(reach, pa.float64()),
+                    "near_id": pa.ListArray.from_arrays(edge, vectors.id_array(p["ids"][np.concatenate([x for x, _ in got])])),
+                    "near": pa.ListArray.from_arrays(edge, pa.array(np.concatenate([c for _, c in got])))})
+    return blocks.mapInArrow(run, HOME)
+
+
+def _away(number: int, block: dict, chunk: dict) -> pa.RecordBatch | None:
+    """The best of the block for the queries of other blocks."""
+    some = np.flatnonzero(chunk["block"] != number)
+    if not len(some):
+        return None
+    got = search(block, chunk["vecs"][some], np.full(len(some), -1), chunk["reach"][some])
+    i, place = np.repeat(some, [len(x) for x, _ in got]), np.concatenate([x for x, _ in got])
     return pa.RecordBatch.from_pydict({
         "block": chunk["block"][i], "at": chunk["at"][i], "query_id": chunk["ids"][i],
-        "vec_id": vectors.id_array(block["ids"][place]), "score": np.concatenate(cosines)})
+        "vec_id": vectors.id_array(block["ids"][place]), "score": np.concatenate([c for _, c in got])})
 
 
 def _first(place: np.ndarray, cosine: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +214,8 @@ def _chunks(queries: DataFrame, count: int) -> DataFrame:
                 part = batch.slice(lo, CHUNK)
                 of = lambda name: part.column(part.schema.get_field_index(name))
                 yield pa.RecordBatch.from_pydict({"payload": pa.array([vectors.dump(
-                    block=of("block").to_numpy(), at=of("at").to_numpy(), ids=of("id").to_numpy(), vecs=vectors.matrix(of("vec")))],
+                    block=of("block").to_numpy(), at=of("at").to_numpy(), ids=of("id").to_numpy(), vecs=vectors.matrix(of("vec")),
+                    reach=of("reach").to_numpy())],
                     pa.binary())})
     return queries.repartition(max(1, count // CHUNKED)).mapInArrow(run, "payload binary")
 
@@ -166,8 +228,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
         F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("label"), vec.cast("array<double>").alias("vec"))
     blocks, n_blocks = vectors.pack(rows, index)
     blocks = cut_lineage(blocks, "vectors")
-    queries = cut_lineage(vectors.every(blocks, QUERY_EVERY), "queries")
-    found = vectors.meet(blocks, n_blocks, _chunks(queries, queries.count()), search, FOUND)
+    queries = cut_lineage(_home(blocks), "queries")
+    away = vectors.meet(blocks, n_blocks, _chunks(queries.drop("near_id", "near"), queries.count()), _away, FOUND)
+    home = queries.select("block", "at", F.col("id").alias("query_id"), F.explode(F.arrays_zip("near_id", "near")).alias("x"))
+    found = away.unionByName(home.select("block", "at", "query_id", F.col("x.near_id").alias("vec_id"), F.col("x.near").alias("score")))
     return vectors.best(found, ["block", "at"], "score", "vec_id", NEIGHBOURS, "rank").select("query_id", "rank", "vec_id", "score")
 
 
