@@ -488,3 +488,75 @@ def test_other_work_drops_a_kept_index(spark):
     docs = spark.createDataFrame([("a b",)], "text string").coalesce(1)
     assert [r.n for r in docs.mapInArrow(first, "n long").collect()] == [1] * docs.rdd.getNumPartitions()
     assert {r.n for r in docs.mapInArrow(second, "n long").collect()} == {0}
+
+
+def test_training_is_back_propagation_over_whole_windows(monkeypatch):
+    """A window of training gives the weights that tokens taken one by one give, and its steps make no arrays of their own."""
+    import numpy as np
+    lm = language_model
+    rng = np.random.default_rng(5)
+    weights = lm.Network.initial(np.log(1 / np.arange(1, lm.SHORTLIST + lm.TAILS + 1)) - 2)
+    words_ = np.concatenate([rng.zipf(1.3, 20000), [1]])
+    windows = [rng.choice(words_[words_ < lm.SHORTLIST], (lm.WINDOW, lm.TRAIN_LANES)).astype(np.int32) for _ in range(4)]
+    for x in windows:
+        tail = rng.random(x.shape) < 0.3
+        x[tail] = lm.SHORTLIST + rng.integers(0, lm.TAILS, int(tail.sum()))
+    windows[3][-5:, -9:] = -1  # lanes that have ended
+    stops = [rng.random(x.shape) < 0.02 for x in windows]
+
+    def plain(p, h, x, reset, m, v, steps):
+        g = {k: np.zeros_like(w) for k, w in p.items()}
+        states, kept = [], []
+        for t in range(len(x)):
+            h = h * ~reset[t][:, None]
+            states.append(h)
+            h, *rest = lm.Network.step(p, h, np.maximum(x[t], 0))
+            kept.append(rest)
+        dh = np.zeros_like(h)
+        for t in range(len(x) - 1, -1, -1):
+            (z, r, n, hn), prev, live = kept[t], states[t], x[t] >= 0
+            dn = dh * (1 - z) * (1 - n * n)
+            gates = np.concatenate([dh * (prev - n) * z * (1 - z), dn * hn * r * (1 - r), dn], axis=1)
+            through = np.concatenate([gates[:, :2 * lm.HIDDEN], dn * r], axis=1)
+            g["u"] += prev.T @ through
+            np.add.at(g["x"], x[t][live], gates[live])
+            out = np.zeros_like(dh)
+            for i in np.flatnonzero(live):
+                s, w = prev[i], x[t, i]
+                c = w // lm.CLASS_WORDS if w < lm.SHORTLIST else w - lm.SHORTLIST + lm.Network.classes
+                a = s @ p["wc"] + p["bc"]
+                a = np.exp(a - a.max())
+                a /= a.sum()
+                a[c] -= 1
+                g["wc"] += np.outer(s, a)
+                g["bc"] += a
+                out[i] = p["wc"] @ a
+                if w < lm.SHORTLIST:
+                    b = s @ p["ww"][c] + p["bw"][c]
+                    b = np.exp(b - b.max())
+                    b /= b.sum()
+                    b[w % lm.CLASS_WORDS] -= 1
+                    g["ww"][c] += np.outer(s, b)
+                    g["bw"][c] += b
+                    out[i] += p["ww"][c] @ b
+            dh = (dh * z + through @ p["u"].T + out) * ~reset[t][:, None]
+        fix = np.sqrt(1 - 0.999 ** steps) / (1 - 0.9 ** steps)
+        for k, w in g.items():
+            w /= (x >= 0).sum()
+            m[k] += 0.1 * (w - m[k])
+            v[k] += 0.001 * (w * w - v[k])
+            p[k] -= lm.RATE * fix * m[k] / (np.sqrt(v[k]) + 1e-8)
+        return h
+
+    trainer = lm.Trainer(weights)
+    p, m, v = ({k: f(w).astype(np.float64) for k, w in weights.items()} for f in (np.copy, np.zeros_like, np.zeros_like))
+    ref = np.zeros((lm.TRAIN_LANES, lm.HIDDEN))
+    for k, (x, reset) in enumerate(zip(windows, stops, strict=True), 1):
+        ref = plain(p, ref, x, reset, m, v, k)
+    monkeypatch.setattr(lm.Network, "step", lambda *a: pytest.fail("a step by itself"))
+    h = np.zeros((lm.TRAIN_LANES, lm.HIDDEN), np.float32)
+    for x, reset in zip(windows, stops, strict=True):
+        h = trainer.window(h, x, reset)
+    assert np.allclose(h, ref, atol=5e-3)
+    for k, w in p.items():
+        assert np.abs(trainer.p[k] - w).mean() < 1e-3, k

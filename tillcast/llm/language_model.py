@@ -51,6 +51,7 @@ SCORE_LANES = 256
 ROUNDS = 2
 RATE = 0.02
 FLUSH_TOKENS = 1 << 21
+SLOT_BITS = 17
 TAILS = 18            # 3 lengths x 3 last bytes x ASCII or not
 
 END = np.uint64(0x00E4D0F7EC57A11D)  # the end token's key
@@ -65,17 +66,19 @@ def tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s, e, first = words(b.data, b.offsets)
     key = Prefix(byte_values(b.data, fold=True)).spans(s, e)
     size = e - s
-    wide = np.concatenate([[0], np.cumsum(b.data >= 0x80)])
+    beyond = b.data >= 0x80
     last = b.data[e - 1] if len(e) else b.data[:0]
     tail = (np.searchsorted([5, 9], size, side="right") * 6 + np.where(last == 0x2E, 2, np.where(last == 0x2C, 1, 0)) * 2
-            + (wide[e] > wide[s])).astype(np.int16)
+            ).astype(np.int16)
+    if beyond.any():
+        wide = np.concatenate([[0], np.cumsum(beyond)])
+        tail += wide[e] > wide[s]
     n = np.diff(first) + 1
     offs = np.concatenate([[0], np.cumsum(n)])
-    is_end = np.zeros(offs[-1], bool)
-    is_end[offs[1:] - 1] = True
     keys = np.full(offs[-1], END, np.uint64)
     tails = np.zeros(offs[-1], np.int16)
-    keys[~is_end], tails[~is_end] = key, tail
+    at = np.arange(len(key)) + np.repeat(np.arange(len(n)), n - 1)  # an end stands after each document before
+    keys[at], tails[at] = key, tail
     return keys, tails, offs
 
 
@@ -106,6 +109,9 @@ def count_words(training: DataFrame) -> DataFrame:
             .groupBy("key").agg(F.min("tail").alias("tail"), F.sum("c").alias("c")))
 
 
+_slots: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of this worker's vocabulary
+
+
 class Vocabulary(NamedTuple):
     known: np.ndarray       # sorted keys of the most frequent words
     known_c: np.ndarray
@@ -120,9 +126,25 @@ class Vocabulary(NamedTuple):
         """(shortlist index or -1, count or 0 where it isn't known here)."""
         if not len(self.known):
             return np.full(len(key), -1), np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-        hit = self.known[at] == key
-        return np.where(hit, self.index[at], -1), np.where(hit, self.known_c[at], 0)
+        # Keys are hashes: few begin with the same bits, so a word is found at or shortly after the first of them.
+        bits = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, stop = self.slots.take(bits), self.slots.take(bits + 1)
+        hit = self.known.take(at, mode="clip") == key
+        left = np.flatnonzero(~hit & (at + 1 < stop))
+        while len(left):
+            at[left] += 1
+            hit[left] = self.known[at[left]] == key[left]
+            left = left[~hit[left] & (at[left] + 1 < stop[left])]
+        return np.where(hit, self.index.take(at, mode="clip"), -1), np.where(hit, self.known_c.take(at, mode="clip"), 0)
+
+    @property
+    def slots(self) -> np.ndarray:
+        """The first known key of each beginning of ``SLOT_BITS`` bits."""
+        made = _slots.get("of")
+        if made is None or made[0] is not self.known:
+            edges = np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS)
+            made = _slots["of"] = (self.known, np.append(np.searchsorted(self.known, edges), len(self.known)))
+        return made[1]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -177,40 +199,87 @@ class Network:
     @staticmethod
     def outputs(p: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, grad: dict[str, np.ndarray] | None = None):
         """Log probability (natural) of token x after state h, row by row; with ``grad``, adds the weights'
-        gradient of the negative sum and also returns the states' gradient."""
-        tail = x >= SHORTLIST
-        cls = np.where(tail, x - SHORTLIST + Network.classes, x // CLASS_WORDS)
-        rows = np.arange(len(x))
-        a = h @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        ea = np.exp(a)
-        sa = ea.sum(1)
-        out = a[rows, cls] - np.log(sa)
-        dh = None
-        if grad is not None:
-            da = ea / sa[:, None]
-            da[rows, cls] -= 1
-            grad["wc"] += h.T @ da
-            grad["bc"] += da.sum(0)
-            dh = da @ p["wc"].T
+        gradient of the negative sum and also returns the states' gradient.
+
+        Arrays are classes or words by tokens, the tokens sorted by class, so that each step is one pass over
+        all of them; a last state of 1 carries the bias."""
+        n, classes = len(x), Network.classes
+        state = np.ones((HIDDEN + 1, n), h.dtype)
+        state[:-1] = h.T
+        cls = np.where(x >= SHORTLIST, x - SHORTLIST + classes, x // CLASS_WORDS).astype(np.uint8)
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(Network.classes + 1))
-        for c in np.flatnonzero(np.diff(edge)).tolist():
-            at = order[edge[c]:edge[c + 1]]
-            hc, k = h[at], np.arange(len(at))
-            b = hc @ p["ww"][c] + p["bw"][c]
-            b -= b.max(1, keepdims=True)
-            eb = np.exp(b)
-            sb = eb.sum(1)
-            w = x[at] - c * CLASS_WORDS
-            out[at] += b[k, w] - np.log(sb)
-            if grad is not None:
-                db = eb / sb[:, None]
-                db[k, w] -= 1
-                grad["ww"][c] += hc.T @ db
-                grad["bw"][c] += db.sum(0)
-                dh[at] += db @ p["ww"][c].T
-        return (out, dh) if grad is not None else out
+        edge = np.searchsorted(cls[order], np.arange(classes + 1))
+        order = order[:edge[-1]]                                # words of the shortlist
+        wc = np.vstack([p["wc"], p["bc"]])
+        out, da = Network._softmax(wc.T @ state, cls, grad is not None)
+        held = state.take(order, axis=1)
+        ww = np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+        spans = [(c, slice(edge[c], edge[c + 1])) for c in np.flatnonzero(np.diff(edge)).tolist()]
+        b = np.empty((CLASS_WORDS, len(order)), h.dtype)
+        for c, at in spans:
+            np.matmul(ww[c].T, held[:, at], out=b[:, at])
+        in_class, db = Network._softmax(b, x[order] % CLASS_WORDS, grad is not None)
+        out[order] += in_class
+        if grad is None:
+            return out
+        dw = da @ state.T
+        grad["wc"] += dw[:, :-1].T
+        grad["bc"] += dw[:, -1]
+        dh = p["wc"] @ da
+        dheld = np.empty((HIDDEN, len(order)), h.dtype)
+        for c, at in spans:
+            dw = db[:, at] @ held[:, at].T
+            grad["ww"][c] += dw[:, :-1].T
+            grad["bw"][c] += dw[:, -1]
+            np.matmul(p["ww"][c], db[:, at], out=dheld[:, at])
+        dh[:, order] += dheld
+        return out, dh.T
+
+    @staticmethod
+    def _softmax(a: np.ndarray, picked: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each column's picked row; ``a`` becomes its negative's gradient."""
+        columns = np.arange(a.shape[1])
+        a -= a.max(0) if a.size else 0
+        out = a[picked, columns]
+        np.exp(a, out=a)
+        total = a.sum(0)
+        out -= np.log(total)
+        if gradient:
+            a /= total
+            a[picked, columns] -= 1
+        return out, a
+
+    @staticmethod
+    def read(p: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, reset: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``step`` over a window (steps by lanes): the states before each step, the last state, and z with r, n and
+        the product of state and ``u`` of each step. All input gates are read at once and nothing is allocated in a step."""
+        steps, width = x.shape
+        gate = p["x"].take(np.maximum(x, 0), axis=0)
+        half = np.ones(3 * HIDDEN, h.dtype)
+        half[:2 * HIDDEN] = 0.5                                 # 1 / (1 + exp(-a)) is (1 + tanh(a / 2)) / 2
+        gate[:, :, :2 * HIDDEN] *= half[:2 * HIDDEN]
+        u = p["u"] * half
+        states, n = (np.empty((steps, width, HIDDEN), h.dtype) for _ in range(2))
+        zr, hu = (np.empty((steps, width, k * HIDDEN), h.dtype) for k in (2, 3))
+        stops = reset.any(1).tolist()
+        h = h.copy()
+        for t in range(steps):
+            if stops[t]:
+                h[reset[t]] = 0
+            states[t] = h
+            s, c, v = zr[t], n[t], hu[t]
+            np.matmul(h, u, out=v)
+            np.add(gate[t, :, :2 * HIDDEN], v[:, :2 * HIDDEN], out=s)
+            np.tanh(s, out=s)
+            s += 1
+            s *= 0.5
+            np.multiply(s[:, HIDDEN:], v[:, 2 * HIDDEN:], out=c)
+            c += gate[t, :, 2 * HIDDEN:]
+            np.tanh(c, out=c)
+            h -= c
+            h *= s[:, :HIDDEN]
+            h += c
+        return states, h, zr, n, hu[:, :, 2 * HIDDEN:]
 
 
 class Lanes:
@@ -248,11 +317,7 @@ def log_probabilities(p: dict[str, np.ndarray], lanes: Lanes) -> np.ndarray:
     for t0 in range(0, steps, WINDOW):
         width = lanes.reading[t0]
         x, reset, h = lanes.x[t0:t0 + WINDOW, :width], lanes.reset[t0:t0 + WINDOW, :width], h[:width]
-        states = np.empty((len(x), width, HIDDEN), np.float32)
-        for t in range(len(x)):
-            h = h * ~reset[t][:, None]
-            states[t] = h
-            h = Network.step(p, h, np.maximum(x[t], 0))[0]
+        states, h = Network.read(p, h, x, reset)[:2]
         live = x >= 0
         out[t0:t0 + len(x), :width][live] = Network.outputs(p, states[live], x[live])
     return out[lanes.at]
@@ -262,47 +327,65 @@ class Trainer:
     """Adam over windows of truncated back-propagation."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        # The weights, their gradient and its moments lie in one array each, seen by name.
+        flat = np.concatenate([v.ravel() for v in p.values()])
+        self.flat, self.moments = [flat, np.zeros_like(flat)], [np.zeros_like(flat), np.zeros_like(flat)]
+        self.spare = np.empty_like(flat)
+        cuts = np.cumsum([0, *(v.size for v in p.values())])
+        self.p, self.grad, self.m, self.v = ({k: a[lo:hi].reshape(v.shape) for (k, v), lo, hi in zip(p.items(), cuts, cuts[1:], strict=False)}
+                                             for a in (*self.flat, *self.moments))
         self.steps = 0
 
     def window(self, h: np.ndarray, x: np.ndarray, reset: np.ndarray) -> np.ndarray:
-        p = self.p
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        states, kept = [], []
-        for t in range(len(x)):
-            h = h * ~reset[t][:, None]
-            states.append(h)
-            h, *rest = Network.step(p, h, np.maximum(x[t], 0))
-            kept.append(rest)
-        stack = np.stack(states)
-        live = x >= 0
-        _, d_live = Network.outputs(p, stack[live], x[live], grad)
-        d_out = np.zeros_like(stack)
-        d_out[live] = d_live
-        dh = np.zeros_like(h)
-        gates = np.empty((len(x), len(h), 3 * HIDDEN), np.float32)
+        p, grad = self.p, self.grad
+        self.flat[1].fill(0)
+        states, last, zr, n, hn = Network.read(p, h, x, reset)
+        live = x >= 0 if x.min() < 0 else slice(None)           # a slice where all lanes read on
+        read, size = x[live].reshape(-1), int((x >= 0).sum())
+        d_out = np.zeros_like(states)
+        d_out[live] = Network.outputs(p, states[live].reshape(-1, HIDDEN), read, grad)[1].reshape(d_out[live].shape)
+        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+        # What a state's gradient is multiplied by on its way to n and, through the gates, to the state before.
+        to_n = (1 - z) * (1 - n * n)
+        through = np.empty((*x.shape, 3, HIDDEN), h.dtype)
+        through[:, :, 0] = (states - n) * z * (1 - z)
+        through[:, :, 2] = to_n * r
+        through[:, :, 1] = through[:, :, 2] * hn * (1 - r)
+        back, stops = np.ascontiguousarray(p["u"].T), reset.any(1).tolist()
+        dh, part = np.zeros_like(last), np.empty_like(last)
         for t in range(len(x) - 1, -1, -1):
-            z, r, n, hn = kept[t]
-            prev = stack[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            g = gates[t] = np.concatenate([dz, dr, dn], axis=1)
-            through = np.concatenate([dz, dr, dn * r], axis=1)
-            grad["u"] += prev.T @ through
-            dh = (dh * z + through @ p["u"].T + d_out[t]) * ~reset[t][:, None]
-            g *= live[t][:, None]
-        np.add.at(grad["x"], x[live], gates[live])
+            to_n[t] *= dh
+            through[t] *= dh[:, None]
+            np.matmul(through[t].reshape(-1, 3 * HIDDEN), back, out=part)
+            dh *= z[t]
+            dh += part
+            dh += d_out[t]
+            if stops[t]:
+                dh[reset[t]] = 0
+        grad["u"] += states.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
+        through[:, :, 2] = to_n
+        ids = read.astype(np.int16)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        if len(first):
+            grad["x"][ids[order[first]]] = np.add.reduceat(through[live].reshape(-1, 3 * HIDDEN).take(order, axis=0), first, axis=0)
         self.steps += 1
         fix = np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        for k, g in grad.items():
-            g /= max(live.sum(), 1)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            p[k] -= RATE * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
-        return h
+        (w, g), (m, v), s = self.flat, self.moments, self.spare
+        g /= max(size, 1)
+        np.subtract(g, m, out=s)
+        s *= 0.1
+        m += s
+        np.multiply(g, g, out=s)
+        s -= v
+        s *= 0.001
+        v += s
+        np.sqrt(v, out=s)
+        s += 1e-8
+        np.divide(m, s, out=s)
+        s *= RATE * fix
+        w -= s
+        return last
 
     def documents(self, lanes: Lanes) -> None:
         h = np.zeros((lanes.x.shape[1], HIDDEN), np.float32)
