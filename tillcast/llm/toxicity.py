@@ -126,8 +126,9 @@ BATCH_BYTES = 8 << 20  # of texts that go to a worker at a time
 SENT = 1_000          # documents that come back at a time
 
 
-def _parts(n: int) -> Iterator[tuple[int, int]]:
-    return ((lo, min(lo + PART, n)) for lo in range(0, n, PART))
+def _parts(n: int, size: int | None = None) -> Iterator[tuple[int, int]]:
+    size = size or PART
+    return ((lo, min(lo + size, n)) for lo in range(0, n, size))
 
 
 def _terms_of(edge: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -174,7 +175,7 @@ class Index:
         # A worker holds each posting once, in small types, and makes one part at a time: the tail, then the rest.
         held, done = len(far) - int(light[-1]), 0
         owner, late, count = (np.empty(held, x) for x in (self.where.flat.dtype, _small(number[-1:]).dtype, self.count.dtype))
-        for lo, hi in _parts(len(far)):
+        for lo, hi in _parts(len(far), PART // 8):
             of = np.flatnonzero(far[lo:hi])
             part = slice(done, done := done + len(of))
             owner[part], late[part], count[part] = (x.take(of) for x in (self.where.flat[lo:hi], number[_terms_of(edge, lo, hi)], self.count[lo:hi]))
@@ -187,7 +188,7 @@ class Index:
         begin = np.searchsorted(owner, np.arange(len(rest) + 1))
         del owner
         place, weight, done = np.empty(int(light[-1]), self.where.flat.dtype), np.empty(int(light[-1])), 0
-        for lo, hi in _parts(len(far)):
+        for lo, hi in _parts(len(far), PART // 8):
             of = np.flatnonzero(~far[lo:hi])
             part = slice(done, done := done + len(of))
             place[part] = self.where.flat[lo:hi].take(of)
