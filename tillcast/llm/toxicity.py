@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 
 from tillcast.session import cut_lineage
 
-from .blocks import Block, Prefix, blocks, byte_values, column, keep, list_sizes, mix, owners, window_starts, words
+from .blocks import Block, Prefix, blocks, byte_values, column, keep, mix, owners, window_starts, words
 from .common import prepare, table
 from .decontaminate import WORD
 
@@ -354,7 +354,7 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not 0 < toxic < size:
         return np.zeros(0, np.uint64), np.zeros(0)
     rows = (sample.mapInArrow(count, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-            .where(F.col("n") >= MIN_DF).toArrow())  # bounded by the sample's words
+            .where(F.col("n") >= MIN_DF).select("term", F.col("n").cast("int"), F.col("p").cast("int")).toArrow())  # bounded by the sample's words
     term, n, p = rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["p"].to_numpy()
     odds = np.log((p + 0.5) / (toxic - p + 0.5)) - np.log((n - p + 0.5) / (size - toxic - (n - p) + 0.5))
     order = np.argsort(term)
@@ -366,6 +366,19 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
+def _sent(term: np.ndarray, count: np.ndarray) -> bytes:
+    """Postings as they travel: steps from term to term, byte by byte, and counts, compressed."""
+    steps = np.diff(term, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4)
+    return zlib.compress(steps.T.tobytes() + count.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _received(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(term, count) of every posting that was sent."""
+    columns = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 4, -1)
+    steps, count = (np.ascontiguousarray(x.T).view("<i4").ravel() for x in columns)
+    return np.cumsum(steps, dtype=np.int32), count
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Fitted:
     prepare(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -378,21 +391,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sieve = _sieve(chosen.value)
         for b in blocks(batches):
             own, term, n = _counts(b, chosen.value, sieve)
-            edge = np.searchsorted(own, np.arange(b.n + 1))
+            ids, toxic = (column(b.rows, x).to_numpy(zero_copy_only=False) for x in ("doc_id", "toxic"))
             yield pa.record_batch({
-                "doc_id": column(b.rows, "doc_id"), "toxic": column(b.rows, "toxic"),
-                "terms": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(term, pa.int32())),
-                "counts": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(n, pa.int32()))})
+                "ids": pa.array([ids], pa.list_(pa.int64())), "toxic": pa.array([toxic], pa.list_(pa.int32())),
+                "sizes": pa.array([np.bincount(own, minlength=b.n)], pa.list_(pa.int32())),
+                "most": pa.array([int(n.max(initial=0))], pa.int64()), "postings": pa.array([_sent(term, n)], pa.binary())})
 
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()  # bounded sample
+    rows = sample.mapInArrow(vectors, "ids array<long>, toxic array<int>, sizes array<int>, most long, postings binary").toArrow()  # bounded sample
     chosen.destroy()
-    toxic, ids = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()
+    ids, toxic, sizes = (np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy() for c in rows[x].chunks]])
+                         for x, kind in (("ids", np.int64), ("toxic", np.int32), ("sizes", np.int32)))
     base = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
-    sizes = np.concatenate([np.zeros(0, np.int64), *[list_sizes(c) for c in rows["terms"].chunks]])
-    most = max((int(c.flatten().to_numpy().max(initial=0)) for c in rows["counts"].chunks), default=0)
-    term, count = (np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy().astype(kind, copy=False) for c in rows[x].chunks]])
-                   for x, kind in (("terms", np.dtype(np.int32)), ("counts", np.min_scalar_type(most))))
-    del rows  # postings are many: nothing is kept twice
+    sizes = sizes.astype(np.int64)
+    most = max(rows["most"].to_pylist(), default=0)
+    term, count = np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()), np.min_scalar_type(most))
+    done = 0
+    for sent in (x for c in rows["postings"].chunks for x in c):  # postings are many: a block's are unpacked at a time
+        some, n = _received(sent.as_py())
+        term[done:done + len(some)], count[done:done + len(some)] = some, n
+        done += len(some)
+    del rows
     index = _index(terms, idf, ids, toxic, sizes, term, count, base)
     del term, count
     shared, name = docs.sparkSession.sparkContext.broadcast(packed(index)), uuid.uuid4().hex
@@ -426,8 +444,8 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
     # examples with the same leading term share blocks, which keeps the block maxima tight
     mass, lead, most = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float32)
     counts: list[np.ndarray] = [np.zeros(0, count.dtype)]
-    starts = np.searchsorted(first, np.arange(0, first[-1], PART), side="right") - 1
-    for a, z in zip(starts, np.append(starts[1:], len(sizes)), strict=True):  # whole examples
+    starts = np.searchsorted(first, np.arange(0, first[-1], PART // 8), side="right") - 1
+    for a, z in zip(starts, np.append(starts[1:], len(sizes))[:len(starts)], strict=True):  # whole examples
         part = slice(first[a], first[z])
         own, weight = np.repeat(np.arange(a, z), sizes[a:z]), (1 + np.log(count[part], dtype=np.float32)) * idf32[term[part]]
         mass[a:z] = np.bincount(own - a, weight, minlength=z - a)
@@ -442,23 +460,26 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
     place = np.full(len(sizes), -1, np.int32)
     place[order] = np.arange(len(order))
     distinct = np.unique(np.concatenate(counts))
-    # One number a posting, sorted in place: its term, its example's place, its count.
-    width, per_term = max(len(distinct), 1), max(len(order), 1) * max(len(distinct), 1)
-    key = np.empty(int(sizes[full].sum()), np.int64)
-    done = 0
-    for lo, hi in _parts(len(term)):
-        at = place[_terms_of(first, lo, hi)]
-        kept = at >= 0
-        part = slice(done, done + int(kept.sum()))
-        key[part] = (term[lo:hi][kept].astype(np.int64) * per_term + at[kept].astype(np.int64) * width
-                     + np.searchsorted(distinct, count[lo:hi][kept]))
-        done = part.stop
-    key.sort()
-    edge = np.searchsorted(key, np.arange(len(terms) + 1) * per_term)
-    where, code = np.empty(len(key), np.min_scalar_type(max(len(order) - 1, 0))), np.empty(len(key), np.min_scalar_type(width - 1))
-    for lo, hi in _parts(len(key)):
-        where[lo:hi], code[lo:hi] = key[lo:hi] % per_term // width, key[lo:hi] % width
-    del key
+    # Postings by term, then place: examples come in the order of their places, and a term's go on where its last ended.
+    held = np.zeros(len(terms), np.int64)
+    for lo, hi in _parts(len(term), PART // 8):
+        held += np.bincount(term[lo:hi][place[_terms_of(first, lo, hi)] >= 0], minlength=len(terms))
+    edge = np.concatenate([[0], np.cumsum(held)])
+    where, code = np.empty(edge[-1], np.min_scalar_type(max(len(order) - 1, 0))), np.empty(edge[-1], np.min_scalar_type(max(len(distinct), 1) - 1))
+    free = edge[:-1].copy()
+    ends = np.cumsum(sizes[order])
+    starts = np.searchsorted(ends, np.arange(0, edge[-1], PART // 8), side="right")
+    for a, z in zip(starts, np.append(starts[1:], len(order))[:len(starts)], strict=True):  # whole examples
+        own = sizes[order[a:z]]
+        at = _ranges(first[order[a:z]], own)
+        by = np.argsort(term[at], kind="stable")
+        at = at[by]
+        of = term[at]
+        new = np.flatnonzero(np.diff(of, prepend=-1))
+        run = np.diff(np.append(new, len(of)))
+        to = np.arange(len(of)) + np.repeat(free[of[new]] - new, run)
+        where[to], code[to] = np.repeat(np.arange(a, z), own)[by], np.searchsorted(distinct, count[at])
+        free[of[new]] += run
     # Lengths and weights in double precision, as queries recompute them.
     grown = 1 + np.log(distinct, dtype=float)
     norm, mass = np.zeros(len(order)), np.zeros(len(terms))
@@ -481,16 +502,11 @@ def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarra
     of = np.searchsorted(edge, cuts, side="right") - 1
     stop = np.minimum(np.append(cuts[1:], len(where)), edge[of + 1]) if len(cuts) else cuts
     top = np.zeros(len(cuts), np.float32)
-    if len(cuts):
-        weight = np.empty(int(frequent.sum()))
-        done = 0
-        for lo, hi in _parts(len(where)):
-            at = frequent[lo:hi]
-            part = slice(done, done + int(at.sum()))
-            weight[part] = grown[code[lo:hi][at]] * idf[_terms_of(edge, lo, hi)[at]] / norm[where[lo:hi][at]]
-            done = part.stop
-        begin = np.cumsum(stop - cuts) - (stop - cuts)  # the entries hold all frequent postings, one after another
-        top = np.nextafter(np.maximum.reduceat(weight, begin).astype(np.float32), np.float32(np.inf))
+    for lo, hi in _parts(len(cuts), max(PART // (8 * BLOCK), 1)):
+        size = stop[lo:hi] - cuts[lo:hi]
+        post = _ranges(cuts[lo:hi], size)
+        weight = grown[code[post]] * idf[np.repeat(of[lo:hi], size)] / norm[where[post]]
+        top[lo:hi] = np.nextafter(np.maximum.reduceat(weight, np.cumsum(size) - size).astype(np.float32), np.float32(np.inf))
     return Index(terms, idf, ids[order], toxic[order].astype(float), 1 / norm,
                  grown, Lists(where, edge), code, tail,
                  Lists(_small(where[cuts] // BLOCK), np.searchsorted(of, np.arange(len(terms) + 1))), top,
