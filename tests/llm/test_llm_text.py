@@ -61,6 +61,66 @@ def test_hot_keys_are_compared_by_window(docs, rows, monkeypatch):
     assert by_row(phrases.repeated_bytes(docs), lambda r: (r.n_removed,)) == want
 
 
+def plain(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def letters(seed):
+    import random
+    rng = random.Random(seed)
+    return lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_short_strings_shared_by_chance_are_not_dealt(spark):
+    """Trigger words that texts share without a window in common leave at once."""
+    from tillcast.llm import repeats
+    text = letters(11)
+    common = [text(24) for _ in range(40)]
+    docs = plain(spark, ["".join(text(30) + c for c in common) for _ in range(20)])
+    assert repeats._shared_keys(repeats.identified(docs), phrases.units()).count() == 0
+    assert {r.n_removed for r in phrases.repeated_bytes(docs).collect()} == {0}
+
+
+def test_whole_copies_are_one_span(spark):
+    """Copies of a whole text are no other content; their windows are not dealt."""
+    from tillcast.llm import repeats
+    text = letters(12)
+    long, other, short = text(4000), text(4000), text(49)
+    texts = [long, other] + [long] * 30 + [short] * 2 + [text(100) + long[500:700]]
+    docs = plain(spark, texts)
+    source = repeats.identified(docs)
+    shared = repeats._shared_keys(source, phrases.units())
+    assert shared.count() == 2
+    spans = {r.doc_id: r.spans for r in repeats.removed_spans(source, phrases.units()).collect()}
+    assert all([tuple(x) for x in spans[i]] == [(0, -1)] for i in range(2, 32)) and spans.keys() == {*range(2, 32), 34}
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in phrases.repeated_bytes(docs).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), **{i: (4000, 1) for i in range(2, 32)}, 32: (0, 0), 33: (0, 0), 34: (200, 1)}
+
+
+def test_copies_without_a_window_stay(spark):
+    """A copied text of many bytes and fewer than 50 words loses nothing to operator 3."""
+    few, many = " ".join(["several words"] * 10), " ".join(f"word{i}" for i in range(60))
+    got = by_row(substrings.deduplicate(plain(spark, [few, few, many, many])), lambda r: (r.n_words, r.n_removed))
+    assert got == [(0, 20, 0), (1, 20, 0), (2, 60, 0), (3, 60, 60)]
+
+
+def test_pairs_travel_packed(docs, rows, monkeypatch):
+    """Ten bytes a pair, and the same result when a task deals its pairs many times."""
+    import numpy as np
+    from tillcast.llm import repeats
+    rng = np.random.default_rng(4)
+    key, tag = rng.integers(0, 1 << 32, 5000).astype(np.uint64), rng.integers(0, 1 << 48, 5000).astype(np.uint64)
+    deal = np.sort(rng.integers(0, 9, 5000)).astype(np.uint64)
+    packed = repeats._pack(deal, key, tag)
+    assert packed.num_rows == 9 and packed.nbytes < 10 * 5000 + 300
+    for part in (packed, packed.slice(3)):
+        skip = int((deal < part.column(0)[0].as_py()).sum())
+        assert all((a == b[skip:]).all() for a, b in zip(repeats._unpack(part), (key, tag), strict=True))
+    monkeypatch.setattr(repeats, "PACK_ROWS", 50)
+    want = sorted((r[0] if r[0] is not None else -1, sum(g)) for r, g in zip(rows, byte_truth(rows), strict=True))
+    assert by_row(phrases.repeated_bytes(docs), lambda r: (r.n_removed,)) == want
+
+
 def test_cuts_beyond_24_bits():
     """A passage is cut alike wherever it stands in a document of over 16 MiB."""
     import numpy as np

@@ -8,8 +8,10 @@ phrase's (the prefix-free property). The parse of the corpus is the phrases in
 text order; its dictionary is the distinct phrases, each with the first
 document that holds it.
 
-Spark deals phrases by trigger word. Trigger words of one document only leave
-at once; equal phrases meet in one dictionary entry, so highly repetitive text
+Spark deals phrases by trigger word. A trigger word leaves at once where no
+other text has it with the bytes around it that a window holds as well (33 or
+34 in all), so short strings that texts share by chance are not dealt; a text
+that a smaller id has too is one span. Equal phrases meet in one dictionary entry, so highly repetitive text
 is settled per entry and not per byte. Entries that share a trigger word but
 differ go into the sparse suffix array of the dictionary: their suffixes of at
 least 50 bytes are sorted in byte order (big-endian words, exact bytes, no
@@ -67,12 +69,14 @@ def _cuts(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _parser(width: int, trigger: int):
+    half = (width - trigger) // 2
+
     def parse(b: Block) -> Parsed:
         at = window_starts(b.offsets, width)
         if not len(at):
             z = np.zeros(0, np.uint64)
             i = np.zeros(0, np.int64)
-            return Parsed(z, i, i, i, lambda seg: (z, z))
+            return Parsed(z, i, i, i, lambda seg: (z, z), z, i)
         values = byte_values(b.data)
         rolling = Prefix(values)
         h = rolling.windows(trigger)
@@ -87,7 +91,14 @@ def _parser(width: int, trigger: int):
         def prints(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return rolling.spans(a[seg], z[seg]), Prefix(values, SECOND).spans(a[seg], z[seg])
 
-        return Parsed(h[cut[head]], own, a - b.offsets[own], n, prints)
+        # windows that begin up to ``half`` bytes before the trigger word all hold the bytes after it, the others those before it
+        after = cut - at <= half
+        first = new.copy()
+        first[1:] |= after[1:] != after[:-1]
+        part = np.flatnonzero(first)
+        c, right = cut[part], after[part]
+        probe = rolling.spans(np.where(right, c, c - half - 1), np.where(right, c + width - half, c + trigger))
+        return Parsed(h[cut[head]], own, a - b.offsets[own], n, prints, probe, (np.cumsum(new) - 1)[part])
     return parse
 
 
@@ -116,9 +127,9 @@ def units(width: int = WIDTH, trigger: int = TRIGGER) -> Units:
     return Units(width, _parser(width, trigger), _packer(width), _unfolder(width), lambda pack, j: pack[j:j + width])
 
 
-def _kept(b: Block) -> tuple[np.ndarray, np.ndarray]:
+def _kept(b: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Kept bytes, and the starts of maximal removed runs."""
-    keep = kept_mask(b, column(b.rows, "spans"), b.offsets)
+    keep = kept_mask(b, column(b.rows, "spans"), b.offsets, width)
     begin = ~keep
     if len(keep):
         edge = np.zeros(len(keep) + 1, bool)
@@ -136,7 +147,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            keep, begin = _kept(b)
+            keep, begin = _kept(b, width)
             own = owners(b.offsets)
             sums = [hashlib.sha256(b.data[x:y][keep[x:y]].tobytes()).hexdigest()
                     for x, y in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True)]
@@ -167,7 +178,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             for b in blocks([small], text_col):
                 part = batch.slice(at, b.n)
                 at += b.n
-                keep, _ = _kept(b)
+                keep, _ = _kept(b, width)
                 tail = (b.data & 0xC0) == 0x80                      # a character's later bytes
                 start = np.maximum.accumulate(np.where(tail, 0, np.arange(len(tail))))
                 whole = np.bincount(start[keep], minlength=len(keep) + 1)[:len(keep)] > 0

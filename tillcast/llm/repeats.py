@@ -5,19 +5,27 @@ windows of ``width`` units also start in a document with a smaller id? They
 differ in how a document is *parsed*: a parser cuts every document into
 segments, runs of consecutive windows governed by one anchor that is chosen
 from the window's content alone, so equal windows always have equal anchor
-keys. The plan then never handles all windows:
-
-1. ``_shared_keys``: one row per (anchor key, document) is dealt by key; a key
-   seen in one document only needs no more work. Most text ends here.
-2. ``_segments``: documents that hold shared keys are parsed again, and only
-   segments with a shared key are dealt by key. Equal segments (128-bit content
+keys. A segment's *probes* are hashes of more content around its anchor; equal
+windows share one of them, and chance rarely does. The plan then never handles
+all windows:
+
+0. ``_contents``: a text that a smaller id also has, whole (128 bits of it are
+   compared), is one span. Only the first holder goes through steps 2 and 3.
+1. ``_shared_keys``: (probe, content) pairs are dealt by probe; a probe seen in
+   one content only needs no more work. Most text ends here. Pairs travel
+   packed, ten bytes each, in one row for each bucket of probes and flush.
+2. ``_segments``: documents that hold shared probes are parsed again, and only
+   segments with a shared probe are dealt by key. Equal segments (128-bit content
    fingerprints) meet: all windows of a later document's copy are repeats, in
    one row. What remains open is a first copy whose key also stands in
    *different* segments - the rims of shared passages.
 3. ``_open_windows``: only those rims are compared window by window.
 4. ``removed_spans`` collects each document's spans.
 
-Dealt groups are streamed in sorted order with constant state, and equal rows
+A probe is told apart by 44 of its bits and one held by a content by 32: two
+taken for one cost work in step 2 and change no result. Contents are told apart
+by 48 bits in step 1. Buckets are met one at a time, other dealt groups are
+streamed in sorted order with constant state, and equal rows
 are merged per task before they are dealt. A key with many different segments
 in one task (the rim of a passage that a third of all documents holds) is dealt
 by segment instead, and one marker row tells the key's other rows that it has
@@ -44,6 +52,8 @@ from .blocks import Block, blocks, column, list_sizes, mix
 from .common import prepare
 
 FLUSH_ROWS = 1 << 18   # rows merged in a task before they are dealt
+PACK_ROWS = 1 << 20    # pairs merged in a task before they are dealt packed; their numbers fit in _AT
+BUCKETS = 12           # bits: packed pairs are dealt in 4,096 buckets, by their probe or by their content
 HOT = 4096             # open segments of one key that are still compared in one task
 RIMS = 32              # different segments of one key in one flush from which on they are dealt one by one
 
@@ -55,6 +65,8 @@ class Parsed(NamedTuple):
     start: np.ndarray  # first unit, counted in the document
     n: np.ndarray      # windows
     prints: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  # segments -> two uint64 fingerprints of the covered units
+    probe: np.ndarray  # uint64 hashes of content that some windows of a segment hold, and all windows equal to them
+    of: np.ndarray     # their segments; every window has its probe
 
 
 class Units(NamedTuple):
@@ -164,67 +176,162 @@ def _dealt(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition("deal").sortWithinPartitions("deal", *order)
 
 
-# --- 1. keys that stand in several documents -------------------------------------------------
+# --- 0. texts that stand in several documents -------------------------------------------------
 
-def _shared_keys(source: DataFrame, units: Units) -> DataFrame:
-    """doc_id, th, keys (array) of the documents that hold shared keys."""
+def _contents(source: DataFrame, width: int) -> DataFrame:
+    """doc_id, th, content of every text that may have a window."""
+    return source.where(F.octet_length("text") >= width).select("doc_id", "th", F.unhex(F.md5("text")).alias("content"))
 
-    def emit(buf: _Buffer) -> pa.RecordBatch:
-        key, doc, th = buf.take()
-        order = np.argsort(key, kind="stable")       # a key's rows stay in reading order, so one document's lie together
-        key, doc, th = key[order], doc[order], th[order]
-        keep = _starts(key, doc, th)
-        key, doc, th = key[keep], doc[keep], th[keep]
-        head = _starts(key)
-        first = np.flatnonzero(head)
-        size = np.diff(np.append(first, len(key)))
-        other = np.add.reduceat(doc != np.repeat(doc[first], size), first)
-        known = np.repeat(other > 0, size)           # shared inside this task already
-        rep = known & head                           # one row still tells the other tasks
-        deal = np.concatenate([np.where(known, mix(key ^ mix(doc.view(np.uint64))), key), key[rep]])
-        found = pa.array(_i64(np.concatenate([key, key[rep]])), mask=np.concatenate([~known, np.ones(rep.sum(), bool)]))
-        return pa.record_batch({"deal": _i64(deal), "doc_id": np.concatenate([doc, doc[rep]]), "th": np.concatenate([th, th[rep]]), "known": found})
+
+def _first_holders(contents: DataFrame) -> DataFrame:
+    """th, content, first: the smallest id that has the content."""
+    return contents.groupBy("th", "content").agg(F.min("doc_id").alias("first"))
+
+
+# --- 1. probes that stand in several contents -------------------------------------------------
+
+_AT = np.uint64(20)    # bits of a pair's number in its flush; above them stand the 44 bits of a probe that count
+_TAG = 48              # bits of a content in a pair
+_PAIRS = "deal int, keys binary, tags binary"
+
+
+def _binaries(rows: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The rows' bytes, one binary for each group that begins at ``at``."""
+    ends = np.append(at, len(rows)).astype(np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes_of(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column in rows of ``width``, and how many rows each value has."""
+    if not len(col):
+        return np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0]:offs[-1]]
+    return data.reshape(-1, width), np.diff(offs) // width
+
+
+def _pack(deal: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+    """Pairs sorted by ``deal``, one row for each."""
+    at = np.flatnonzero(_starts(deal))
+    return pa.record_batch({"deal": pa.array(deal[at].astype(np.int32)),
+                            "keys": _binaries(key.astype(np.uint32).view(np.uint8).reshape(-1, 4), at),
+                            "tags": _binaries(tag.view(np.uint8).reshape(-1, 8)[:, :_TAG // 8], at)})
+
+
+def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """key, tag of all pairs of the rows."""
+    key, _ = _bytes_of(column(batch, "keys"), 4)
+    short, _ = _bytes_of(column(batch, "tags"), _TAG // 8)
+    tag = np.zeros((len(short), 8), np.uint8)
+    tag[:, :_TAG // 8] = short
+    return key.copy().view(np.uint32)[:, 0].astype(np.uint64), tag.view(np.uint64)[:, 0]
+
+
+def _shared(value: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs sorted by value: which begin a value, and which have one that several contents hold."""
+    head = _starts(value)
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(value)))
+    other = np.logical_or.reduceat(tag != np.repeat(tag[first], size), first)
+    return head, np.repeat(other, size)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``deal``: those of each bucket, whole."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        deal = _np(batch, "deal")
+        at = np.flatnonzero(_starts(deal)).tolist()
+        for lo, hi in zip(at, [*at[1:], batch.num_rows], strict=True):
+            if waiting and column(waiting[-1], "deal")[0].as_py() != int(deal[lo]):
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting = []
+            waiting.append(batch.slice(lo, hi - lo))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+def _by_content(key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+    """Pairs, dealt by content."""
+    order = np.argsort(tag)
+    tag = tag[order]
+    return _pack(tag >> np.uint64(_TAG - BUCKETS), key[order], tag)
+
+
+def probe_key(probe: np.ndarray) -> np.ndarray:
+    """The bits of a probe that a content's list has."""
+    return (probe >> _AT).astype(np.uint32)
+
+
+def _shared_keys(source: DataFrame, units: Units) -> DataFrame:
+    """tag, keys (packed, 32 bits each) of the contents that hold shared probes."""
+
+    def emit(buf: _Buffer) -> Iterator[pa.RecordBatch]:
+        probes, tags = buf.take()
+        for lo in range(0, len(probes), 1 << int(_AT)):
+            probe, tag = probes[lo:lo + (1 << int(_AT))], tags[lo:lo + (1 << int(_AT))]
+            number = np.arange(len(probe), dtype=np.uint64)
+            ranked = np.sort(probe >> _AT << _AT | number)
+            value, tag = ranked >> _AT, tag[(ranked & np.uint64((1 << int(_AT)) - 1)).astype(np.int64)]
+            keep = _starts(value, tag)                # a probe's pairs stay in reading order, so one content's lie together
+            value, tag = value[keep], tag[keep]
+            head, known = _shared(value, tag)         # known: shared inside this task already
+            rows = _by_content(value[known] & np.uint64(0xFFFFFFFF), tag[known])
+            yield rows.append_column("known", pa.array(np.ones(rows.num_rows, bool)))
+            ask = ~known | head                       # one of them still tells the other tasks
+            rows = _pack(value[ask] >> np.uint64(32), value[ask], tag[ask])
+            yield rows.append_column("known", pa.array(np.zeros(rows.num_rows, bool)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf = _Buffer()
         for b in blocks(batches):
             p = units.parse(b)
-            if buf.add(p.key, _np(b.rows, "doc_id")[p.own], _np(b.rows, "th")[p.own]):
-                yield emit(buf)
+            buf.add(p.probe, _u64(b.rows, "tag")[p.own[p.of]])
+            if buf.rows >= PACK_ROWS:
+                yield from emit(buf)
         if buf.rows:
-            yield emit(buf)
-
-    def told(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
-        return pa.record_batch({"doc_id": column(batch, "doc_id"), "th": column(batch, "th"), "key": column(batch, key)})
+            yield from emit(buf)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Stream()
-        for batch in batches:
-            known = pc.is_valid(column(batch, "known"))
-            if pc.any(known).as_py():
-                yield told(batch.filter(known), "known")
-                batch = batch.filter(pc.invert(known))
-            if batch.num_rows:
-                doc = _np(batch, "doc_id")
-                released, several, _ = state.feed(batch, _u64(batch, "deal"), [doc], doc)
-                for r in released:
-                    yield told(r, "deal")
-                if several.any():
-                    yield told(batch.filter(pa.array(several)), "deal")
+        buf = _Buffer()
+        for bucket in _buckets(batches):
+            known = column(bucket, "known")
+            buf.add(*_unpack(bucket.filter(known)))
+            key, tag = _unpack(bucket.filter(pc.invert(known)))
+            if len(key):
+                ranked = np.sort(key << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+                key, tag = ranked >> np.uint64(32), tag[(ranked & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+                several = _shared(key, tag)[1]
+                buf.add(key[several], tag[several])
+            if buf.rows >= PACK_ROWS:
+                yield _by_content(*buf.take())
+        if buf.rows:
+            yield _by_content(*buf.take())
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _buckets(batches):
+            key, tag = _unpack(bucket)
+            order = np.lexsort((key, tag))
+            key, tag = key[order], tag[order]
+            keep = _starts(tag, key)
+            key, tag = key[keep], tag[keep]
+            at = np.flatnonzero(_starts(tag))
+            yield pa.record_batch({"tag": _i64(tag[at]), "keys": _binaries(key.astype(np.uint32).view(np.uint8).reshape(-1, 4), at)})
 
-    rows = source.mapInArrow(scan, "deal long, doc_id long, th long, known long")  # known: the key, if shared already
-    flagged = _dealt(rows, "doc_id").mapInArrow(meet, "doc_id long, th long, key long")
-    return flagged.groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
+    tagged = source.select(F.shiftrightunsigned("th", 64 - _TAG).alias("tag"), "text")
+    pairs = _dealt(tagged.mapInArrow(scan, f"{_PAIRS}, known boolean")).mapInArrow(meet, _PAIRS)
+    return _dealt(pairs).mapInArrow(collect, "tag long, keys binary")
 
 
 # --- 2. equal segments ------------------------------------------------------------------------
 
 def _member(own: np.ndarray, key: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Whether each segment's key is in its document's list."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    sizes = list_sizes(lists)
+    """Whether each key is in its document's list."""
+    flat, sizes = _bytes_of(lists, 4)
     tag = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    known = np.sort(mix(flat + mix(tag + np.uint64(1))))
+    known = np.sort(mix(flat.copy().view(np.uint32)[:, 0] + mix(tag + np.uint64(1))))
     want = mix(key + mix(own.astype(np.uint64) + np.uint64(1)))
     if not len(known):
         return np.zeros(len(key), bool)
@@ -246,7 +353,7 @@ _SEG = "doc_id long, th long, start long, n long, times long, key long"
 
 
 def _segments(source: DataFrame, keys: DataFrame, units: Units) -> DataFrame:
-    """doc_id, th, start, n, times, key, open: repeated segments (open false) and
+    """keys: doc_id, th, keys of the documents to look at. doc_id, th, start, n, times, key, open: repeated segments (open false) and
     rims still to be compared; ``times``: adjacent repetitions of the segment."""
     names = ["deal", "f1", "f2", "doc_id", "th", "start", "n", "times", "key", "known", "spread"]
 
@@ -271,7 +378,7 @@ def _segments(source: DataFrame, keys: DataFrame, units: Units) -> DataFrame:
         buf = _Buffer()
         for b in blocks(batches):
             p = units.parse(b)
-            at = np.flatnonzero(_member(p.own, p.key, column(b.rows, "keys")))
+            at = np.unique(p.of[_member(p.own[p.of], probe_key(p.probe), column(b.rows, "keys"))])
             if not len(at):
                 continue
             f1, f2 = p.prints(at)
@@ -412,15 +519,22 @@ def _compare(parts: list[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBat
 # --- 4. spans ---------------------------------------------------------------------------------
 
 def removed_spans(source: DataFrame, units: Units) -> DataFrame:
-    """doc_id, th, spans (array of start, end in units) of every document of
-    ``source`` (see ``identified``) that repeats windows of documents with a
-    smaller id. Rows with a NULL id are neither earlier nor later than others."""
+    """doc_id, th, spans (array of start, end in units; an end of -1 is the
+    document's, if it has a window) of every document of ``source`` (see
+    ``identified``) that repeats windows of documents with a smaller id. Rows
+    with a NULL id are neither earlier nor later than others."""
     prepare(source.sparkSession)
     source = source.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "th", "text")
-    keys = cut_lineage(_shared_keys(source, units), "repeat-keys")
+    contents = cut_lineage(_contents(source, units.width), "repeat-contents")
+    holders = _first_holders(contents)
+    shared = cut_lineage(_shared_keys(source, units), "repeat-keys")
+    keys = (holders.select(F.col("first").alias("doc_id"), "th", F.shiftrightunsigned("th", 64 - _TAG).alias("tag"))
+            .join(shared, "tag").select("doc_id", "th", "keys"))
     segs = cut_lineage(_segments(source, keys, units), "repeat-segments")
     rims = segs.where("open").select("doc_id", "th", "start", "n", "times", "key")
     opened = cut_lineage(_open_windows(source, rims, units), "repeat-windows")
     spans = segs.where("not open").select("doc_id", "th", "start", (F.col("n") * F.col("times")).alias("n")).unionByName(opened)
-    return spans.groupBy("doc_id", "th").agg(
-        F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(units.width - 1)).alias("e"))).alias("spans"))
+    spans = spans.select("doc_id", "th", F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(units.width - 1)).alias("e")).alias("span"))
+    copies = (contents.join(holders, ["th", "content"]).where("doc_id > first")
+              .select("doc_id", "th", F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("e")).alias("span")))
+    return spans.unionByName(copies).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))

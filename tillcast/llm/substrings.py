@@ -41,7 +41,7 @@ def _parser(width: int):
         if not len(at):
             z = np.zeros(0, np.uint64)
             i = np.zeros(0, np.int64)
-            return Parsed(z, i, i, i, lambda seg: (z, z))
+            return Parsed(z, i, i, i, lambda seg: (z, z), z, i)
         own = owners(first)
         level, symbol, lo, hi = anchors(levels(h, first, own), at, width)
         new = np.ones(len(at), bool)
@@ -55,7 +55,7 @@ def _parser(width: int):
         def prints(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return one.spans(a[seg], z[seg]), Prefix(h, SECOND).spans(a[seg], z[seg])
 
-        return Parsed(key, own[a], a - first[own[a]], n, prints)
+        return Parsed(key, own[a], a - first[own[a]], n, prints, key, np.arange(len(key)))
     return parse
 
 
@@ -77,13 +77,16 @@ def units(width: int = WIDTH) -> Units:
     return Units(width, _parser(width), _packer(width), _unfold, lambda pack, j: pack[16 * j:16 * j + 16])
 
 
-def kept_mask(b: Block, spans: pa.Array, first: np.ndarray) -> np.ndarray:
-    """Units of the block that no span covers."""
+def kept_mask(b: Block, spans: pa.Array, first: np.ndarray, width: int) -> np.ndarray:
+    """Units of the block that no span covers; an end of -1 is that of a document with a window."""
     flat = spans.flatten()
-    base = np.repeat(first[:-1], list_sizes(spans))
+    sizes = list_sizes(spans)
+    base, length = np.repeat(first[:-1], sizes), np.repeat(np.diff(first), sizes)
     if not len(flat):
         return np.ones(int(first[-1]), bool)
-    return ~covered(base + flat.field("s").to_numpy(), base + flat.field("e").to_numpy(), int(first[-1]))
+    end = flat.field("e").to_numpy()
+    end = np.where(end < 0, np.where(length >= width, length, 0), end)
+    return ~covered(base + flat.field("s").to_numpy(), base + end, int(first[-1]))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",
@@ -98,7 +101,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             s, _, first = words(b.data, b.offsets)
-            keep = kept_mask(b, column(b.rows, "spans"), first)
+            keep = kept_mask(b, column(b.rows, "spans"), first, width)
             texts = []
             for i in range(b.n):
                 tokens = b.text(i).split()
